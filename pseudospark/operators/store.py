@@ -122,6 +122,10 @@ class MappingStore:
         rows = self._scan(self._committed()).select(*PSEUDONYM_COLUMNS)
         return rows if namespaces is None else rows.where(F.col("namespace_name").isin(namespaces))
 
+    def stream(self) -> DataFrame:
+        """New mappings as they are committed. Start the query again after a compaction."""
+        return self.spark.readStream.schema(PSEUDONYM_SCHEMA).parquet(self._generation()).select(*PSEUDONYM_COLUMNS)
+
     def reverse_map(self, requests: DataFrame, namespaces: list[str] | None = None) -> DataFrame:
         """The first original of every requested (namespace, pseudonym), one row each."""
         wanted = requests.select("namespace_name", "pseudonym_value").distinct()

@@ -176,7 +176,8 @@ def _fixed_settings(cells: Sequence[_Cell], catalog: DataFrame) -> dict[str, dic
 
 def _check_namespace_columns(counted: DataFrame, cells: Sequence[_Cell], catalog: DataFrame) -> None:
     if any(c.namespace_column is not None for c in cells):
-        unknown = unknown_namespaces(counted, catalog).limit(1).collect()
+        asked = counted.where(F.col("value").isNotNull())
+        unknown = unknown_namespaces(asked, catalog).limit(1).collect()
         if unknown:
             raise ValueError(f"Namespace '{unknown[0]['namespace_name']}' does not exist.")
 
@@ -288,7 +289,6 @@ def pseudonymize(
     settings = _fixed_settings(cells, catalog)
     positional = df.toDF(*_positional(names))
     counted = store.workspace.save(requested_values(positional, cells, placeholders), "requests")
-    _check_namespace_columns(counted, cells, catalog)
     rows, missing = _totals(counted, cells)
 
     counts = counted.where(F.col("value").isNotNull()).withColumnRenamed("value", "original_value")
