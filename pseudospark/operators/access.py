@@ -85,7 +85,7 @@ def effective_roles(names: DataFrame, rules: DataFrame, column: str = "name") ->
         # One row of roles, computed once and inlined.
         everywhere = wildcard.agg(_role_set(permission)).scalar()
         merged = F.array_union(F.coalesce(f"__{permission}", nobody), F.coalesce(everywhere, nobody))
-        columns.append(F.array_sort(merged).alias(name))
+        columns.append(F.sort_array(merged).alias(name))
     return result.select(column, *columns)
 
 

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from pseudospark.functions.generators import generate, with_affixes
 from pseudospark.functions.text import is_blank
-from pseudospark.operators.catalog import unknown_namespaces
-from pseudospark.operators.resolve import BROADCAST_BYTES, ROW_OVERHEAD, measure, text_bytes
+from pseudospark.operators.resolve import BROADCAST_BYTES, measure, text_bytes
 from pseudospark.schemas import PSEUDONYM_COLUMNS, PSEUDONYM_SCHEMA
 from pseudospark.sources import files
 from pseudospark.sources.files import Workspace
@@ -56,11 +55,16 @@ def first_reverse(mappings: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Upserted:
-    """Every requested key with its pseudonym; ``is_new`` tells the ones this call stored."""
+    """Every requested key with its pseudonym; ``is_new`` tells the ones this call stored.
+
+    ``cells`` counts the requests, repeated ones each time, and ``missing`` those among them without a value.
+    """
 
     mappings: DataFrame
     requested: int
     created: int
+    cells: int
+    missing: int
 
 
 class MappingStore:
@@ -157,43 +161,82 @@ class MappingStore:
         mappings.
         """
         counted = self.workspace.save(distinct_requests(requests), "requests")
-        return self.upsert_counted(counted, catalog, batch_id)
+        done = self.upsert_counted(counted, catalog, batch_id)
+        if done.missing:
+            raise ValueError("The original value must not be blank.")
+        return done
 
     def upsert_counted(self, counted: DataFrame, catalog: DataFrame, batch_id: str | None = None) -> Upserted:
-        """As ``upsert``, for requests that are distinct already and stored in a table."""
-        size = counted.agg(
-            F.count(F.lit(1)).alias("keys"),
-            text_bytes(*KEYS).alias("bytes"),
-            F.coalesce(F.max(is_blank(F.col("original_value"))), F.lit(False)).alias("blank"),
-        ).first()
-        if size["blank"]:
+        """As ``upsert``, for requests that are distinct already and stored in a table.
+
+        A null value stands for the cells that have none; it gets no pseudonym.
+        """
+        methods, settings = self._settings(catalog)
+        stats = self._request_stats(counted, settings)
+        if stats["blank"]:
             raise ValueError("The original value must not be blank.")
-        unknown = unknown_namespaces(counted, catalog).limit(10).collect()
-        if unknown:
-            raise ValueError(f"Namespace '{unknown[0]['namespace_name']}' does not exist.")
+        if stats["unknown"] is not None:
+            raise ValueError(f"Namespace '{stats['unknown']}' does not exist.")
+        counts = {"requested": stats["keys"], "cells": stats["cells"], "missing": stats["missing"]}
 
-        if self._committed():
-            matched = self.workspace.save(self._match(counted, size["bytes"]), "matched")
+        misses, hits, n_misses = counted.where(F.col("original_value").isNotNull()), None, stats["keys"]
+        if n_misses and self._committed():
+            matched = self.workspace.save(self._match(misses, stats["bytes"]), "matched")
             misses = matched.where(F.col("pseudonym_value").isNull()).select(*KEYS, "n")
             hits = matched.where(F.col("pseudonym_value").isNotNull())
             n_misses = misses.count()
-        else:
-            misses, hits, n_misses = counted, None, size["keys"]
 
+        found = (hits if hits is not None else self._scan([])).select(*PSEUDONYM_COLUMNS, F.lit(False).alias("is_new"))
         if n_misses == 0:
-            found = hits if hits is not None else self._scan([])
-            return Upserted(found.select(*PSEUDONYM_COLUMNS, F.lit(False).alias("is_new")), size["keys"], 0)
-
-        batch = self._mint(misses, catalog, batch_id or uuid.uuid4().hex)
+            return Upserted(found, created=0, **counts)
+        batch = self._mint(misses, methods, settings, batch_id or uuid.uuid4().hex)
         created = self._scan([batch]).select(*PSEUDONYM_COLUMNS, F.lit(True).alias("is_new"))
         # Every key must be covered exactly once before anybody uses the result.
         n_created = created.count()
         if n_created != n_misses:
             raise RuntimeError(f"{n_misses} keys were missing but {n_created} were stored.")
-        if hits is None:
-            return Upserted(created, size["keys"], n_created)
-        found = hits.select(*PSEUDONYM_COLUMNS, F.lit(False).alias("is_new"))
-        return Upserted(found.unionByName(created), size["keys"], n_created)
+        mappings = created if hits is None else found.unionByName(created)
+        return Upserted(mappings, created=n_created, **counts)
+
+    def _settings(self, catalog: DataFrame) -> tuple[dict[str, int], DataFrame]:
+        """The generation methods in use with their largest length, and the settings, to be broadcast if they are small."""
+        settings = catalog.select(
+            F.col("name").alias("namespace_name"),
+            F.col("pseudonym_generation_method").alias("method"),
+            F.col("pseudonym_length").alias("length"),
+            F.col("pseudonym_prefix").alias("prefix"),
+            F.col("pseudonym_suffix").alias("suffix"),
+        )
+        # A few rows, one per generation method.
+        rows = (
+            settings.groupBy("method")
+            .agg(
+                F.max("length").alias("longest"),
+                text_bytes("namespace_name", "method", "prefix", "suffix").alias("bytes"),
+            )
+            .collect()
+        )
+        small = sum(row["bytes"] for row in rows) <= self.broadcast_bytes
+        return {row["method"]: row["longest"] for row in rows}, F.broadcast(settings) if small else settings
+
+    @staticmethod
+    def _request_stats(counted: DataFrame, settings: DataFrame):
+        """What has to be known about the requests before anything is written, in one pass."""
+        value = F.col("original_value")
+        known = settings.select("namespace_name", F.lit(True).alias("__known"))
+        unknown = value.isNotNull() & F.col("__known").isNull()
+        return (
+            counted.join(known, "namespace_name", "left")
+            .agg(
+                F.coalesce(F.sum("n"), F.lit(0)).alias("cells"),
+                F.coalesce(F.sum(F.when(value.isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+                F.count(value).alias("keys"),
+                text_bytes(*KEYS).alias("bytes"),
+                F.coalesce(F.max(value.isNotNull() & is_blank(value)), F.lit(False)).alias("blank"),
+                F.min(F.when(unknown, F.coalesce("namespace_name", F.lit("")))).alias("unknown"),
+            )
+            .first()
+        )
 
     def _match(self, counted: DataFrame, size: int) -> DataFrame:
         """Each requested key with its stored mapping or nulls; the store is read once."""
@@ -213,31 +256,12 @@ class MappingStore:
             F.col("first.last_updated_at").alias("last_updated_at"),
         )
 
-    def _mint(self, misses: DataFrame, catalog: DataFrame, batch_id: str) -> str:
+    def _mint(self, misses: DataFrame, methods: dict[str, int], settings: DataFrame, batch_id: str) -> str:
         """Generate and store the pseudonyms of new keys. Returns the batch folder."""
         folder = f"{self._generation()}/batch_id={quote(batch_id, safe='')}"
         if files.exists(self.spark, f"{folder}/_SUCCESS"):
             raise ValueError(f"Batch '{batch_id}' is committed already, but with other keys.")
-        settings = catalog.select(
-            F.col("name").alias("namespace_name"),
-            F.col("pseudonym_generation_method").alias("method"),
-            F.col("pseudonym_length").alias("length"),
-            F.col("pseudonym_prefix").alias("prefix"),
-            F.col("pseudonym_suffix").alias("suffix"),
-        )
-        # A few rows, one per generation method.
-        methods = (
-            settings.groupBy("method")
-            .agg(
-                F.max("length").alias("longest"),
-                text_bytes("namespace_name", "method", "prefix", "suffix").alias("bytes"),
-            )
-            .collect()
-        )
-        if sum(row["bytes"] + ROW_OVERHEAD for row in methods) <= self.broadcast_bytes:
-            settings = F.broadcast(settings)
-        max_lengths = {row["method"]: row["longest"] for row in methods}
-        value = generate(F.col("method"), F.col("original_value"), F.col("length"), max_lengths)
+        value = generate(F.col("method"), F.col("original_value"), F.col("length"), methods)
         now = F.current_timestamp()
         self._write(
             folder,

@@ -288,11 +288,10 @@ def pseudonymize(
     cells = _bind(mappings, names)
     settings = _fixed_settings(cells, catalog)
     positional = df.toDF(*_positional(names))
-    counted = store.workspace.save(requested_values(positional, cells, placeholders), "requests")
-    rows, missing = _totals(counted, cells)
-
-    counts = counted.where(F.col("value").isNotNull()).withColumnRenamed("value", "original_value")
-    upserted = store.upsert_counted(counts, catalog, batch_id)
+    requested = requested_values(positional, cells, placeholders).withColumnRenamed("value", "original_value")
+    counted = store.workspace.save(requested, "requests")
+    upserted = store.upsert_counted(counted, catalog, batch_id)
+    counts = counted.where(F.col("original_value").isNotNull())
     wide, resolved, kept = _resolve_cells(
         _with_keys(positional, cells, placeholders),
         cells,
@@ -311,7 +310,8 @@ def pseudonymize(
         known = F.coalesce(resolved[cell.key], escaped.cast("string"))
         return F.when(F.col(f"__k{cell.source}").isNull(), raw).otherwise(known)
 
-    return Result(_assemble(wide, names, cells, final), rows, missing, kept)
+    rows = upserted.cells // len(cells)
+    return Result(_assemble(wide, names, cells, final), rows, upserted.missing, kept)
 
 
 def depseudonymize(

@@ -6,7 +6,7 @@ from pseudospark.plans.csv_job import run_csv_job
 from pseudospark.plans.fhir_batch import create_pseudonyms, judged_requests
 from pseudospark.plans.transform import ColumnMapping, pseudonymize
 from pseudospark.schemas import PSEUDONYMIZE, RULE_SCHEMA
-from pseudospark.sources.csv import ROW, read_csv, write_csv
+from pseudospark.sources.csv import read_csv, write_csv
 from pseudospark.sources.fhir import parse_parameters
 from pseudospark.sources.files import Workspace
 from pseudospark.streaming.microbatch import (
@@ -28,7 +28,7 @@ def csv_scan(spark, sf):
     documents = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     write_csv(documents, path, documents.columns, sep=";")
     read = read_csv(spark, path, sep=";", header=False)
-    body = read.df.where(F.col(ROW) > 0)  # the header is the first row of the first part
+    body = read.df.where(F.col("_c0") != "doc_id")  # the header is a row of the first part file only
     return body.select(
         F.col("_c0").alias("doc_id"), F.col("_c1").alias("text"), F.col("_c2").alias("lang"), F.col("_c3").alias("source")
     )
