@@ -11,6 +11,7 @@ from pseudospark.schemas import DEPSEUDONYMIZE, STATUS_CODES
 from pseudospark.sources.files import Workspace
 
 STALLED_AFTER = timedelta(minutes=10)
+CHUNK = 10_000  # ledger entries that are folded as one list
 FINISHED = [STATUS_CODES[s] for s in ("Completed", "Failed", "Cancelled", "Stalled")]
 
 # What each event makes of each status code 0 to 6.
@@ -151,9 +152,12 @@ def status_fold(events: DataFrame, workspace: Workspace) -> DataFrame:
     for event, targets in TRANSITIONS.items():
         table = F.when(F.col("event") == event, F.array(*[F.lit(t) for t in targets])).otherwise(table)
     rows = sliced(events, ["id"], [F.col("seq")], workspace)
-    per_slice = (
-        rows.withColumn("__step", table).groupBy("id", SLICE).agg(_composed("__step", POSITION).alias("__step"))
+    # Three levels, so that no list grows with the ledger: chunks of a slice, slices of a job, the job.
+    chunk = F.floor(F.col(POSITION) / CHUNK).alias("chunk")
+    per_chunk = (
+        rows.withColumn("step", table).groupBy("id", SLICE, chunk).agg(_composed("step", POSITION).alias("step"))
     )
-    per_job = per_slice.groupBy("id").agg(_composed("__step", SLICE).alias("__step"))
+    per_slice = per_chunk.groupBy("id", SLICE).agg(_composed("step", "chunk").alias("step"))
+    per_job = per_slice.groupBy("id").agg(_composed("step", SLICE).alias("step"))
     start = STATUS_CODES["AwaitingUpload"]
-    return per_job.select("id", F.element_at("__step", start + 1).alias("status"))
+    return per_job.select("id", F.element_at("step", start + 1).alias("status"))

@@ -93,15 +93,13 @@ def attach(
         hot_side = F.broadcast(narrowed(hot_mapping, "hot", "__hot"))
         wide = drop(wide.join(hot_side, matches("hot"), "left"), "hot")
         is_open = is_open & F.col("__hot").isNull()
-    # The route decides the partition: rows without an open key get one that matches nothing but spreads them.
-    wide = wide.withColumn(
-        "__route",
-        F.when(is_open, F.xxhash64(*keys)).otherwise(F.xxhash64(*own_columns)),
-    ).withColumn("__open", F.when(is_open, F.col(keys[-1])))
+    # The route decides the partition: rows without an open key get one that spreads them. It matches at most the mapping
+    # of their own hot key, found already.
+    wide = wide.withColumn("__route", F.when(is_open, F.xxhash64(*keys)).otherwise(F.xxhash64(*own_columns)))
     cold_keys = [f"__cold{i}" for i in range(len(mapping_keys))]
     cold_side = narrowed(mapping, "cold", "__found").withColumn("__cold_route", F.xxhash64(*cold_keys))
-    same = [F.col(a) == F.col(b) for a, b in zip(["__route", *keys[:-1], "__open"], ["__cold_route", *cold_keys])]
-    joined = wide.join(cold_side, reduce(lambda a, b: a & b, same), "left")
+    on_route = F.col("__route") == F.col("__cold_route")
+    joined = wide.join(cold_side, on_route & matches("cold"), "left")
     found = F.col("__found") if hot is None else F.coalesce("__hot", "__found")
     joined = drop(joined.withColumn(result, found), "cold")
-    return joined.drop("__route", "__open", "__cold_route", "__found", "__hot"), False
+    return joined.drop("__route", "__cold_route", "__found", "__hot"), False

@@ -247,7 +247,8 @@ class MappingStore:
             hits = stored.join(F.broadcast(counted.select(*KEYS)), KEYS).groupBy(*KEYS).agg(first)
             matched = counted.join(hits, KEYS, "left")
         else:
-            matched = counted.join(stored, KEYS, "left").groupBy(*KEYS, "n").agg(first)
+            # Grouped by the join keys alone, the join's own partitioning and order serve the aggregate.
+            matched = counted.join(stored, KEYS, "left").groupBy(*KEYS).agg(F.max("n").alias("n"), first)
         return matched.select(
             *KEYS,
             "n",
@@ -275,13 +276,16 @@ class MappingStore:
     # -- maintenance -------------------------------------------------------------------------------------------------
 
     def delete_namespace(self, name: str) -> None:
-        """Drop a namespace's partition from every batch."""
+        """Drop a namespace's partition from every batch of every generation."""
         escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        for folder in self._committed():
+        for folder in files.glob(self.spark, f"{self.path}/generation=*/batch_id=*"):
             files.delete(self.spark, f"{folder}/namespace_name={escape(name)}")
 
     def compact(self) -> None:
-        """Rewrite many small batches as one, keeping the first writer's row of every key."""
+        """Rewrite many small batches as one new generation, keeping the first writer's row of every key.
+
+        The old generation stays for readers that still use it, until ``drop_superseded``.
+        """
         folders = self._committed()
         if not folders:
             return
@@ -289,4 +293,10 @@ class MappingStore:
         rest = F.struct("created_at", "pseudonym_value", "last_updated_at")
         first = self.read().groupBy(*KEYS).agg(F.min(rest).alias("first")).select(*KEYS, "first.*")
         self._write(f"{self.path}/generation={number:06d}/batch_id=compacted", first)
-        files.delete(self.spark, folders[0].rsplit("/", 1)[0])
+
+    def drop_superseded(self) -> None:
+        """Delete all generations but the newest."""
+        current = self._generation().rsplit("/", 1)[1]
+        for folder in files.glob(self.spark, f"{self.path}/generation=*"):
+            if folder.rsplit("/", 1)[1] < current:
+                files.delete(self.spark, folder)

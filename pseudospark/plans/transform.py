@@ -127,6 +127,22 @@ def _with_keys(df: DataFrame, cells: Sequence[_Cell], placeholders) -> DataFrame
     return df.withColumns({f"__k{s}": F.when(~is_missing(_text(s), placeholders), _text(s)) for s in sources})
 
 
+def _split_sources(df: DataFrame, cells: Sequence[_Cell]) -> set[str]:
+    """Mapped text columns, which need not travel next to their own key."""
+    text = {name for name, kind in df.dtypes if kind == "string"}
+    return {c.source for c in cells} & text - {c.namespace_column for c in cells}
+
+
+def _without_copies(df: DataFrame, split: set[str]) -> DataFrame:
+    """Leave in the split columns only what their key does not hold, so that a shuffle moves each text once."""
+    return df.withColumns({s: F.when(F.col(f"__k{s}").isNull(), F.col(s)) for s in split}) if split else df
+
+
+def _whole(name: str, split: set[str]) -> Column:
+    """A source column as it came in."""
+    return F.coalesce(f"__k{name}", name) if name in split else F.col(name)
+
+
 def requested_values(df: DataFrame, cells: Sequence[_Cell], placeholders) -> DataFrame:
     """(namespace, value, n) of all mapped cells; a missing cell counts under a null value.
 
@@ -208,6 +224,7 @@ def _resolve_cells(df, cells, mapping, keys, value, counts, limit, inline):
 
     resolved = {}
     kept = True
+    budget = limit  # for all broadcasts of this plan together
     for cell in cells:
         if cell.key in resolved:
             continue
@@ -220,19 +237,22 @@ def _resolve_cells(df, cells, mapping, keys, value, counts, limit, inline):
             own = mapping.where(F.col("namespace_name") == cell.namespace)
             own_counts = counts.where(F.col("namespace_name") == cell.namespace)
             size = sizes.get(cell.namespace, 0)
-            df, in_order = attach(df, [own_key], own, keys[1:], value, name, own_counts, size, limit)
+            df, in_order = attach(df, [own_key], own, keys[1:], value, name, own_counts, size, budget)
         else:
+            size = whole
             both = [cell.namespace_column, own_key]
-            df, in_order = attach(df, both, mapping, keys, value, name, counts, whole, limit)
+            df, in_order = attach(df, both, mapping, keys, value, name, counts, size, budget)
+        if in_order:
+            budget -= size
         kept = kept and in_order
         resolved[cell.key] = F.col(name)
     return df, resolved, kept
 
 
-def _assemble(df: DataFrame, names: Sequence[str], cells, final) -> DataFrame:
+def _assemble(df: DataFrame, names: Sequence[str], cells, split: set[str], final) -> DataFrame:
     """Source columns in their places, then the appended ones, under their real names."""
     in_place = {c.source: final(c) for c in cells if c.target is None}
-    columns = [in_place.get(p, F.col(p)) for p in _positional(names)]
+    columns = [in_place[p] if p in in_place else _whole(p, split) for p in _positional(names)]
     appended = [c for c in cells if c.target is not None]
     columns += [final(c) for c in appended]
     frame = df.select(*[c.alias(f"_o{i}") for i, c in enumerate(columns)])
@@ -292,8 +312,9 @@ def pseudonymize(
     counted = store.workspace.save(requested, "requests")
     upserted = store.upsert_counted(counted, catalog, batch_id)
     counts = counted.where(F.col("original_value").isNotNull())
+    split = _split_sources(positional, cells)
     wide, resolved, kept = _resolve_cells(
-        _with_keys(positional, cells, placeholders),
+        _without_copies(_with_keys(positional, cells, placeholders), split),
         cells,
         upserted.mappings,
         ["namespace_name", "original_value"],
@@ -304,14 +325,13 @@ def pseudonymize(
     )
 
     def final(cell: _Cell) -> Column:
-        raw = _text(cell.source)
         # A value that escaped the first reading must stop the job, not leak.
         escaped = F.raise_error(F.lit("A value has no pseudonym: the input changed while it was read."))
         known = F.coalesce(resolved[cell.key], escaped.cast("string"))
-        return F.when(F.col(f"__k{cell.source}").isNull(), raw).otherwise(known)
+        return F.when(F.col(f"__k{cell.source}").isNull(), _text(cell.source)).otherwise(known)
 
     rows = upserted.cells // len(cells)
-    return Result(_assemble(wide, names, cells, final), rows, upserted.missing, kept)
+    return Result(_assemble(wide, names, cells, split, final), rows, upserted.missing, kept)
 
 
 def depseudonymize(
@@ -335,8 +355,9 @@ def depseudonymize(
     if all(c.namespace_column is None for c in cells):
         fixed = sorted({c.namespace for c in cells})
     originals = store.workspace.save(store.reverse_map(counts, fixed), "originals")
+    split = _split_sources(positional, cells)
     wide, resolved, kept = _resolve_cells(
-        _with_keys(positional, cells, placeholders),
+        _without_copies(_with_keys(positional, cells, placeholders), split),
         cells,
         originals,
         ["namespace_name", "pseudonym_value"],
@@ -347,6 +368,6 @@ def depseudonymize(
     )
 
     def final(cell: _Cell) -> Column:
-        return F.coalesce(resolved[cell.key], _text(cell.source))
+        return F.coalesce(resolved[cell.key], _whole(cell.source, split).cast("string"))
 
-    return Result(_assemble(wide, names, cells, final), rows, missing, kept)
+    return Result(_assemble(wide, names, cells, split, final), rows, missing, kept)
