@@ -22,3 +22,34 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def workspace(spark):
+    from pseudospark import Workspace
+
+    return Workspace(spark)
+
+
+@pytest.fixture
+def store(spark, workspace):
+    from pseudospark import MappingStore
+
+    return MappingStore(spark, workspace.path("store"), workspace)
+
+
+@pytest.fixture(scope="session")
+def catalog(spark):
+    """Namespaces that most tests share."""
+    from pseudospark.suite.common import namespaces
+
+    return namespaces(
+        spark,
+        existingNamespace=("Unspecified", 32),
+        emptyNamespace=("SecureRandomBase64UrlEncoded", 32, "pre-", "-suf"),
+        ns=("FullRandomHexEncoded", 16),
+        hashed=("Sha256HexEncoded", 64),
+        A=("Uuid4", 36),
+        B=("FullRandomBase62Encoded", 16),
+        C=("Uuid7", 36),
+    )
