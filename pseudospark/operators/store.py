@@ -198,8 +198,8 @@ class MappingStore:
         mappings = created if hits is None else found.unionByName(created)
         return Upserted(mappings, created=n_created, **counts)
 
-    def _settings(self, catalog: DataFrame) -> tuple[dict[str, int], DataFrame]:
-        """The generation methods in use with their largest length, and the settings, to be broadcast if they are small."""
+    def _settings(self, catalog: DataFrame) -> tuple[list[str], DataFrame]:
+        """The generation methods in use, and the settings, to be broadcast if they are small."""
         settings = catalog.select(
             F.col("name").alias("namespace_name"),
             F.col("pseudonym_generation_method").alias("method"),
@@ -210,14 +210,11 @@ class MappingStore:
         # A few rows, one per generation method.
         rows = (
             settings.groupBy("method")
-            .agg(
-                F.max("length").alias("longest"),
-                text_bytes("namespace_name", "method", "prefix", "suffix").alias("bytes"),
-            )
+            .agg(text_bytes("namespace_name", "method", "prefix", "suffix").alias("bytes"))
             .collect()
         )
         small = sum(row["bytes"] for row in rows) <= self.broadcast_bytes
-        return {row["method"]: row["longest"] for row in rows}, F.broadcast(settings) if small else settings
+        return [row["method"] for row in rows], F.broadcast(settings) if small else settings
 
     @staticmethod
     def _request_stats(counted: DataFrame, settings: DataFrame):
@@ -257,7 +254,7 @@ class MappingStore:
             F.col("first.last_updated_at").alias("last_updated_at"),
         )
 
-    def _mint(self, misses: DataFrame, methods: dict[str, int], settings: DataFrame, batch_id: str) -> str:
+    def _mint(self, misses: DataFrame, methods: list[str], settings: DataFrame, batch_id: str) -> str:
         """Generate and store the pseudonyms of new keys. Returns the batch folder."""
         folder = f"{self._generation()}/batch_id={quote(batch_id, safe='')}"
         if files.exists(self.spark, f"{folder}/_SUCCESS"):

@@ -272,8 +272,7 @@ def _inline(upserted: Upserted, settings: dict[str, dict]) -> dict:
 
     def computed(s: dict, value: Column) -> Column:
         build = GENERATORS[s["pseudonym_generation_method"]].build
-        length = F.lit(s["pseudonym_length"])
-        text = build(value, length, s["pseudonym_length"])
+        text = build(value, F.lit(s["pseudonym_length"]))
         return with_affixes(text, F.lit(s["pseudonym_prefix"]), F.lit(s["pseudonym_suffix"]))
 
     if upserted.created < upserted.requested:

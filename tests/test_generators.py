@@ -15,7 +15,7 @@ HASH_VECTORS = [
 
 def drawn(spark, method, length, n=400):
     values = spark.range(n).select(F.col("id").cast("string").alias("v"))
-    column = generate(F.lit(method), F.col("v"), F.lit(length), {method: length})
+    column = generate(F.lit(method), F.col("v"), F.lit(length), [method])
     return [r[0] for r in values.select(column).collect()]
 
 
@@ -23,7 +23,7 @@ def drawn(spark, method, length, n=400):
 def test_sha256_vectors(spark, value, expected):
     method = "Sha256HexEncoded"
     df = spark.createDataFrame([(value,)], "v string")
-    column = generate(F.lit(method), F.col("v"), F.lit(64), {method: 64})
+    column = generate(F.lit(method), F.col("v"), F.lit(64), [method])
     assert df.select(column).first()[0] == expected
 
 
@@ -90,14 +90,14 @@ def test_dispatch_by_column(spark):
 
 def test_unknown_method(spark):
     with pytest.raises(ValueError):
-        generate(F.lit("x"), F.lit("v"), F.lit(1), {"NoSuchMethod": 1})
+        generate(F.lit("x"), F.lit("v"), F.lit(1), ["NoSuchMethod"])
 
 
 def test_own_generator(spark):
-    register_generator("Reversed", Generator(lambda value, length, longest: F.reverse(value), deterministic=True))
+    register_generator("Reversed", Generator(lambda value, length: F.reverse(value), deterministic=True))
     try:
         df = spark.createDataFrame([("abc",)], "v string")
-        assert df.select(generate(F.lit("Reversed"), F.col("v"), F.lit(3), {"Reversed": 3})).first()[0] == "cba"
+        assert df.select(generate(F.lit("Reversed"), F.col("v"), F.lit(3), ["Reversed"])).first()[0] == "cba"
         with pytest.raises(ValueError):
             register_generator("Reversed", GENERATORS["Reversed"])
     finally:
