@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from pseudospark.functions.generators import generate, with_affixes
 from pseudospark.functions.text import is_blank
-from pseudospark.operators.resolve import BROADCAST_BYTES, measure, text_bytes
+from pseudospark.operators.resolve import BROADCAST_BYTES, text_bytes
 from pseudospark.schemas import PSEUDONYM_COLUMNS, PSEUDONYM_SCHEMA
 from pseudospark.sources import files
 from pseudospark.sources.files import Workspace
 
 KEYS = ["namespace_name", "original_value"]
+PRUNED_NAMESPACES = 500  # up to this many are named in the scan's partition filter
 
 
 def distinct_requests(requests: DataFrame) -> DataFrame:
@@ -130,13 +131,21 @@ class MappingStore:
         """New mappings as they are committed. Start the query again after a compaction."""
         return self.spark.readStream.schema(PSEUDONYM_SCHEMA).parquet(self._generation()).select(*PSEUDONYM_COLUMNS)
 
-    def reverse_map(self, requests: DataFrame, namespaces: list[str] | None = None) -> DataFrame:
-        """The first original of every requested (namespace, pseudonym), one row each."""
-        wanted = requests.select("namespace_name", "pseudonym_value").distinct()
-        stored = self.read(namespaces)
-        if measure(wanted, "namespace_name", "pseudonym_value") <= self.broadcast_bytes:
-            wanted = F.broadcast(wanted)
-        return first_reverse(stored.join(wanted, ["namespace_name", "pseudonym_value"], "left_semi"))
+    def reverse_map(self, wanted: DataFrame, size: int, namespaces: list[str] | None = None) -> DataFrame:
+        """The first original of every wanted (namespace, pseudonym), one row each.
+
+        ``wanted`` is a stored table of distinct requests and ``size`` its measured size. ``namespaces`` names the
+        partitions to read, where the caller knows them.
+        """
+        keys = ["namespace_name", "pseudonym_value"]
+        asked = wanted.select(*keys)
+        stored = self.read(namespaces if namespaces is not None else self._few_namespaces(wanted))
+        return first_reverse(stored.join(F.broadcast(asked) if size <= self.broadcast_bytes else asked, keys, "left_semi"))
+
+    def _few_namespaces(self, requests: DataFrame) -> list[str] | None:
+        """The namespaces of a stored table of requests, if they are few enough to prune partitions by name."""
+        names = requests.select("namespace_name").distinct().limit(PRUNED_NAMESPACES + 1).collect()
+        return [row["namespace_name"] for row in names] if len(names) <= PRUNED_NAMESPACES else None
 
     # -- writing -----------------------------------------------------------------------------------------------------
 
@@ -166,10 +175,17 @@ class MappingStore:
             raise ValueError("The original value must not be blank.")
         return done
 
-    def upsert_counted(self, counted: DataFrame, catalog: DataFrame, batch_id: str | None = None) -> Upserted:
+    def upsert_counted(
+        self,
+        counted: DataFrame,
+        catalog: DataFrame,
+        batch_id: str | None = None,
+        namespaces: list[str] | None = None,
+    ) -> Upserted:
         """As ``upsert``, for requests that are distinct already and stored in a table.
 
-        A null value stands for the cells that have none; it gets no pseudonym.
+        A null value stands for the cells that have none; it gets no pseudonym. ``namespaces`` names the partitions to
+        read, where the caller knows them.
         """
         methods, settings = self._settings(catalog)
         stats = self._request_stats(counted, settings)
@@ -181,7 +197,7 @@ class MappingStore:
 
         misses, hits, n_misses = counted.where(F.col("original_value").isNotNull()), None, stats["keys"]
         if n_misses and self._committed():
-            matched = self.workspace.save(self._match(misses, stats["bytes"]), "matched")
+            matched = self.workspace.save(self._match(misses, stats["bytes"], namespaces), "matched")
             misses = matched.where(F.col("pseudonym_value").isNull()).select(*KEYS, "n")
             hits = matched.where(F.col("pseudonym_value").isNotNull())
             n_misses = misses.count()
@@ -235,9 +251,9 @@ class MappingStore:
             .first()
         )
 
-    def _match(self, counted: DataFrame, size: int) -> DataFrame:
-        """Each requested key with its stored mapping or nulls; the store is read once."""
-        stored = self.read()
+    def _match(self, counted: DataFrame, size: int, namespaces: list[str] | None) -> DataFrame:
+        """Each requested key with its stored mapping or nulls; the namespaces' partitions are read once."""
+        stored = self.read(namespaces if namespaces is not None else self._few_namespaces(counted))
         first = F.min(F.struct("created_at", "pseudonym_value", "last_updated_at")).alias("first")
         if size <= self.broadcast_bytes:
             # Few requests against a large store: the requests travel, and only matching rows leave the scan.

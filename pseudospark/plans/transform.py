@@ -198,12 +198,11 @@ def _check_namespace_columns(counted: DataFrame, cells: Sequence[_Cell], catalog
             raise ValueError(f"Namespace '{unknown[0]['namespace_name']}' does not exist.")
 
 
-def _totals(counted: DataFrame, cells: Sequence[_Cell]) -> tuple[int, int]:
-    totals = counted.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("cells"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
-    ).first()
-    return totals["cells"] // len(cells), totals["missing"]
+def _fixed_namespaces(cells: Sequence[_Cell]) -> list[str] | None:
+    """All namespaces in play, if the mappings name them."""
+    if any(c.namespace_column is not None for c in cells):
+        return None
+    return sorted({c.namespace for c in cells})
 
 
 def _resolve_cells(df, cells, mapping, keys, value, counts, limit, inline):
@@ -309,7 +308,7 @@ def pseudonymize(
     positional = df.toDF(*_positional(names))
     requested = requested_values(positional, cells, placeholders).withColumnRenamed("value", "original_value")
     counted = store.workspace.save(requested, "requests")
-    upserted = store.upsert_counted(counted, catalog, batch_id)
+    upserted = store.upsert_counted(counted, catalog, batch_id, _fixed_namespaces(cells))
     counts = counted.where(F.col("original_value").isNotNull())
     split = _split_sources(positional, cells)
     wide, resolved, kept = _resolve_cells(
@@ -347,13 +346,15 @@ def depseudonymize(
     positional = df.toDF(*_positional(names))
     counted = store.workspace.save(requested_values(positional, cells, placeholders), "requests")
     _check_namespace_columns(counted, cells, catalog)
-    rows, missing = _totals(counted, cells)
+    totals = counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("cells"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+        text_bytes("namespace_name", "value").alias("bytes"),
+    ).first()
 
     counts = counted.where(F.col("value").isNotNull()).withColumnRenamed("value", "pseudonym_value")
-    fixed = None
-    if all(c.namespace_column is None for c in cells):
-        fixed = sorted({c.namespace for c in cells})
-    originals = store.workspace.save(store.reverse_map(counts, fixed), "originals")
+    found = store.reverse_map(counts, totals["bytes"], _fixed_namespaces(cells))
+    originals = store.workspace.save(found, "originals")
     split = _split_sources(positional, cells)
     wide, resolved, kept = _resolve_cells(
         _without_copies(_with_keys(positional, cells, placeholders), split),
@@ -369,4 +370,5 @@ def depseudonymize(
     def final(cell: _Cell) -> Column:
         return F.coalesce(resolved[cell.key], _whole(cell.source, split).cast("string"))
 
-    return Result(_assemble(wide, names, cells, split, final), rows, missing, kept)
+    rows = totals["cells"] // len(cells)
+    return Result(_assemble(wide, names, cells, split, final), rows, totals["missing"], kept)
