@@ -6,7 +6,7 @@ access if one of its roles is granted by any matching rule.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pseudospark.operators.resolve import broadcast_if_small
@@ -67,15 +67,15 @@ def accessible(
     return df.join(own, F.col(column) == F.col("__granted"), "left_semi")
 
 
-def _role_set(permission: str) -> Column:
-    return F.array_distinct(F.flatten(F.collect_set(F.coalesce(PERMISSIONS[permission], F.array()))))
-
-
 def effective_roles(names: DataFrame, rules: DataFrame, column: str = "name") -> DataFrame:
     """Per namespace the sorted, distinct roles of its own and the wildcard rules, for each permission."""
-    own_rules = rules.where(F.col("namespace") != EVERY)
-    own = own_rules.groupBy("namespace").agg(*[_role_set(p).alias(f"__{p}") for p in PERMISSIONS])
-    wildcard = rules.where(F.col("namespace") == EVERY)
+    # The grants are distinct, so a set holds each role of a namespace once however many rules repeat it.
+    role_sets = [
+        F.collect_set(F.when(F.col("permission") == p, F.col("role"))).alias(f"__{p}") for p in PERMISSIONS
+    ]
+    grants = role_grants(rules)
+    own = grants.where(F.col("namespace") != EVERY).groupBy("namespace").agg(*role_sets)
+    wildcard = grants.where(F.col("namespace") == EVERY)
     result = names.select(column).join(
         broadcast_if_small(own, "namespace"), F.col(column) == F.col("namespace"), "left"
     )
@@ -83,7 +83,7 @@ def effective_roles(names: DataFrame, rules: DataFrame, column: str = "name") ->
     columns = []
     for permission, name in PERMISSIONS.items():
         # One row of roles, computed once and inlined.
-        everywhere = wildcard.agg(_role_set(permission)).scalar()
+        everywhere = wildcard.where(F.col("permission") == permission).agg(F.collect_set("role")).scalar()
         merged = F.array_union(F.coalesce(f"__{permission}", nobody), F.coalesce(everywhere, nobody))
         columns.append(F.sort_array(merged).alias(name))
     return result.select(column, *columns)

@@ -80,11 +80,47 @@ def _schema(width: int) -> T.StructType:
     return T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
 
 
-def _spare_columns(spark, path, sep, encoding, header, width) -> int:
+@dataclass(frozen=True)
+class _Files:
+    """The files to read: those that start with a header line, and those that do not."""
+
+    with_header: list[str]
+    without_header: list[str]
+
+    def read(self, spark: SparkSession, sep: str, encoding: str, multi_line: bool, width: int) -> DataFrame:
+        frames = [
+            _reader(spark, sep, encoding, multi_line).option("header", header).schema(_schema(width)).csv(paths)
+            for header, paths in ((True, self.with_header), (False, self.without_header))
+            if paths
+        ]
+        return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+
+
+def _files(spark: SparkSession, path: str, header: bool) -> _Files:
+    """Tell files that each have a header from parts of one file, where only the first part has it.
+
+    Taking a data row for a header would lose it, so anything else is an error.
+    """
+    lines = spark.read.text(path)
+    paths = sorted(lines.inputFiles())
+    if not header or not paths:
+        return _Files([], paths)
+    if len(paths) == 1:
+        return _Files(paths, [])
+    first = spark.read.text(paths[0]).first()
+    headers = 0 if first is None else lines.where(F.col("value") == first["value"]).count()
+    if headers >= len(paths):
+        return _Files(paths, [])
+    if headers == 1:
+        return _Files(paths[:1], paths[1:])
+    raise ValueError(f"Of {len(paths)} files {headers} have the header of the first.")
+
+
+def _spare_columns(spark, found: _Files, sep, encoding, width) -> int:
     """How many fields the longest record has beyond ``width``, where records span lines."""
     spare = 16
     while True:
-        rows = _reader(spark, sep, encoding, True).option("header", header).schema(_schema(width + spare)).csv(path)
+        rows = found.read(spark, sep, encoding, True, width + spare)
         last = F.greatest(
             F.lit(0), *[F.when(F.col(f"_c{width + i}").isNotNull(), i + 1).otherwise(0) for i in range(spare)]
         )
@@ -112,22 +148,18 @@ def read_csv(
         profile = line_profile(spark.read.text(path), sep).first()
     if multi_line is None:
         multi_line = profile is None or profile["open_lines"] > 0
+    found = _files(spark, path, header)
     # Without a schema Spark takes the number of columns from the first record.
-    first = _reader(spark, sep, encoding, multi_line).option("header", False).csv(path).first()
+    start = (found.with_header or found.without_header)[:1]
+    first = _reader(spark, sep, encoding, multi_line).option("header", False).csv(start).first() if start else None
     names = ["" if v is None else v for v in first] if first is not None else []
     if names:
         names[0] = names[0].removeprefix(_BYTE_ORDER_MARK)
     if not multi_line and profile is not None:
         width = max(len(names), profile["width"])
     else:
-        width = len(names) + _spare_columns(spark, path, sep, encoding, header, len(names))
-    df = (
-        _reader(spark, sep, encoding, multi_line)
-        .option("header", header)
-        .schema(_schema(width))
-        .csv(path)
-        .withColumn(ROW, F.monotonically_increasing_id())
-    )
+        width = len(names) + _spare_columns(spark, found, sep, encoding, len(names))
+    df = found.read(spark, sep, encoding, multi_line, width).withColumn(ROW, F.monotonically_increasing_id())
     bad_rows = profile["bad_rows"] if profile is not None and not multi_line else None
     return CsvTable(df, names if header else None, width, bad_rows)
 
@@ -141,7 +173,7 @@ def write_csv(
 ) -> None:
     """Write the columns by position, the header as the first row of the first part file.
 
-    So the part files joined in order are one CSV file, and header names may repeat.
+    So the part files joined in order are one CSV file, and header names may repeat. ``read_csv`` knows such folders.
     """
     positions = [f"_c{i}" for i in range(len(df.columns))]
     cells = df.toDF(*positions).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in positions])

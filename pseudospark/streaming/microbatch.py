@@ -24,8 +24,6 @@ def _start(
     """Every micro-batch overwrites its own output and progress folder, so a replayed batch changes nothing."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         result = transform(batch, f"{name}-{batch_id}")
         result.df.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
         progress = batch.sparkSession.range(1).select(

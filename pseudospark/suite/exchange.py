@@ -27,11 +27,8 @@ def csv_scan(spark, sf):
     path = Workspace(spark).path("documents")
     documents = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     write_csv(documents, path, documents.columns, sep=";")
-    read = read_csv(spark, path, sep=";", header=False)
-    body = read.df.where(F.col("_c0") != "doc_id")  # the header is a row of the first part file only
-    return body.select(
-        F.col("_c0").alias("doc_id"), F.col("_c1").alias("text"), F.col("_c2").alias("lang"), F.col("_c3").alias("source")
-    )
+    read = read_csv(spark, path, sep=";")
+    return read.df.select(*[F.col(f"_c{i}").alias(name) for i, name in enumerate(read.header)])
 
 
 def _event_lines(spark, sf, path):

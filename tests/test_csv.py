@@ -181,3 +181,41 @@ def test_very_long_lines_need_no_stack(spark, tmp_path):
 def test_empty_file_with_header(job):
     result, out = job("id,value\n", [ColumnMapping("value", "hashed")])
     assert joined(out) == "id,value\n" and result.rows_processed == 0
+
+
+def test_folders_of_files(spark, job, tmp_path):
+    """Each file with a header, or parts of one file; anything else is refused."""
+
+    def folder(name, *contents):
+        path = tmp_path / name
+        path.mkdir()
+        for i, content in enumerate(contents):
+            (path / f"part-{i:05d}.csv").write_text(content)
+        return str(path)
+
+    def rows(path):
+        table = read_csv(spark, path)
+        assert table.header == ["id", "value"]
+        return sorted((r["_c0"], r["_c1"]) for r in table.df.collect())
+
+    expected = [("1", "a"), ("2", "b"), ("3", "c")]
+    assert rows(folder("each", "id,value\n1,a\n", "id,value\n2,b\n3,c\n")) == expected
+    assert rows(folder("parts", "id,value\n", "1,a\n2,b\n", "3,c\n")) == expected
+    with pytest.raises(ValueError, match="Of 3 files 2 have the header"):
+        read_csv(spark, folder("mixed", "id,value\n1,a\n", "id,value\n2,b\n", "3,c\n"))
+
+
+def test_output_of_one_job_is_input_of_the_next(spark, job, store, catalog, tmp_path):
+    mapped = [ColumnMapping("value", "ns")]
+    lines = [f"{i},v{i}" for i in range(300)]
+    source = tmp_path / "many"
+    source.mkdir()
+    for part in range(3):
+        (source / f"{part}.csv").write_text("id,value\n" + "\n".join(lines[part::3]) + "\n")
+    hidden, shown = str(tmp_path / "hidden"), str(tmp_path / "shown")
+    run_csv_job(spark, str(source), hidden, mapped, PSEUDONYMIZE, catalog, store)
+    assert len([p for p in os.listdir(hidden) if p.startswith("part-")]) > 2
+    run_csv_job(spark, hidden, shown, mapped, DEPSEUDONYMIZE, catalog, store)
+    got = parsed(shown)
+    assert got[0] == ["id", "value"]
+    assert sorted(got[1:]) == sorted(line.split(",") for line in lines)
