@@ -18,7 +18,7 @@ from pseudospark.schemas import MISSING_PLACEHOLDERS
 class ColumnMapping:
     """``source`` is a column name (exact, first match) or a 0-based position.
 
-    The namespace is fixed, or comes from the column named ``namespace_column``. Without ``target`` the source is replaced
+    The namespace is fixed, or comes from the column named ``namespace_column`` if there is one. Without ``target`` the source is replaced
     in place, with it a column is appended.
     """
 
@@ -52,7 +52,7 @@ class _Cell:
         return (self.source, self.namespace, self.namespace_column)
 
     def namespace_value(self) -> Column:
-        return F.lit(self.namespace) if self.namespace_column is None else F.col(self.namespace_column)
+        return F.lit(self.namespace) if self.namespace_column is None else _text(self.namespace_column)
 
 
 def split_blank(requests: DataFrame, column: str = "original_value") -> tuple[DataFrame, DataFrame]:
@@ -112,8 +112,10 @@ def _bind(mappings: Sequence[ColumnMapping], names: Sequence[str]) -> list[_Cell
             continue  # only the first in-place mapping of a column counts
         if mapping.target is None:
             replaced.add(source)
-        by_column = None if mapping.namespace_column is None else column(mapping.namespace_column)
-        bound.append(_Cell(source, mapping.namespace, by_column, mapping.target))
+        if mapping.namespace_column is None:
+            bound.append(_Cell(source, mapping.namespace, None, mapping.target))
+        else:
+            bound.append(_Cell(source, None, column(mapping.namespace_column), mapping.target))
     return bound
 
 
@@ -121,6 +123,13 @@ def _text(name: str) -> Column:
     return F.col(name).cast("string")
 
 
+def _as_text(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A column's text, under a name of its own if the column is of another type."""
+    if dict(df.dtypes)[name] == "string":
+        return df, name
+    return df.withColumn(f"__n{name}", _text(name)), f"__n{name}"
+
+
 def _with_keys(df: DataFrame, cells: Sequence[_Cell], placeholders) -> DataFrame:
     """Add one key column per mapped source: its text, or null where the value is missing."""
     sources = dict.fromkeys(cell.source for cell in cells)
@@ -239,8 +248,8 @@ def _resolve_cells(df, cells, mapping, keys, value, counts, limit, inline):
             df, in_order = attach(df, [own_key], own, keys[1:], value, name, own_counts, size, budget)
         else:
             size = whole
-            both = [cell.namespace_column, own_key]
-            df, in_order = attach(df, both, mapping, keys, value, name, counts, size, budget)
+            df, space = _as_text(df, cell.namespace_column)
+            df, in_order = attach(df, [space, own_key], mapping, keys, value, name, counts, size, budget)
         if in_order:
             budget -= size
         kept = kept and in_order

@@ -12,7 +12,6 @@ from pseudospark.suite.common import (
     namespaces,
     new_store,
     ntz,
-    order_mappings,
     order_store,
     sha,
     table,

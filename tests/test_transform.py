@@ -185,3 +185,30 @@ def test_changed_input_stops_the_job(spark, store, catalog):
     result = pseudonymize(df.withColumn("v", F.expr("concat(v, reflect('java.util.UUID', 'randomUUID'))")), [ColumnMapping("v", "A")], catalog, store)
     with pytest.raises(Exception, match="input changed"):
         result.df.collect()
+
+
+@pytest.mark.parametrize("limit", [0, 64 << 20], ids=["shuffle", "broadcast"])
+def test_namespace_column_of_another_type(spark, workspace, limit):
+    from pseudospark.suite.common import namespaces
+
+    catalog = namespaces(spark, **{"1": ("Sha256HexEncoded", 64, "one-"), "2": ("Sha256HexEncoded", 64, "two-")})
+    store = MappingStore(spark, workspace.path("store"), workspace, broadcast_bytes=limit)
+    df = spark.createDataFrame([(1, "x"), (2, "x"), (2, None)], "n int, v string")
+    mapped = [ColumnMapping("v", namespace_column="n"), ColumnMapping("v", "1", target="t")]
+    result = pseudonymize(df, mapped, catalog, store).df
+    x = sha("x")
+    assert sorted(rows(result), key=str) == [(1, "one-" + x, "one-" + x), (2, "two-" + x, "one-" + x), (2, None, None)]
+    back = depseudonymize(result, [ColumnMapping("v", namespace_column="n")], catalog, store).df
+    assert sorted(rows(back.select("n", "v")), key=str) == [(1, "x"), (2, "x"), (2, None)]
+
+
+def test_namespace_column_wins_over_a_fixed_name(spark, store, catalog):
+    df = spark.createDataFrame([("hashed", "x")], "n string, v string")
+    result = pseudonymize(df, [ColumnMapping("v", "A", namespace_column="n")], catalog, store).df
+    assert rows(result) == [("hashed", sha("x"))]
+
+
+def test_namespace_column_may_be_replaced_too(spark, store, catalog):
+    df = spark.createDataFrame([("hashed", "x")], "n string, v string")
+    mapped = [ColumnMapping("n", "hashed"), ColumnMapping("v", namespace_column="n")]
+    assert rows(pseudonymize(df, mapped, catalog, store).df) == [(sha("hashed"), sha("x"))]
