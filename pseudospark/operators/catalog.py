@@ -18,17 +18,11 @@ def violation(
     """Why a namespace definition is not acceptable, or null."""
     required = fixed_length(F.col(method))
     return (
-        F.when(is_blank(F.col(name)), F.lit("Namespace name must not be blank."))
-        .when(F.coalesce(F.col(length), F.lit(0)) <= 0, F.lit("Pseudonym length must be larger than 0."))
+        F.when(is_blank(F.col(name)), F.lit("The name is blank."))
+        .when(F.coalesce(F.col(length), F.lit(0)) <= 0, F.lit("The length is not positive."))
         .when(
             required.isNotNull() & (F.col(length) != required),
-            F.concat(
-                F.lit("The '"),
-                F.col(method),
-                F.lit("' pseudonym generation method requires a pseudonym length of exactly "),
-                required.cast("string"),
-                F.lit("."),
-            ),
+            F.concat(F.col(method), F.lit(" always has length "), required.cast("string"), F.lit(".")),
         )
     )
 
@@ -138,7 +132,7 @@ class NamespaceCatalog:
         """Create one namespace or fail."""
         outcome = self.init([definition]).first()["outcome"]
         if outcome == "exists":
-            raise ValueError(f"The namespace '{definition['name']}' already exists.")
+            raise ValueError(f"Namespace '{definition['name']}' is taken.")
         if outcome != "created":
             raise ValueError(outcome)
 
@@ -148,7 +142,7 @@ class NamespaceCatalog:
     def delete(self, name: str, store=None) -> None:
         """Remove a namespace and, through ``store``, its pseudonyms."""
         if self.get(name).isEmpty():
-            raise ValueError(f"The namespace '{name}' could not be found.")
+            raise ValueError(f"There is no namespace '{name}'.")
         if store is not None:
             store.delete_namespace(name)
         self._replace(self.load().where(F.col("name") != name))

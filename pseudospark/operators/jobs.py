@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pseudospark.operators.ordered import POSITION, SLICE, along_group, in_slice, sliced, with_summary
-from pseudospark.schemas import DEPSEUDONYMIZE, STATUS_CODES
+from pseudospark.schemas import DEPSEUDONYMIZE, OUTPUT_ENDINGS, PSEUDONYMIZE, STATUS_CODES
 from pseudospark.sources.files import Workspace
 
 STALLED_AFTER = timedelta(minutes=10)
@@ -41,8 +41,8 @@ def output_name() -> Column:
     """Download name of a job's result: the uploaded file's base name, else the job's id."""
     file_name = F.regexp_replace("original_file_name", "(?s)^.*/", "")
     base = F.coalesce(F.regexp_replace(file_name, r"\.[^.]*$", ""), F.col("id"))
-    direction = F.when(F.col("direction") == DEPSEUDONYMIZE, "de-pseudonymized").otherwise("pseudonymized")
-    return F.concat(base, F.lit("-"), direction, F.lit(".csv"))
+    back = F.col("direction") == DEPSEUDONYMIZE
+    return F.concat(base, F.when(back, OUTPUT_ENDINGS[DEPSEUDONYMIZE]).otherwise(OUTPUT_ENDINGS[PSEUDONYMIZE]))
 
 
 def progress_percent() -> Column:

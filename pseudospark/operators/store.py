@@ -172,7 +172,7 @@ class MappingStore:
         counted = self.workspace.save(distinct_requests(requests), "requests")
         done = self.upsert_counted(counted, catalog, batch_id)
         if done.missing:
-            raise ValueError("The original value must not be blank.")
+            raise ValueError("Blank values get no pseudonym.")
         return done
 
     def upsert_counted(
@@ -190,9 +190,9 @@ class MappingStore:
         methods, settings = self._settings(catalog)
         stats = self._request_stats(counted, settings)
         if stats["blank"]:
-            raise ValueError("The original value must not be blank.")
+            raise ValueError("Blank values get no pseudonym.")
         if stats["unknown"] is not None:
-            raise ValueError(f"Namespace '{stats['unknown']}' does not exist.")
+            raise ValueError(f"There is no namespace '{stats['unknown']}'.")
         counts = {"requested": stats["keys"], "cells": stats["cells"], "missing": stats["missing"]}
 
         misses, hits, n_misses = counted.where(F.col("original_value").isNotNull()), None, stats["keys"]

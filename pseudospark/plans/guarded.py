@@ -11,6 +11,7 @@ from pseudospark.operators.access import accessible, denied_job_namespaces, is_a
 from pseudospark.operators.catalog import NamespaceCatalog
 from pseudospark.operators.store import MappingStore, Upserted
 from pseudospark.plans.transform import split_blank
+from pseudospark.schemas import FORBIDDEN, NOT_FOUND
 
 
 class ForbiddenError(Exception):
@@ -45,9 +46,9 @@ class Guard:
     def _allowed(self, caller: Caller, permission: str, df: DataFrame, column: str) -> DataFrame:
         return accessible(df, column, self.rules, caller.roles, permission, self.admin_roles, self.enabled)
 
-    def _require_admin(self, caller: Caller, action: str) -> None:
+    def _require_admin(self, caller: Caller) -> None:
         if not self.is_admin(caller):
-            raise ForbiddenError(f"{action} a namespace requires admin access.")
+            raise ForbiddenError("Only an admin creates or deletes namespaces.")
 
     def _require(self, caller: Caller, permission: str, names: DataFrame) -> None:
         """Fail with the first name (in order) that the caller may not use."""
@@ -56,7 +57,7 @@ class Guard:
         first = denied.agg(F.min("name").alias("name")).first()["name"]
         if first is not None:
             label = permission.replace("_", "-").capitalize()
-            raise ForbiddenError(f"{label} access to namespace '{first}' is required.")
+            raise ForbiddenError(FORBIDDEN.format(permission=label, namespace=first))
 
     def _one(self, name: str) -> DataFrame:
         return self.store.spark.createDataFrame([(name,)], "name string")
@@ -64,17 +65,17 @@ class Guard:
     def _require_known(self, name: str) -> DataFrame:
         found = self.catalog.get(name)
         if found.isEmpty():
-            raise NotFoundError(f"the namespace '{name}' could not be found.")
+            raise NotFoundError(NOT_FOUND.format(namespace=name))
         return found
 
     # -- namespaces --------------------------------------------------------------------------------------------------
 
     def create_namespace(self, caller: Caller, **definition) -> None:
-        self._require_admin(caller, "Creating")
+        self._require_admin(caller)
         self.catalog.create(**definition)
 
     def delete_namespace(self, caller: Caller, name: str) -> None:
-        self._require_admin(caller, "Deleting")
+        self._require_admin(caller)
         self._require_known(name)
         self.catalog.delete(name, self.store)
 
@@ -95,7 +96,7 @@ class Guard:
         self._require(caller, "write", requests.select(F.col("namespace_name").alias("name")))
         _, blank = split_blank(requests)
         if not blank.isEmpty():
-            raise ValueError("The original value must not be blank.")
+            raise ValueError("Blank values get no pseudonym.")
         return self.store.upsert(requests, self.catalog.load(), batch_id)
 
     def page(
@@ -122,7 +123,7 @@ class Guard:
         first = denied.agg(F.min(F.struct("namespace", "permission")).alias("first")).first()["first"]
         if first is not None:
             label = first["permission"].replace("_", "-").capitalize()
-            raise ForbiddenError(f"{label} access to namespace '{first['namespace']}' is required.")
+            raise ForbiddenError(FORBIDDEN.format(permission=label, namespace=first["namespace"]))
 
     def jobs(self, caller: Caller, table: DataFrame) -> DataFrame:
         return jobs.visible_jobs(table, caller.subject, self.is_admin(caller))

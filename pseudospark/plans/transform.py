@@ -73,7 +73,7 @@ def usable_mappings(mappings: Sequence[ColumnMapping]) -> list[ColumnMapping]:
         if not blank(m.source) and not (blank(m.namespace) and blank(m.namespace_column))
     ]
     if not kept:
-        raise ValueError("At least one column mapping with a source column and namespace is required.")
+        raise ValueError("No usable column mapping: each needs a source column and a namespace.")
     return kept
 
 
@@ -81,14 +81,12 @@ def column_position(source: str | int, names: Sequence[str] | None) -> int:
     """Position of a source column: by exact name, or by 0-based number where there is no header."""
     if names is not None and isinstance(source, str):
         if source not in names:
-            raise ValueError(f"Column '{source}' was not found in the CSV header.")
+            raise ValueError(f"The header has no column '{source}'.")
         return list(names).index(source)
     try:
         return int(source)
     except ValueError:
-        raise ValueError(
-            f"Column '{source}' is not a valid 0-based column index (the file has no header row)."
-        ) from None
+        raise ValueError(f"Without a header '{source}' must be a column number, counted from 0.") from None
 
 
 def _positional(names: Sequence[str]) -> list[str]:
@@ -195,7 +193,7 @@ def _fixed_settings(cells: Sequence[_Cell], catalog: DataFrame) -> dict[str, dic
     found = {row["name"]: row.asDict() for row in rows}
     for name in wanted:
         if name not in found:
-            raise ValueError(f"Namespace '{name}' does not exist.")
+            raise ValueError(f"There is no namespace '{name}'.")
     return found
 
 
@@ -204,7 +202,7 @@ def _check_namespace_columns(counted: DataFrame, cells: Sequence[_Cell], catalog
         asked = counted.where(F.col("value").isNotNull())
         unknown = unknown_namespaces(asked, catalog).limit(1).collect()
         if unknown:
-            raise ValueError(f"Namespace '{unknown[0]['namespace_name']}' does not exist.")
+            raise ValueError(f"There is no namespace '{unknown[0]['namespace_name']}'.")
 
 
 def _fixed_namespaces(cells: Sequence[_Cell]) -> list[str] | None:

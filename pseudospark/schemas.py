@@ -31,6 +31,15 @@ DEPSEUDONYMIZE = 1
 # Placeholders that count as "no value" next to blank cells.
 MISSING_PLACEHOLDERS = ("NA", "NULL")
 
+# Diagnostics of refused requests, with the namespace in braces.
+MALFORMED = "Received malformed or missing resource"
+UNUSABLE = "namespace and/or originalValue are missing or blank in the Parameters request object"
+FORBIDDEN = "{permission} access to namespace '{namespace}' is required."
+NOT_FOUND = "the namespace '{namespace}' could not be found."
+
+# Endings of a job's output file, by direction.
+OUTPUT_ENDINGS = {PSEUDONYMIZE: "-pseudonymized.csv", DEPSEUDONYMIZE: "-de-pseudonymized.csv"}
+
 NAMESPACE_SCHEMA = T.StructType(
     [
         T.StructField("name", T.StringType(), False),

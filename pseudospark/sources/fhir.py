@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pseudospark.functions.text import is_blank
-from pseudospark.schemas import FHIR_PARAMETERS_SCHEMA
+from pseudospark.schemas import FHIR_PARAMETERS_SCHEMA, FORBIDDEN, MALFORMED, NOT_FOUND, UNUSABLE
 
 
 def _value(parameters: Column, name: str) -> Column:
@@ -28,15 +28,17 @@ def parse_parameters(df: DataFrame, column: str) -> DataFrame:
 def diagnostics(writable: Column, known: Column) -> Column:
     """Why a parsed request fails, or null. Access is judged before the namespace is looked up."""
     name = F.col("namespace_name")
+
+    def naming(message: str) -> Column:
+        before, after = message.split("{namespace}")
+        return F.concat(F.lit(before), name, F.lit(after))
+
     unusable = name.isNull() | is_blank(F.col("original_value"))
     return (
-        F.when(~F.col("well_formed"), F.lit("Received malformed or missing resource"))
-        .when(
-            unusable,
-            F.lit("namespace and/or originalValue are missing or blank in the Parameters request object"),
-        )
-        .when(~writable, F.concat(F.lit("Write access to namespace '"), name, F.lit("' is required.")))
-        .when(~known, F.concat(F.lit("the namespace '"), name, F.lit("' could not be found.")))
+        F.when(~F.col("well_formed"), F.lit(MALFORMED))
+        .when(unusable, F.lit(UNUSABLE))
+        .when(~writable, naming(FORBIDDEN.replace("{permission}", "Write")))
+        .when(~known, naming(NOT_FOUND))
     )
 
 

@@ -43,9 +43,9 @@ def _part_definitions(spark, sf):
 
 
 DEFINITIONS_SQL = """
-    SELECT *, CASE WHEN length <= 0 THEN 'Pseudonym length must be larger than 0.'
-                   WHEN length <> required THEN 'The ''' || method || ''' pseudonym generation method requires '
-                        || 'a pseudonym length of exactly ' || CAST(required AS VARCHAR) || '.' END AS violation
+    SELECT *, CASE WHEN length <= 0 THEN 'The length is not positive.'
+                   WHEN length <> required THEN method || ' always has length ' || CAST(required AS VARCHAR) || '.'
+              END AS violation
     FROM (SELECT *, CASE method WHEN 'Uuid4' THEN 36 WHEN 'Uuid7' THEN 36 WHEN 'Sha256HexEncoded' THEN 64 END AS required
           FROM (SELECT p_partkey AS position, p_name AS name, 'from part ' || CAST(p_partkey AS VARCHAR) AS description,
                        CASE p_type WHEN 'ECONOMY' THEN 'Uuid4' WHEN 'STANDARD' THEN 'Uuid7'

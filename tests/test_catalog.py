@@ -19,7 +19,7 @@ def test_create_get_and_duplicate(stored):
     assert (row.description, row.pseudonym_length) == ("first", 36)
     assert row.created_at is not None and row.created_at == row.last_updated_at
     assert stored.get("two").isEmpty()
-    with pytest.raises(ValueError, match="'one' already exists"):
+    with pytest.raises(ValueError, match="'one' is taken"):
         stored.create(**definition("one", description="second"))
     assert stored.load().count() == 1
 
@@ -27,11 +27,11 @@ def test_create_get_and_duplicate(stored):
 @pytest.mark.parametrize(
     "method, length, message",
     [
-        ("Uuid4", 0, "larger than 0"),
-        ("FullRandomHexEncoded", -1, "larger than 0"),
-        ("Uuid4", 35, "exactly 36"),
-        ("Uuid7", 32, "exactly 36"),
-        ("Sha256HexEncoded", 32, "exactly 64"),
+        ("Uuid4", 0, "not positive"),
+        ("FullRandomHexEncoded", -1, "not positive"),
+        ("Uuid4", 35, "length 36"),
+        ("Uuid7", 32, "length 36"),
+        ("Sha256HexEncoded", 32, "length 64"),
     ],
 )
 def test_invalid_definitions(stored, method, length, message):
@@ -63,7 +63,7 @@ def test_delete_takes_the_pseudonyms_along(spark, stored, workspace):
     stored.delete("B", store)
     assert [r.name for r in stored.load().collect()] == ["A"]
     assert [(r.namespace_name, r.original_value) for r in store.read().collect()] == [("A", "x")]
-    with pytest.raises(ValueError, match="'B' could not be found"):
+    with pytest.raises(ValueError, match="no namespace 'B'"):
         stored.delete("B", store)
 
 

@@ -79,13 +79,13 @@ def test_unknown_pseudonym_stays(job):
 
 
 def test_failures_name_columns_but_no_content(job):
-    with pytest.raises(ValueError, match="Column 'nope' was not found"):
+    with pytest.raises(ValueError, match="no column 'nope'"):
         job("id,value\n1,secret\n", [ColumnMapping("nope", "ns")])
-    with pytest.raises(ValueError, match="not a valid 0-based column index"):
+    with pytest.raises(ValueError, match="must be a column number"):
         job("1,secret\n", [ColumnMapping("value", "ns")], header=False)
-    with pytest.raises(ValueError, match="Namespace 'gone' does not exist"):
+    with pytest.raises(ValueError, match="no namespace 'gone'"):
         job("id,value\n1,secret\n", [ColumnMapping("value", "gone")])
-    with pytest.raises(ValueError, match="At least one"):
+    with pytest.raises(ValueError, match="No usable"):
         job("id,value\n1,secret\n", [ColumnMapping("value", " ")])
 
 

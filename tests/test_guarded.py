@@ -35,9 +35,9 @@ def test_namespaces(guard):
         guard.get_namespace(READER, "B")
     with pytest.raises(NotFoundError, match="'gone'"):
         guard.get_namespace(NOBODY, "gone")
-    with pytest.raises(ForbiddenError, match="Creating"):
+    with pytest.raises(ForbiddenError, match="Only an admin"):
         guard.create_namespace(WRITER, name="C", pseudonym_generation_method="Uuid4", pseudonym_length=36)
-    with pytest.raises(ForbiddenError, match="Deleting"):
+    with pytest.raises(ForbiddenError, match="Only an admin"):
         guard.delete_namespace(WRITER, "A")
     with pytest.raises(NotFoundError):
         guard.delete_namespace(ADMIN, "gone")
@@ -48,9 +48,9 @@ def test_create_list_reverse(spark, guard):
         guard.create(READER, asked(spark, ("A", "x")))
     with pytest.raises(ForbiddenError, match="Write access to namespace 'B'"):
         guard.create(WRITER, asked(spark, ("A", "x"), ("B", "x")))
-    with pytest.raises(ValueError, match="Namespace 'gone' does not exist"):
+    with pytest.raises(ValueError, match="no namespace 'gone'"):
         guard.create(WRITER, asked(spark, ("gone", "x")))
-    with pytest.raises(ValueError, match="blank"):
+    with pytest.raises(ValueError, match="Blank"):
         guard.create(WRITER, asked(spark, ("A", " ")))
     done = guard.create(WRITER, asked(spark, ("A", "x"))).mappings.first()
 

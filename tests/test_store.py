@@ -57,18 +57,18 @@ def test_affixes_do_not_count_in_the_length(spark, store, catalog):
 
 @pytest.mark.parametrize("blank", ["", "   ", " \t"])
 def test_blank_originals_are_rejected(spark, store, catalog, blank):
-    with pytest.raises(ValueError, match="blank"):
+    with pytest.raises(ValueError, match="Blank"):
         store.upsert(requests(spark, ("A", "x"), ("A", blank)), catalog)
     assert store.read().count() == 0
 
 
 def test_null_originals_are_rejected(spark, store, catalog):
-    with pytest.raises(ValueError, match="blank"):
+    with pytest.raises(ValueError, match="Blank"):
         store.upsert(requests(spark, ("A", None)), catalog)
 
 
 def test_unknown_namespace_fails_before_anything_is_stored(spark, store, catalog):
-    with pytest.raises(ValueError, match="'nowhere' does not exist"):
+    with pytest.raises(ValueError, match="no namespace 'nowhere'"):
         store.upsert(requests(spark, ("A", "x"), ("nowhere", "x")), catalog)
     assert store.read().count() == 0
 

@@ -43,19 +43,19 @@ def test_source_names_are_exact_and_first(spark, store, catalog):
     result = pseudonymize(df, [ColumnMapping("id", "hashed"), ColumnMapping(2, "hashed", target="id")], catalog, store)
     assert result.df.columns == ["id", "ID", "id", "id"]
     assert rows(result.df) == [(sha("a"), "b", "c", sha("c"))]
-    with pytest.raises(ValueError, match="Column 'Id' was not found"):
+    with pytest.raises(ValueError, match="no column 'Id'"):
         pseudonymize(df, [ColumnMapping("Id", "hashed")], catalog, store)
 
 
 def test_unknown_namespace(spark, store, catalog):
     df = spark.createDataFrame([("a",)], "x string")
-    with pytest.raises(ValueError, match="Namespace 'nowhere' does not exist"):
+    with pytest.raises(ValueError, match="no namespace 'nowhere'"):
         pseudonymize(df, [ColumnMapping("x", "nowhere")], catalog, store)
-    with pytest.raises(ValueError, match="Namespace 'nowhere' does not exist"):
+    with pytest.raises(ValueError, match="no namespace 'nowhere'"):
         depseudonymize(df, [ColumnMapping("x", "nowhere")], catalog, store)
     by_column = spark.createDataFrame([("a", "A"), ("b", "elsewhere")], "x string, n string")
     for direction in (pseudonymize, depseudonymize):
-        with pytest.raises(ValueError, match="Namespace 'elsewhere' does not exist"):
+        with pytest.raises(ValueError, match="no namespace 'elsewhere'"):
             direction(by_column, [ColumnMapping("x", namespace_column="n")], catalog, store)
 
 
@@ -64,7 +64,7 @@ def test_usable_mappings():
         [ColumnMapping("a", " "), ColumnMapping("", "A"), ColumnMapping("b", "B", target="  "), ColumnMapping(0, "A")]
     )
     assert kept == [ColumnMapping("b", "B"), ColumnMapping(0, "A")]
-    with pytest.raises(ValueError, match="At least one column mapping"):
+    with pytest.raises(ValueError, match="No usable column mapping"):
         usable_mappings([ColumnMapping("a", None)])
 
 
