@@ -47,8 +47,8 @@ def is_bad_line(line: Column, sep: str = ",") -> Column:
     return F.when(plain, False).otherwise(~line.rlike(clean) & ~line.rlike(unfinished))
 
 
-def line_profile(lines: DataFrame, sep: str = ",") -> DataFrame:
-    """One row about a text column ``value``: line count, bad lines, lines that end inside quotes, widest line."""
+def line_profile(lines: DataFrame, sep: str = ",", header_line: str | None = None) -> DataFrame:
+    """One row about a text column ``value``: line count, bad lines, lines that end inside quotes, widest line, headers."""
     line = F.col("value")
     _, unfinished, quoted = _patterns(sep)
     bad = is_bad_line(line, sep)
@@ -61,6 +61,7 @@ def line_profile(lines: DataFrame, sep: str = ",") -> DataFrame:
         F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("bad_rows"),
         F.coalesce(F.sum(open_quote.cast("long")), F.lit(0)).alias("open_lines"),
         F.coalesce(F.max(separators) + 1, F.lit(1)).alias("width"),
+        F.count(F.when(line == F.lit(header_line), 1)).alias("headers"),
     )
 
 
@@ -96,20 +97,15 @@ class _Files:
         return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
 
-def _files(spark: SparkSession, path: str, header: bool) -> _Files:
+def _files(paths: list[str], header: bool, headers: int) -> _Files:
     """Tell files that each have a header from parts of one file, where only the first part has it.
 
-    Taking a data row for a header would lose it, so anything else is an error.
+    Taking a data row for a header would lose it, so anything else is an error. ``headers`` counts the lines equal to the
+    first file's first line.
     """
-    lines = spark.read.text(path)
-    paths = sorted(lines.inputFiles())
-    if not header or not paths:
+    if not header:
         return _Files([], paths)
-    if len(paths) == 1:
-        return _Files(paths, [])
-    first = spark.read.text(paths[0]).first()
-    headers = 0 if first is None else lines.where(F.col("value") == first["value"]).count()
-    if headers >= len(paths):
+    if len(paths) <= 1 or headers >= len(paths):
         return _Files(paths, [])
     if headers == 1:
         return _Files(paths[:1], paths[1:])
@@ -143,12 +139,21 @@ def read_csv(
     Files whose quoted fields hold line breaks cannot be split between tasks. Unless ``multi_line`` says so, one pass over
     the lines finds out, so that other files are read in parallel.
     """
+    lines = spark.read.text(path)
+    paths = sorted(lines.inputFiles())
+    header_line = None
+    if header and len(paths) > 1:
+        first_line = spark.read.text(paths[0]).first()
+        header_line = None if first_line is None else first_line["value"]
     profile = None
     if not multi_line and not encoding.lower().startswith(("utf-16", "utf16", "utf-32", "utf32")):
-        profile = line_profile(spark.read.text(path), sep).first()
+        profile = line_profile(lines, sep, header_line).first()
+        headers = profile["headers"]
+    else:
+        headers = 0 if header_line is None else lines.where(F.col("value") == header_line).count()
     if multi_line is None:
         multi_line = profile is None or profile["open_lines"] > 0
-    found = _files(spark, path, header)
+    found = _files(paths, header, headers)
     # Without a schema Spark takes the number of columns from the first record.
     start = (found.with_header or found.without_header)[:1]
     first = _reader(spark, sep, encoding, multi_line).option("header", False).csv(start).first() if start else None
