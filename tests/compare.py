@@ -41,7 +41,8 @@ def difference(spark, query, sql: str, sf_dir: str) -> str | None:
         return f"columns {sorted(frame.columns)} against {sorted(names)}"
     left, right = normalized(frame.columns, mine), normalized(names, theirs)
     if left != right:
-        return f"{len(mine)} against {len(theirs)} rows; only here {list((left - right).items())[:2]}; only there {list((right - left).items())[:2]}"
+        here, there = (left - right).most_common(2), (right - left).most_common(2)
+        return f"{len(mine)} against {len(theirs)} rows; only here {here}; only there {there}"
     types = {n: type(v) for row in mine for n, v in zip(frame.columns, row) if v is not None}
     other = {n: type(v) for row in theirs for n, v in zip(names, row) if v is not None}
     if types != other:

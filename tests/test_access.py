@@ -46,7 +46,11 @@ def test_admins_and_disabled_access_control(spark):
 
 def test_effective_roles(spark):
     given = rules(
-        spark, ("*", ["b", "a"], None, ["x"]), ("ns1", ["a", "Z"], ["w"], []), ("ns1", ["c"], ["w", "v"], None), ("gone", ["q"], [], [])
+        spark,
+        ("*", ["b", "a"], None, ["x"]),
+        ("ns1", ["a", "Z"], ["w"], []),
+        ("ns1", ["c"], ["w", "v"], None),
+        ("gone", ["q"], [], []),
     )
     got = {r.name: tuple(map(tuple, r[1:])) for r in access.effective_roles(names(spark, "ns1", "ns2"), given).collect()}
     assert got == {"ns1": (("Z", "a", "b", "c"), ("v", "w"), ("x",)), "ns2": (("a", "b"), (), ("x",))}

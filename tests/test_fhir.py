@@ -22,7 +22,8 @@ def ask(spark):
 
 
 def test_create_in_an_existing_namespace(ask, store, catalog):
-    reply = create_pseudonyms(ask(document("emptyNamespace", "ein Wert „ü“ \"q\"")), "document", catalog, store).first().reply
+    asked = ask(document("emptyNamespace", "ein Wert „ü“ \"q\""))
+    reply = create_pseudonyms(asked, "document", catalog, store).first().reply
     stored = store.read().first()
     assert json.loads(reply) == {
         "resourceType": "Parameters",

@@ -11,7 +11,8 @@ ADMIN, READER, WRITER, REVEALER, NOBODY = (
 
 @pytest.fixture
 def guard(spark, workspace):
-    rules = spark.createDataFrame([("A", ["reader"], ["writer"], ["looker"]), ("gone", ["reader"], ["writer"], ["looker"])], RULE_SCHEMA)
+    roles = ["reader"], ["writer"], ["looker"]
+    rules = spark.createDataFrame([("A", *roles), ("gone", *roles)], RULE_SCHEMA)
     built = Guard(
         NamespaceCatalog(spark, workspace.path("catalog")),
         MappingStore(spark, workspace.path("store"), workspace),
@@ -72,7 +73,8 @@ def test_create_list_reverse(spark, guard):
 
 def test_jobs(spark, guard):
     def job(direction, *names):
-        mapped = ", ".join(f"struct('c' AS source_column, CAST(NULL AS STRING) AS target_column, '{n}' AS namespace)" for n in names)
+        cell = "struct('c' AS source_column, CAST(NULL AS STRING) AS target_column, '{}' AS namespace)"
+        mapped = ", ".join(cell.format(n) for n in names)
         return spark.sql(f"SELECT 'j' AS id, {direction} AS direction, array({mapped}) AS column_mappings")
 
     guard.check_job(WRITER, job(0, "A"))

@@ -9,7 +9,8 @@ SCHEMA = "id long, value string"
 
 @pytest.fixture
 def folders(workspace):
-    return {n: workspace.path(n) for n in ("arrivals", "output", "progress", "checkpoint", "back", "back_progress", "back_checkpoint")}
+    names = "arrivals output progress checkpoint back back_progress back_checkpoint".split()
+    return {n: workspace.path(n) for n in names}
 
 
 def arrive(spark, folders, start, count, files=2):

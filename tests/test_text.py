@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from pseudospark.functions.text import is_blank, is_missing
 
 # Tab to carriage return, next line, and the Unicode separators.
-SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+CODES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+SPACES = "".join(map(chr, CODES))
 
 
 def expected(value, placeholders):
@@ -21,7 +22,9 @@ VALUES = [
 ]
 
 
-@pytest.mark.parametrize("placeholders", [("NA", "NULL"), (), ("N/A",), ("-", ".", "?"), (" x ",), ("é",), ("(none)", "[x]")])
+@pytest.mark.parametrize(
+    "placeholders", [("NA", "NULL"), (), ("N/A",), ("-", ".", "?"), (" x ",), ("é",), ("(none)", "[x]")]
+)
 def test_missing(spark, placeholders):
     usable = [p for p in placeholders if p == p.strip()]
     df = spark.createDataFrame([(v,) for v in VALUES], "v string")
