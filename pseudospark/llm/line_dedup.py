@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pseudospark.operators.resolve import BROADCAST_BYTES
 from pseudospark.sources.files import Workspace
 
 WINDOW = 3
 #: 64-bit hashes of a window, two of them; windows agree if both do.
 _HASHES = ("window", "check")
+#: A broadcast row's size besides its places.
+COVERED_ROW_BYTES = 64
 
 
 def _hashed_windows(lines: Column) -> Column:
@@ -62,6 +65,10 @@ def without_repeated_lines(
         ),
         "covered",
     )
+    # Texts are moved to their places only if there are too many places for every task to have them all.
+    size = covered.select(F.coalesce(F.sum(F.size("__places") * 4 + COVERED_ROW_BYTES), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        covered = F.broadcast(covered)
     same = F.col("__doc").eqNullSafe(F.col("__covered_doc")) & (F.col("__digest") == F.col("__covered_digest"))
     joined = source.join(covered, same, "left")
     marked = joined.withColumn("__gone", F.coalesce("__places", F.array().cast("array<int>")))
