@@ -43,7 +43,7 @@ def run_csv_job(
     """Replace or append columns of CSV files.
 
     Columns are named by exact header text, or by 0-based position without a header. Rows keep their input order unless
-    ``keep_order`` is off; a sort is needed only where a join had to shuffle.
+    ``keep_order`` is off; a sort is needed only where there are several files or a join had to shuffle.
     """
     if direction not in (PSEUDONYMIZE, DEPSEUDONYMIZE):
         raise ValueError(f"Unknown direction {direction}.")
@@ -59,7 +59,7 @@ def run_csv_job(
 
     rows = result.df.toDF(*[f"_o{i}" for i in range(len(result.df.columns))])
     row_number = f"_o{table.width}"  # behind the input fields, before the appended ones
-    if keep_order and not result.order_kept:
+    if keep_order and not (result.order_kept and table.in_order):
         rows = rows.orderBy(row_number)
     names = None
     if table.header is not None:

@@ -1,4 +1,8 @@
-"""CSV in and out. Every field is opaque text, held by position."""
+"""CSV in and out. Every field is opaque text, held by position.
+
+Files without line breaks inside quoted fields are read line by line, so that they split between tasks and no line is
+lost: a line of white space is a record, only an empty line is none.
+"""
 
 import re
 from dataclasses import dataclass
@@ -8,20 +12,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROW = "_row"
-_BYTE_ORDER_MARK = "﻿"
+#: Where a record stands; sorting by these is input order.
+_PLACE = ["__file", "__block", "__line"]
+_BYTE_ORDER_MARK = "\ufeff"
 
 
 @dataclass(frozen=True)
 class CsvTable:
-    """``df`` has ``_c0``, ``_c1``, ... and ``_row`` (input order). ``header`` is None for a file without one.
+    """``df`` has ``_c0``, ``_c1``, ... and ``_row`` (to sort by for input order). ``header`` is None without one.
 
-    ``bad_rows`` counts lines with a stray quote; None where records span lines.
+    ``bad_rows`` counts lines with a stray quote; None where records span lines. ``in_order`` says that ``df`` comes in
+    input order without a sort, which holds for a single file.
     """
 
     df: DataFrame
     header: list[str] | None
     width: int
     bad_rows: int | None
+    in_order: bool
 
 
 def _patterns(sep: str) -> tuple[str, str, str]:
@@ -31,8 +39,9 @@ def _patterns(sep: str) -> tuple[str, str, str]:
     """
     s = re.escape(sep)
     quoted = r'"[^"]*+(?:""[^"]*+)*+"'
-    clean = rf'(?:{quoted}|[^"{s}]*+)'
-    tolerated = rf'(?:{quoted}|[^"{s}][^{s}]*+|)'
+    no_quote, any_char = (f'[^"{s}]', f"[^{s}]") if len(sep) == 1 else (f'(?:(?!{s})[^"])', f"(?:(?!{s}).)")
+    clean = rf'(?:{quoted}|{no_quote}*+)'
+    tolerated = rf'(?:{quoted}|{no_quote}{any_char}*+|)'
     return (
         rf"\A(?:{clean}{s})*+{clean}\z",
         rf'\A(?:{tolerated}{s})*+"[^"]*+(?:""[^"]*+)*+\z',
@@ -47,83 +56,80 @@ def is_bad_line(line: Column, sep: str = ",") -> Column:
     return F.when(plain, False).otherwise(~line.rlike(clean) & ~line.rlike(unfinished))
 
 
-def line_profile(lines: DataFrame, sep: str = ",", header_line: str | None = None) -> DataFrame:
-    """One row about a text column ``value``: line count, bad lines, lines that end inside quotes, widest line, headers."""
-    line = F.col("value")
-    _, unfinished, quoted = _patterns(sep)
-    bad = is_bad_line(line, sep)
-    # Separators inside quotes do not count, but a bad line is taken at its widest reading.
-    visible = F.when(bad | ~F.contains(line, F.lit('"')), line).otherwise(F.regexp_replace(line, quoted, ""))
-    separators = F.length(visible) - F.length(F.replace(visible, F.lit(sep), F.lit("")))
-    open_quote = F.when(F.contains(line, F.lit('"')), line.rlike(unfinished)).otherwise(False)
-    return lines.agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("bad_rows"),
-        F.coalesce(F.sum(open_quote.cast("long")), F.lit(0)).alias("open_lines"),
-        F.coalesce(F.max(separators) + 1, F.lit(1)).alias("width"),
-        F.count(F.when(line == F.lit(header_line), 1)).alias("headers"),
-    )
+def _fields(line: Column, sep: str) -> Column:
+    """Number of fields of a clean line."""
+    _, _, quoted = _patterns(sep)
+    visible = F.when(~F.contains(line, F.lit('"')), line).otherwise(F.regexp_replace(line, quoted, ""))
+    rest = F.length(visible) - F.length(F.replace(visible, F.lit(sep), F.lit("")))
+    return (rest / len(sep)).cast("int") + 1
+
 
+def _ends_open(line: Column, sep: str) -> Column:
+    _, unfinished, _ = _patterns(sep)
+    return F.when(F.contains(line, F.lit('"')), line.rlike(unfinished)).otherwise(False)
 
-def _reader(spark: SparkSession, sep: str, encoding: str, multi_line: bool):
+
+def _options(sep: str) -> dict[str, str]:
     # The escape character must be the quote itself, or "a ""b"" c" stays raw.
-    return (
-        spark.read.option("sep", sep)
-        .option("encoding", encoding)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
-    )
+    return {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
 
 def _schema(width: int) -> T.StructType:
     return T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
 
 
-@dataclass(frozen=True)
-class _Files:
-    """The files to read: those that start with a header line, and those that do not."""
+def _parsed(line: Column, width: int, sep: str) -> Column:
+    return F.from_csv(line, _schema(width).simpleString()[len("struct<") : -1].replace(":", " "), _options(sep))
 
-    with_header: list[str]
-    without_header: list[str]
 
-    def read(self, spark: SparkSession, sep: str, encoding: str, multi_line: bool, width: int) -> DataFrame:
-        frames = [
-            _reader(spark, sep, encoding, multi_line).option("header", header).schema(_schema(width)).csv(paths)
-            for header, paths in ((True, self.with_header), (False, self.without_header))
-            if paths
-        ]
-        return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Lines that are not empty, with their places."""
+    value = F.col("value")
+    if encoding.lower().replace("-", "") not in ("utf8", "usascii", "ascii"):
+        value = F.decode(value.cast("binary"), encoding)
+    return (
+        spark.read.text(path)
+        .where("value <> ''")
+        .select(value.alias("value"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+        .withColumn("__line", F.monotonically_increasing_id())
+    )
+
+
+def _records(spark: SparkSession, path: str, sep: str, encoding: str, width: int) -> DataFrame:
+    """Records that may span lines, with their places; each file is read by one task."""
+    reader = spark.read.options(**_options(sep)).option("encoding", encoding).option("multiLine", True)
+    rows = reader.option("header", False).schema(_schema(width)).csv(path)
+    return rows.select(
+        *rows.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")
+    ).withColumn("__line", F.monotonically_increasing_id())
+
+
+def _widest(cells: DataFrame, width: int) -> int:
+    """Number of fields up to the last one that any row has."""
+    used = F.greatest(F.lit(0), F.lit(0), *[F.when(F.col(f"_c{i}").isNotNull(), i + 1) for i in range(width)])
+    return cells.agg(F.max(used).alias("used")).first()["used"] or 0
 
 
-def _files(paths: list[str], header: bool, headers: int) -> _Files:
-    """Tell files that each have a header from parts of one file, where only the first part has it.
+def _without_headers(spark: SparkSession, rows: DataFrame, firsts: list, has_header: list[bool]) -> DataFrame:
+    """``rows`` without the first record of the files that have a header.
 
-    Taking a data row for a header would lose it, so anything else is an error. ``headers`` counts the lines equal to the
-    first file's first line.
+    All files have the same header, or only the first one does and the others go on with its rows; taking a data row for
+    a header would lose it, so anything else is an error.
     """
-    if not header:
-        return _Files([], paths)
-    if len(paths) <= 1 or headers >= len(paths):
-        return _Files(paths, [])
-    if headers == 1:
-        return _Files(paths[:1], paths[1:])
-    raise ValueError(f"Of {len(paths)} files {headers} have the header of the first.")
-
-
-def _spare_columns(spark, found: _Files, sep, encoding, width) -> int:
-    """How many fields the longest record has beyond ``width``, where records span lines."""
-    spare = 16
-    while True:
-        rows = found.read(spark, sep, encoding, True, width + spare)
-        last = F.greatest(
-            F.lit(0), *[F.when(F.col(f"_c{width + i}").isNotNull(), i + 1).otherwise(0) for i in range(spare)]
-        )
-        used = rows.agg(F.max(last).alias("used")).first()["used"] or 0
-        if used < spare:
-            return used
-        spare *= 2
+    if not firsts:
+        return rows
+    if not all(has_header):
+        if sum(has_header) > 1:
+            raise ValueError(f"Of {len(firsts)} files {sum(has_header)} have the header of the first.")
+        firsts = firsts[:1]
+    # One row per file, as many as Spark's driver lists to plan the scan.
+    places = spark.createDataFrame([tuple(f) for f in firsts], "__file string, __block long, __line long")
+    return rows.join(F.broadcast(places), _PLACE, "left_anti")
+
+
+def _table(rows: DataFrame, names: list[str], header: bool, width: int, bad_rows: int | None, files: int) -> CsvTable:
+    df = rows.select(*[f"_c{i}" for i in range(width)], F.struct(*_PLACE).alias(ROW))
+    return CsvTable(df, names if header else None, width, bad_rows, files <= 1)
 
 
 def read_csv(
@@ -136,37 +142,76 @@ def read_csv(
 ) -> CsvTable:
     """Read CSV files, all rows whole: a row longer than the header keeps its extra fields.
 
-    Files whose quoted fields hold line breaks cannot be split between tasks. Unless ``multi_line`` says so, one pass over
-    the lines finds out, so that other files are read in parallel.
+    Files come in the order of their paths. Files whose quoted fields hold line breaks cannot be split between tasks.
+    Unless ``multi_line`` says so, one pass over the lines finds out, so that other files are read in parallel.
     """
-    lines = spark.read.text(path)
-    paths = sorted(lines.inputFiles())
-    header_line = None
-    if header and len(paths) > 1:
-        first_line = spark.read.text(paths[0]).first()
-        header_line = None if first_line is None else first_line["value"]
-    profile = None
-    if not multi_line and not encoding.lower().startswith(("utf-16", "utf16", "utf-32", "utf32")):
-        profile = line_profile(lines, sep, header_line).first()
-        headers = profile["headers"]
-    else:
-        headers = 0 if header_line is None else lines.where(F.col("value") == header_line).count()
-    if multi_line is None:
-        multi_line = profile is None or profile["open_lines"] > 0
-    found = _files(paths, header, headers)
-    # Without a schema Spark takes the number of columns from the first record.
-    start = (found.with_header or found.without_header)[:1]
-    first = _reader(spark, sep, encoding, multi_line).option("header", False).csv(start).first() if start else None
-    names = ["" if v is None else v for v in first] if first is not None else []
-    if names:
-        names[0] = names[0].removeprefix(_BYTE_ORDER_MARK)
-    if not multi_line and profile is not None:
-        width = max(len(names), profile["width"])
-    else:
-        width = len(names) + _spare_columns(spark, found, sep, encoding, len(names))
-    df = found.read(spark, sep, encoding, multi_line, width).withColumn(ROW, F.monotonically_increasing_id())
-    bad_rows = profile["bad_rows"] if profile is not None and not multi_line else None
-    return CsvTable(df, names if header else None, width, bad_rows)
+    wide = encoding.lower().startswith(("utf-16", "utf16", "utf-32", "utf32"))
+    if not multi_line and not wide:
+        lines = _lines(spark, path, encoding)
+        line = F.col("value")
+        bad = is_bad_line(line, sep)
+        files = (
+            lines.groupBy("__file")
+            .agg(
+                F.min(F.struct("__block", "__line", "value", _fields(line, sep).alias("fields"))).alias("first"),
+                F.sum(bad.cast("long")).alias("bad_rows"),
+                F.sum(_ends_open(line, sep).cast("long")).alias("open_lines"),
+                F.max(F.when(~bad, _fields(line, sep))).alias("width"),
+            )
+            .orderBy("__file")
+            .collect()
+        )
+        if multi_line is False or not sum(f.open_lines for f in files):
+            return _read_lines(spark, lines, files, sep, header)
+    return _read_records(spark, path, sep, header, encoding)
+
+
+def _read_lines(spark: SparkSession, lines: DataFrame, files: list, sep: str, header: bool) -> CsvTable:
+    bad_rows = sum(f.bad_rows for f in files)
+    width = max((f.width or 1 for f in files), default=0)
+    if bad_rows:
+        # What the parser makes of bad lines decides their width, not their separators.
+        flawed = lines.where(is_bad_line(F.col("value"), sep))
+        spare = 16
+        while (found := _widest(flawed.select(_parsed(F.col("value"), width + spare, sep).alias("r")).select("r.*"), width + spare)) == width + spare:
+            spare *= 2
+        width = max(width, found)
+    names: list[str] = []
+    if files:
+        first = files[0].first
+        start = spark.createDataFrame([(first.value.removeprefix(_BYTE_ORDER_MARK),)], "value string")
+        cells = start.select(_parsed(F.col("value"), max(width, first.fields), sep).alias("r")).select("r.*").first()
+        names = ["" if v is None else v for v in cells][: first.fields]
+    rows = lines
+    if header:
+        values = [f.first.value for f in files]
+        rows = _without_headers(
+            spark, lines, [(f["__file"], f.first["__block"], f.first["__line"]) for f in files], [v == values[0] for v in values]
+        )
+    rows = rows.select(_parsed(F.col("value"), max(width, 1), sep).alias("r"), *_PLACE).select("r.*", *_PLACE)
+    return _table(rows, names, header, width, bad_rows, len(files))
+
+
+def _read_records(spark: SparkSession, path: str, sep: str, header: bool, encoding: str) -> CsvTable:
+    width = 16
+    while (found := _widest(_records(spark, path, sep, encoding, width), width)) == width:
+        width *= 2
+    rows = _records(spark, path, sep, encoding, max(found, 1))
+    cells = F.array(*[F.col(f"_c{i}") for i in range(max(found, 1))])
+    firsts = rows.groupBy("__file").agg(F.min(F.struct("__block", "__line", cells.alias("cells"))).alias("first"))
+    files = firsts.orderBy("__file").collect()
+    names: list[str] = []
+    if files:
+        names = ["" if v is None else v for v in files[0].first.cells]
+        while header and len(names) > 1 and files[0].first.cells[len(names) - 1] is None:
+            names.pop()
+        if names:
+            names[0] = names[0].removeprefix(_BYTE_ORDER_MARK)
+    if header:
+        cells_of = [f.first.cells for f in files]
+        places = [(f["__file"], f.first["__block"], f.first["__line"]) for f in files]
+        rows = _without_headers(spark, rows, places, [c == cells_of[0] for c in cells_of])
+    return _table(rows, names, header, found, None, len(files))
 
 
 def write_csv(
@@ -192,7 +237,8 @@ def write_csv(
         .option("encoding", encoding)
         .option("quote", '"')
         .option("escape", '"')
-        .option("emptyValue", "")
+        # An empty line would be no record; quotes make it one.
+        .option("emptyValue", "" if len(positions) > 1 else '""')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
