@@ -1,8 +1,7 @@
 """Pseudonym generators as column expressions.
 
-Random values come from the JVM's SecureRandom (through ``UUID.randomUUID``) or ``os.urandom``. Spark's own
-``uuid()`` and ``randstr()`` are seeded and so not fit for pseudonyms. Random text of free length is drawn in Arrow batches,
-one system call each, which measures five to ten times faster than assembling it from UUIDs in the JVM.
+Random values come from ``os.urandom``. Spark's own ``uuid()`` and ``randstr()`` are seeded and so not fit for pseudonyms.
+They are drawn in Arrow batches, one system call each.
 
 Random columns are drawn anew each time a plan is evaluated: write them out once and read them back before using them twice
 (``MappingStore.upsert`` does).
@@ -37,27 +36,40 @@ class Generator:
     fixed_length: int | None = None
 
 
-def _random_uuid() -> Column:
-    return F.reflect(F.lit("java.util.UUID"), F.lit("randomUUID"))
-
-
 def sha256_hex(value: Column, length: Column) -> Column:
     return F.upper(F.sha2(value, 256))
 
 
-def uuid4(value: Column, length: Column) -> Column:
-    return _random_uuid()
+# The functions below are nested, so that they travel by value and executors need no copy of this package.
 
 
-def uuid7(value: Column, length: Column) -> Column:
-    """The milliseconds in the first 48 bits, the rest from a version 4 UUID."""
-    now = F.reflect(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("long")
-    # One regexp, since naming the nondeterministic time twice would read the clock twice.
-    stamp = F.regexp_replace(F.lpad(F.lower(F.hex(now)), 12, "0"), "^(.{8})(.{4})$", "$1-$2-7")
-    return F.concat(stamp, F.substring(_random_uuid(), 16, 21))
+def _uuids(length: Column, version: int) -> Column:
+    """UUIDs of version 4, or of version 7 with the milliseconds in the first 48 bits."""
 
+    @F.pandas_udf("string")
+    def draw(lengths: pd.Series) -> pd.Series:
+        wanted = np.flatnonzero(lengths.to_numpy(dtype=np.int64) > 0)
+        raw = np.frombuffer(os.urandom(16 * len(wanted)), dtype=np.uint8).reshape(-1, 16).copy()
+        if version == 7:
+            raw[:, :6] = np.frombuffer((time.time_ns() // 1_000_000).to_bytes(6, "big"), dtype=np.uint8)
+        raw[:, 6] = raw[:, 6] & 0x0F | version << 4
+        raw[:, 8] = raw[:, 8] & 0x3F | 0x80
+        text = raw.tobytes().hex()
+        out = np.full(len(lengths), "", dtype=object)
+        for k, i in enumerate(wanted.tolist()):
+            h = text[32 * k : 32 * k + 32]
+            out[i] = f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"
+        return pd.Series(out)
 
-# The functions below are nested, so that they travel by value and executors need no copy of this package.
+    return _drawn(draw, length)
+
+
+def uuid4(value: Column, length: Column) -> Column:
+    return _uuids(length, 4)
+
+
+def uuid7(value: Column, length: Column) -> Column:
+    return _uuids(length, 7)
 
 
 def random_hex(value: Column, length: Column) -> Column:
@@ -160,6 +172,10 @@ def generate(method: Column, value: Column, length: Column, methods: Iterable[st
         # A Python function runs for every row, whatever its branch; length 0 lets it skip the others.
         own_length = F.when(chosen, length).otherwise(F.lit(0))
         candidate = GENERATORS[name].build(value, own_length)
+        fixed = GENERATORS[name].fixed_length
+        if fixed is not None:
+            message = F.lit(f"{name} always has length {fixed}.")
+            candidate = F.when(length == fixed, candidate).otherwise(F.raise_error(message).cast("string"))
         result = F.when(chosen, candidate) if result is None else result.when(chosen, candidate)
     if result is None:
         return F.lit(None).cast("string")

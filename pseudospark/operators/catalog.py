@@ -37,8 +37,10 @@ def new_namespaces(definitions: DataFrame, existing: DataFrame, order_by: list[s
     Existing namespaces are never overwritten. ``order_by`` decides which of several equal names comes first; the fold is
     an aggregate, so many copies of one name combine before the shuffle.
     """
-    rank = F.struct(*order_by)
-    checked = validated(definitions)
+    # Definitions that tie in ``order_by`` are told apart by all their columns; copies of one are the same definition.
+    rank = F.struct(*order_by, F.to_json(F.struct("*")).alias("__all"))
+    checked = validated(definitions).withColumn("__rank", rank)
+    rank = F.col("__rank")
     first = (
         checked.where(F.col("violation").isNull())
         .groupBy("name")
@@ -54,7 +56,7 @@ def new_namespaces(definitions: DataFrame, existing: DataFrame, order_by: list[s
             .when(F.col("__first") == rank, F.lit("created"))
             .otherwise(F.lit("exists")),
         )
-        .drop("violation", "__first")
+        .drop("violation", "__first", "__rank")
     )
 
 
@@ -116,6 +118,7 @@ class NamespaceCatalog:
             .withColumn("created_at", now)
             .withColumn("last_updated_at", now)
             .select(*NAMESPACE_SCHEMA.names)
+            .dropDuplicates(["name"])
         )
         self._replace(current.unionByName(created))
         return outcome

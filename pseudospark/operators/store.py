@@ -1,8 +1,9 @@
 """The mapping store: (namespace, original value) -> pseudonym, first writer wins.
 
-A store is a folder of Parquet batches, ``generation=G/batch_id=B/namespace_name=N``. A batch counts from the moment its
-``_SUCCESS`` marker exists, so a failed write is never seen and a retried one replaces it. Readers take the newest
-generation; compaction starts a new one. One writer per store at a time: plain Parquet has no unique constraint.
+A store is a folder of Parquet batches, ``generation=G/batch_id=B/namespace_name=N``. A batch is written to a staging
+folder, checked there, and then moved to its place, so neither readers nor streams ever see an unfinished one. Readers
+take the newest generation; compaction starts a new one. One writer per store at a time: plain Parquet has no unique
+constraint.
 """
 
 import uuid
@@ -12,9 +13,9 @@ from urllib.parse import quote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pseudospark.functions.generators import generate, with_affixes
+from pseudospark.functions.generators import fixed_length, generate, with_affixes
 from pseudospark.functions.text import is_blank
-from pseudospark.operators.resolve import BROADCAST_BYTES, text_bytes
+from pseudospark.operators.resolve import BROADCAST_BYTES, broadcast_if_small, text_bytes
 from pseudospark.schemas import PSEUDONYM_COLUMNS, PSEUDONYM_SCHEMA
 from pseudospark.sources import files
 from pseudospark.sources.files import Workspace
@@ -103,22 +104,37 @@ class MappingStore:
         # The schema is given, so a namespace called "001" stays text.
         return self.spark.read.schema(PSEUDONYM_SCHEMA).option("basePath", base).parquet(*folders)
 
-    def _write(self, folder: str, mappings: DataFrame, pseudonym: Column | None = None) -> None:
-        """Write one batch, the values drawn in the writing task itself.
+    def _free(self, batch_id: str) -> str:
+        """A batch folder that is not taken. What a batch holds of earlier ones is left out before, by key."""
+        folder = f"{self._generation()}/batch_id={quote(batch_id, safe='')}"
+        return folder if not files.exists(self.spark, f"{folder}/_SUCCESS") else f"{folder}-{uuid.uuid4().hex}"
+
+    def _write(
+        self, folder: str, mappings: DataFrame, pseudonym: Column | None = None, expected: int | None = None
+    ) -> None:
+        """Write one batch, the values drawn in the writing task itself, and publish it if its rows are as expected.
 
         The rebalance splits a large namespace over many tasks and packs small ones together; sorting by pseudonym lets
         row-group statistics serve reverse lookups.
         """
+        staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
         spread = mappings.hint("rebalance", F.col("namespace_name"))
         if pseudonym is not None:
             spread = spread.withColumn("pseudonym_value", pseudonym)
         (
             spread.select(*PSEUDONYM_COLUMNS)
             .sortWithinPartitions("namespace_name", "pseudonym_value")
-            .write.mode("overwrite")
-            .partitionBy("namespace_name")
-            .parquet(folder)
+            .write.partitionBy("namespace_name")
+            .parquet(staged)
         )
+        if expected is not None:
+            stored = self.spark.read.schema(PSEUDONYM_SCHEMA).option("basePath", staged).parquet(staged).count()
+            if stored != expected:
+                files.delete(self.spark, staged)
+                raise RuntimeError(f"{expected} keys were missing but {stored} were stored.")
+        if files.exists(self.spark, folder):  # without its marker: left by a writer that published file by file
+            files.delete(self.spark, folder)
+        files.rename(self.spark, staged, folder)
 
     # -- reading -----------------------------------------------------------------------------------------------------
 
@@ -152,16 +168,16 @@ class MappingStore:
     def seed(self, mappings: DataFrame, batch_id: str) -> None:
         """Bring in existing mappings (with their pseudonyms and times) that the store does not have yet.
 
-        Of several rows for one key the earliest is kept.
+        Of several rows for one key the earliest is kept. Calling again, with whatever mappings, adds those whose keys are
+        still missing.
         """
-        folder = f"{self._generation()}/batch_id={quote(batch_id, safe='')}"
-        if files.exists(self.spark, f"{folder}/_SUCCESS"):
-            return
         rest = F.struct("created_at", "pseudonym_value", "last_updated_at")
         first = mappings.groupBy(*KEYS).agg(F.min(rest).alias("first")).select(*KEYS, "first.*")
         if self._committed():
-            first = pick_misses(first, self.read())
-        self._write(folder, first)
+            first = self.workspace.save(pick_misses(first, self.read()), "seeded")
+            if first.isEmpty():
+                return
+        self._write(self._free(batch_id), first)
 
     def upsert(self, requests: DataFrame, catalog: DataFrame, batch_id: str | None = None) -> Upserted:
         """Return the pseudonym of every requested (namespace, original value), creating the missing ones.
@@ -187,12 +203,16 @@ class MappingStore:
         A null value stands for the cells that have none; it gets no pseudonym. ``namespaces`` names the partitions to
         read, where the caller knows them.
         """
-        methods, settings = self._settings(catalog)
+        settings = self._settings(catalog)
         stats = self._request_stats(counted, settings)
         if stats["blank"]:
             raise ValueError("Blank values get no pseudonym.")
-        if stats["unknown"] is not None:
-            raise ValueError(f"There is no namespace '{stats['unknown']}'.")
+        # Names may come from the data, so they are counted, not printed.
+        if stats["unknown"]:
+            raise ValueError(f"{stats['unknown']} values are in namespaces that do not exist.")
+        if stats["bad_length"]:
+            raise ValueError(f"{stats['bad_length']} values are in namespaces with a length their method does not allow.")
+        methods = stats["methods"]
         counts = {"requested": stats["keys"], "cells": stats["cells"], "missing": stats["missing"]}
 
         misses, hits, n_misses = counted.where(F.col("original_value").isNotNull()), None, stats["keys"]
@@ -205,17 +225,13 @@ class MappingStore:
         found = (hits if hits is not None else self._scan([])).select(*PSEUDONYM_COLUMNS, F.lit(False).alias("is_new"))
         if n_misses == 0:
             return Upserted(found, created=0, **counts)
-        batch = self._mint(misses, methods, settings, batch_id or uuid.uuid4().hex)
+        batch = self._mint(misses, methods, settings, batch_id or uuid.uuid4().hex, n_misses)
         created = self._scan([batch]).select(*PSEUDONYM_COLUMNS, F.lit(True).alias("is_new"))
-        # Every key must be covered exactly once before anybody uses the result.
-        n_created = created.count()
-        if n_created != n_misses:
-            raise RuntimeError(f"{n_misses} keys were missing but {n_created} were stored.")
         mappings = created if hits is None else found.unionByName(created)
-        return Upserted(mappings, created=n_created, **counts)
+        return Upserted(mappings, created=n_misses, **counts)
 
-    def _settings(self, catalog: DataFrame) -> tuple[list[str], DataFrame]:
-        """The generation methods in use, and the settings, to be broadcast if they are small."""
+    def _settings(self, catalog: DataFrame) -> DataFrame:
+        """The namespaces' settings, to be broadcast if they are small."""
         settings = catalog.select(
             F.col("name").alias("namespace_name"),
             F.col("pseudonym_generation_method").alias("method"),
@@ -223,21 +239,16 @@ class MappingStore:
             F.col("pseudonym_prefix").alias("prefix"),
             F.col("pseudonym_suffix").alias("suffix"),
         )
-        # A few rows, one per generation method.
-        rows = (
-            settings.groupBy("method")
-            .agg(text_bytes("namespace_name", "method", "prefix", "suffix").alias("bytes"))
-            .collect()
-        )
-        small = sum(row["bytes"] for row in rows) <= self.broadcast_bytes
-        return [row["method"] for row in rows], F.broadcast(settings) if small else settings
+        return broadcast_if_small(settings, "namespace_name", "method", "prefix", "suffix", limit=self.broadcast_bytes)
 
     @staticmethod
     def _request_stats(counted: DataFrame, settings: DataFrame):
         """What has to be known about the requests before anything is written, in one pass."""
         value = F.col("original_value")
-        known = settings.select("namespace_name", F.lit(True).alias("__known"))
+        known = settings.select("namespace_name", "method", "length", F.lit(True).alias("__known"))
         unknown = value.isNotNull() & F.col("__known").isNull()
+        needed = fixed_length(F.col("method"))
+        bad_length = value.isNotNull() & needed.isNotNull() & (needed != F.coalesce("length", F.lit(0)))
         return (
             counted.join(known, "namespace_name", "left")
             .agg(
@@ -246,7 +257,9 @@ class MappingStore:
                 F.count(value).alias("keys"),
                 text_bytes(*KEYS).alias("bytes"),
                 F.coalesce(F.max(value.isNotNull() & is_blank(value)), F.lit(False)).alias("blank"),
-                F.min(F.when(unknown, F.coalesce("namespace_name", F.lit("")))).alias("unknown"),
+                F.count(F.when(unknown, 1)).alias("unknown"),
+                F.count(F.when(bad_length, 1)).alias("bad_length"),
+                F.collect_set(F.when(value.isNotNull(), F.col("method"))).alias("methods"),  # few: one per generator
             )
             .first()
         )
@@ -270,11 +283,9 @@ class MappingStore:
             F.col("first.last_updated_at").alias("last_updated_at"),
         )
 
-    def _mint(self, misses: DataFrame, methods: list[str], settings: DataFrame, batch_id: str) -> str:
-        """Generate and store the pseudonyms of new keys. Returns the batch folder."""
-        folder = f"{self._generation()}/batch_id={quote(batch_id, safe='')}"
-        if files.exists(self.spark, f"{folder}/_SUCCESS"):
-            raise ValueError(f"Batch '{batch_id}' is committed already, but with other keys.")
+    def _mint(self, misses: DataFrame, methods: list[str], settings: DataFrame, batch_id: str, expected: int) -> str:
+        """Generate and store the pseudonyms of new keys, each covered exactly once. Returns the batch folder."""
+        folder = self._free(batch_id)
         value = generate(F.col("method"), F.col("original_value"), F.col("length"), methods)
         now = F.current_timestamp()
         self._write(
@@ -283,6 +294,7 @@ class MappingStore:
             .withColumn("created_at", now)
             .withColumn("last_updated_at", now),
             with_affixes(value, F.col("prefix"), F.col("suffix")),
+            expected,
         )
         return folder
 

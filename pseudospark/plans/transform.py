@@ -200,9 +200,10 @@ def _fixed_settings(cells: Sequence[_Cell], catalog: DataFrame) -> dict[str, dic
 def _check_namespace_columns(counted: DataFrame, cells: Sequence[_Cell], catalog: DataFrame) -> None:
     if any(c.namespace_column is not None for c in cells):
         asked = counted.where(F.col("value").isNotNull())
-        unknown = unknown_namespaces(asked, catalog).limit(1).collect()
+        unknown = unknown_namespaces(asked, catalog).count()
         if unknown:
-            raise ValueError(f"There is no namespace '{unknown[0]['namespace_name']}'.")
+            # Their names are cell contents, which no error text may show; ``unknown_namespaces`` lists them.
+            raise ValueError(f"{unknown} namespaces that the data name do not exist.")
 
 
 def _fixed_namespaces(cells: Sequence[_Cell]) -> list[str] | None:

@@ -27,8 +27,11 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder to a place that is free; the folder above it is made."""
     fs, source_path = _resolve(spark, source)
-    if not fs.rename(source_path, spark._jvm.org.apache.hadoop.fs.Path(target)):
+    target_path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs.mkdirs(target_path.getParent())
+    if not fs.rename(source_path, target_path):
         raise OSError(f"could not rename {source} to {target}")
 
 

@@ -71,3 +71,11 @@ def test_validated_and_unknown(spark, catalog):
     assert validated(catalog).where("violation IS NOT NULL").count() == 0
     asked = spark.createDataFrame([("A",), ("x",), ("x",)], "namespace_name string")
     assert [tuple(r) for r in unknown_namespaces(asked, catalog).collect()] == [("x",)]
+
+
+def test_tied_definitions_store_one_name(spark, stored):
+    columns = "name string, description string, pseudonym_generation_method string, pseudonym_length long, pseudonym_prefix string, pseudonym_suffix string, position int"
+    rows = [("tied", d, "Uuid4", 36, None, None, 0) for d in ("b", "a", "a")]
+    outcome = stored.add(spark.createDataFrame(rows, columns), ["position"]).collect()
+    assert {(r["description"], r["outcome"]) for r in outcome} == {("a", "created"), ("b", "exists")}
+    assert [r["description"] for r in stored.get("tied").collect()] == ["a"]

@@ -102,3 +102,10 @@ def test_own_generator(spark):
             register_generator("Reversed", GENERATORS["Reversed"])
     finally:
         GENERATORS.pop("Reversed")
+
+
+@pytest.mark.parametrize("method, length", [("Uuid4", 12), ("Uuid7", 37), ("Sha256HexEncoded", 10)])
+def test_fixed_lengths_are_checked(spark, method, length):
+    made = spark.range(1).select(generate(F.lit(method), F.lit("x"), F.lit(length), [method]).alias("p"))
+    with pytest.raises(Exception, match=f"{method} always has length"):
+        made.collect()

@@ -56,7 +56,7 @@ def test_unknown_namespace(spark, store, catalog):
         depseudonymize(df, [ColumnMapping("x", "nowhere")], catalog, store)
     by_column = spark.createDataFrame([("a", "A"), ("b", "elsewhere")], "x string, n string")
     for direction in (pseudonymize, depseudonymize):
-        with pytest.raises(ValueError, match="no namespace 'elsewhere'"):
+        with pytest.raises(ValueError, match="do not exist"):
             direction(by_column, [ColumnMapping("x", namespace_column="n")], catalog, store)
 
 
