@@ -1,0 +1,149 @@
+"""Quality and toxicity on held-out rows; licences; the parts they are made of."""
+
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from pseudospark.llm import licenses, quality, toxicity
+from pseudospark.llm.licenses import license_scan
+from pseudospark.llm.quality import quality_scores
+from pseudospark.llm.toxicity import Automaton, Scorer, toxicity_scores
+from pseudospark.llm.training import labelled_sample
+
+SF = "/root/testdata/sf0.01"
+
+
+def tables(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+
+
+@pytest.mark.parametrize(
+    "operator, column, modulus, remainder, least", [(quality_scores, "quality", 5, 0, 0.9), (toxicity_scores, "toxic", 4, 2, 0.75)]
+)
+def test_held_out_rows_are_ranked_well(spark, operator, column, modulus, remainder, least):
+    docs, labels = tables(spark)
+    found = operator(docs, labels).join(labels, "doc_id").select("doc_id", "held_out", "score", "predicted", column).collect()
+    for r in found:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == remainder)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    rows = sorted((r for r in found if r.held_out), key=lambda r: r.score)
+    ranks = [i for i, r in enumerate(rows) if r[column]]
+    n1, n0 = len(ranks), len(rows) - len(ranks)
+    assert (sum(ranks) - n1 * (n1 - 1) / 2) / (n1 * n0) > least
+
+
+@pytest.mark.parametrize("operator", [quality_scores, toxicity_scores])
+def test_odd_rows(spark, docs, no_docs, operator):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (6, 0, 1), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    for known in (labels, labels.limit(0), labels.where("doc_id = 6")):
+        found = operator(docs, known).collect()
+        assert len(found) == docs.count() and all(0 <= r.score <= 1 for r in found)
+        assert all(not r.held_out for r in found if r.doc_id is None)
+    assert operator(no_docs, labels).count() == 0
+
+
+def test_sample_is_bounded_and_leaves_held_out_rows_alone(spark):
+    docs, labels = tables(spark)
+    sample = labelled_sample(docs, labels, "quality", modulus=5, remainder=0, rows_per_label=20)
+    assert len(sample.texts) <= 40 and set(sample.labels.tolist()) == {0, 1}
+    held = docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).join(labels, "doc_id").select("text")
+    others = docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("text")
+    assert not {r.text.encode() for r in held.subtract(others).collect()} & set(sample.texts)
+
+
+def test_convolution_covers_whole_texts(monkeypatch):
+    """Values over texts in groups, in parts and one by one are those of a plain double loop."""
+    draw = np.random.default_rng(0)
+    network = quality.Network(
+        *(draw.normal(size=s).astype(np.float32) for s in ((257, 8), (32, 48), 16, 16, 1))
+    )
+    texts = [bytes(draw.integers(32, 127, n, dtype=np.uint8)).decode() for n in (0, 1, 11, 12, 13, 200, 999)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+
+    def plain(text):
+        raw = np.frombuffer(text.encode(), np.uint8).astype(int).tolist()
+        raw += [256] * (max(12, -(-len(raw) // 4) * 4) - len(raw))
+        x = network.embedding[raw].reshape(-1, 32)
+        chunks = [sum(x[i + k] @ network.filters[:, 16 * k : 16 * k + 16] for k in range(3)) for i in range(len(x) - 2)]
+        return network.log_odds(np.max(chunks, axis=0)[None])[0]
+
+    expected = [plain(t) for t in texts]
+    for size in (1 << 20, 64):
+        monkeypatch.setattr(quality, "PART_BYTES", size)
+        assert np.allclose(quality.scorer(network, batch), expected, atol=1e-3)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_automaton_against_edit_distance():
+    rng = random.Random(5)
+    terms = ["abc", "abcde", "badcab", "bcdabcdab", "aaaaa"]
+    stems = ["cdcdcdc", "dada"]
+    automaton = Automaton(terms, stems)
+    for _ in range(3000):
+        word = "".join(rng.choices("abcd", k=rng.randrange(1, 12)))
+        if rng.random() < 0.5:
+            base = list(rng.choice(terms + stems))
+            base[rng.randrange(len(base))] = rng.choice(["", "a", "bd"])
+            word = "".join(base) + rng.choice(["", "", "ab"])
+        found = dict(automaton.match(word))
+        for number, entry in enumerate(automaton.entries):
+            is_stem = number >= len(terms)
+            near = min(distance(entry, word[:i]) for i in range(len(word) + 1)) if is_stem else distance(entry, word)
+            if near <= Automaton.edits(entry, is_stem):
+                assert found.get(number) == near, (word, entry)
+            else:
+                assert number not in found, (word, entry)
+
+
+def test_quotation_counts_less_than_abuse():
+    scorer = Scorer(["idiot"], [], np.array([3.0]), frozenset(["idiom"]))
+    plain = scorer.features("what an idiot that man is")[0]
+    assert scorer.features('the paper prints "idiot" in its title')[0] < plain / 2
+    assert scorer.features("the word idiot comes from greek")[0] < plain
+    assert scorer.features("you are an idiot")[0] > plain
+    assert 0 < scorer.features("what an idiott that man is")[0] < plain
+    assert scorer.features("an idiom of speech") == (0, 0, 0, 0) and scorer.features("") == (0, 0, 0, 0)
+
+
+def test_licences(spark, docs, no_docs):
+    texts = {
+        1: "Some prose.\nReleased under the MIT License.\nMore prose.",
+        2: "Licensed under CC BY-NC 4.0.",
+        3: "The license of the poet was never in doubt, and the rights of all were kept.",
+        4: "All rights reserved.\nLicensed under the Apache License, Version 2.0.",
+        5: "This work is licensed under the GNU General Public License, version 3.",
+        6: None,
+    }
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: (r.license, r.families, r.n_paragraphs) for r in license_scan(rows).collect()}
+    assert found[1] == ("mit", "mit", 1) and found[2] == ("cc-by-nc", "cc-by-nc", 1)
+    assert found[3] == found[6] == ("unknown", "", 0)
+    assert found[4][1:] == ("apache-2.0,proprietary", 2) and found[5][0] == "gpl"
+    assert {r.license for r in license_scan(docs).collect()} == {"unknown"} and license_scan(no_docs).count() == 0
+
+
+def test_licence_lines_of_the_corpus_are_found(spark):
+    """The notices in the test data, told by their words."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    marks = {"gpl": "GNU General Public", "proprietary": "All rights reserved", "cc-by-nc": "CC BY-NC", "mit": "MIT License", "apache-2.0": "Apache License"}
+    found = {r.doc_id: r.families for r in license_scan(docs).collect()}
+    for r in docs.collect():
+        assert found[r.doc_id] == ",".join(sorted(f for f, mark in marks.items() if mark in r.text))
+
+
+def test_templates_name_themselves():
+    model = licenses.trained(["a line of prose that names no licence"])
+    for family, texts in licenses.TEMPLATES.items():
+        assert model.family(*licenses._hashes(texts[0].encode()))[0] == family

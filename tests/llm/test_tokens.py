@@ -1,0 +1,73 @@
+"""Byte-level BPE against tiktoken, and the round trip."""
+
+import base64
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+P = pytest.importorskip("public_tokenizers")
+tiktoken = pytest.importorskip("tiktoken")
+
+from pseudospark.llm import tokens  # noqa: E402
+from pseudospark.llm.tokens import ByteBpe, decoded, encoded, read_ranks  # noqa: E402
+
+PATH = P.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def reference():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    return ByteBpe(PATH, P.PATTERN)
+
+
+def ids(packed):
+    return np.frombuffer(packed, "<u4").tolist()
+
+
+@pytest.mark.parametrize(
+    "alphabet", ["ab 1\n\t  é中▁<unk>\U0001f600\x00\x1c\x85　 '", "ab 1\n\t\x1c\x85\xa0é²ª'sred", "Hello, we'll <|endoftext|>"]
+)
+def test_random_texts(bpe, reference, alphabet):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(3000)]
+    packed = bpe.encode(texts)
+    assert [ids(p) for p in packed] == [reference.encode_ordinary(t) for t in texts]
+    assert [bpe.decode(p) for p in packed] == [t.encode() for t in texts]
+
+
+def test_every_character(bpe, reference):
+    texts = [f"a{chr(c)} b{chr(c)}{chr(c)}1 " for c in [*range(0xD800), *range(0xE000, 0x20000, 7)]]
+    assert [ids(p) for p in bpe.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_small_store_and_long_word(bpe, reference, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED", 50)
+    rng = random.Random(2)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choices("abcde", k=4)) for _ in range(30)) for _ in range(5)]
+        assert [ids(p) for p in bpe.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+    assert bpe.decode(bpe.encode(["ab" * 100_000])[0]) == b"ab" * 100_000
+
+
+def test_table(docs, no_docs, reference):
+    found = decoded(encoded(docs, PATH, P.PATTERN), PATH).collect()
+    expected = sorted((r.doc_id or 0, r.text or "") for r in docs.collect())
+    assert sorted((r.doc_id or 0, r.decoded) for r in found) == expected
+    for r in found:
+        assert r.ids == reference.encode_ordinary(r.decoded) and r.n_tokens == len(r.ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
+    assert encoded(no_docs, PATH, P.PATTERN).count() == 0
+
+
+def test_ranks_must_have_no_gaps(tmp_path):
+    (tmp_path / "ranks").write_bytes(b"YQ== 0\nYg== 2\n")
+    with pytest.raises(ValueError, match="not 0, 1, 2"):
+        read_ranks(str(tmp_path / "ranks"))
