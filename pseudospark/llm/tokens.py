@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from pseudospark.llm.words import pieces, text_column
 
-#: Pre-tokens whose ids a worker keeps at hand.
-CACHED = 400_000
+#: Pre-tokens whose ids a task keeps at hand.
+CACHED = 150_000
 #: Bytes of text that are encoded at once.
 GROUP_BYTES = 1 << 20
 #: Bytes are shown to sentencepiece as the 256 characters from here on: letters that it treats like any other.
@@ -174,6 +174,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, id: str = "doc_id", tex
                     columns.append(pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p in packed], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        # The worker goes on to other tasks; the model stays, what this task has learned does not.
+        bpe.known.clear()
 
     types = f"doc_id {docs.schema[id].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     source = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -37,8 +37,9 @@ WINDOW = 8  # words on either side
 QUOTED = 0.25
 REPORTED = 0.6
 ADDRESSED = 1.25
-#: Words and states that a worker keeps at hand.
-CACHED = 300_000
+#: Words that a task keeps at hand, and states of the automaton (a state takes about a kilobyte).
+CACHED = 100_000
+STATES = 20_000
 
 # Words that report what others say, and words that address somebody.
 REPORTING = frozenset(
@@ -139,7 +140,7 @@ class Automaton:
 
     def match(self, word: str) -> tuple[tuple[int, int], ...]:
         """(entry, edits) of each entry that the word is a spelling of, or that a stem of it is."""
-        if len(self.states) > CACHED:
+        if len(self.states) > STATES:
             self._reset()
         state, moves, dead = self.start, self.moves, self.dead
         for letter in word:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; one longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -66,9 +66,13 @@ def text_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarra
     column = batch.column(batch.schema.get_field_index(name))
     if pa.types.is_null(column.type):
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
-    column = column.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
+    if column.null_count:
+        column = column.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, begins, data = column.buffers()
+    if begins is None or not begins.size:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    offsets = np.frombuffer(begins, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
