@@ -250,14 +250,14 @@ def _scan(model: Classifier):
 
 def corpus_paragraphs(docs: DataFrame) -> list[str]:
     """Paragraphs of a bounded sample of documents, drawn by a hash of their id and text; long texts are left out."""
-    rows = (
+    usable = (
         docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
         .where(F.octet_length("text") <= TEXT_BYTES)
         .withColumn("order", F.xxhash64("id", "text"))
-        .orderBy("order")
-        .limit(SAMPLE_DOCUMENTS)
-        .collect()
     )
+    # Hashes alone find the bound; only the texts below it leave the executors.
+    bound = usable.select("order").orderBy("order").limit(SAMPLE_DOCUMENTS).agg(F.max("order")).first()[0]
+    rows = usable.where(F.col("order") <= F.lit(bound).cast("long")).limit(SAMPLE_DOCUMENTS).collect()
     lines = sorted({line for r in rows for line in r.text.split("\n") if line.strip()})
     step = max(1, -(-len(lines) // SAMPLE_PARAGRAPHS))
     return lines[::step]
