@@ -60,11 +60,12 @@ def page_rows(mappings: DataFrame, namespace: str, cursor: Cursor | None = None,
 
 
 def next_cursor(rows: DataFrame, size: int = 0) -> Cursor | None:
-    """The cursor behind a page, if the page is full. Collects that one page."""
-    found = rows.select("created_at", "original_value").collect()
-    if len(found) < effective_page_size(size):
+    """The cursor behind a page, if the page is full. Only its last row reaches the driver."""
+    last = F.min(F.struct("created_at", "original_value"))  # newest first
+    found = rows.agg(F.count(F.lit(1)).alias("n"), last.alias("last")).first()
+    if found["n"] < effective_page_size(size):
         return None
-    return Cursor(found[-1]["created_at"], found[-1]["original_value"])
+    return Cursor(found["last"]["created_at"], found["last"]["original_value"])
 
 
 def page(

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Per-row cost of a broadcast hash table entry beyond the text itself.
 ROW_OVERHEAD = 64
-# At most this many keys can each hold 1/1000 of all rows, so their mapping has a size bound by counting.
+# At most this many keys can each hold 1/1000 of all rows, so their number has a bound by counting.
 HOT_SHARES = (1000, 100, 10)
+# Hot keys may always take this much, whatever earlier mappings of a plan left of its limit.
+HOT_KEY_BYTES = 8 * 1024 * 1024
+# Parts into which the rows of a hot key are split where its value does not fit a broadcast.
+SALTS = 16
 
 
 def text_bytes(*columns: str) -> Column:
@@ -36,9 +40,10 @@ def _hashable(df: DataFrame) -> list[Column]:
 
 
 def _hot_keys(counts: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
-    """The keys that hold at least 1/1000 (else 1/100, 1/10) of all rows, if they fit a broadcast."""
+    """The keys that hold at least a shuffle partition's share of all rows, or the largest of them that fit ``limit``."""
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    for share in HOT_SHARES:
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for share in sorted({partitions, *HOT_SHARES}, reverse=True):
         hot = counts.where(F.col("n") * share >= F.lit(total)).select(*keys)
         size = measure(hot, *keys)
         if size == 0:
@@ -65,13 +70,16 @@ def attach(
     each key occurs, ``size`` is the measured size of ``mapping``. Returns the frame and whether the row order was kept.
 
     * A mapping that measures small is broadcast: ``df`` is not shuffled at all.
-    * Otherwise the hot keys' mapping, whose size is bounded, is broadcast, and only the rest joins by shuffle. Rows that
-      have nothing left to look up travel under a hash of their own content instead of all under the null key.
+    * Otherwise the hot keys are found. If their mapping measures small it is broadcast, and only the rest joins by
+      shuffle; else their rows are split into parts, and their mapping is copied to each part.
+    * Rows that have nothing left to look up travel under their task and content instead of all under the null key.
     """
 
+    def renamed(frame: DataFrame, tag: str, *others: str | Column) -> DataFrame:
+        return frame.select(*[F.col(k).alias(f"__{tag}{i}") for i, k in enumerate(mapping_keys)], *others)
+
     def narrowed(frame: DataFrame, tag: str, name: str) -> DataFrame:
-        columns = [F.col(k).alias(f"__{tag}{i}") for i, k in enumerate(mapping_keys)]
-        return frame.select(*columns, F.col(value).alias(name))
+        return renamed(frame, tag, F.col(value).alias(name))
 
     def matches(tag: str) -> Column:
         pairs = [F.col(k) == F.col(f"__{tag}{i}") for i, k in enumerate(keys)]
@@ -87,19 +95,33 @@ def attach(
     own_columns = _hashable(df)
     wide = df
     is_open = F.col(keys[-1]).isNotNull()
-    hot = _hot_keys(counts, mapping_keys, limit)
+    salt, salts = F.lit(0), F.array(F.lit(0))
+    cold_keys = [f"__cold{i}" for i in range(len(mapping_keys))]
+    cold_side = narrowed(mapping, "cold", "__found")
+    hot = _hot_keys(counts, mapping_keys, max(limit, HOT_KEY_BYTES))
+    hot_mapping = None
     if hot is not None:
         hot_mapping = mapping.join(F.broadcast(hot), mapping_keys, "left_semi")
-        hot_side = F.broadcast(narrowed(hot_mapping, "hot", "__hot"))
-        wide = drop(wide.join(hot_side, matches("hot"), "left"), "hot")
-        is_open = is_open & F.col("__hot").isNull()
-    # The route decides the partition: rows without an open key get one that spreads them. It matches at most the mapping
-    # of their own hot key, found already.
-    wide = wide.withColumn("__route", F.when(is_open, F.xxhash64(*keys)).otherwise(F.xxhash64(*own_columns)))
-    cold_keys = [f"__cold{i}" for i in range(len(mapping_keys))]
-    cold_side = narrowed(mapping, "cold", "__found").withColumn("__cold_route", F.xxhash64(*cold_keys))
+        if measure(hot_mapping, *mapping_keys, value) > limit:
+            hot_mapping = None
+            flagged = hot.withColumn("__is_hot", F.lit(True))
+            wide = drop(wide.join(F.broadcast(renamed(flagged, "hot", "__is_hot")), matches("hot"), "left"), "hot")
+            cold_side = cold_side.join(F.broadcast(renamed(flagged, "cold", "__is_hot")), cold_keys, "left")
+            # A task's number is the same when the task runs again.
+            salt = F.when(F.col("__is_hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(salt)
+            salts = F.when(F.col("__is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(salts)
+        else:
+            hot_side = F.broadcast(narrowed(hot_mapping, "hot", "__hot"))
+            wide = drop(wide.join(hot_side, matches("hot"), "left"), "hot")
+            is_open = is_open & F.col("__hot").isNull()
+    # The route decides the partition: rows without an open key get one that spreads them, also where their content
+    # repeats. It matches at most the mapping of their own hot key, found already.
+    settled = F.xxhash64(F.spark_partition_id(), *own_columns)
+    wide = wide.withColumn("__route", F.when(is_open, F.xxhash64(*keys, salt)).otherwise(settled)).drop("__is_hot")
+    cold_side = cold_side.withColumn("__salt", F.explode(salts)).drop("__is_hot")
+    cold_side = cold_side.withColumn("__cold_route", F.xxhash64(*cold_keys, "__salt")).drop("__salt")
     on_route = F.col("__route") == F.col("__cold_route")
     joined = wide.join(cold_side, on_route & matches("cold"), "left")
-    found = F.col("__found") if hot is None else F.coalesce("__hot", "__found")
+    found = F.col("__found") if hot_mapping is None else F.coalesce("__hot", "__found")
     joined = drop(joined.withColumn(result, found), "cold")
     return joined.drop("__route", "__cold_route", "__found", "__hot"), False

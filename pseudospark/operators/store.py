@@ -67,6 +67,11 @@ class Upserted:
     created: int
     cells: int
     missing: int
+    scratch: Workspace
+
+    def release(self) -> None:
+        """Delete the intermediate tables, once nothing reads ``mappings`` any more."""
+        self.scratch.release()
 
 
 class MappingStore:
@@ -135,6 +140,13 @@ class MappingStore:
         if files.exists(self.spark, folder):  # without its marker: left by a writer that published file by file
             files.delete(self.spark, folder)
         files.rename(self.spark, staged, folder)
+        self._announce("published")
+
+    def _announce(self, change: str) -> None:
+        """Tell streams that the stored rows are others now."""
+        name = uuid.uuid4().hex
+        files.write_text(self.spark, f"{self.path}/_staged/{name}", f"{change}\n")
+        files.rename(self.spark, f"{self.path}/_staged/{name}", f"{self.path}/changes/{name}")
 
     # -- reading -----------------------------------------------------------------------------------------------------
 
@@ -147,6 +159,16 @@ class MappingStore:
         """New mappings as they are committed. Start the query again after a compaction."""
         return self.spark.readStream.schema(PSEUDONYM_SCHEMA).parquet(self._generation()).select(*PSEUDONYM_COLUMNS)
 
+    def changes(self) -> DataFrame:
+        """A stream with one row for each change of the stored rows: batches, deletions and compactions.
+
+        A row says that there was a change, not what it was: who follows it reads the store as it is by then, so a change
+        told late or twice does no harm.
+        """
+        if not files.exists(self.spark, f"{self.path}/changes"):
+            self._announce("opened")
+        return self.spark.readStream.schema("change string").text(f"{self.path}/changes")
+
     def reverse_map(self, wanted: DataFrame, size: int, namespaces: list[str] | None = None) -> DataFrame:
         """The first original of every wanted (namespace, pseudonym), one row each.
 
@@ -173,11 +195,15 @@ class MappingStore:
         """
         rest = F.struct("created_at", "pseudonym_value", "last_updated_at")
         first = mappings.groupBy(*KEYS).agg(F.min(rest).alias("first")).select(*KEYS, "first.*")
-        if self._committed():
-            first = self.workspace.save(pick_misses(first, self.read()), "seeded")
-            if first.isEmpty():
-                return
-        self._write(self._free(batch_id), first)
+        scratch = self.workspace.part()
+        try:
+            if self._committed():
+                first = scratch.save(pick_misses(first, self.read()), "seeded")
+                if first.isEmpty():
+                    return
+            self._write(self._free(batch_id), first)
+        finally:
+            scratch.release()
 
     def upsert(self, requests: DataFrame, catalog: DataFrame, batch_id: str | None = None) -> Upserted:
         """Return the pseudonym of every requested (namespace, original value), creating the missing ones.
@@ -185,23 +211,25 @@ class MappingStore:
         An existing pseudonym is never replaced. Calling again with the same ``batch_id`` is a no-op that returns the same
         mappings.
         """
-        counted = self.workspace.save(distinct_requests(requests), "requests")
-        done = self.upsert_counted(counted, catalog, batch_id)
-        if done.missing:
-            raise ValueError("Blank values get no pseudonym.")
-        return done
+        with self.workspace.kept_if_done() as scratch:
+            counted = scratch.save(distinct_requests(requests), "requests")
+            done = self.upsert_counted(counted, catalog, scratch, batch_id)
+            if done.missing:
+                raise ValueError("Blank values get no pseudonym.")
+            return done
 
     def upsert_counted(
         self,
         counted: DataFrame,
         catalog: DataFrame,
+        scratch: Workspace,
         batch_id: str | None = None,
         namespaces: list[str] | None = None,
     ) -> Upserted:
         """As ``upsert``, for requests that are distinct already and stored in a table.
 
-        A null value stands for the cells that have none; it gets no pseudonym. ``namespaces`` names the partitions to
-        read, where the caller knows them.
+        A null value stands for the cells that have none; it gets no pseudonym. Intermediate tables go to ``scratch``.
+        ``namespaces`` names the partitions to read, where the caller knows them.
         """
         settings = self._settings(catalog)
         stats = self._request_stats(counted, settings)
@@ -217,18 +245,18 @@ class MappingStore:
 
         misses, hits, n_misses = counted.where(F.col("original_value").isNotNull()), None, stats["keys"]
         if n_misses and self._committed():
-            matched = self.workspace.save(self._match(misses, stats["bytes"], namespaces), "matched")
+            matched = scratch.save(self._match(misses, stats["bytes"], namespaces), "matched")
             misses = matched.where(F.col("pseudonym_value").isNull()).select(*KEYS, "n")
             hits = matched.where(F.col("pseudonym_value").isNotNull())
             n_misses = misses.count()
 
         found = (hits if hits is not None else self._scan([])).select(*PSEUDONYM_COLUMNS, F.lit(False).alias("is_new"))
         if n_misses == 0:
-            return Upserted(found, created=0, **counts)
+            return Upserted(found, created=0, scratch=scratch, **counts)
         batch = self._mint(misses, methods, settings, batch_id or uuid.uuid4().hex, n_misses)
         created = self._scan([batch]).select(*PSEUDONYM_COLUMNS, F.lit(True).alias("is_new"))
         mappings = created if hits is None else found.unionByName(created)
-        return Upserted(mappings, created=n_misses, **counts)
+        return Upserted(mappings, created=n_misses, scratch=scratch, **counts)
 
     def _settings(self, catalog: DataFrame) -> DataFrame:
         """The namespaces' settings, to be broadcast if they are small."""
@@ -305,6 +333,7 @@ class MappingStore:
         escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
         for folder in files.glob(self.spark, f"{self.path}/generation=*/batch_id=*"):
             files.delete(self.spark, f"{folder}/namespace_name={escape(name)}")
+        self._announce("deleted")
 
     def compact(self) -> None:
         """Rewrite many small batches as one new generation, keeping the first writer's row of every key.

@@ -57,6 +57,14 @@ def run_csv_job(
     else:
         result = depseudonymize(table.df, bound, catalog, store, placeholders)
 
+    try:
+        _write_result(result, table, bound, output_path, keep_order, sep, encoding)
+    finally:
+        result.release()
+    return CsvJobResult(result.rows, result.missing, table.bad_rows)
+
+
+def _write_result(result, table, bound, output_path, keep_order, sep, encoding) -> None:
     rows = result.df.toDF(*[f"_o{i}" for i in range(len(result.df.columns))])
     row_number = f"_o{table.width}"  # behind the input fields, before the appended ones
     if keep_order and not (result.order_kept and table.in_order):
@@ -66,4 +74,3 @@ def run_csv_job(
         spare = [""] * (table.width - len(table.header))
         names = table.header + spare + [m.target for m in bound if m.target is not None]
     write_csv(rows.drop(row_number), output_path, names, sep, encoding)
-    return CsvJobResult(result.rows, result.missing, table.bad_rows)

@@ -12,6 +12,7 @@ from pseudospark.operators.catalog import unknown_namespaces
 from pseudospark.operators.resolve import attach, measure, text_bytes
 from pseudospark.operators.store import MappingStore, Upserted
 from pseudospark.schemas import MISSING_PLACEHOLDERS
+from pseudospark.sources.files import Workspace
 
 
 @dataclass(frozen=True)
@@ -30,12 +31,19 @@ class ColumnMapping:
 
 @dataclass(frozen=True)
 class Result:
-    """The transformed table and what was counted on the way. ``order_kept`` is false if rows were shuffled."""
+    """The transformed table and what was counted on the way. ``order_kept`` is false if rows were shuffled.
+
+    ``df`` reads intermediate tables that hold values in the clear; ``release`` deletes them once ``df`` is written.
+    """
 
     df: DataFrame
     rows: int
     missing: int
     order_kept: bool
+    scratch: Workspace
+
+    def release(self) -> None:
+        self.scratch.release()
 
 
 @dataclass(frozen=True)
@@ -310,13 +318,18 @@ def pseudonymize(
 
     ``df`` is read twice, once for its mapped columns and once for the result, and must give the same rows both times.
     """
+    with store.workspace.kept_if_done() as scratch:
+        return _pseudonymized(df, mappings, catalog, store, placeholders, batch_id, scratch)
+
+
+def _pseudonymized(df, mappings, catalog, store, placeholders, batch_id, scratch) -> Result:
     names = df.columns
     cells = _bind(mappings, names)
     settings = _fixed_settings(cells, catalog)
     positional = df.toDF(*_positional(names))
     requested = requested_values(positional, cells, placeholders).withColumnRenamed("value", "original_value")
-    counted = store.workspace.save(requested, "requests")
-    upserted = store.upsert_counted(counted, catalog, batch_id, _fixed_namespaces(cells))
+    counted = scratch.save(requested, "requests")
+    upserted = store.upsert_counted(counted, catalog, scratch, batch_id, _fixed_namespaces(cells))
     counts = counted.where(F.col("original_value").isNotNull())
     split = _split_sources(positional, cells)
     wide, resolved, kept = _resolve_cells(
@@ -337,7 +350,7 @@ def pseudonymize(
         return F.when(F.col(f"__k{cell.source}").isNull(), _text(cell.source)).otherwise(known)
 
     rows = upserted.cells // len(cells)
-    return Result(_assemble(wide, names, cells, split, final), rows, upserted.missing, kept)
+    return Result(_assemble(wide, names, cells, split, final), rows, upserted.missing, kept, scratch)
 
 
 def depseudonymize(
@@ -348,11 +361,16 @@ def depseudonymize(
     placeholders=MISSING_PLACEHOLDERS,
 ) -> Result:
     """Replace pseudonyms in mapped columns by their originals; unknown ones stay as they are."""
+    with store.workspace.kept_if_done() as scratch:
+        return _depseudonymized(df, mappings, catalog, store, placeholders, scratch)
+
+
+def _depseudonymized(df, mappings, catalog, store, placeholders, scratch) -> Result:
     names = df.columns
     cells = _bind(mappings, names)
     _fixed_settings(cells, catalog)
     positional = df.toDF(*_positional(names))
-    counted = store.workspace.save(requested_values(positional, cells, placeholders), "requests")
+    counted = scratch.save(requested_values(positional, cells, placeholders), "requests")
     _check_namespace_columns(counted, cells, catalog)
     totals = counted.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("cells"),
@@ -362,7 +380,7 @@ def depseudonymize(
 
     counts = counted.where(F.col("value").isNotNull()).withColumnRenamed("value", "pseudonym_value")
     found = store.reverse_map(counts, totals["bytes"], _fixed_namespaces(cells))
-    originals = store.workspace.save(found, "originals")
+    originals = scratch.save(found, "originals")
     split = _split_sources(positional, cells)
     wide, resolved, kept = _resolve_cells(
         _without_copies(_with_keys(positional, cells, placeholders), split),
@@ -379,4 +397,4 @@ def depseudonymize(
         return F.coalesce(resolved[cell.key], _whole(cell.source, split).cast("string"))
 
     rows = totals["cells"] // len(cells)
-    return Result(_assemble(wide, names, cells, split, final), rows, totals["missing"], kept)
+    return Result(_assemble(wide, names, cells, split, final), rows, totals["missing"], kept, scratch)

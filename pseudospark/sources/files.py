@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,16 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"could not rename {source} to {target}")
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, written by the driver; the folder above it is made."""
+    fs, hadoop_path = _resolve(spark, path)
+    out = fs.create(hadoop_path)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
 class Workspace:
     """A fresh scratch folder on storage that every executor sees.
 
@@ -62,6 +74,20 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def part(self) -> "Workspace":
+        """A workspace inside this one, which can be released by itself."""
+        return Workspace(self.spark, self.root)
+
+    @contextmanager
+    def kept_if_done(self) -> Iterator["Workspace"]:
+        """A part for the tables of one result; deleted at once if the block fails."""
+        scratch = self.part()
+        try:
+            yield scratch
+        except BaseException:
+            scratch.release()
+            raise
+
     def release(self) -> None:
         """Delete this workspace, once nothing reads from it any more."""
         delete(self.spark, self.root)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from pseudospark.operators.lookup import count_by_namespace
 from pseudospark.operators.store import MappingStore
 from pseudospark.plans.transform import ColumnMapping, Result, depseudonymize, pseudonymize
 from pseudospark.schemas import MISSING_PLACEHOLDERS
@@ -25,7 +26,10 @@ def _start(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         result = transform(batch, f"{name}-{batch_id}")
-        result.df.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
+        try:
+            result.df.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
+        finally:
+            result.release()
         progress = batch.sparkSession.range(1).select(
             F.lit(name).alias("id"),
             F.current_timestamp().alias("last_updated_at"),
@@ -104,20 +108,21 @@ def progress_snapshots(batches: DataFrame) -> DataFrame:
 
 
 def stream_counts(
-    stream: DataFrame, snapshot_path: str, checkpoint: str, name: str, trigger: dict | None = None
+    store: MappingStore, snapshot_path: str, checkpoint: str, name: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Keep the number of mappings per namespace up to date while mappings stream in.
+    """Keep the number of mappings per namespace up to date while the store changes.
 
-    The state is one counter per namespace; each micro-batch replaces the snapshot of its own number.
+    Every micro-batch of changes writes the counts of the store as it is then, under its own number. Deleted namespaces
+    are gone from it, compaction adds nothing and a batch replayed counts once. Counting reads the files' footers only,
+    since no column but the partition's is asked for.
     """
-    counts = stream.groupBy("namespace_name").agg(F.count(F.lit(1)).alias("n"))
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{snapshot_path}/batch_id={batch_id}")
+    def handle(changes: DataFrame, batch_id: int) -> None:
+        count_by_namespace(store.read()).write.mode("overwrite").parquet(f"{snapshot_path}/batch_id={batch_id}")
 
     return (
-        counts.writeStream.outputMode("complete")
-        .queryName(name)
+        store.changes()
+        .writeStream.queryName(name)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(handle)

@@ -25,10 +25,10 @@ def store_scan(spark, sf):
     return rows.select("namespace_name", "original_value", "pseudonym_value", ntz("created_at"))
 
 
-def _seeded(spark, sf):
+def _seeded(spark, sf, **options):
     """A store that already knows the customers of one market segment, under pseudonyms of its own."""
     customer = table(spark, sf, "customer")
-    store = new_store(spark)
+    store = new_store(spark, **options)
     known = customer.where(F.col("c_mktsegment") == "BUILDING")
     pseudonym = F.concat(F.lit("seed-"), F.col("c_custkey"))
     store.seed(mappings(known, F.lit("people"), F.col("c_name"), pseudonym, F.lit(EPOCH)), "seed")
@@ -50,6 +50,21 @@ def upsert_union(spark, sf):
     return done.mappings.select("original_value", "pseudonym_value", "is_new")
 
 
+def upsert_shuffled(spark, sf):
+    """As ``upsert_union``, with requests that do not fit a broadcast."""
+    store, customer = _seeded(spark, sf, broadcast_bytes=0)
+    done = store.upsert(_people(customer), namespaces(spark, people=("Sha256HexEncoded", 64)))
+    return done.mappings.select("original_value", "pseudonym_value", "is_new")
+
+
+def seed_twice(spark, sf):
+    """A second import under the same name, of all customers, adds those that the first did not hold."""
+    store, customer = _seeded(spark, sf)
+    pseudonym = F.concat(F.lit("later-"), F.col("c_custkey"))
+    store.seed(mappings(customer, F.lit("people"), F.col("c_name"), pseudonym, F.lit(EPOCH)), "seed")
+    return store.read().select("namespace_name", "original_value", "pseudonym_value")
+
+
 def upsert_first_wins(spark, sf):
     """A hash namespace whose store holds other pseudonyms: the stored ones win for all orders."""
     store, customer = _seeded(spark, sf)
@@ -226,6 +241,8 @@ QUERIES = {
     "store_scan": store_scan,
     "upsert_misses": upsert_misses,
     "upsert_union": upsert_union,
+    "upsert_shuffled": upsert_shuffled,
+    "seed_twice": seed_twice,
     "upsert_first_wins": upsert_first_wins,
     "upsert_idempotent": upsert_idempotent,
     "upsert_covers_all": upsert_covers_all,
@@ -255,12 +272,20 @@ LIST_SQL = "SELECT namespace_name, pseudonym_value AS pseudonym, created_at, cre
 PEOPLE_SQL = """
     CASE WHEN c_mktsegment = 'BUILDING' THEN 'seed-' || CAST(c_custkey AS VARCHAR) ELSE upper(sha256(c_name)) END
 """
+UNION_SQL = f"""
+    SELECT c_name AS original_value, {PEOPLE_SQL} AS pseudonym_value, c_mktsegment <> 'BUILDING' AS is_new
+    FROM customer
+"""
 
 ORACLE = {
     "store_scan": ORDERS_SQL,
     "upsert_misses": "SELECT c_name AS original_value FROM customer WHERE c_mktsegment <> 'BUILDING'",
-    "upsert_union": f"""
-        SELECT c_name AS original_value, {PEOPLE_SQL} AS pseudonym_value, c_mktsegment <> 'BUILDING' AS is_new
+    "upsert_union": UNION_SQL,
+    "upsert_shuffled": UNION_SQL,
+    "seed_twice": """
+        SELECT 'people' AS namespace_name, c_name AS original_value,
+               CASE WHEN c_mktsegment = 'BUILDING' THEN 'seed-' ELSE 'later-' END || CAST(c_custkey AS VARCHAR)
+                   AS pseudonym_value
         FROM customer
     """,
     "upsert_first_wins": f"""

@@ -151,6 +151,19 @@ def depseudonymize_query(spark, sf):
     return depseudonymize(hidden, mapped, catalog, store).df
 
 
+def depseudonymize_shuffled(spark, sf):
+    """There and back where nothing fits a broadcast: two large mappings, a hot key, and many rows without a value."""
+    store = new_store(spark, broadcast_bytes=0)
+    catalog = namespaces(spark, kinds=("FullRandomHexEncoded", 24), users=("Uuid4", 36))
+    events = table(spark, sf, "events")
+    kind = F.when(F.col("event_type") == "view", "view").otherwise(F.concat("event_type", F.col("event_id")))
+    user = F.when(F.col("event_type") == "error", "NA").otherwise(F.col("user_id").cast("string"))
+    df = events.select(kind.alias("kind"), user.alias("user"))
+    mapped = [ColumnMapping("kind", "kinds"), ColumnMapping("user", "users")]
+    hidden = store.workspace.save(pseudonymize(df, mapped, catalog, store).df, "hidden")
+    return depseudonymize(hidden, mapped, catalog, store).df
+
+
 def depseudonymize_unknown(spark, sf):
     """Purchases hold raw values, which no pseudonym matches; they stay."""
     events = table(spark, sf, "events")
@@ -174,9 +187,10 @@ QUERIES = {
     "distinct_requests": distinct_requests_query,
     "forward_resolve": forward_resolve,
     "forward_resolve_shuffled": _attached(lambda size, counts: 0),
-    # Large enough for the keys, too small for the whole mapping.
-    "forward_resolve_hot_keys": _attached(lambda size, counts: measure(counts, "original_value")),
+    # Large enough for the hot keys' mapping, too small for the whole one.
+    "forward_resolve_hot_keys": _attached(lambda size, counts: size - 1),
     "depseudonymize": depseudonymize_query,
+    "depseudonymize_shuffled": depseudonymize_shuffled,
     "depseudonymize_unknown": depseudonymize_unknown,
 }
 
@@ -225,6 +239,11 @@ ORACLE = {
         SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS l_partkey, CAST(l_suppkey AS VARCHAR) AS l_suppkey
         FROM lineitem
     """,
+    "depseudonymize_shuffled": """
+        SELECT CASE event_type WHEN 'view' THEN 'view' ELSE event_type || CAST(event_id AS VARCHAR) END AS kind,
+               CASE event_type WHEN 'error' THEN 'NA' ELSE CAST(user_id AS VARCHAR) END AS user
+        FROM events
+    """,
     "depseudonymize_unknown": """
         SELECT event_id, CAST(user_id AS VARCHAR) AS value FROM events
     """,

@@ -202,6 +202,13 @@ def test_stream_counts_follow_commits(spark, store, catalog, workspace):
     snapshots, checkpoint = workspace.path("snapshots"), workspace.path("checkpoint")
     for i in range(2):
         store.upsert(requests(spark, *[("A", f"{i}-{j}") for j in range(5)], ("B", str(i))), catalog, str(i))
-        stream_counts(store.stream(), snapshots, checkpoint, "counts").awaitTermination()
+        stream_counts(store, snapshots, checkpoint, "counts").awaitTermination()
     newest = spark.read.parquet(f"{snapshots}/batch_id=1")
     assert {r.namespace_name: r.n for r in newest.collect()} == {"A": 10, "B": 2}
+    store.delete_namespace("A")
+    store.compact()
+    store.drop_superseded()
+    store.upsert(requests(spark, ("A", "again")), catalog)
+    stream_counts(store, snapshots, checkpoint, "counts").awaitTermination()
+    newest = spark.read.parquet(f"{snapshots}/batch_id=2")
+    assert {r.namespace_name: r.n for r in newest.collect()} == {"A": 1, "B": 2}

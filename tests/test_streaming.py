@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pseudospark import ColumnMapping
+from pseudospark.sources import files
 from pseudospark.streaming.microbatch import progress_snapshots, stream_depseudonymize, stream_pseudonymize
 
 SCHEMA = "id long, value string"
@@ -53,6 +54,8 @@ def test_stream_there_and_back(spark, store, catalog, folders):
     ).awaitTermination()
     shown = {r.id: r.value for r in spark.read.parquet(folders["back"]).collect()}
     assert shown == {i: "NA" if i % 5 == 0 else f"v{i % 17}" for i in range(85)}
+    # Nothing in the clear stays behind.
+    assert not [f for f in files.glob(spark, f"{store.workspace.root}/pseudospark-*/*") if f]
 
 
 def test_replayed_batch_changes_nothing(spark, store, catalog, folders, workspace):
