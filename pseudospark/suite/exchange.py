@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from pseudospark.operators.ordered import numbered
 from pseudospark.plans.csv_job import run_csv_job
 from pseudospark.plans.fhir_batch import create_pseudonyms, judged_requests
 from pseudospark.plans.transform import ColumnMapping, pseudonymize
 from pseudospark.schemas import PSEUDONYMIZE, RULE_SCHEMA
-from pseudospark.sources.csv import read_csv, write_csv
+from pseudospark.sources.csv import ROW, read_csv, write_csv
 from pseudospark.sources.fhir import parse_parameters
 from pseudospark.sources.files import Workspace
 from pseudospark.streaming.microbatch import (
@@ -66,13 +67,58 @@ def csv_bad_rows(spark, sf):
     return read.df.agg(F.count(F.lit(1)).alias("n")).withColumn("bad_rows", F.lit(read.bad_rows).cast("long"))
 
 
+def csv_many_files(spark, sf):
+    """A file in parts, the first one small, with one header and a row equal to it: all rows, in their order."""
+    workspace = Workspace(spark)
+    path = workspace.path("parts")
+    key = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(key.cast("double").alias("at"), F.concat_ws(",", key, "c_name").alias("value"))
+    header = spark.createDataFrame([(-1.0, "c_custkey,c_name"), (9.5, "c_custkey,c_name")], "at double, value string")
+    lines = rows.unionByName(header)
+    for folder, part in (("0", F.col("at") < 8), ("1", F.col("at") >= 8)):
+        lines.where(part).orderBy("at").select("value").write.text(f"{path}/{folder}")
+    read = read_csv(spark, f"{path}/*")
+    placed = numbered(read.df.withColumn("file", F.lit(1)), ["file"], [F.col(ROW)], workspace)
+    return placed.select(*[F.col(f"_c{i}").alias(name) for i, name in enumerate(read.header)], "row_number")
+
+
+def csv_blank_rows(spark, sf):
+    """One column, in which cells of white space and empty cells are records."""
+    path = Workspace(spark).path("names")
+    segment = F.col("c_mktsegment")
+    name = F.when(segment == "BUILDING", "   ").when(segment == "MACHINERY", "").otherwise(F.col("c_name"))
+    write_csv(table(spark, sf, "customer").select(name.alias("name")), path, ["name"])
+    return read_csv(spark, path).df.select(F.coalesce("_c0", F.lit("")).alias("name"))
+
+
+def csv_long_delimiter(spark, sf):
+    path = Workspace(spark).path("events")
+    events = table(spark, sf, "events").select(F.concat_ws("||", "event_id", "user_id", "event_type").alias("value"))
+    events.write.text(path)
+    read = read_csv(spark, path, sep="||", header=False)
+    cells = [F.col(f"_c{i}").alias(name) for i, name in enumerate(("event_id", "user_id", "event_type"))]
+    return read.df.select(*cells, F.lit(read.width).alias("width"))
+
+
+def csv_bad_width(spark, sf):
+    """Lines with a stray quote and a quoted separator have as many fields as the others."""
+    path = Workspace(spark).path("events")
+    bad = F.col("event_type") == "error"
+    note = F.when(bad, '"a,b"').otherwise(F.col("event_type"))
+    user = F.when(bad, F.concat(F.lit('x"'), F.col("user_id"))).otherwise(F.col("user_id").cast("string"))
+    table(spark, sf, "events").select(F.concat_ws(",", "event_id", user, note).alias("value")).write.text(path)
+    read = read_csv(spark, path, header=False)
+    cells = [F.col(f"_c{i}").alias(name) for i, name in enumerate(("event_id", "user", "note"))]
+    return read.df.select(*cells, F.lit(read.width).alias("width"))
+
+
 def csv_sink(spark, sf):
     """A whole CSV job, its output read back as plain lines."""
     store = new_store(spark)
     workspace = store.workspace
     source, target = workspace.path("input"), workspace.path("output")
     customer = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    customer.coalesce(1).write.option("header", True).csv(source)
+    customer.write.option("header", True).csv(source)
     mapped = [ColumnMapping("c_name", "people"), ColumnMapping("c_custkey", "keys", target="key pseudonym")]
     catalog = namespaces(spark, people=(*SHA, "p,"), keys=SHA)
     run_csv_job(spark, source, target, mapped, PSEUDONYMIZE, catalog, store)
@@ -220,6 +266,10 @@ QUERIES = {
     "csv_scan": csv_scan,
     "csv_tolerant": csv_tolerant,
     "csv_bad_rows": csv_bad_rows,
+    "csv_many_files": csv_many_files,
+    "csv_blank_rows": csv_blank_rows,
+    "csv_long_delimiter": csv_long_delimiter,
+    "csv_bad_width": csv_bad_width,
     "csv_sink": csv_sink,
     "fhir_parse": fhir_parse,
     "fhir_errors": fhir_errors,
@@ -247,6 +297,25 @@ ORACLE = {
     "csv_bad_rows": """
         SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS bad_rows FROM events
     """,
+    "csv_many_files": """
+        SELECT c_custkey, c_name, row_number() OVER (ORDER BY place) AS row_number
+        FROM (SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_custkey AS DOUBLE) AS place FROM customer
+              UNION ALL SELECT 'c_custkey', 'c_name', 9.5)
+    """,
+    "csv_blank_rows": """
+        SELECT CASE c_mktsegment WHEN 'BUILDING' THEN '   ' WHEN 'MACHINERY' THEN '' ELSE c_name END AS name
+        FROM customer
+    """,
+    "csv_long_delimiter": """
+        SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, 3 AS width
+        FROM events
+    """,
+    "csv_bad_width": """
+        SELECT CAST(event_id AS VARCHAR) AS event_id,
+               CASE event_type WHEN 'error' THEN 'x"' ELSE '' END || CAST(user_id AS VARCHAR) AS user,
+               CASE event_type WHEN 'error' THEN 'a,b' ELSE event_type END AS note, 3 AS width
+        FROM events
+    """,
     "csv_sink": """
         SELECT 'c_custkey,c_name,c_mktsegment,key pseudonym' AS line
         UNION ALL

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pseudospark.functions.generators import GENERATORS, Generator, register_generator
 from pseudospark.suite.common import namespaces, new_store, table
 
 
@@ -72,6 +73,21 @@ def gen_dispatch(spark, sf):
     )
 
 
+def gen_registered(spark, sf):
+    """A method of the caller's own next to a built-in one; a namespace that nobody asks for has an unknown method."""
+    if "Reversed" not in GENERATORS:
+        register_generator("Reversed", Generator(lambda value, length: F.reverse(value), deterministic=True))
+    catalog = namespaces(
+        spark,
+        view=("Sha256HexEncoded", 64),
+        unused=("NoSuchMethod", 8),
+        **{name: ("Reversed", 8, "r-") for name in ("click", "purchase", "signup", "error")},
+    )
+    requests = _requests(table(spark, sf, "events"), F.col("event_type"), F.col("user_id"))
+    done = new_store(spark).upsert(requests, catalog).mappings
+    return done.select("namespace_name", "original_value", "pseudonym_value")
+
+
 QUERIES = {
     "gen_sha256": gen_sha256,
     "gen_prefix_suffix": gen_prefix_suffix,
@@ -86,6 +102,7 @@ QUERIES = {
     "gen_hex": _invariants("FullRandomHexEncoded", 33, "^[0-9a-f]{33}$"),
     "gen_base62": _invariants("FullRandomBase62Encoded", 17, "^[0-9A-Za-z]{17}$"),
     "gen_dispatch": gen_dispatch,
+    "gen_registered": gen_registered,
 }
 
 ORACLE = {
@@ -101,6 +118,12 @@ ORACLE = {
     "gen_uuid7": INVARIANT_SQL,
     "gen_hex": INVARIANT_SQL,
     "gen_base62": INVARIANT_SQL,
+    "gen_registered": """
+        SELECT DISTINCT event_type AS namespace_name, CAST(user_id AS VARCHAR) AS original_value,
+               CASE event_type WHEN 'view' THEN upper(sha256(CAST(user_id AS VARCHAR)))
+                    ELSE 'r-' || reverse(CAST(user_id AS VARCHAR)) END AS pseudonym_value
+        FROM events
+    """,
     "gen_dispatch": """
         SELECT event_type AS namespace_name, count(DISTINCT user_id) AS n, count(DISTINCT user_id) AS n_distinct,
                CAST(0 AS BIGINT) AS n_bad
