@@ -10,7 +10,17 @@ from pseudospark.operators import jobs, lookup
 from pseudospark.operators.access import accessible, denied_job_namespaces, is_admin
 from pseudospark.operators.catalog import NamespaceCatalog
 from pseudospark.operators.store import MappingStore, Upserted
-from pseudospark.plans.transform import split_blank
+from pseudospark.plans.csv_job import CsvJobResult
+from pseudospark.plans.job_run import JobLedger, run_recorded
+from pseudospark.plans.transform import (
+    ColumnMapping,
+    Result,
+    column_position,
+    depseudonymize,
+    pseudonymize,
+    split_blank,
+    usable_mappings,
+)
 from pseudospark.schemas import FORBIDDEN, NOT_FOUND
 
 
@@ -19,7 +29,7 @@ class ForbiddenError(Exception):
 
 
 class NotFoundError(Exception):
-    """A namespace does not exist."""
+    """A namespace or a job does not exist."""
 
 
 @dataclass(frozen=True)
@@ -112,6 +122,33 @@ class Guard:
         self._require(caller, "reverse_lookup", self._one(name))
         return lookup.reverse_one(self.store.read([name]), name, pseudonym)
 
+    # -- tables ------------------------------------------------------------------------------------------------------
+
+    def _require_mapped(
+        self, caller: Caller, permission: str, df: DataFrame, mappings: Sequence[ColumnMapping]
+    ) -> None:
+        """Check all namespaces that the mappings or the table name, also where the value itself is missing."""
+        positional = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+        usable = usable_mappings(mappings)
+        fixed = [(m.namespace,) for m in usable if m.namespace_column is None]
+        self._require(caller, permission, self.store.spark.createDataFrame(fixed, "name string"))
+        for column in {m.namespace_column for m in usable if m.namespace_column is not None}:
+            named = F.col(f"_c{column_position(column, df.columns)}").cast("string")
+            names = positional.select(named.alias("name")).where("name IS NOT NULL").distinct()
+            denied = names.join(self._allowed(caller, permission, names, "name"), "name", "left_anti").count()
+            if denied:  # their names are cell contents
+                raise ForbiddenError(f"Access to {denied} namespaces that the data name is required.")
+
+    def pseudonymize(
+        self, caller: Caller, df: DataFrame, mappings: Sequence[ColumnMapping], batch_id: str | None = None
+    ) -> Result:
+        self._require_mapped(caller, "write", df, mappings)
+        return pseudonymize(df, mappings, self.catalog.load(), self.store, batch_id=batch_id)
+
+    def depseudonymize(self, caller: Caller, df: DataFrame, mappings: Sequence[ColumnMapping]) -> Result:
+        self._require_mapped(caller, "reverse_lookup", df, mappings)
+        return depseudonymize(df, mappings, self.catalog.load(), self.store)
+
     # -- jobs --------------------------------------------------------------------------------------------------------
 
     def check_job(self, caller: Caller, job: DataFrame) -> None:
@@ -125,6 +162,31 @@ class Guard:
             label = first["permission"].replace("_", "-").capitalize()
             raise ForbiddenError(FORBIDDEN.format(permission=label, namespace=first["namespace"]))
 
+    def job(self, caller: Caller, table: DataFrame, job_id: str) -> DataFrame:
+        """One job of the caller's own, or any for an admin; existence is judged before ownership."""
+        found = table.where(F.col("id") == job_id)
+        row = found.select(jobs.may_access(caller.subject, self.is_admin(caller)).alias("own")).first()
+        if row is None:
+            raise NotFoundError("There is no such job.")
+        if not row["own"]:
+            raise ForbiddenError("The job is not the caller's.")
+        return found
+
+    def run_job(
+        self, caller: Caller, table: DataFrame, job_id: str, ledger: JobLedger, input_path: str, output_path: str, **options
+    ) -> CsvJobResult | None:
+        """Run one job of the table, if the caller may and it has not ended, and record what became of it."""
+        job = self.job(caller, table, job_id)
+        self.check_job(caller, job)
+        row = job.first()
+        mappings = [
+            ColumnMapping(m["source_column"], m["namespace"], m["target_column"]) for m in row["column_mappings"]
+        ]
+        return run_recorded(
+            self.store.spark, ledger, job_id, input_path, output_path,
+            mappings, row["direction"], self.catalog.load(), self.store, **options,
+        )
+
     def jobs(self, caller: Caller, table: DataFrame) -> DataFrame:
         return jobs.visible_jobs(table, caller.subject, self.is_admin(caller))
 

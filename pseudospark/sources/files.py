@@ -37,6 +37,12 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"could not rename {source} to {target}")
 
 
+def size(spark: SparkSession, pattern: str) -> int:
+    """Bytes of all files under the paths that match."""
+    fs, hadoop_path = _resolve(spark, pattern)
+    return sum(fs.getContentSummary(s.getPath()).getLength() for s in (fs.globStatus(hadoop_path) or []))
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text file, written by the driver; the folder above it is made."""
     fs, hadoop_path = _resolve(spark, path)

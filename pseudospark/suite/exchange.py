@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from pseudospark.operators.jobs import status_fold
 from pseudospark.operators.ordered import numbered
 from pseudospark.plans.csv_job import run_csv_job
 from pseudospark.plans.fhir_batch import create_pseudonyms, judged_requests
+from pseudospark.plans.job_run import JobLedger, run_recorded
 from pseudospark.plans.transform import ColumnMapping, pseudonymize
 from pseudospark.schemas import PSEUDONYMIZE, RULE_SCHEMA
 from pseudospark.sources.csv import ROW, read_csv, write_csv
@@ -125,6 +127,33 @@ def csv_sink(spark, sf):
     return spark.read.text(target).withColumnRenamed("value", "line")
 
 
+def job_run(spark, sf):
+    """A job run twice, of which the second run does nothing, and one whose column does not exist: statuses, counters."""
+    store = new_store(spark)
+    workspace = store.workspace
+    source, ledger = workspace.path("input"), JobLedger(spark, workspace.path("ledger"))
+    segment = F.col("c_mktsegment")
+    name = F.when(segment == "BUILDING", "NA").otherwise(F.col("c_name"))
+    write_csv(table(spark, sf, "customer").select("c_custkey", name.alias("name")), source, ["c_custkey", "name"])
+    catalog = namespaces(spark, people=SHA)
+    for job, column in (("good", "name"), ("good", "name"), ("bad", "nowhere")):
+        mapped = [ColumnMapping(column, "people")]
+        try:
+            run_recorded(spark, ledger, job, source, workspace.path("output"), mapped, PSEUDONYMIZE, catalog, store)
+        except ValueError:
+            pass  # recorded
+    entries = ledger.read()
+    facts = entries.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.max("rows_processed").alias("rows_processed"),
+        F.max("missing_value_count").alias("missing_value_count"),
+        F.max("bad_data_row_count").alias("bad_data_row_count"),
+        F.max("error_message").alias("error_message"),
+        F.coalesce(F.max("bytes_processed") > 0, F.lit(False)).alias("has_bytes"),
+    )
+    return facts.join(status_fold(entries, workspace), "id")
+
+
 # -- FHIR ------------------------------------------------------------------------------------------------------------------
 
 
@@ -271,6 +300,7 @@ QUERIES = {
     "csv_long_delimiter": csv_long_delimiter,
     "csv_bad_width": csv_bad_width,
     "csv_sink": csv_sink,
+    "job_run": job_run,
     "fhir_parse": fhir_parse,
     "fhir_errors": fhir_errors,
     "fhir_create": fhir_create,
@@ -323,6 +353,15 @@ ORACLE = {
                || upper(sha256(CAST(c_custkey AS VARCHAR)))
         FROM customer
     """,
+    "job_run": """
+        SELECT 'good' AS id, CAST(2 AS BIGINT) AS n_events, count(*) AS rows_processed,
+               count(*) FILTER (c_mktsegment = 'BUILDING') AS missing_value_count,
+               CAST(0 AS BIGINT) AS bad_data_row_count, CAST(NULL AS VARCHAR) AS error_message, true AS has_bytes,
+               3 AS status
+        FROM customer
+        UNION ALL
+        SELECT 'bad', 2, NULL, NULL, NULL, 'The header has no column ''nowhere''.', false, 4
+    """,
     "fhir_parse": """
         SELECT event_id, event_type <> 'error' AS well_formed,
                CASE WHEN event_type <> 'error' THEN event_type END AS namespace_name,

@@ -1,8 +1,10 @@
 import pytest
+from pyspark.sql import types as T
 
-from pseudospark import MappingStore, NamespaceCatalog
+from pseudospark import ColumnMapping, MappingStore, NamespaceCatalog
 from pseudospark.plans.guarded import Caller, ForbiddenError, Guard, NotFoundError
-from pseudospark.schemas import RULE_SCHEMA
+from pseudospark.plans.job_run import JobLedger, run_recorded, sanitized
+from pseudospark.schemas import DEPSEUDONYMIZE, JOB_SCHEMA, PSEUDONYMIZE, RULE_SCHEMA, STATUS_CODES
 
 ADMIN, READER, WRITER, REVEALER, NOBODY = (
     Caller("root", ["admin"]), Caller("r", ["reader"]), Caller("w", ["writer"]), Caller("l", ["looker"]), Caller("n"),
@@ -86,3 +88,67 @@ def test_jobs(spark, guard):
         guard.check_job(WRITER, job(0, "A", "B"))
     with pytest.raises(ForbiddenError):
         guard.check_job(NOBODY, job(0, "A"))
+
+
+def test_tables(spark, guard):
+    df = spark.createDataFrame([("x", "A"), ("y", "A")], "value string, ns string")
+    own = [ColumnMapping("value", "A")]
+    with pytest.raises(ForbiddenError, match="Write access to namespace 'A'"):
+        guard.pseudonymize(READER, df, own)
+    hidden = guard.store.workspace.save(guard.pseudonymize(WRITER, df, own).df, "hidden")
+    with pytest.raises(ForbiddenError, match="Reverse-lookup access to namespace 'A'"):
+        guard.depseudonymize(WRITER, hidden, own)
+    assert {r.value for r in guard.depseudonymize(REVEALER, hidden, own).df.collect()} == {"x", "y"}
+    by_column = [ColumnMapping("value", namespace_column="ns")]
+    assert guard.pseudonymize(WRITER, df, by_column).rows == 2
+    secret = spark.createDataFrame([("x", "A"), ("y", "B")], "value string, ns string")
+    with pytest.raises(ForbiddenError, match="Access to 1 namespaces"):
+        guard.pseudonymize(WRITER, secret, by_column)
+
+
+def test_jobs_from_table_to_ledger(spark, guard, workspace, tmp_path):
+    source = tmp_path / "in.csv"
+    source.write_text("id,value\n1,x\n2,NA\n")
+    mapping = {"source_column": "value", "target_column": None, "namespace": "A"}
+    rows = [
+        {f.name: None for f in JOB_SCHEMA.fields}
+        | {"id": i, "status": 1, "direction": d, "created_by": by, "column_mappings": [mapping]}
+        for i, d, by in (("there", PSEUDONYMIZE, "w"), ("back", DEPSEUDONYMIZE, "w"), ("other", PSEUDONYMIZE, "x"))
+    ]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in JOB_SCHEMA.fields])
+    table = workspace.save(spark.createDataFrame(rows, schema), "jobs")
+    ledger = JobLedger(spark, workspace.path("ledger"))
+
+    def run(job):
+        return guard.run_job(WRITER, table, job, ledger, str(source), workspace.path("out"))
+
+    with pytest.raises(NotFoundError, match="no such job"):
+        run("nowhere")
+    with pytest.raises(ForbiddenError, match="not the caller's"):
+        run("other")
+    with pytest.raises(ForbiddenError, match="Reverse-lookup access"):
+        run("back")
+    assert ledger.read().isEmpty()
+    done = run("there")
+    assert (done.rows_processed, done.missing_value_count) == (2, 1)
+    assert run("there") is None
+    assert ledger.status("there") == STATUS_CODES["Completed"]
+    last = ledger.read().where("event = 'complete'").first()
+    assert (last.bytes_processed, last.rows_processed, last.bad_data_row_count) == (source.stat().st_size, 2, 0)
+
+
+def test_failed_and_stalled_runs(spark, guard, workspace, tmp_path):
+    ledger = JobLedger(spark, workspace.path("ledger"))
+    source = tmp_path / "in.csv"
+    source.write_text("id,value\n1,secret\n")
+    rest = [ColumnMapping("value", "A")], PSEUDONYMIZE, guard.catalog.load(), guard.store
+    with pytest.raises(Exception, match="."):
+        run_recorded(spark, ledger, "gone", str(tmp_path / "none.csv"), workspace.path("out"), *rest)
+    assert ledger.status("gone") == STATUS_CODES["Failed"]
+    assert "none.csv" not in ledger.read().where("event = 'fail'").first().error_message
+    assert run_recorded(spark, ledger, "gone", str(source), workspace.path("out"), *rest) is None
+    ledger.append("slow", "run")
+    ledger.append("slow", "stall")
+    assert run_recorded(spark, ledger, "slow", str(source), workspace.path("out"), *rest).rows_processed == 1
+    assert ledger.status("slow") == STATUS_CODES["Completed"]
+    assert sanitized(RuntimeError("cell content")) == "RuntimeError"
