@@ -1,8 +1,9 @@
 """Main text of web pages by consensus of a host's pages.
 
-Each page's containers are scored by the text they hold; a page votes for the path of the container that holds its main
-text, written as tags and classes without numbers. Spark adds up the votes of a host, and every page is extracted again
-from its host's winning paths; a page that has none of them uses its own best container.
+Where article or main elements hold enough of a page, all of them are its text. On other pages, the containers beside the
+one that holds most of a page give their paths (tags and classes without numbers) and texts to a vote: a path that holds
+the same text on most pages of its host that have it is no article. Spark adds up the votes of a host, and every page is
+extracted again without those paths, from the smallest container that holds all text that is left.
 """
 
 from __future__ import annotations
@@ -10,23 +11,23 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pseudospark.llm.tables import saved_broadcast
 from pseudospark.llm.words import text_column
 from pseudospark.sources.files import Workspace
 
-#: Paths of a host that are tried on its pages, best first.
-PATHS = 3
-#: A container's child takes its place as long as it holds this share of its text.
+#: A container's child that holds this share of its text puts those beside it to the vote.
 DOMINANT = 0.7
-#: The share that is enough for a container marked as the main one.
+#: The share of a page's text that is enough for the containers marked as main ones.
 MARKED = 0.3
+#: Different pages that must hold the same text in a path before it is no article.
+REPEATED = 3
 
 # Fixed values of HTML: element kinds, and names by which pages mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -173,7 +174,7 @@ class Page:
         """Carry what is dropped down the tree; paths and sizes of containers."""
         n = len(self.tag)
         self.block, self.container, self.path = [0] * n, [0] * n, [""] * n
-        linked = [False] * n
+        self.linked = linked = [False] * n
         for i in range(1, n):
             above = self.parent[i]
             self.dropped[i] = self.dropped[i] or self.dropped[above]
@@ -182,7 +183,13 @@ class Page:
             own = self.tag[i] in CONTAINERS
             self.container[i] = i if own else self.container[above]
             self.path[i] = (f"{self.path[above]}>{self.step[i]}" if self.path[above] else self.step[i]) if own else self.path[above]
+        self._weigh()
+
+    def _weigh(self) -> None:
+        """Letters that each container holds outside of links and dropped parts."""
+        n = len(self.tag)
         self.held = [0] * n
+        linked = self.linked
         dropped, held, container = self.dropped, self.held, self.container
         for i, text, _ in self.text:
             if text is not None and not dropped[i] and not linked[i]:
@@ -191,30 +198,79 @@ class Page:
             if self.container[i] == i:
                 self.held[self.container[self.parent[i]]] += self.held[i]
 
-    def main(self) -> int:
-        """The container of the main text: from the outermost on, each child that holds most of its parent's text."""
+    def _inner(self) -> dict[int, list[int]]:
+        """Containers with text below each container."""
         inner: dict[int, list[int]] = {}
         for i in range(1, len(self.tag)):
-            if self.container[i] == i and not self.dropped[i]:
+            if self.container[i] == i and not self.dropped[i] and self.held[i]:
                 inner.setdefault(self.container[self.parent[i]], []).append(i)
-        at = 0
+        return inner
+
+    def main(self) -> list[int]:
+        """The outermost marked containers if they hold enough, else the innermost container that holds all text."""
+        within = [False] * len(self.tag)
+        roots = []
+        for i in range(1, len(self.tag)):
+            own = self.marked[i] and self.container[i] == i and not self.dropped[i]
+            within[i] = within[self.parent[i]] or own
+            if own and not within[self.parent[i]] and self.held[i]:
+                roots.append(i)
+        if roots and sum(self.held[i] for i in roots) >= MARKED * self.held[0]:
+            return roots
+        inner, at = self._inner(), 0
+        while True:
+            whole = [i for i in inner.get(at, ()) if self.held[i] == self.held[at]]
+            if not whole:
+                return [at]
+            at = whole[0]
+
+    def beside(self) -> dict[str, str]:
+        """Texts of the containers beside the one that holds most, by path; none where marked containers tell the text."""
+        if any(self.marked[i] for i in self.main()):
+            return {}
+        inner, at = self._inner(), 0
+        sides: set[int] = set()
         while True:
-            share = self.held[at]
-            better = [i for i in inner.get(at, ()) if self.held[i] and self.held[i] >= (MARKED if self.marked[i] else DOMINANT) * share]
-            if not better:
-                return at
-            at = max(better, key=lambda i: (self.marked[i], self.held[i], -i))
-
-    def extract(self, root: int) -> str:
-        """Text of the blocks below an element, dropped parts left out."""
+            below = inner.get(at, ())
+            most = max(below, key=lambda i: self.held[i], default=0)
+            # Text of the container's own blocks is beside nothing: it has no path to vote on.
+            if not most or self.held[most] < DOMINANT * self.held[at] or sum(self.held[i] for i in below) < self.held[at]:
+                break
+            sides.update(i for i in below if i != most)
+            at = most
+        top = [0] * len(self.tag)
+        for i in range(1, len(self.tag)):
+            top[i] = i if i in sides else top[self.parent[i]]
+        found: dict[str, list[str]] = {}
+        for i, text, _ in self.text:
+            if top[i] and not self.dropped[i] and text is not None:
+                found.setdefault(self.path[top[i]], []).append(text)
+        return {path: " ".join(" ".join(texts).split()) for path, texts in found.items()}
+
+    def leave_out(self, paths: set[str]) -> None:
+        """Drop the containers of these paths, unless nothing would be left."""
+        if any(self.marked[i] for i in self.main()):
+            return
+        before = self.dropped, self.held
+        self.dropped = list(self.dropped)
+        for i in range(1, len(self.tag)):
+            own = self.container[i] == i and self.path[i] in paths
+            self.dropped[i] = self.dropped[i] or self.dropped[self.parent[i]] or own
+        self._weigh()
+        if not self.held[0]:
+            self.dropped, self.held = before
+
+    def extract(self, roots: list[int]) -> str:
+        """Text of the blocks below elements, dropped parts left out."""
         inside = [False] * len(self.tag)
-        inside[root] = True
-        for i in range(root + 1, len(self.tag)):
-            inside[i] = inside[self.parent[i]]
+        for root in roots:
+            inside[root] = True
+        for i in range(1, len(self.tag)):
+            inside[i] = inside[i] or inside[self.parent[i]]
         blocks: list[str] = []
         parts: list[str] = []
         current = -1
-        before = root
+        before = roots[0]
         for i, text, opened in self.text:
             if not inside[i] or self.dropped[i]:
                 continue
@@ -247,29 +303,33 @@ def _htmls(batch: pa.RecordBatch) -> Iterator[str]:
         yield str(data[offsets[k] : offsets[k + 1]], "utf-8", "replace")
 
 
+def _digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths = []
-        for html in _htmls(batch):
-            page = read_page(html)
-            main = page.main()
-            paths.append(page.path[main] if page.held[main] else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["host", "path"])
+        rows = []
+        hosts = batch.column(0).to_pylist()
+        for name, html in zip(hosts, _htmls(batch)):
+            sides = read_page(html).beside()
+            if sides:
+                page = _digest(html)
+                rows += [(name, path, _digest(text), page) for path, text in sides.items()]
+        columns = zip(*rows) if rows else ((),) * 4
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "path", "text", "page"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        winners = batch.column(batch.schema.get_field_index("paths")).to_pylist()
+        left_out = batch.column(batch.schema.get_field_index("paths")).to_pylist()
         texts = []
-        for html, paths in zip(_htmls(batch), winners):
+        for html, paths in zip(_htmls(batch), left_out):
             page = read_page(html)
-            root = None
-            for path in paths or ():
-                fitting = [i for i in range(len(page.tag)) if page.container[i] == i and page.path[i] == path and not page.dropped[i]]
-                if fitting:
-                    root = max(fitting, key=lambda i: (page.held[i], -i))
-                    break
-            texts.append(page.extract(page.main() if root is None else root))
+            if paths:
+                page.leave_out(set(paths))
+            texts.append(page.extract(page.main()))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]
         )
@@ -282,7 +342,7 @@ def main_texts(
 
     Character references are decoded, white space inside a block is one space, blocks are joined by one space in page
     order. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and readers' comments are left
-    out by element, role and class or id names. Pages without host form one host. A null HTML is empty; an empty or
+    out by element, role and class or id names, and what most pages of a host repeat beside the text. Pages without host form one host. A null HTML is empty; an empty or
     textless page has an empty text. Repeated rows are extracted each by itself; ids may be null or repeat; other columns
     are ignored; an empty table gives no rows.
     """
@@ -291,20 +351,19 @@ def main_texts(
     ).withColumn("host", host(F.col("url")))
     votes = (
         source.select("host", "text")
-        .mapInArrow(_vote, "host string, path string")
-        .where("path IS NOT NULL")
-        .groupBy("host", "path")
-        .agg(F.count(F.lit(1)).alias("votes"))
-    )
-    best = Window.partitionBy("host").orderBy(F.col("votes").desc(), "path")
-    ranked = votes.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= PATHS)
-    winners = ranked.groupBy("host").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda r: r["path"]).alias("paths")
+        .mapInArrow(_vote, "host string, path string, text long, page long")
+        .distinct()
+        .groupBy("host", "path", "text")
+        .agg(F.count(F.lit(1)).alias("pages"))
     )
-    winners = saved_broadcast(winners, workspace, "winners")
+    # Copies of a page are one page: what only they repeat may be an article.
+    told = votes.groupBy("host", "path").agg(F.max("pages").alias("equal"), F.sum("pages").alias("all"))
+    told = told.where((F.col("equal") >= REPEATED) & (2 * F.col("equal") > F.col("all")))
+    left_out = told.groupBy("host").agg(F.collect_list("path").alias("paths"))
+    left_out = saved_broadcast(left_out, workspace, "left_out")
     types = f"page_id {pages.schema[id].dataType.simpleString()}, url string, text string"
     return (
-        source.join(winners, "host", "left")
+        source.join(left_out, "host", "left")
         .select("page_id", "url", "text", "paths")
         .mapInArrow(_extract, types)
         .withColumn("n_chars", F.length("text").cast("long"))

@@ -65,3 +65,35 @@ def test_articles_of_the_test_data(spark, workspace):
         article = re.search(r"<article>(.*?)</article>", r.html, re.DOTALL)[1]
         plain = re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)>", " ", article))
         assert found[r.page_id] == " ".join(unescape(plain).split())
+
+
+LONG = "long body " * 40
+
+WHOLE = [
+    (f"<body><article><h1>T</h1><p>lead</p><div>{LONG}</div></article></body>", "T lead " + LONG),
+    (f"<body><div class=content><h1>T</h1><p>lead</p><div>{LONG}</div></div></body>", "T lead " + LONG),
+    (f"<body><div><div class=lead>lead</div><div class=rest>{LONG}</div></div></body>", "lead " + LONG),
+    (f"<body><p>menu</p><main><section>one</section><section>{LONG}</section></main></body>", "one " + LONG),
+    ("<body><p>x</p><article>first part</article><article>second part</article></body>", "first part second part"),
+]
+
+
+@pytest.mark.parametrize("html, text", WHOLE)
+def test_nothing_beside_a_dominant_container_is_lost(html, text):
+    page = read_page(html)
+    assert page.extract(page.main()) == text.strip()
+
+
+def test_host_vote_cuts_no_page(spark, workspace):
+    """Pages whose usual container is small, or comes several times, keep all their text."""
+    usual = "<body><article><div>{0} " + LONG + "</div></article></body>"
+    odd = "<body><article><h1>T</h1><div>small</div><p>" + LONG + "</p></article></body>"
+    lead = "<body><div class=s><div class=lead>lead {0}</div><div class=b>{0} " + LONG + "</div></div></body>"
+    same = "<body><div class=s><div class=lead>same</div><div class=b>" + LONG + "</div></div></body>"
+    pages = [(i, "http://a/", usual.format(i)) for i in range(9)] + [(9, "http://a/", odd)]
+    pages += [(20 + i, "http://b/", lead.format(i)) for i in range(5)] + [(30 + i, "http://c/", same) for i in range(5)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in main_texts(df, workspace).collect()}
+    assert found[9] == f"T small {LONG}".strip()
+    assert all(found[20 + i] == f"lead {i} {i} {LONG}".strip() for i in range(5))
+    assert all(found[30 + i] == f"same {LONG}".strip() for i in range(5))
