@@ -46,6 +46,23 @@ DROPPED_NAMES = frozenset(
     "notice notices notification notifications alert gdpr popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended recommendations trending pagination pager skip copyright disclaimer".split()
 )
+#: Whole names of what is no article text even inside an article.
+SURE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adslot sponsored sidebar sidebars nav navbar breadcrumb "
+    "breadcrumbs pagination pager menu menus submenu widget widgets newsletter disqus commentlist".split()
+)
+#: Words that name the part of an article together with these pieces, as article-header.
+PART_OF = (frozenset(["header", "masthead", "banner"]), frozenset("article post entry story content section chapter".split()))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose names tell of a part of the page; others, as paragraphs and spans, need a further sign.
+PARTS = frozenset("div section ul ol dl table tbody tr td details figure".split())
+#: A part that has such a name counts as no text if this share of its letters is linked.
+LINKED = 0.5
+FORMS = frozenset(["form", "fieldset"])
+#: A form that holds more than this share of a page's text is the page.
+WHOLE_FORM = 0.5
+#: What names say of an element.
+PLAIN, LOOSE, SURE, READERS = range(4)
 #: Which open element a start tag ends, if it comes before one of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -67,6 +84,7 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"']+)""")
 _NAME_PART = re.compile(r"[a-z]+")
+_COMMENTS = re.compile(r"comments?([-_]?(area|list|section|thread|wrapper|wrap|container|form|box|body))?$|respond$")
 _TELLING = re.compile(r"class|id\s*=|role|hidden|style", re.IGNORECASE)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -76,21 +94,43 @@ _PARAGRAPH_SCOPE = frozenset("td th table button div article section main body b
 
 
 @lru_cache(maxsize=20_000)
-def _described(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Path step of an element, and whether its tag or names drop it or mark the main part."""
+def _described(tag: str, attributes: str) -> tuple[str, bool, bool, int]:
+    """Path step of an element, whether its tag, role or style drops it, whether it is the main part, and its names."""
     step, dropped, marked = tag, tag in DROPPED, tag in ("article", "main")
     if not _TELLING.search(attributes):
-        return step, dropped, marked
+        return step, dropped, marked, PLAIN
     values = {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     role = values.get("role", "").lower()
     marked = marked or role == "main"
     dropped = dropped or role in DROPPED_ROLES or "hidden" in values or values.get("aria-hidden", "").lower() == "true"
     dropped = dropped or "display:none" in values.get("style", "").replace(" ", "").lower()
-    names = _CAMEL.sub(" ", f"{values.get('class', '')} {values.get('id', '')}").lower()
-    if tag not in ("body", "html", "article", "main") and role != "main":
-        dropped = dropped or bool(DROPPED_NAMES.intersection(_NAME_PART.findall(names)))
     classes = sorted({re.sub(r"[0-9]+", "#", c) for c in values.get("class", "").lower().split()})
-    return ".".join([tag, *classes]), dropped, marked
+    names = PLAIN
+    if tag not in ("body", "html", "main") and role != "main":
+        names = _names(tag, values.get("class", ""), values.get("id", ""))
+        # An article's names may say that it is a reader's comment, and no more.
+        names = names if tag != "article" or names == READERS else PLAIN
+    return ".".join([tag, *classes]), dropped, marked, names
+
+
+def _names(tag: str, classes: str, id: str) -> int:
+    """What class and id names say; ids of headings and sections are made of the words of headings."""
+    if tag in HEADINGS or tag == "section" or "section" in classes.split():
+        id = ""
+    whole = classes.lower().split()
+    if tag in PARTS or tag == "article":
+        if any(_COMMENTS.match(c) for c in [*whole, id.lower()]):
+            return READERS
+    if tag == "article":
+        return PLAIN
+    if SURE_NAMES.intersection(whole) or (tag in PARTS and id.lower() in SURE_NAMES):
+        return SURE
+    for name in f"{_CAMEL.sub('-', classes)} {_CAMEL.sub('-', id)}".lower().split():
+        found = set(_NAME_PART.findall(name))
+        telling = found & DROPPED_NAMES
+        if telling and not (telling <= PART_OF[0] and found & PART_OF[1]):
+            return LOOSE
+    return PLAIN
 
 
 class Page:
@@ -102,21 +142,28 @@ class Page:
         self.step = [""]
         self.dropped = [False]
         self.marked = [False]
+        self.names = [PLAIN]
+        self.holds_main = [False]
         #: (element, text, elements opened before), in order; None stands for white space, as of a line break.
         self.text: list[tuple[int, str | None, int]] = []
         self._read(html)
 
     def _open(self, stack: list[int], tag: str, attributes: str) -> int:
-        step, dropped, marked = _described(tag, attributes)
+        step, dropped, marked, names = _described(tag, attributes)
         self.parent.append(stack[-1])
         self.tag.append(tag)
         self.step.append(step)
         self.dropped.append(dropped)
+        # What lies among readers' comments is not the main part.
+        marked = marked and names != READERS and not any(self.names[above] == READERS for above in stack)
         self.marked.append(marked)
+        self.names.append(names)
+        self.holds_main.append(False)
         if marked:
             # What holds the main part is not to be dropped for its name.
             for above in stack:
-                if self.tag[above] not in DROPPED:
+                self.holds_main[above] = True
+                if self.tag[above] not in DROPPED or self.tag[above] in FORMS:
                     self.dropped[above] = False
         return len(self.tag) - 1
 
@@ -173,6 +220,7 @@ class Page:
     def finish(self) -> None:
         """Carry what is dropped down the tree; paths and sizes of containers."""
         n = len(self.tag)
+        self._judge()
         self.block, self.container, self.path = [0] * n, [0] * n, [""] * n
         self.linked = linked = [False] * n
         for i in range(1, n):
@@ -185,6 +233,55 @@ class Page:
             self.path[i] = (f"{self.path[above]}>{self.step[i]}" if self.path[above] else self.step[i]) if own else self.path[above]
         self._weigh()
 
+    def _judge(self) -> None:
+        """Drop what names and forms say is no text, as far as where it lies and what it holds agree."""
+        n = len(self.tag)
+        forms = [i for i in range(1, n) if self.tag[i] in FORMS and self.dropped[i]]
+        named = [i for i in range(1, n) if self.names[i] and not self.dropped[i] and not self.holds_main[i]]
+        if not forms and not named:
+            return
+        tag, parent, dropped = self.tag, self.parent, self.dropped
+        article = [t == "article" and m for t, m in zip(tag, self.marked)]
+        holds = list(article)
+        for i in range(n - 1, 0, -1):
+            holds[parent[i]] = holds[parent[i]] or holds[i]
+        # A main element that holds an article is no more than the page around it.
+        inside = [a or (m and not h) for a, m, h in zip(article, self.marked, holds)]
+        out, linked = [False] * n, [False] * n
+        for i in range(1, n):
+            above = parent[i]
+            inside[i] = inside[i] or inside[above]
+            out[i] = out[above] or (dropped[i] and tag[i] not in FORMS)
+            linked[i] = linked[above] or tag[i] == "a"
+
+        def letters(skipped: list[bool]) -> tuple[list[int], list[int]]:
+            """Letters below each element, and those of them in links."""
+            every, links = [0] * n, [0] * n
+            for i, text, _ in self.text:
+                if text is not None and not skipped[i]:
+                    size = len(text) - text.count(" ") - text.count("\n")
+                    every[i] += size
+                    if linked[i]:
+                        links[i] += size
+            for i in range(n - 1, 0, -1):
+                every[parent[i]] += every[i]
+                links[parent[i]] += links[i]
+            return every, links
+
+        every, links = letters(out)
+        for i in named:
+            alone = self.names[i] >= SURE or (tag[i] in PARTS and not inside[i])
+            if alone or (links[i] and links[i] >= LINKED * every[i]):
+                dropped[i] = True
+        if forms:
+            for i in range(1, n):
+                out[i] = out[parent[i]] or (dropped[i] and tag[i] not in FORMS)
+            every, links = letters(out)
+            total = every[0] - links[0]
+            for i in forms:
+                if every[i] - links[i] > WHOLE_FORM * total:
+                    dropped[i] = False
+
     def _weigh(self) -> None:
         """Letters that each container holds outside of links and dropped parts."""
         n = len(self.tag)

@@ -97,3 +97,23 @@ def test_host_vote_cuts_no_page(spark, workspace):
     assert found[9] == f"T small {LONG}".strip()
     assert all(found[20 + i] == f"lead {i} {i} {LONG}".strip() for i in range(5))
     assert all(found[30 + i] == f"same {LONG}".strip() for i in range(5))
+
+
+NAMED = [
+    ('<article><section id="discussion"><h2 id="related-work">Related</h2>a</section><section id="comments">b</section></article>', "Related a b"),
+    ('<article><p class="notice">n</p>price <span class="share-price">3</span><div class="article-header">h</div></article>', "n price 3 h"),
+    ('<body><div class=text><h2 id="social">S</h2><p class="notice">n</p><section id="discussion">d</section></div></body>', "S n d"),
+    ('<body><div class="post-header"><h1>T</h1></div><div>text</div></body>', "T text"),
+    ('<body><form id="aspnetForm"><input><div>whole page</div></form><div>x</div></body>', "whole page x"),
+    ('<body><form><div>menu</div><article>text<form>sign up</form></article></form></body>', "text"),
+    ('<article>text of some length<div class="related-posts"><a href="/">other</a></div><div class="ads">buy</div></article>', "text of some length"),
+    ('<main><article>text</article><div id="comments" class="comments-area"><article class="comment-body">nice</article></div></main>', "text"),
+    ('<body><div class="widget"><article>text</article></div><div class="widget">other</div></body>', "text"),
+    ('<main><article>text</article><div class="share-box">share</div></main>', "text"),
+]
+
+
+@pytest.mark.parametrize("html, text", NAMED)
+def test_names_and_forms(html, text):
+    page = read_page(html)
+    assert page.extract(page.main()) == text
