@@ -4,7 +4,8 @@ Each text becomes its set of word shingles, hashed to 64 bits. The set's sketch
 count of leading zeros of the bucket's least hash and the bits after its leading one. Registers, empty ones filled from
 others, are cut into bands; texts that share a band are candidates. The sketches' Jaccard estimate, corrected for
 registers that agree by chance, keeps candidates apart that are not of one family, and rejects pairs far below the
-threshold; every link is confirmed on the full sets.
+threshold; every link is confirmed on the full sets. Small sets, whose registers are too few to be independent, share
+keys of their least hashes instead: two that are similar always have one in common, and are compared without sketches.
 
 Work on pairs never grows with the square of what shares a band: equal sets are one node; a band's members meet its
 smallest node only, which gives families; inside a family, blocks of bounded size are compared, first each by itself
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,15 @@ BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 EMPTY = 0xFFFF
 BANDS = 40
-#: At similarity 0.8 a pair shares none of 40 bands of 5 registers with probability 1.3e-7.
+#: At similarity 0.8 a pair shares none of 40 bands of 5 independent registers with probability 1.3e-7.
 BAND_ROWS = 5
 #: Estimates are this far off with probability below 1e-4 (four standard deviations at 256 buckets).
 MARGIN = 0.1
 #: Candidates of a lower estimate are of different families.
 FAMILY = 0.4
+#: Sets of at most so many shingles meet by exact keys, each of so many hashes.
+SMALL = 19
+KEY_HASHES = 4
 BLOCK_NODES = 1024
 BLOCK_SHINGLES = 1_000_000
 _FILL_ROUNDS = 64
@@ -102,6 +108,34 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     return keys
 
 
+def _least_common(n: int, threshold: float) -> int:
+    """Shingles that a set of n has in common with each that is similar to it, at least."""
+    return -(-round(100 * threshold) * n // 100)
+
+
+@lru_cache(maxsize=1000)
+def _chosen(prefix: int, length: int) -> np.ndarray:
+    return np.array(list(combinations(range(prefix), length)))
+
+
+def small_keys(hashes: np.ndarray, threshold: float) -> np.ndarray:
+    """Keys of a small set's sorted hashes, one of which it shares with each small set that is similar to it.
+
+    Similar sets have at least c hashes in common, so the k least of these are among the n - c + k least of either. A key
+    is made of k of those hashes: four, or one where the threshold lets sets be similar that have fewer in common.
+    """
+    n, length = len(hashes), KEY_HASHES if round(100 * threshold) > 75 else 1
+    common = _least_common(n, threshold)
+    # Below four, sets with so many in common are equal, and one node.
+    if n > SMALL or common < length:
+        return np.zeros(0, np.uint64)
+    chosen = hashes[_chosen(n - common + length, length)]
+    keys = np.full(len(chosen), BANDS + 1, np.uint64)
+    for i in range(length):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + chosen[:, i])
+    return keys
+
+
 def chance_matches(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Probability that registers of two disjoint sets of these sizes agree."""
     upper = 2.0 ** -np.arange(40)
@@ -121,30 +155,49 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (equal / np.maximum(used, 1) - chance) / (1 - chance)
 
 
-def _sketch_columns(n: int):
+def _sketch_columns(n: int, threshold: float):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, sketches = [], [], []
+            sizes, digests, sketches, keys = [], [], [], []
             for hashes in shingle_sets(batch, n):
                 sizes.append(len(hashes))
                 digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
                 sketches.append(registers(hashes).tobytes() if len(hashes) else None)
+                keys.append(small_keys(hashes, threshold).tobytes() if 0 < len(hashes) <= SMALL else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "sketch"],
+                [
+                    batch.column(0),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(digests, pa.binary()),
+                    pa.array(sketches, pa.binary()),
+                    pa.array(keys, pa.binary()),
+                ],
+                ["doc_id", "n_shingles", "digest", "sketch", "keys"],
             )
 
     return sketch
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first in range(0, len(batch), 1024):
-            part = batch.slice(first, 1024)
-            sketches = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            keys = band_keys(sketches).view(np.int64).ravel()
-            node = np.repeat(part.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node)], ["band", "node"])
+def _bands(threshold: float):
+    """Bands of the sets that may be similar to one above the small ones, and exact keys of the small sets."""
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = _least_common(SMALL + 1, threshold)
+        for batch in batches:
+            for first in range(0, len(batch), 1024):
+                part = batch.slice(first, 1024)
+                nodes = part.column(0).to_numpy()
+                large = np.flatnonzero(part.column(1).to_numpy() >= least)
+                packed = part.column(2).take(pa.array(large)).to_pylist()
+                sketches = np.frombuffer(b"".join(packed), np.uint16).reshape(-1, BUCKETS)
+                banded = band_keys(sketches).view(np.int64).ravel()
+                small = [np.frombuffer(k or b"", np.int64) for k in part.column(3).to_pylist()]
+                found = np.concatenate([banded, *small])
+                node = np.r_[np.repeat(nodes[large], BANDS), np.repeat(nodes, [len(k) for k in small])]
+                exact = np.arange(len(found)) >= len(banded)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(node), pa.array(exact)], ["band", "node", "exact"])
+
+    return bands
 
 
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +223,33 @@ class _Block:
         self.nodes, self.sets, self.threshold = nodes, sets, threshold
         self.size = np.array(sizes)
         self.sketch = np.frombuffer(b"".join(sketches), np.uint16).reshape(-1, BUCKETS)
+        #: Hashes of the small sets, filled up by values that agree with nothing; none without full sets.
+        self.few = None if sets is None else self._few()
         first: dict[int, int] = {}
         self.parent = [first.setdefault(label, i) for i, label in enumerate(labels)]
 
+    def _few(self) -> np.ndarray:
+        own = np.flatnonzero(self.size <= SMALL)
+        self.small = self.size <= SMALL
+        self.row = np.cumsum(self.small) - 1
+        few = np.zeros((len(own), SMALL), np.uint64)
+        for k, i in enumerate(own):
+            few[k, : len(self.sets[i])] = self.sets[i]
+        return few
+
+    def exact(self, part: np.ndarray, close: np.ndarray) -> None:
+        """Put the true similarity in place of the estimate for pairs of small sets."""
+        rows, columns = np.flatnonzero(self.small[part]), np.flatnonzero(self.small)
+        if not len(rows):
+            return
+        a = self.few[self.row[part[rows]]]
+        common = np.zeros((len(rows), len(columns)), np.int64)
+        for k in range(SMALL):
+            one = a[:, k][:, None, None]
+            common += ((self.few[None] == one) & (one != 0)).any(axis=2)
+        sizes = self.size[part[rows]][:, None] + self.size[columns][None, :]
+        close[np.ix_(rows, columns)] = common / (sizes - common)
+
     def root(self, i: int) -> int:
         while self.parent[i] != i:
             self.parent[i] = self.parent[self.parent[i]]
@@ -201,6 +278,7 @@ class _Block:
                 self.size[part][:, None], self.size[columns][None, :],
             )
             if self.sets is not None:
+                self.exact(part, close)
                 least = np.minimum(self.size[part][:, None], self.size[columns][None, :])
                 most = np.maximum(self.size[part][:, None], self.size[columns][None, :])
                 close[least < (self.threshold - 1e-9) * most] = -1
@@ -268,15 +346,18 @@ def near_duplicates(
     """
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketched = workspace.save(
-        source.mapInArrow(_sketch_columns(shingle), "doc_id long, n_shingles long, digest binary, sketch binary"), "sketches"
+        source.mapInArrow(
+            _sketch_columns(shingle, threshold), "doc_id long, n_shingles long, digest binary, sketch binary, keys binary"
+        ),
+        "sketches",
     )
     nodes = workspace.save(
         sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")),
+        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")),
         "nodes",
     )
-    families = _families(nodes, workspace).join(nodes.select("node", "n"), "node")
+    families = _families(nodes, workspace, threshold).join(nodes.select("node", "n"), "node")
     links = _links(source, families, workspace, shingle, threshold)
     component = connected_components(links, workspace) if links is not None else None
 
@@ -302,16 +383,19 @@ def near_duplicates(
     )
 
 
-def _families(nodes: DataFrame, workspace: Workspace) -> DataFrame:
+def _families(nodes: DataFrame, workspace: Workspace, threshold: float) -> DataFrame:
     """``node, component`` of nodes that share bands with others, directly or over others, and look alike.
 
-    A band's members are held against its smallest node; those that differ from it are then compared in blocks.
+    A band's members are held against its smallest node; those that differ from it are then compared in blocks. Small
+    sets that share an exact key are one family whatever their estimates.
     """
     sketches = nodes.select("node", "n", "sketch")
-    bands = nodes.select("node", "sketch").mapInArrow(_bands, "band long, node long")
+    bands = nodes.select("node", "n", "sketch", "keys").mapInArrow(_bands(threshold), "band long, node long, exact boolean")
     shared = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last")
     shared = workspace.save(shared.select("band", "center"), "shared")
     members = workspace.save(bands.join(shared, "band").where("node <> center"), "members")
+    kin = members.where("exact").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    members = members.where(~F.col("exact"))
     pairs = workspace.save(members.select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
     half = pairs.join(
         sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b"
@@ -337,6 +421,7 @@ def _families(nodes: DataFrame, workspace: Workspace) -> DataFrame:
     )
     pairs = workspace.save(pairs, "rest_pairs").join(sketches, "node")
     rows = pairs.withColumns({"label": F.col("node"), "hashes": F.lit(None).cast("binary")})
+    near = near.unionByName(kin)
     return connected_components(near.unionByName(workspace.save(_compared(rows, FAMILY), "alike")), workspace)
 
 

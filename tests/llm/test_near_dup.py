@@ -117,3 +117,30 @@ def test_connected_components(spark, workspace):
     df = spark.createDataFrame(links, "a long, b long")
     assert {tuple(r) for r in connected_components(df, workspace).collect()} == set(expected.items())
     assert connected_components(df.limit(0), workspace).count() == 0
+
+
+def similar_pairs(draw, sizes, copies):
+    """Pairs of random sets at a Jaccard similarity of 0.8 or a little more: hashes in common, and those of one only."""
+    for common, left, right in sizes:
+        for _ in range(copies):
+            pool = mix(draw.integers(0, 2**63, common + left + right, dtype=np.uint64))
+            yield np.sort(pool[: common + left]), np.sort(np.r_[pool[:common], pool[common + left :]])
+
+
+def test_small_sets_always_share_a_key():
+    sizes = [(4, 0, 1), (5, 0, 1), (8, 1, 1), (8, 0, 2), (9, 1, 1), (12, 0, 3), (12, 1, 2), (13, 0, 3), (16, 1, 3), (16, 2, 2)]
+    for a, b in similar_pairs(np.random.default_rng(3), sizes, 300):
+        assert set(near_dup.small_keys(a, 0.8)) & set(near_dup.small_keys(b, 0.8))
+    for a, b in similar_pairs(np.random.default_rng(4), [(2, 0, 1), (3, 1, 1), (4, 0, 4), (9, 2, 3)], 100):
+        assert set(near_dup.small_keys(a, 0.5)) & set(near_dup.small_keys(b, 0.5))
+
+
+def test_very_short_texts(spark, workspace):
+    """Pairs of texts that differ by one word at the end: 4 and 5 shingles, of which bands lost about one in 65."""
+    rows = []
+    for i in range(1500):
+        words = [f"w{i}x{k}" for k in range(6)]
+        rows += [(2 * i, " ".join(words[:5])), (2 * i + 1, " ".join(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_duplicates(df, workspace, shingle=2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(i, i - i % 2) for i in range(3000)]
