@@ -2,8 +2,10 @@
 
 A paragraph is a line of a text. A sparse logistic regression over words and pairs of words, trained on spans of the
 templates below and on paragraphs of the corpus as the unknown class, gives each paragraph a licence family; a
-temperature fitted on examples kept back calibrates it. A family is reported only if the paragraph's pairs of words are
-mostly pairs of that family's templates.
+temperature fitted on examples kept back calibrates it. What is classified are the stretches of a paragraph whose pairs of
+words are mostly pairs of templates, wherever they lie in it, and the paragraph itself if it is such a stretch. A family is
+reported only if most of the stretch's pairs are that family's, and it has a telling pair of the family or covers half of
+one of its longer templates.
 """
 
 from __future__ import annotations
@@ -28,12 +30,16 @@ TEMPLATES = {
         "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
         "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "SPDX-License-Identifier: MIT",
+        "Distributed under the MIT License (MIT), available at https://opensource.org/licenses/MIT",
+        "Code is available under the MIT licence.",
     ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with "
         "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "This software is distributed under the Apache 2.0 license.",
+        "Released under the terms of the Apache License 2.0, on an as is basis, without warranties or conditions of any kind.",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -42,28 +48,38 @@ TEMPLATES = {
         "later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "SPDX-License-Identifier: GPL-2.0-only",
+        "Distributed under the terms of the GNU GPL version 2 or later.",
+        "Released under the GPLv3 license, see https://www.gnu.org/licenses/gpl-3.0.html",
+        "Licensed under the GPLv2.",
     ),
     "lgpl": (
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
         "Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "Released under the terms of the GNU LGPL version 3 or later.",
+        "Licensed under the LGPLv3 license.",
     ),
     "agpl": (
         "Licensed under the GNU Affero General Public License, version 3.",
         "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License.",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "Released under the terms of the GNU AGPL version 3.",
+        "Licensed under the AGPLv3 license.",
     ),
     "bsd": (
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met: redistributions of source code must retain the above copyright notice.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Distributed under the terms of the BSD license.",
+        "Released under the simplified BSD 2-Clause License, or a BSD-style license.",
     ),
     "mpl-2.0": (
         "Licensed under the Mozilla Public License, version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "Distributed under the MPL 2.0 license, available at https://mozilla.org/MPL/2.0/",
     ),
     "isc": (
         "Released under the ISC License.",
@@ -72,18 +88,22 @@ TEMPLATES = {
     ),
     "cc-by": (
         "Licensed under CC BY 4.0.",
+        "Available under the CC BY 3.0 license at https://creativecommons.org/licenses/by/4.0/",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ),
     "cc-by-sa": (
         "Licensed under CC BY-SA 4.0.",
+        "Available under the CC BY-SA 3.0 license at https://creativecommons.org/licenses/by-sa/4.0/",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
     "cc-by-nc": (
         "Licensed under CC BY-NC 4.0.",
+        "Available under the CC BY-NC 3.0 license at https://creativecommons.org/licenses/by-nc/4.0/",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
     "cc-by-nd": (
         "Licensed under CC BY-ND 4.0.",
+        "Available under the CC BY-ND 3.0 license at https://creativecommons.org/licenses/by-nd/4.0/",
         "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     ),
     "cc0": (
@@ -98,6 +118,33 @@ TEMPLATES = {
     ),
 }
 UNKNOWN = "unknown"
+#: Pairs of words that tell a family, all of them parts of its templates.
+TELLING = {
+    "mit": "mit license, mit licence, identifier mit, license mit, licenses mit",
+    "apache-2.0": "apache license, apache licence, apache 2, apache org",
+    "gpl": "general public, gnu gpl, gpl 3, gpl 2, gpl version, the gplv3, the gplv2, gplv3 license",
+    "lgpl": "lesser general, gnu lgpl, lgpl 2, lgpl version, the lgplv3",
+    "agpl": "affero general, gnu agpl, agpl 3, agpl version, the agplv3",
+    "bsd": "bsd 3, bsd 2, bsd license, bsd licence, bsd style",
+    "mpl-2.0": "mozilla public, mpl 2",
+    "isc": "isc license",
+    "cc-by": "cc by, commons attribution",
+    "cc-by-sa": "by sa, attribution sharealike",
+    "cc-by-nc": "by nc, attribution noncommercial",
+    "cc-by-nd": "by nd, attribution noderivatives",
+    "cc0": "under cc0, cc0 1",
+    "unlicense": "and unencumbered, unencumbered software",
+    "proprietary": "rights reserved",
+}
+#: Pairs by which a notice is of a narrower family than this one.
+NARROWER = {"gpl": ("lgpl", "agpl"), "cc-by": ("cc-by-sa", "cc-by-nc", "cc-by-nd")}
+#: Pairs one of which must stand beside the telling pair of a family, whose short names are words elsewhere.
+BESIDE = {f: "cc by, creative commons, commons attribution, licenses by" for f in ("cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd")}
+#: Pairs from which on a template is long enough to be told by its coverage, and the share that tells it.
+LONG_TEMPLATE = 12
+COVERED = 0.5
+#: Places of template pairs that belong to one stretch differ by at most so many.
+GAPS = (1, 3)
 #: Documents whose paragraphs stand for the unknown class, and examples made of each template.
 SAMPLE_DOCUMENTS = 300
 SAMPLE_PARAGRAPHS = 3000
@@ -115,6 +162,10 @@ class Classifier:
     temperature: float
     pairs: dict[str, np.ndarray]  # sorted hashes of each family's pairs
     all_pairs: np.ndarray
+    telling: dict[str, np.ndarray]
+    all_telling: np.ndarray
+    long_templates: dict[str, list[np.ndarray]]
+    beside: dict[str, np.ndarray]
 
     def probabilities(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         return _softmax(self.row(words, pairs) @ self.weights / self.temperature)
@@ -130,16 +181,32 @@ class Classifier:
         return out
 
     def family(self, words: np.ndarray, pairs: np.ndarray) -> tuple[str, float]:
-        """The confirmed family of a paragraph and its probability."""
+        """The confirmed family of a stretch of words and its probability among those that its pairs tell, and none."""
         probability = self.probabilities(words, pairs)
-        best = int(probability.argmax())
-        name = self.families[best]
-        if name == UNKNOWN or probability[best] < PROBABLE or not len(pairs):
+        told = [i for i, name in enumerate(self.families[:-1]) if self.told(name, pairs)] if len(pairs) else []
+        if not told:
             return UNKNOWN, float(probability[-1])
-        if _among(pairs, self.pairs[name]).mean() < CONFIRMED:
+        probability /= probability[told].sum() + probability[-1]
+        best = max(told, key=lambda i: probability[i])
+        name = self.families[best]
+        if probability[best] < PROBABLE or _among(pairs, self.pairs[name]).mean() < CONFIRMED:
             return UNKNOWN, float(probability[-1])
         return name, float(probability[best])
 
+    def tells(self, text: str) -> bool:
+        """Whether any family has a telling pair in the text."""
+        pairs = _hashes(text.encode())[1]
+        return bool(len(pairs)) and bool(_among(pairs, self.all_telling).any())
+
+    def told(self, name: str, pairs: np.ndarray) -> bool:
+        """Whether a telling pair or most of a longer template says that it is this family and no narrower one."""
+        if any(_among(pairs, self.telling[n]).any() for n in NARROWER.get(name, ())):
+            return False
+        if name in BESIDE and (len(pairs) < 2 or not _among(pairs, self.beside[name]).any()):
+            return False
+        covered = any(np.isin(t, pairs).mean() >= COVERED for t in self.long_templates[name])
+        return covered or bool(_among(pairs, self.telling[name]).any())
+
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
@@ -163,7 +230,14 @@ def trained(paragraphs: list[str], seed: int = 5) -> Classifier:
     pairs = {f: np.unique(np.concatenate([p for _, p in rows])) for f, rows in hashed.items()}
     all_pairs = np.unique(np.concatenate(list(pairs.values())))
     features = np.unique(np.concatenate([all_pairs, *(w for rows in hashed.values() for w, _ in rows)]))
-    model = Classifier(families, features, np.zeros((len(features) + 1, len(families)), np.float32), 1.0, pairs, all_pairs)
+    telling, beside = (
+        {f: np.unique(np.concatenate([_hashes(t.encode())[1] for t in phrases.split(", ")])) for f, phrases in known.items()}
+        for known in (TELLING, BESIDE)
+    )
+    all_telling = np.unique(np.concatenate(list(telling.values())))
+    long_templates = {f: [q for q in (np.unique(p) for _, p in rows) if len(q) >= LONG_TEMPLATE] for f, rows in hashed.items()}
+    weights = np.zeros((len(features) + 1, len(families)), np.float32)
+    model = Classifier(families, features, weights, 1.0, pairs, all_pairs, telling, all_telling, long_templates, beside)
 
     rows, labels = [], []
 
@@ -183,9 +257,18 @@ def trained(paragraphs: list[str], seed: int = 5) -> Classifier:
                 example(part, label)
                 # Words of the same licence in no order name none.
                 if draw.random() < 0.3:
-                    example(list(draw.permutation([w for w in words if draw.random() < 0.4] or words[:1])), len(families) - 1)
+                    mixed = [str(w) for w in draw.permutation([w for w in words if draw.random() < 0.4] or words[:1])]
+                    # By chance they may be told all the same.
+                    if not model.tells(" ".join(mixed)):
+                        example(mixed, len(families) - 1)
+        for phrase in TELLING[families[label]].split(", "):
+            for start in ("", "the ", "under the ") * 5:
+                example((start + phrase).split(), label)
     for text in paragraphs:
         words, own = _hashes(text.encode())
+        # Prose around a notice is no example of what names none.
+        if _among(own, all_telling).any():
+            continue
         if not len(own) or _among(own, all_pairs).mean() < CONFIRMED:
             rows.append(model.row(words, own))
             labels.append(len(families) - 1)
@@ -213,11 +296,27 @@ def _paragraph_bounds(words: Words) -> np.ndarray:
     return np.r_[0, np.flatnonzero(change) + 1, len(words.start)]
 
 
+def _stretches(model: Classifier, grams: np.ndarray, own: np.ndarray, paragraph: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last pair of each stretch of template pairs in a paragraph that may be told, by smaller and larger gaps."""
+    at = np.flatnonzero(own)
+    if not len(at):
+        return
+    telling = _among(grams[at], model.all_telling)
+    least = int(COVERED * LONG_TEMPLATE)
+    for gap in GAPS:
+        first = np.flatnonzero(np.r_[True, (np.diff(at) > gap) | (np.diff(paragraph[at]) != 0)])
+        last = np.r_[first[1:], len(at)] - 1
+        told = np.add.reduceat(telling.astype(np.int64), first) > 0
+        for k in np.flatnonzero(told | (last - first + 1 >= least)):
+            yield int(at[first[k]]), int(at[last[k]])
+
+
 def _scan(model: Classifier):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_column(batch, "text")
             found: list[list[tuple[str, float]]] = [[] for _ in range(len(batch))]
+            confirmed: list[set[int]] = [set() for _ in range(len(batch))]
             for first, last in pieces(offsets):
                 words = find_words(data, offsets[first : last + 1], ALPHANUMERIC)
                 if len(words.start) < 2:
@@ -226,13 +325,19 @@ def _scan(model: Classifier):
                 grams = gram_hashes(words, 2)
                 own = _among(grams, model.all_pairs)
                 own[bounds[1:-1] - 1] = False  # pairs that reach into the next paragraph
+                paragraph = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 hits = np.add.reduceat(np.r_[own, False], bounds[:-1])
-                # A family that is confirmed has most of the paragraph's pairs; others need no classifying.
-                for k in np.flatnonzero((hits > 0) & (hits >= CONFIRMED * (np.diff(bounds) - 1))):
-                    a, b = bounds[k], bounds[k + 1]
-                    name, probability = model.family(words.hash[a:b], grams[a : b - 1])
+                # A family that is confirmed has most of the pairs; others need no classifying.
+                whole = [
+                    (bounds[k], bounds[k + 1] - 2)
+                    for k in np.flatnonzero((hits > 0) & (hits >= CONFIRMED * (np.diff(bounds) - 1)))
+                ]
+                for a, b in {*whole, *_stretches(model, grams, own, paragraph[:-1])}:
+                    name, probability = model.family(words.hash[a : b + 2], grams[a : b + 1])
                     if name != UNKNOWN:
-                        found[first + int(words.text[a])].append((name, probability))
+                        row = first + int(words.text[a])
+                        found[row].append((name, probability))
+                        confirmed[row].add(int(paragraph[a]))
             families = [sorted({n for n, _ in f}) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -240,7 +345,7 @@ def _scan(model: Classifier):
                     pa.array([max(f, key=lambda x: (x[1], x[0]))[0] if f else UNKNOWN for f in found], pa.string()),
                     pa.array([max((p for _, p in f), default=0.0) for f in found], pa.float64()),
                     pa.array([",".join(f) for f in families], pa.string()),
-                    pa.array([len(f) for f in found], pa.int64()),
+                    pa.array([len(c) for c in confirmed], pa.int64()),
                 ],
                 ["doc_id", "license", "score", "families", "n_paragraphs"],
             )

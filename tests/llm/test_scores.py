@@ -147,3 +147,26 @@ def test_templates_name_themselves():
     model = licenses.trained(["a line of prose that names no licence"])
     for family, texts in licenses.TEMPLATES.items():
         assert model.family(*licenses._hashes(texts[0].encode()))[0] == family
+
+
+def test_notices_inside_prose(spark):
+    """Notices that are no line of their own and not a template's words."""
+    prose = "The river ran past the old mill, and nobody in the village had any idea of what it carried to the sea. " * 3
+    texts = {
+        1: "Copyright 2019 Jane Doe and contributors. Released under the MIT License. See the LICENSE file for the full terms and the list of authors.",
+        2: f"{prose}All pictures may be used under CC BY-SA 4.0, the text is by others. {prose}",
+        3: f"{prose}You may copy the code under the terms of the GNU Lesser General Public License if you like. {prose}",
+        4: f"{prose}Choose either the MIT license. {prose}Or, if you wish, take the Apache License, Version 2.0. {prose}",
+        5: prose * 20 + "It is under the GNU General Public License, version 3. " + prose * 20,
+        6: f"{prose}Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        f"documentation files, to deal in the Software without restriction, including without limitation the rights to use. {prose}",
+        7: prose + "The terms of the license were kept under the table; the rights of the author and of the public are at stake.",
+        8: "He said that the permission of the publisher, and a copy of the work, is free for any purpose in the domain.",
+        9: prose + "Standing by nd in the road. " + prose,
+    }
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: (r.families, r.n_paragraphs) for r in license_scan(rows).collect()}
+    assert found == {
+        1: ("mit", 1), 2: ("cc-by-sa", 1), 3: ("lgpl", 1), 4: ("apache-2.0,mit", 1), 5: ("gpl", 1), 6: ("mit", 1),
+        7: ("", 0), 8: ("", 0), 9: ("", 0),
+    }
