@@ -202,7 +202,7 @@ def learned_lexicon(texts: list[str], labels: np.ndarray) -> tuple[list[str], li
             forms = [n for w, n in counts[1].items() if w.startswith(stem)]
             if len(forms) > 2 and max(forms) < 0.7 * sum(forms):
                 stems.append(stem)
-    terms = [t for t in terms if not any(t.startswith(s) for s in stems)]
+    # Terms that a stem covers stay: a stem allows fewer edits, and none in its own first letters.
     automaton = Automaton(terms, stems)
     innocent = {w for w, n in counts[0].items() if n > 1 and any(automaton.match(w)) and min(d for _, d in automaton.match(w))}
     values = np.array([*(odds(counts, t) for t in terms), *(odds(prefixes, s) for s in stems)])

@@ -170,3 +170,17 @@ def test_notices_inside_prose(spark):
         1: ("mit", 1), 2: ("cc-by-sa", 1), 3: ("lgpl", 1), 4: ("apache-2.0,mit", 1), 5: ("gpl", 1), 6: ("mit", 1),
         7: ("", 0), 8: ("", 0), 9: ("", 0),
     }
+
+
+def test_terms_that_a_stem_covers_tolerate_misspelling():
+    """The stem allows no edit; the whole words keep their own."""
+    rng = random.Random(1)
+    forms = ["hatebound", "hatemonger", "hatestorm", "hateful"]
+    # Words of their own keep the texts from counting as near copies.
+    own = lambda: " ".join("".join(rng.choices("bcdfgklmnp", k=7)) for _ in range(6))
+    texts = [f"{w} {own()}" for _ in range(12) for w in forms] + [f"calm {own()}" for _ in range(60)]
+    lexicon = toxicity.learned_lexicon(texts, np.array([1] * 48 + [0] * 60))
+    assert "hate" in lexicon[1] and "hatebound" in lexicon[0]
+    scorer = Scorer(*lexicon)
+    assert 0 < scorer.word_score("hxtebound") < scorer.word_score("hatebound")
+    assert scorer.word_score("hatebounds") > 0
