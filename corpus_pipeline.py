@@ -43,17 +43,29 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates over five-word shingles; of rows that repeat an id, one."""
+    """One document of each group of near-duplicates over five-word shingles; of rows that repeat id and text, one.
+
+    Rows that repeat an id with different texts are different documents, each judged by its own text.
+    """
     workspace = Workspace(spark)
-    judged = workspace.save(near_duplicates(docs, workspace), "judged")
-    gone = saved_broadcast(judged.where(~F.col("kept")).select("doc_id").distinct(), workspace, "gone")
-    repeated = judged.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = workspace.save(repeated, "repeated")
-    left = docs.join(gone, "doc_id", "left_anti")
-    if not repeated.isEmpty():
-        again = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        left = left.join(repeated, "doc_id", "left_anti").unionByName(again)
-    return left.select(docs.columns)
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", text_digest(F.col("text")).alias("__digest"))
+    repeated = workspace.save(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    if repeated.isEmpty():
+        judged = near_duplicates(docs, workspace)
+        gone = saved_broadcast(judged.where(~F.col("kept")).select("doc_id").distinct(), workspace, "gone")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # Numbers in order of id and text take the place of ids, so that the smallest id still stays.
+    order = ["doc_id", "__digest"]
+    numbers = named.distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    numbers = workspace.save(numbers.withColumn("__number", F.monotonically_increasing_id()), "numbers")
+    numbers = numbers.withColumnsRenamed({"doc_id": "__id", "__digest": "__of"})
+    same = (F.col("doc_id") == F.col("__id")) & (text_digest(F.col("text")) == F.col("__of"))
+    numbered = workspace.save(docs.join(numbers, same, "left").drop("__id", "__of"), "numbered")
+    judged = near_duplicates(numbered, workspace, id="__number")
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__number")).distinct()
+    left = numbered.join(saved_broadcast(gone, workspace, "gone"), "__number", "left_anti")
+    once = left.where("__number IS NOT NULL").dropDuplicates(["__number"])
+    return once.unionByName(left.where("__number IS NULL")).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,16 @@ def test_one_of_each_group_stays(spark, docs):
     assert ids.count(1) == 1 and 2 not in ids and 9 not in ids
 
 
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    """What is gone is a row, not all rows of its id; a text of its own stays, under whatever id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b), (6, b + " more"), (7, c), (7, None), (7, None), (7, ""), (None, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()]
+    expected = [(1, a), (5, b), (7, c), (7, None), (7, ""), (None, a), (None, a)]
+    assert sorted(left, key=str) == sorted(expected, key=str)
+
+
 def test_benchmark_passages_go(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
