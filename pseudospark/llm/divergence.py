@@ -28,8 +28,8 @@ LEAST_DOCUMENTS = 3
 TERM_RANKS = 200
 #: Entries that a task counts before it sends them on.
 COUNTED = 200_000
-#: Postings of one block of the index.
-BLOCK_POSTINGS = 500_000
+#: Least postings of one block of the index; a block has no fewer than the dense rows it fills have places.
+BLOCK_POSTINGS = 16_384
 #: Places of all dense arrays that one task fills.
 PLACES = 4_000_000
 
@@ -238,7 +238,7 @@ def _pairs(groups: DataFrame, posting: DataFrame, workspace: Workspace) -> DataF
     size = F.greatest(F.lit(1), F.expr(f"{PLACES} div n_groups")).cast("int")
     shaped = groups.select(
         "lang", "source", "number", "total", "terms", size.alias("range_size"),
-        F.expr(f"1 + n_postings div {BLOCK_POSTINGS}").alias("n_blocks"),
+        F.expr(f"1 + n_postings div greatest({BLOCK_POSTINGS}, n_groups * n_groups)").alias("n_blocks"),
         F.expr(f"(n_groups - 1) div greatest(1, {PLACES} div n_groups)").alias("last_range"),
     )
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))

@@ -64,7 +64,7 @@ def expected(rows, ranks=200):
     return out
 
 
-@pytest.mark.parametrize("postings, places", [(500_000, 4_000_000), (7, 4_000_000), (20, 9), (3, 1)])
+@pytest.mark.parametrize("postings, places", [(16_384, 4_000_000), (7, 4_000_000), (20, 9), (3, 1)])
 def test_against_dense_sums(docs, workspace, monkeypatch, postings, places):
     """In one block, and cut into many blocks of terms and ranges of groups."""
     monkeypatch.setattr(module, "BLOCK_POSTINGS", postings)
