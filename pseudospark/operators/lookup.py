@@ -1,14 +1,16 @@
 """Reading the store: pages, counts and reverse lookup."""
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pseudospark.operators.ordered import numbered
 from pseudospark.operators.resolve import broadcast_if_small
-from pseudospark.operators.store import first_reverse
+from pseudospark.operators.store import EPOCH, MappingStore, first_reverse
+from pseudospark.schemas import PSEUDONYM_COLUMNS, PSEUDONYM_SCHEMA
 from pseudospark.sources.files import Workspace
 
 DEFAULT_PAGE_SIZE = 25
@@ -80,6 +82,47 @@ def page(
     return Page(summary(rows), next_cursor(rows, size), total)
 
 
+def stored_page(
+    store: MappingStore,
+    namespace: str,
+    cursor: Cursor | None = None,
+    size: int = 0,
+    with_total: bool = False,
+) -> Page:
+    """As ``page``, by the times of the store's batches: the newest are read first, each reading four times as many as the
+    one before, until no batch left can hold a row of the page. Items and cursor come of the same reading; a page's rows
+    are on the driver while it is put together."""
+    wanted = effective_page_size(size)
+    left = store.batches(namespace)
+    if cursor is not None:
+        before = (cursor.created_at.astimezone(EPOCH.tzinfo) - EPOCH) // timedelta(microseconds=1)
+        left = [b for b in left if b.least is not None and b.least <= before]
+    rows: list[tuple] = []
+    step = 1
+    while left:
+        if len(rows) == wanted:
+            oldest = rows[-1][0]
+            left = [b for b in left if oldest is None or b.greatest is not None and b.greatest >= oldest]
+        some, left = left[:step], left[step:]
+        if some:
+            found = page_rows(store.read_batches(some, namespace), namespace, cursor, size)
+            found = found.select(F.unix_micros("created_at").alias("at"), *PSEUDONYM_COLUMNS).collect()
+            rows = sorted([*rows, *map(tuple, found)], key=_newest_first, reverse=True)[:wanted]
+        step *= 4
+    names = ["at", *PSEUDONYM_COLUMNS]
+    items = [dict(zip(names, row)) for row in rows]
+    schema = StructType([PSEUDONYM_SCHEMA[c] for c in PSEUDONYM_COLUMNS])
+    frame = store.spark.createDataFrame([row[1:] for row in rows], schema)
+    last = Cursor(items[-1]["created_at"], items[-1]["original_value"]) if len(items) == wanted else None
+    total = count_one(store.read([namespace]), namespace).first()["n"] if with_total else None
+    return Page(summary(frame), last, total)
+
+
+def _newest_first(row: tuple) -> tuple:
+    at, original = row[0], row[1 + PSEUDONYM_COLUMNS.index("original_value")]
+    return at is not None, at or 0, original.encode()
+
+
 def page_sweep(mappings: DataFrame, size: int, workspace: Workspace) -> DataFrame:
     """Every mapping with the number of the page that shows it, all namespaces at once."""
     order = [F.col("created_at").desc(), F.col("original_value").desc()]

@@ -16,10 +16,11 @@ HOT_KEY_BYTES = 8 * 1024 * 1024
 SALTS = 16
 
 
-def text_bytes(*columns: str) -> Column:
-    """Measured size of a table's text columns, for broadcast decisions."""
+def text_bytes(*columns: str, where: Column | None = None) -> Column:
+    """Measured size of a table's text columns (in some of its rows), for broadcast decisions."""
     sizes = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)).cast("long") for c in columns]
-    return F.coalesce(F.sum(reduce(lambda a, b: a + b, sizes) + ROW_OVERHEAD), F.lit(0))
+    size = reduce(lambda a, b: a + b, sizes) + ROW_OVERHEAD
+    return F.coalesce(F.sum(size if where is None else F.when(where, size)), F.lit(0))
 
 
 def measure(df: DataFrame, *columns: str) -> int:

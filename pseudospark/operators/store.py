@@ -1,19 +1,24 @@
 """The mapping store: (namespace, original value) -> pseudonym, first writer wins.
 
-A store is a folder of Parquet batches, ``generation=G/batch_id=B/namespace_name=N``. A batch is written to a staging
-folder, checked there, and then moved to its place, so neither readers nor streams ever see an unfinished one. Readers
-take the newest generation; compaction starts a new one. One writer per store at a time: plain Parquet has no unique
-constraint.
+A store is a folder of Parquet batches, ``generation=G.N/batch_id=B/namespace_name=X``, whose files are cut into N buckets by
+a hash of the key, and once more below ``reverse/``, cut by a hash of the pseudonym. Few keys read the files of their own
+buckets only; many are joined bucket by bucket, so that the requests are shuffled and the store is not. A batch is
+written to a staging folder, checked there, and then moved to its places, the reverse one first, so neither readers nor
+streams ever see an unfinished one. Readers take the newest generation; compaction starts a new one. One writer per
+store at a time: plain Parquet has no unique constraint.
 """
 
 import uuid
-from dataclasses import dataclass
-from urllib.parse import quote
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
+from datetime import datetime, timedelta, timezone
+from urllib.parse import quote, unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from pseudospark.functions.generators import fixed_length, generate, with_affixes
+from pseudospark.functions.generators import GENERATORS, fixed_length, generate, with_affixes
 from pseudospark.functions.text import is_blank
 from pseudospark.operators.resolve import BROADCAST_BYTES, broadcast_if_small, text_bytes
 from pseudospark.schemas import PSEUDONYM_COLUMNS, PSEUDONYM_SCHEMA
@@ -21,7 +26,36 @@ from pseudospark.sources import files
 from pseudospark.sources.files import Workspace
 
 KEYS = ["namespace_name", "original_value"]
-PRUNED_NAMESPACES = 500  # up to this many are named in the scan's partition filter
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+BUCKETS = 8
+#: A batch of so many keys is written by one task; larger ones are dealt to tasks by bucket.
+ONE_TASK_ROWS = 20_000
+#: Compaction cuts the store into batches of about so many rows, by time.
+SLICE_ROWS = 50_000_000
+MOST_SLICES = 64
+#: A catalogue of so many namespaces is kept on the driver, so that it is read once; of so many it is part of the plan.
+LOCAL_NAMESPACES = 2_000
+INLINE_NAMESPACES = 32
+
+
+@dataclass(frozen=True)
+class Layout:
+    """One of the two ways in which a store's rows are cut into buckets."""
+
+    folder: str
+    keys: tuple[str, str]
+    hash: str
+
+    def hashed(self) -> Column:
+        return F.xxhash64(*self.keys)
+
+    def bucket(self, buckets: int) -> Column:
+        """The bucket that Spark writes a row to."""
+        return F.pmod(F.hash(self.hashed()), F.lit(buckets))
+
+
+BY_KEY = Layout("", ("namespace_name", "original_value"), "key_hash")
+BY_PSEUDONYM = Layout("reverse/", ("namespace_name", "pseudonym_value"), "pseudonym_hash")
 
 
 def distinct_requests(requests: DataFrame) -> DataFrame:
@@ -38,13 +72,13 @@ def pick_misses(requests: DataFrame, hits: DataFrame) -> DataFrame:
     return requests.join(hits.select(*KEYS), KEYS, "left_anti")
 
 
-def first_reverse(mappings: DataFrame) -> DataFrame:
+def first_reverse(mappings: DataFrame, *also: str) -> DataFrame:
     """One row per (namespace, pseudonym): the earliest original, smallest first among equals.
 
     Pseudonyms are not unique, and joining on them directly would multiply rows.
     """
     return (
-        mappings.groupBy("namespace_name", "pseudonym_value")
+        mappings.groupBy(*also, "namespace_name", "pseudonym_value")
         .agg(F.min(F.struct("created_at", "original_value")).alias("first"))
         .select(
             "namespace_name",
@@ -55,11 +89,45 @@ def first_reverse(mappings: DataFrame) -> DataFrame:
     )
 
 
+def observed(seen: Observation) -> dict:
+    """What an observation saw while its table was written; nothing if there was nothing to do."""
+    return {name: value for name, value in seen.get.items() if value is not None}
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """The buckets that some keys fall into, gathered by an aggregate of bits while the keys are written."""
+
+    layout: Layout
+    number: int
+
+    def metrics(self) -> list[Column]:
+        bucket = self.layout.bucket(self.number)
+        words = range((self.number + 63) // 64)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (bucket % 64).cast("int"))
+        return [F.bit_or(F.when(F.floor(bucket / 64) == w, bit)).alias(f"buckets{w}") for w in words]
+
+    def wanted(self, stats: dict) -> list[int]:
+        masks = [stats.get(f"buckets{w}", 0) for w in range((self.number + 63) // 64)]
+        return [b for b in range(self.number) if masks[b // 64] >> (b % 64) & 1]
+
+
+@dataclass(frozen=True)
+class Batch:
+    """A published batch and the times of its rows, in microseconds."""
+
+    folder: str
+    least: int | None
+    greatest: int | None
+
+
 @dataclass(frozen=True)
 class Upserted:
     """Every requested key with its pseudonym; ``is_new`` tells the ones this call stored.
 
-    ``cells`` counts the requests, repeated ones each time, and ``missing`` those among them without a value.
+    ``cells`` counts the requests, repeated ones each time, and ``missing`` those among them without a value. ``sizes`` has the
+    measured bytes of the mappings of each namespace that the caller named (and of all, under None), ``unlike`` those of them
+    where a stored pseudonym is not the computed one.
     """
 
     mappings: DataFrame
@@ -68,12 +136,58 @@ class Upserted:
     cells: int
     missing: int
     scratch: Workspace
+    sizes: dict[str | None, int] = field(default_factory=dict)
+    unlike: frozenset[str] = frozenset()
 
     def release(self) -> None:
         """Delete the intermediate tables, once nothing reads ``mappings`` any more."""
         self.scratch.release()
 
 
+@dataclass(frozen=True)
+class Requests:
+    """Distinct requests, stored, with what has to be known about them before anything is written.
+
+    A null value stands for the cells that have none; it gets no pseudonym.
+    """
+
+    table: DataFrame
+    stats: dict
+    buckets: list[int]
+
+    @property
+    def keys(self) -> int:
+        return self.stats.get("keys", 0)
+
+    @property
+    def cells(self) -> int:
+        return self.stats.get("cells", 0)
+
+    @property
+    def missing(self) -> int:
+        return self.stats.get("missing", 0)
+
+    @property
+    def bytes(self) -> int:
+        return self.stats.get("bytes", 0)
+
+    @property
+    def methods(self) -> list[str]:
+        named = [name for name in GENERATORS if self.stats.get(f"method {name}")]
+        return named + ([self.stats["other method"]] if "other method" in self.stats else [])
+
+    def check(self) -> None:
+        """Names may come from the data, so they are counted, not printed."""
+        if self.stats.get("blank"):
+            raise ValueError("Blank values get no pseudonym.")
+        if self.stats.get("unknown"):
+            raise ValueError(f"{self.stats['unknown']} values are in namespaces that do not exist.")
+        if self.stats.get("bad_length"):
+            raise ValueError(
+                f"{self.stats['bad_length']} values are in namespaces with a length their method does not allow."
+            )
+
+
 class MappingStore:
     def __init__(
         self,
@@ -81,11 +195,15 @@ class MappingStore:
         path: str,
         workspace: Workspace | None = None,
         broadcast_bytes: int = BROADCAST_BYTES,
+        buckets: int = BUCKETS,
     ):
+        """``buckets`` holds for a new store; ``compact`` changes it. A bucket of a layout should fit a task's memory."""
         self.spark = spark
         self.path = path.rstrip("/")
         self.workspace = workspace or Workspace(spark)
         self.broadcast_bytes = broadcast_bytes
+        self.buckets = buckets
+        self._known_settings: tuple[DataFrame, DataFrame, list[dict] | None] | None = None
 
     # -- files -------------------------------------------------------------------------------------------------------
 
@@ -96,51 +214,97 @@ class MappingStore:
         newest = max((f.rsplit("/", 2)[1] for f in folders), default=None)
         return [f for f in folders if f.rsplit("/", 2)[1] == newest]
 
-    def _generation(self) -> str:
-        folders = self._committed()
-        if folders:
-            return folders[0].rsplit("/", 1)[0]
-        return f"{self.path}/generation=000000"
+    def _generation(self, folders: list[str] | None = None) -> str:
+        """Name of the newest generation, ``generation=G.N``."""
+        folders = self._committed() if folders is None else folders
+        return folders[0].rsplit("/", 2)[1] if folders else f"generation=000000.{self.buckets}"
 
-    def _scan(self, folders: list[str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], PSEUDONYM_SCHEMA)
-        base = folders[0].rsplit("/", 1)[0]
-        # The schema is given, so a namespace called "001" stays text.
-        return self.spark.read.schema(PSEUDONYM_SCHEMA).option("basePath", base).parquet(*folders)
+    def _in(self, layout: Layout, folder: str) -> str:
+        """Where a batch of the store lies in a layout."""
+        return f"{self.path}/{layout.folder}" + "/".join(folder.rsplit("/", 2)[1:])
 
     def _free(self, batch_id: str) -> str:
         """A batch folder that is not taken. What a batch holds of earlier ones is left out before, by key."""
-        folder = f"{self._generation()}/batch_id={quote(batch_id, safe='')}"
+        folder = f"{self.path}/{self._generation()}/batch_id={quote(batch_id, safe='')}"
         return folder if not files.exists(self.spark, f"{folder}/_SUCCESS") else f"{folder}-{uuid.uuid4().hex}"
 
-    def _write(
-        self, folder: str, mappings: DataFrame, pseudonym: Column | None = None, expected: int | None = None
-    ) -> None:
-        """Write one batch, the values drawn in the writing task itself, and publish it if its rows are as expected.
+    def _save(self, rows: DataFrame, layout: Layout, folder: str, buckets: int) -> None:
+        """Write rows that carry the layout's hash as one file for each task, namespace and bucket."""
+        name = _table_name()
+        (
+            rows.write.partitionBy("namespace_name")
+            .bucketBy(buckets, layout.hash)
+            .sortBy(layout.hash)
+            .option(f"parquet.bloom.filter.enabled#{layout.keys[1]}", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
+            .option("path", folder)
+            .saveAsTable(name)
+        )
+        # Spark writes buckets by way of a table. Dropping it leaves the files.
+        self.spark.sql(f"DROP TABLE {name}")
 
-        The rebalance splits a large namespace over many tasks and packs small ones together; sorting by pseudonym lets
-        row-group statistics serve reverse lookups.
+    def _stage(
+        self,
+        rows: DataFrame,
+        staged: str,
+        place: str,
+        buckets: int,
+        pseudonym: Column | None = None,
+        expected: int | None = None,
+        namespaces: list[str] | None = None,
+    ) -> dict:
+        """Write one batch in both layouts below ``staged``; returns what was seen of its stored rows.
+
+        The first layout's tasks draw the pseudonyms; the second is made of the rows as they are stored. Tasks get rows by
+        their hash, so that each writes few buckets, and a large bucket is split over several tasks.
         """
-        staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
-        spread = mappings.hint("rebalance", F.col("namespace_name"))
+        few = expected is not None and expected <= ONE_TASK_ROWS
+
+        def dealt(frame: DataFrame, layout: Layout) -> DataFrame:
+            hashed = frame.withColumn(layout.hash, layout.hashed())
+            return hashed.coalesce(1) if few else hashed.hint("rebalance", F.col(layout.hash))
+
+        mappings = dealt(rows, BY_KEY)
         if pseudonym is not None:
-            spread = spread.withColumn("pseudonym_value", pseudonym)
-        (
-            spread.select(*PSEUDONYM_COLUMNS)
-            .sortWithinPartitions("namespace_name", "pseudonym_value")
-            .write.partitionBy("namespace_name")
-            .parquet(staged)
-        )
-        if expected is not None:
-            stored = self.spark.read.schema(PSEUDONYM_SCHEMA).option("basePath", staged).parquet(staged).count()
-            if stored != expected:
-                files.delete(self.spark, staged)
-                raise RuntimeError(f"{expected} keys were missing but {stored} were stored.")
-        if files.exists(self.spark, folder):  # without its marker: left by a writer that published file by file
-            files.delete(self.spark, folder)
-        files.rename(self.spark, staged, folder)
+            mappings = mappings.withColumn("pseudonym_value", pseudonym)
+        first = f"{staged}/{BY_KEY.folder}{place}"
+        self._save(mappings.select(BY_KEY.hash, *PSEUDONYM_COLUMNS), BY_KEY, first, buckets)
+        stored = self.spark.read.schema(PSEUDONYM_SCHEMA).option("basePath", first).parquet(first)
+        seen = Observation()
+        metrics = [
+            F.count(F.lit(1)).alias("rows"),
+            F.unix_micros(F.min("created_at")).alias("least"),
+            F.unix_micros(F.max("created_at")).alias("greatest"),
+            *size_metrics(namespaces),
+        ]
+        reverse = dealt(stored, BY_PSEUDONYM).select(BY_PSEUDONYM.hash, *PSEUDONYM_COLUMNS).observe(seen, *metrics)
+        self._save(reverse, BY_PSEUDONYM, f"{staged}/{BY_PSEUDONYM.folder}{place}", buckets)
+        stats = observed(seen)
+        if expected is not None and stats.get("rows", 0) != expected:
+            raise RuntimeError(f"{expected} keys were missing but {stats.get('rows', 0)} were stored.")
+        times = f"{stats.get('least', '')}.{stats.get('greatest', '')}"
+        files.write_text(self.spark, f"{staged}/{BY_PSEUDONYM.folder}{place}/_times.{times}", "")
+        return stats
+
+    def _write(self, folder: str, rows: DataFrame, **options) -> dict:
+        """Stage one batch and publish it."""
+        place = "/".join(folder.rsplit("/", 2)[1:])
+        staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        try:
+            stats = self._stage(rows, staged, place, _bucket_number(place), **options)
+            self._move(staged, place)
+        finally:
+            files.delete(self.spark, staged)
         self._announce("published")
+        return stats
+
+    def _move(self, staged: str, place: str) -> None:
+        """Publish what is staged; readers go by the first layout, which is moved last."""
+        for layout in (BY_PSEUDONYM, BY_KEY):
+            target = f"{self.path}/{layout.folder}{place}"
+            if files.exists(self.spark, target):  # left by a writer that did not finish
+                files.delete(self.spark, target)
+            files.rename(self.spark, f"{staged}/{layout.folder}{place}", target)
 
     def _announce(self, change: str) -> None:
         """Tell streams that the stored rows are others now."""
@@ -152,12 +316,31 @@ class MappingStore:
 
     def read(self, namespaces: list[str] | None = None) -> DataFrame:
         """All mappings, or those of some namespaces (pruned by partition)."""
-        rows = self._scan(self._committed()).select(*PSEUDONYM_COLUMNS)
-        return rows if namespaces is None else rows.where(F.col("namespace_name").isin(namespaces))
+        return _of(self._scan(self._committed()).select(*PSEUDONYM_COLUMNS), namespaces)
+
+    def read_batches(self, batches: list[Batch], namespace: str) -> DataFrame:
+        """One namespace's mappings of some batches."""
+        return _of(self._scan([b.folder for b in batches]).select(*PSEUDONYM_COLUMNS), [namespace])
+
+    def batches(self, namespace: str | None = None) -> list[Batch]:
+        """The published batches (that hold a namespace) with the times of their rows, newest first."""
+        folders = self._committed()
+        if not folders:
+            return []
+        generation = self._generation(folders)
+        if namespace is not None:
+            own = f"{self.path}/{generation}/batch_id=*/namespace_name={self._escaped(namespace)}"
+            holding = {f.rsplit("/", 2)[1] for f in files.glob(self.spark, own)}
+            folders = [f for f in folders if f.rsplit("/", 1)[1] in holding]
+        marks = files.glob(self.spark, f"{self.path}/{BY_PSEUDONYM.folder}{generation}/batch_id=*/_times.*")
+        times = {m.rsplit("/", 2)[1]: [int(t) if t else None for t in m.rsplit(".", 2)[1:]] for m in marks}
+        found = [Batch(f, *times[f.rsplit("/", 1)[1]]) for f in folders]
+        return sorted(found, key=lambda b: (b.greatest is not None, b.greatest), reverse=True)
 
     def stream(self) -> DataFrame:
         """New mappings as they are committed. Start the query again after a compaction."""
-        return self.spark.readStream.schema(PSEUDONYM_SCHEMA).parquet(self._generation()).select(*PSEUDONYM_COLUMNS)
+        generation = f"{self.path}/{self._generation()}"
+        return self.spark.readStream.schema(PSEUDONYM_SCHEMA).parquet(generation).select(*PSEUDONYM_COLUMNS)
 
     def changes(self) -> DataFrame:
         """A stream with one row for each change of the stored rows: batches, deletions and compactions.
@@ -169,21 +352,112 @@ class MappingStore:
             self._announce("opened")
         return self.spark.readStream.schema("change string").text(f"{self.path}/changes")
 
-    def reverse_map(self, wanted: DataFrame, size: int, namespaces: list[str] | None = None) -> DataFrame:
-        """The first original of every wanted (namespace, pseudonym), one row each.
+    def _scan(self, folders: list[str], layout: Layout = BY_KEY, wanted: list[int] | None = None) -> DataFrame:
+        """The rows of some batches, or of some of their buckets, which are told by the files' names."""
+        if not folders:
+            return self.spark.createDataFrame([], PSEUDONYM_SCHEMA)
+        places = [self._in(layout, f) for f in folders]
+        # The schema is given, so a namespace called "001" stays text.
+        reader = self.spark.read.schema(PSEUDONYM_SCHEMA).option("basePath", places[0].rsplit("/", 1)[0])
+        if wanted is not None and len(wanted) < _bucket_number(folders[0]):
+            names = ",".join(f"{b:05d}" for b in wanted) or "none"
+            reader = reader.option("pathGlobFilter", f"*_{{{names}}}.c*")
+        return reader.parquet(*places)
+
+    @contextmanager
+    def _bucketed(self, layout: Layout, folders: list[str], namespaces: list[str] | None) -> Iterator[DataFrame]:
+        """The store as a table that Spark knows to be bucketed, so that joins on the hash do not shuffle it.
+
+        Its columns have names of their own (``stored_...``). The table is known inside the block only.
+        """
+        base = self._in(layout, folders[0]).rsplit("/", 1)[0]
+        found = [f for folder in folders for f in files.glob(self.spark, f"{self._in(layout, folder)}/namespace_name=*")]
+        spaces = {f: unquote(f.rsplit("namespace_name=", 1)[1]) for f in found}
+        name = _table_name()
+        columns = ", ".join(f"{c} {PSEUDONYM_SCHEMA[c].dataType.simpleString()}" for c in PSEUDONYM_COLUMNS[1:])
+        self.spark.sql(
+            f"CREATE TABLE {name} ({layout.hash} long, {columns}, batch string, namespace_name string) USING parquet "
+            f"PARTITIONED BY (batch, namespace_name) CLUSTERED BY ({layout.hash}) SORTED BY ({layout.hash}) "
+            f"INTO {_bucket_number(folders[0])} BUCKETS LOCATION {_literal(base)}"
+        )
+        try:
+            parts = [
+                f"PARTITION (batch = 'b{i}', namespace_name = {_literal(space)}) LOCATION {_literal(folder)}"
+                for i, (folder, space) in enumerate(spaces.items())
+                if namespaces is None or space in namespaces
+            ]
+            if parts:
+                self.spark.sql(f"ALTER TABLE {name} ADD {' '.join(parts)}")
+            rows = self.spark.table(name)
+            yield rows.select(*[F.col(c).alias(f"stored_{c}") for c in (layout.hash, *PSEUDONYM_COLUMNS)])
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    # -- finding keys ------------------------------------------------------------------------------------------------
+
+    def buckets_of(self, layout: Layout = BY_KEY) -> "Buckets":
+        """What to observe while keys are written, to know the buckets they fall into."""
+        return Buckets(layout, _bucket_number(self._generation()))
+
+    def reverse_map(
+        self,
+        wanted: DataFrame,
+        size: int,
+        scratch: Workspace,
+        namespaces: list[str] | None = None,
+        buckets: list[int] | None = None,
+    ) -> tuple[DataFrame, dict]:
+        """The first original of every wanted (namespace, pseudonym), one row each, stored in ``scratch``; with its sizes.
 
         ``wanted`` is a stored table of distinct requests and ``size`` its measured size. ``namespaces`` names the
-        partitions to read, where the caller knows them.
+        partitions to read and ``buckets`` their buckets, where the caller knows them.
+        """
+        keys, folders = list(BY_PSEUDONYM.keys), self._committed()
+        seen = Observation()
+        metrics = size_metrics(namespaces, *keys, "original_value")
+
+        def saved(found: DataFrame) -> DataFrame:
+            return scratch.save(found.observe(seen, *metrics), "originals")
+
+        if size <= self.broadcast_bytes or not folders:
+            stored = _of(self._scan(folders, BY_PSEUDONYM, buckets), namespaces)
+            asked = F.broadcast(wanted.where(F.length(keys[1]) >= 0).select(*keys))
+            return saved(first_reverse(stored.join(asked, keys, "left_semi"))), observed(seen)
+        with self._bucketed(BY_PSEUDONYM, folders, namespaces) as stored:
+            asked = wanted.select(*keys, BY_PSEUDONYM.hashed().alias(BY_PSEUDONYM.hash)).hint("merge")
+            found = stored.join(asked, _meets(BY_PSEUDONYM), "left_semi")
+            found = found.toDF(*[c.removeprefix("stored_") for c in found.columns])
+            return saved(first_reverse(found, BY_PSEUDONYM.hash)), observed(seen)
+
+    def reverse_many(self, requests: DataFrame) -> DataFrame:
+        """The first mapping behind every requested (namespace, pseudonym); unknown ones are absent.
+
+        Reads the buckets of the requested pseudonyms, in the layout that is cut by them.
         """
-        keys = ["namespace_name", "pseudonym_value"]
-        asked = wanted.select(*keys)
-        stored = self.read(namespaces if namespaces is not None else self._few_namespaces(wanted))
-        return first_reverse(stored.join(F.broadcast(asked) if size <= self.broadcast_bytes else asked, keys, "left_semi"))
+        scratch = self.workspace.part()
+        seen = Observation()
+        buckets = self.buckets_of(BY_PSEUDONYM)
+        wanted = requests.select(*BY_PSEUDONYM.keys).distinct()
+        wanted = scratch.save(
+            wanted.observe(seen, text_bytes(*BY_PSEUDONYM.keys).alias("bytes"), *buckets.metrics()), "wanted"
+        )
+        stats = observed(seen)
+        found, _ = self.reverse_map(wanted, stats.get("bytes", 0), scratch, None, buckets.wanted(stats))
+        return found
 
-    def _few_namespaces(self, requests: DataFrame) -> list[str] | None:
-        """The namespaces of a stored table of requests, if they are few enough to prune partitions by name."""
-        names = requests.select("namespace_name").distinct().limit(PRUNED_NAMESPACES + 1).collect()
-        return [row["namespace_name"] for row in names] if len(names) <= PRUNED_NAMESPACES else None
+    def reverse_one(self, namespace: str, pseudonym: str) -> DataFrame:
+        """The mapping behind one pseudonym, or no row: one bucket of one namespace, its filter at the scan."""
+        folders = self._committed()
+        bucket = None
+        if folders:
+            value = F.pmod(F.hash(F.xxhash64(F.lit(namespace), F.lit(pseudonym))), F.lit(_bucket_number(folders[0])))
+            bucket = [self.spark.range(1).select(value.alias("bucket")).first()["bucket"]]
+        stored = self._scan(folders, BY_PSEUDONYM, bucket).select(*PSEUDONYM_COLUMNS)
+        return (
+            stored.where((F.col("namespace_name") == namespace) & (F.col("pseudonym_value") == pseudonym))
+            .orderBy("created_at", "original_value")
+            .limit(1)
+        )
 
     # -- writing -----------------------------------------------------------------------------------------------------
 
@@ -195,13 +469,29 @@ class MappingStore:
         """
         rest = F.struct("created_at", "pseudonym_value", "last_updated_at")
         first = mappings.groupBy(*KEYS).agg(F.min(rest).alias("first")).select(*KEYS, "first.*")
+        folders = self._committed()
+        if not folders:
+            self._write(self._free(batch_id), first)
+            return
         scratch = self.workspace.part()
         try:
-            if self._committed():
-                first = scratch.save(pick_misses(first, self.read()), "seeded")
-                if first.isEmpty():
-                    return
-            self._write(self._free(batch_id), first)
+            seen, missed, buckets = Observation(), Observation(), self.buckets_of()
+            metrics = [text_bytes(*KEYS).alias("bytes"), *buckets.metrics()]
+            first = scratch.save(first.observe(seen, *metrics), "seeded")
+            stats = observed(seen)
+            n = F.count(F.lit(1)).alias("n")
+            if stats.get("bytes", 0) <= self.broadcast_bytes:
+                stored = self._scan(folders, BY_KEY, buckets.wanted(stats))
+                known = stored.join(F.broadcast(first.where(F.length("original_value") >= 0).select(*KEYS)), KEYS, "left_semi")
+                rest = scratch.save(pick_misses(first, known).observe(missed, n), "unknown")
+            else:
+                with self._bucketed(BY_KEY, folders, None) as stored:
+                    asked = first.withColumn(BY_KEY.hash, BY_KEY.hashed()).hint("merge")
+                    rest = asked.join(stored, _meets(BY_KEY), "left_anti").select(*first.columns)
+                    rest = scratch.save(rest.observe(missed, n), "unknown")
+            count = observed(missed).get("n", 0)
+            if count:
+                self._write(self._free(batch_id), rest, expected=count)
         finally:
             scratch.release()
 
@@ -212,145 +502,276 @@ class MappingStore:
         mappings.
         """
         with self.workspace.kept_if_done() as scratch:
-            counted = scratch.save(distinct_requests(requests), "requests")
-            done = self.upsert_counted(counted, catalog, scratch, batch_id)
-            if done.missing:
+            asked = self.save_requests(distinct_requests(requests), catalog, scratch)
+            if asked.missing:
                 raise ValueError("Blank values get no pseudonym.")
-            return done
-
-    def upsert_counted(
+            return self.upsert_requests(asked, catalog, scratch, batch_id)
+
+    def save_requests(self, requests: DataFrame, catalog: DataFrame, scratch: Workspace) -> Requests:
+        """Store distinct requests (``n`` counting repeated ones), and see in the same pass what there is to know of them."""
+        value, method = F.col("original_value"), F.col("method")
+        given = value.isNotNull()
+        needed = fixed_length(method)
+        bad_length = given & needed.isNotNull() & (needed != F.coalesce("length", F.lit(0)))
+        seen, buckets = Observation(), self.buckets_of()
+        metrics = [
+            F.sum("n").alias("cells"),
+            F.sum(F.when(value.isNull(), F.col("n"))).alias("missing"),
+            F.count(value).alias("keys"),
+            text_bytes(*KEYS).alias("bytes"),
+            F.max(given & is_blank(value)).alias("blank"),
+            F.count(F.when(given & method.isNull(), 1)).alias("unknown"),
+            F.count(F.when(bad_length, 1)).alias("bad_length"),
+            *[F.max(given & (method == name)).alias(f"method {name}") for name in GENERATORS],
+            F.max(F.when(given & ~method.isin(list(GENERATORS)), method)).alias("other method"),
+            *buckets.metrics(),
+        ]
+        judged = self._with_settings(requests, catalog).observe(seen, *metrics)
+        table = scratch.save(judged.select(*KEYS, "n"), "requests")
+        stats = observed(seen)
+        return Requests(table, stats, buckets.wanted(stats))
+
+    def upsert_requests(
         self,
-        counted: DataFrame,
+        asked: Requests,
         catalog: DataFrame,
         scratch: Workspace,
         batch_id: str | None = None,
         namespaces: list[str] | None = None,
+        computed: dict[str, Callable[[Column], Column]] | None = None,
     ) -> Upserted:
-        """As ``upsert``, for requests that are distinct already and stored in a table.
+        """As ``upsert``, for requests that ``save_requests`` stored. Intermediate tables go to ``scratch``.
 
-        A null value stands for the cells that have none; it gets no pseudonym. Intermediate tables go to ``scratch``.
-        ``namespaces`` names the partitions to read, where the caller knows them.
+        ``namespaces`` names the partitions to read, where the caller knows them, and ``computed`` has the functions of those
+        whose pseudonyms follow from the original.
         """
-        settings = self._settings(catalog)
-        stats = self._request_stats(counted, settings)
-        if stats["blank"]:
-            raise ValueError("Blank values get no pseudonym.")
-        # Names may come from the data, so they are counted, not printed.
-        if stats["unknown"]:
-            raise ValueError(f"{stats['unknown']} values are in namespaces that do not exist.")
-        if stats["bad_length"]:
-            raise ValueError(f"{stats['bad_length']} values are in namespaces with a length their method does not allow.")
-        methods = stats["methods"]
-        counts = {"requested": stats["keys"], "cells": stats["cells"], "missing": stats["missing"]}
-
-        misses, hits, n_misses = counted.where(F.col("original_value").isNotNull()), None, stats["keys"]
-        if n_misses and self._committed():
-            matched = scratch.save(self._match(misses, stats["bytes"], namespaces), "matched")
+        asked.check()
+        counts = {"requested": asked.keys, "cells": asked.cells, "missing": asked.missing}
+        folders = self._committed()
+        misses, hits, sizes, unlike = asked.table.where(F.col("original_value").isNotNull()), None, {}, frozenset()
+        n_misses = asked.keys
+        if n_misses and folders:
+            matched, stats = self._match(asked, folders, namespaces, computed or {}, scratch)
             misses = matched.where(F.col("pseudonym_value").isNull()).select(*KEYS, "n")
             hits = matched.where(F.col("pseudonym_value").isNotNull())
-            n_misses = misses.count()
+            n_misses = stats.get("misses", 0)
+            sizes = sizes_of(stats, namespaces)
+            unlike = frozenset(name for i, name in enumerate(computed or {}) if stats.get(f"unlike{i}"))
 
         found = (hits if hits is not None else self._scan([])).select(*PSEUDONYM_COLUMNS, F.lit(False).alias("is_new"))
+        rest = {"scratch": scratch, "unlike": unlike, **counts}
         if n_misses == 0:
-            return Upserted(found, created=0, scratch=scratch, **counts)
-        batch = self._mint(misses, methods, settings, batch_id or uuid.uuid4().hex, n_misses)
-        created = self._scan([batch]).select(*PSEUDONYM_COLUMNS, F.lit(True).alias("is_new"))
+            return Upserted(found, created=0, sizes=sizes, **rest)
+        folder, stats = self._mint(misses, asked.methods, catalog, batch_id or uuid.uuid4().hex, n_misses, namespaces)
+        created = self._scan([folder]).select(*PSEUDONYM_COLUMNS, F.lit(True).alias("is_new"))
         mappings = created if hits is None else found.unionByName(created)
-        return Upserted(mappings, created=n_misses, scratch=scratch, **counts)
+        drawn = sizes_of(stats, namespaces)
+        sizes = {name: sizes.get(name, 0) + size for name, size in drawn.items()}
+        return Upserted(mappings, created=n_misses, sizes=sizes, **rest)
+
+    def settings_of(self, catalog: DataFrame, names: list[str]) -> dict[str, dict]:
+        """The catalogue's rows of some namespaces, which the caller named."""
+        self._settings(catalog)
+        local = self._known_settings[2]
+        rows = catalog.where(F.col("name").isin(names)).toArrow().to_pylist() if local is None else local
+        return {row["name"]: row for row in rows if row["name"] in names}
+
+    def _with_settings(self, rows: DataFrame, catalog: DataFrame) -> DataFrame:
+        """``rows`` with ``method, length, prefix, suffix`` of their namespaces, nulls where there is none."""
+        settings = self._settings(catalog)
+        local = self._known_settings[2]
+        if local is None or not 0 < len(local) <= INLINE_NAMESPACES:
+            return rows.join(settings, "namespace_name", "left")
+        names = {
+            "method": ("pseudonym_generation_method", "string"),
+            "length": ("pseudonym_length", "long"),
+            "prefix": ("pseudonym_prefix", "string"),
+            "suffix": ("pseudonym_suffix", "string"),
+        }
+        entries = [
+            (F.lit(row["name"]), F.struct(*[F.lit(row[c]).cast(kind).alias(n) for n, (c, kind) in names.items()]))
+            for row in {row["name"]: row for row in local}.values()
+        ]
+        own = F.try_element_at(F.create_map(*[c for entry in entries for c in entry]), F.col("namespace_name"))
+        return rows.withColumn("__settings", own).select(*rows.columns, "__settings.*")
 
     def _settings(self, catalog: DataFrame) -> DataFrame:
-        """The namespaces' settings, to be broadcast if they are small."""
-        settings = catalog.select(
-            F.col("name").alias("namespace_name"),
-            F.col("pseudonym_generation_method").alias("method"),
-            F.col("pseudonym_length").alias("length"),
-            F.col("pseudonym_prefix").alias("prefix"),
-            F.col("pseudonym_suffix").alias("suffix"),
-        )
-        return broadcast_if_small(settings, "namespace_name", "method", "prefix", "suffix", limit=self.broadcast_bytes)
-
-    @staticmethod
-    def _request_stats(counted: DataFrame, settings: DataFrame):
-        """What has to be known about the requests before anything is written, in one pass."""
-        value = F.col("original_value")
-        known = settings.select("namespace_name", "method", "length", F.lit(True).alias("__known"))
-        unknown = value.isNotNull() & F.col("__known").isNull()
-        needed = fixed_length(F.col("method"))
-        bad_length = value.isNotNull() & needed.isNotNull() & (needed != F.coalesce("length", F.lit(0)))
-        return (
-            counted.join(known, "namespace_name", "left")
-            .agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("cells"),
-                F.coalesce(F.sum(F.when(value.isNull(), F.col("n"))), F.lit(0)).alias("missing"),
-                F.count(value).alias("keys"),
-                text_bytes(*KEYS).alias("bytes"),
-                F.coalesce(F.max(value.isNotNull() & is_blank(value)), F.lit(False)).alias("blank"),
-                F.count(F.when(unknown, 1)).alias("unknown"),
-                F.count(F.when(bad_length, 1)).alias("bad_length"),
-                F.collect_set(F.when(value.isNotNull(), F.col("method"))).alias("methods"),  # few: one per generator
+        """The namespaces' settings, to be broadcast if they are small. A catalogue table is a snapshot and read once."""
+        if self._known_settings is None or self._known_settings[0] is not catalog:
+            some = catalog.limit(LOCAL_NAMESPACES + 1).toArrow()
+            local = some.to_pylist() if some.num_rows <= LOCAL_NAMESPACES else None
+            settings = (catalog if local is None else self.spark.createDataFrame(some)).select(
+                F.col("name").alias("namespace_name"),
+                F.col("pseudonym_generation_method").alias("method"),
+                F.col("pseudonym_length").cast("long").alias("length"),
+                F.col("pseudonym_prefix").cast("string").alias("prefix"),
+                F.col("pseudonym_suffix").cast("string").alias("suffix"),
             )
-            .first()
-        )
-
-    def _match(self, counted: DataFrame, size: int, namespaces: list[str] | None) -> DataFrame:
-        """Each requested key with its stored mapping or nulls; the namespaces' partitions are read once."""
-        stored = self.read(namespaces if namespaces is not None else self._few_namespaces(counted))
-        first = F.min(F.struct("created_at", "pseudonym_value", "last_updated_at")).alias("first")
-        if size <= self.broadcast_bytes:
-            # Few requests against a large store: the requests travel, and only matching rows leave the scan.
-            hits = stored.join(F.broadcast(counted.select(*KEYS)), KEYS).groupBy(*KEYS).agg(first)
-            matched = counted.join(hits, KEYS, "left")
-        else:
-            # Grouped by the join keys alone, the join's own partitioning and order serve the aggregate.
-            matched = counted.join(stored, KEYS, "left").groupBy(*KEYS).agg(F.max("n").alias("n"), first)
-        return matched.select(
-            *KEYS,
-            "n",
-            F.col("first.pseudonym_value").alias("pseudonym_value"),
-            F.col("first.created_at").alias("created_at"),
-            F.col("first.last_updated_at").alias("last_updated_at"),
-        )
-
-    def _mint(self, misses: DataFrame, methods: list[str], settings: DataFrame, batch_id: str, expected: int) -> str:
+            if local is None:
+                names = ("namespace_name", "method", "prefix", "suffix")
+                settings = broadcast_if_small(settings, *names, limit=self.broadcast_bytes)
+            else:
+                settings = F.broadcast(settings)
+            self._known_settings = (catalog, settings, local)
+        return self._known_settings[1]
+
+    def _match(
+        self,
+        asked: Requests,
+        folders: list[str],
+        namespaces: list[str] | None,
+        computed: dict[str, Callable[[Column], Column]],
+        scratch: Workspace,
+    ) -> tuple[DataFrame, dict]:
+        """Each requested key with its stored mapping or nulls, stored, and what was seen of them."""
+        rest = ["created_at", "pseudonym_value", "last_updated_at"]
+        wanted = asked.table.where(F.length("original_value") >= 0)
+        seen = Observation()
+        unlike = [
+            F.count(F.when((F.col(KEYS[0]) == name) & (F.col("pseudonym_value") != build(F.col(KEYS[1]))), 1))
+            for name, build in computed.items()
+        ]
+        metrics = [
+            F.count(F.when(F.col("pseudonym_value").isNull(), 1)).alias("misses"),
+            *size_metrics(namespaces),
+            *[count.alias(f"unlike{i}") for i, count in enumerate(unlike)],
+        ]
+
+        def saved(matched: DataFrame) -> DataFrame:
+            return scratch.save(matched.select(*KEYS, "n", *[f"first.{c}" for c in rest]).observe(seen, *metrics), "matched")
+
+        if asked.bytes <= self.broadcast_bytes:
+            # Few requests against a large store: the requests travel, their buckets are read, and only matching rows
+            # leave the scan; the requests' partitions prune the store's.
+            stored = _of(self._scan(folders, BY_KEY, asked.buckets), namespaces)
+            hits = stored.join(F.broadcast(wanted.select(*KEYS)), KEYS, "left_semi")
+            both = wanted.select(*KEYS, "n").unionByName(hits.select(*KEYS, *rest), allowMissingColumns=True)
+            found = F.when(F.col("pseudonym_value").isNotNull(), F.struct(*rest))
+            matched = both.groupBy(*KEYS).agg(F.max("n").alias("n"), F.min(found).alias("first"))
+            return saved(matched), observed(seen)
+        with self._bucketed(BY_KEY, folders, namespaces) as stored:
+            # Only the requests are shuffled; grouped by the hash as well, the aggregate needs no shuffle either.
+            hashed = wanted.withColumn(BY_KEY.hash, BY_KEY.hashed()).hint("merge")
+            found = F.struct(*[F.col(f"stored_{c}").alias(c) for c in rest])
+            found = F.when(F.col("stored_pseudonym_value").isNotNull(), found)
+            joined = hashed.join(stored, _meets(BY_KEY), "left")
+            matched = joined.groupBy(BY_KEY.hash, *KEYS).agg(F.max("n").alias("n"), F.min(found).alias("first"))
+            return saved(matched), observed(seen)
+
+    def _mint(
+        self, misses: DataFrame, methods: list[str], catalog: DataFrame, batch_id: str, expected: int, namespaces
+    ) -> tuple[str, dict]:
         """Generate and store the pseudonyms of new keys, each covered exactly once. Returns the batch folder."""
         folder = self._free(batch_id)
         value = generate(F.col("method"), F.col("original_value"), F.col("length"), methods)
         now = F.current_timestamp()
-        self._write(
-            folder,
-            misses.join(settings, "namespace_name")
-            .withColumn("created_at", now)
-            .withColumn("last_updated_at", now),
-            with_affixes(value, F.col("prefix"), F.col("suffix")),
-            expected,
-        )
-        return folder
+        rows = self._with_settings(misses, catalog)
+        rows = rows.withColumn("created_at", now).withColumn("last_updated_at", now)
+        drawn = with_affixes(value, F.col("prefix"), F.col("suffix"))
+        return folder, self._write(folder, rows, pseudonym=drawn, expected=expected, namespaces=namespaces)
 
     # -- maintenance -------------------------------------------------------------------------------------------------
 
+    def _escaped(self, name: str) -> str:
+        return self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
+
     def delete_namespace(self, name: str) -> None:
-        """Drop a namespace's partition from every batch of every generation."""
-        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        for folder in files.glob(self.spark, f"{self.path}/generation=*/batch_id=*"):
-            files.delete(self.spark, f"{folder}/namespace_name={escape(name)}")
+        """Drop a namespace's partition from every batch of every generation, in both layouts."""
+        own = f"namespace_name={self._escaped(name)}"
+        for layout in (BY_KEY, BY_PSEUDONYM):
+            for folder in files.glob(self.spark, f"{self.path}/{layout.folder}generation=*/batch_id=*"):
+                files.delete(self.spark, f"{folder}/{own}")
         self._announce("deleted")
 
-    def compact(self) -> None:
+    def compact(self, buckets: int | None = None, slice_rows: int = SLICE_ROWS) -> None:
         """Rewrite many small batches as one new generation, keeping the first writer's row of every key.
 
-        The old generation stays for readers that still use it, until ``drop_superseded``.
+        The new generation has ``buckets`` (as many as before if not given) and batches of about ``slice_rows`` rows that
+        follow each other in time, so that pages read the newest ones only. The old generation stays for readers that
+        still use it, until ``drop_superseded``.
         """
         folders = self._committed()
         if not folders:
             return
-        number = int(folders[0].rsplit("/", 2)[1].split("=")[1]) + 1
+        generation = self._generation(folders)
+        number = int(generation.split("=")[1].split(".")[0]) + 1
+        buckets = buckets or _bucket_number(generation)
         rest = F.struct("created_at", "pseudonym_value", "last_updated_at")
-        first = self.read().groupBy(*KEYS).agg(F.min(rest).alias("first")).select(*KEYS, "first.*")
-        self._write(f"{self.path}/generation={number:06d}/batch_id=compacted", first)
+        scratch, seen = self.workspace.part(), Observation()
+        staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        name = f"generation={number:06d}.{buckets}"
+        try:
+            first = self.read().groupBy(*KEYS).agg(F.min(rest).alias("first")).select(*KEYS, "first.*")
+            first = scratch.save(first.observe(seen, F.count(F.lit(1)).alias("n")), "compacted")
+            bounds = _bounds(first, observed(seen).get("n", 0), slice_rows)
+            for i, (after, until) in enumerate(zip([None, *bounds], [*bounds, None])):
+                at = F.col("created_at")
+                rows = first if after is None else first.where(at > after)
+                rows = rows if until is None else rows.where((at <= until) | at.isNull() if after is None else at <= until)
+                self._stage(rows, staged, f"{name}/batch_id=compacted-{i:04d}", buckets)
+            self._move(staged, name)
+        finally:
+            files.delete(self.spark, staged)
+            scratch.release()
+        self._announce("published")
 
     def drop_superseded(self) -> None:
         """Delete all generations but the newest."""
-        current = self._generation().rsplit("/", 1)[1]
-        for folder in files.glob(self.spark, f"{self.path}/generation=*"):
-            if folder.rsplit("/", 1)[1] < current:
-                files.delete(self.spark, folder)
+        current = self._generation()
+        for layout in (BY_KEY, BY_PSEUDONYM):
+            for folder in files.glob(self.spark, f"{self.path}/{layout.folder}generation=*"):
+                if folder.rsplit("/", 1)[1] < current:
+                    files.delete(self.spark, folder)
+
+
+def _table_name() -> str:
+    return f"pseudospark_{uuid.uuid4().hex}"
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _bucket_number(place: str) -> int:
+    """The number of buckets, which a generation's name tells."""
+    return int(place.split("generation=")[-1].split("/")[0].split(".")[1])
+
+
+def _of(rows: DataFrame, namespaces: list[str] | None) -> DataFrame:
+    return rows if namespaces is None else rows.where(F.col("namespace_name").isin(namespaces))
+
+
+def _meets(layout: Layout) -> Column:
+    """The condition of a join by buckets: on the hash alone, which is how the store is cut. Unlike keys of one hash are
+    told apart by comparisons that are no join keys, as those would have the store shuffled."""
+    condition = F.col(layout.hash) == F.col(f"stored_{layout.hash}")
+    for key in layout.keys:
+        condition = condition & (F.col(key) <= F.col(f"stored_{key}")) & (F.col(key) >= F.col(f"stored_{key}"))
+    return condition
+
+
+def size_metrics(namespaces: list[str] | None, *columns: str) -> list[Column]:
+    """Measured bytes of mappings, in all and for each namespace that the caller named."""
+    named = columns or (*KEYS, "pseudonym_value")
+    found = F.col("pseudonym_value").isNotNull()
+    own = [found & (F.col("namespace_name") == name) for name in namespaces or []]
+    return [
+        text_bytes(*named, where=condition).alias(label)
+        for label, condition in [("bytes", found), *((f"bytes{i}", c) for i, c in enumerate(own))]
+    ]
+
+
+def sizes_of(stats: dict, namespaces: list[str] | None) -> dict[str | None, int]:
+    """Bytes by namespace; those of all mappings under None."""
+    sizes = {name: stats.get(f"bytes{i}", 0) for i, name in enumerate(namespaces or [])}
+    return {None: stats.get("bytes", 0), **sizes}
+
+
+def _bounds(rows: DataFrame, count: int, slice_rows: int) -> list[datetime]:
+    """Times that cut rows into slices of about ``slice_rows``; at most ``MOST_SLICES`` - 1 of them."""
+    slices = min(MOST_SLICES, -(-count // max(1, slice_rows)))
+    if slices < 2:
+        return []
+    shares = [i / slices for i in range(1, slices)]
+    found = rows.agg(F.percentile_approx(F.unix_micros("created_at"), shares, 10_000).alias("at")).first()["at"]
+    return [EPOCH + timedelta(microseconds=t) for t in sorted(set(found or []))]

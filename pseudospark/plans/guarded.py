@@ -115,12 +115,12 @@ class Guard:
         """One page of a namespace, without originals; existence is judged before access."""
         self._require_known(name)
         self._require(caller, "read", self._one(name))
-        return lookup.page(self.store.read([name]), name, cursor, size, with_total)
+        return lookup.stored_page(self.store, name, cursor, size, with_total)
 
     def reverse(self, caller: Caller, name: str, pseudonym: str) -> DataFrame:
         """The mapping behind a pseudonym or no row. A namespace that does not exist has no mappings."""
         self._require(caller, "reverse_lookup", self._one(name))
-        return lookup.reverse_one(self.store.read([name]), name, pseudonym)
+        return self.store.reverse_one(name, pseudonym)
 
     # -- tables ------------------------------------------------------------------------------------------------------
 

@@ -3,14 +3,14 @@
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pseudospark.functions.generators import GENERATORS, with_affixes
 from pseudospark.functions.text import is_blank, is_missing
 from pseudospark.operators.catalog import unknown_namespaces
-from pseudospark.operators.resolve import attach, measure, text_bytes
-from pseudospark.operators.store import MappingStore, Upserted
+from pseudospark.operators.resolve import attach, text_bytes
+from pseudospark.operators.store import BY_PSEUDONYM, MappingStore, observed, sizes_of
 from pseudospark.schemas import MISSING_PLACEHOLDERS
 from pseudospark.sources.files import Workspace
 
@@ -194,11 +194,10 @@ def job_counters(df: DataFrame, mappings: Sequence[ColumnMapping], placeholders=
     )
 
 
-def _fixed_settings(cells: Sequence[_Cell], catalog: DataFrame) -> dict[str, dict]:
+def _fixed_settings(cells: Sequence[_Cell], catalog: DataFrame, store: MappingStore) -> dict[str, dict]:
     """Settings of the namespaces that the mappings name; as many rows as the caller wrote names."""
     wanted = sorted({c.namespace for c in cells if c.namespace_column is None})
-    rows = catalog.where(F.col("name").isin(wanted)).collect() if wanted else []
-    found = {row["name"]: row.asDict() for row in rows}
+    found = store.settings_of(catalog, wanted) if wanted else {}
     for name in wanted:
         if name not in found:
             raise ValueError(f"There is no namespace '{name}'.")
@@ -207,7 +206,7 @@ def _fixed_settings(cells: Sequence[_Cell], catalog: DataFrame) -> dict[str, dic
 
 def _check_namespace_columns(counted: DataFrame, cells: Sequence[_Cell], catalog: DataFrame) -> None:
     if any(c.namespace_column is not None for c in cells):
-        asked = counted.where(F.col("value").isNotNull())
+        asked = counted.where(F.col("pseudonym_value").isNotNull())
         unknown = unknown_namespaces(asked, catalog).count()
         if unknown:
             # Their names are cell contents, which no error text may show; ``unknown_namespaces`` lists them.
@@ -221,22 +220,11 @@ def _fixed_namespaces(cells: Sequence[_Cell]) -> list[str] | None:
     return sorted({c.namespace for c in cells})
 
 
-def _resolve_cells(df, cells, mapping, keys, value, counts, limit, inline):
-    """Add one resolved column per distinct (source, namespace); returns the frame, their columns and the order flag."""
-    joined = [c for c in cells if c.namespace not in inline]
-    sizes = {}
-    if any(c.namespace_column is None for c in joined):
-        # One row per namespace that the mappings name.
-        fixed = sorted({c.namespace for c in joined if c.namespace_column is None})
-        rows = (
-            mapping.where(F.col("namespace_name").isin(fixed))
-            .groupBy("namespace_name")
-            .agg(text_bytes(*keys, value).alias("bytes"))
-            .collect()
-        )
-        sizes = {row["namespace_name"]: row["bytes"] for row in rows}
-    whole = measure(mapping, *keys, value) if any(c.namespace_column for c in joined) else 0
+def _resolve_cells(df, cells, mapping, keys, value, counts, limit, inline, sizes):
+    """Add one resolved column per distinct (source, namespace); returns the frame, their columns and the order flag.
 
+    ``sizes`` are the measured bytes of ``mapping`` by namespace, those of all of it under None.
+    """
     resolved = {}
     kept = True
     budget = limit  # for all broadcasts of this plan together
@@ -251,10 +239,10 @@ def _resolve_cells(df, cells, mapping, keys, value, counts, limit, inline):
         if cell.namespace_column is None:
             own = mapping.where(F.col("namespace_name") == cell.namespace)
             own_counts = counts.where(F.col("namespace_name") == cell.namespace)
-            size = sizes.get(cell.namespace, 0)
+            size = sizes.get(cell.namespace, sizes.get(None, 0))
             df, in_order = attach(df, [own_key], own, keys[1:], value, name, own_counts, size, budget)
         else:
-            size = whole
+            size = sizes.get(None, 0)
             df, space = _as_text(df, cell.namespace_column)
             df, in_order = attach(df, [space, own_key], mapping, keys, value, name, counts, size, budget)
         if in_order:
@@ -274,36 +262,19 @@ def _assemble(df: DataFrame, names: Sequence[str], cells, split: set[str], final
     return frame.toDF(*names, *[c.target for c in appended])
 
 
-def _inline(upserted: Upserted, settings: dict[str, dict]) -> dict:
-    """Deterministic namespaces whose stored pseudonyms all equal the computed ones need no join with the data.
-
-    First writer wins also holds against the hash: one stored exception, and the namespace joins like any other.
-    """
-    computable = {
-        name: s for name, s in settings.items() if GENERATORS[s["pseudonym_generation_method"]].deterministic
-    }
-    if not computable:
-        return {}
+def _computable(settings: dict[str, dict]) -> dict:
+    """The functions that compute the pseudonyms of deterministic namespaces."""
 
     def computed(s: dict, value: Column) -> Column:
         build = GENERATORS[s["pseudonym_generation_method"]].build
         text = build(value, F.lit(s["pseudonym_length"]))
-        return with_affixes(text, F.lit(s["pseudonym_prefix"]), F.lit(s["pseudonym_suffix"]))
-
-    if upserted.created < upserted.requested:
-        expected = F.lit(None).cast("string")
-        for name, s in computable.items():
-            own = computed(s, F.col("original_value"))
-            expected = F.when(F.col("namespace_name") == name, own).otherwise(expected)
-        exceptions = (
-            upserted.mappings.where(~F.col("is_new") & (F.col("pseudonym_value") != expected))
-            .select("namespace_name")
-            .distinct()
-            .collect()
-        )
-        for row in exceptions:
-            computable.pop(row["namespace_name"], None)
-    return {name: (lambda value, s=s: computed(s, value)) for name, s in computable.items()}
+        return with_affixes(text, F.lit(s["pseudonym_prefix"]).cast("string"), F.lit(s["pseudonym_suffix"]).cast("string"))
+
+    return {
+        name: (lambda value, s=s: computed(s, value))
+        for name, s in settings.items()
+        if s["pseudonym_generation_method"] in GENERATORS and GENERATORS[s["pseudonym_generation_method"]].deterministic
+    }
 
 
 def pseudonymize(
@@ -325,12 +296,12 @@ def pseudonymize(
 def _pseudonymized(df, mappings, catalog, store, placeholders, batch_id, scratch) -> Result:
     names = df.columns
     cells = _bind(mappings, names)
-    settings = _fixed_settings(cells, catalog)
+    computable = _computable(_fixed_settings(cells, catalog, store))
     positional = df.toDF(*_positional(names))
     requested = requested_values(positional, cells, placeholders).withColumnRenamed("value", "original_value")
-    counted = scratch.save(requested, "requests")
-    upserted = store.upsert_counted(counted, catalog, scratch, batch_id, _fixed_namespaces(cells))
-    counts = counted.where(F.col("original_value").isNotNull())
+    asked = store.save_requests(requested, catalog, scratch)
+    upserted = store.upsert_requests(asked, catalog, scratch, batch_id, _fixed_namespaces(cells), computable)
+    counts = asked.table.where(F.col("original_value").isNotNull())
     split = _split_sources(positional, cells)
     wide, resolved, kept = _resolve_cells(
         _without_copies(_with_keys(positional, cells, placeholders), split),
@@ -340,7 +311,9 @@ def _pseudonymized(df, mappings, catalog, store, placeholders, batch_id, scratch
         "pseudonym_value",
         counts,
         store.broadcast_bytes,
-        _inline(upserted, settings),
+        # First writer wins also against the hash: with one other pseudonym stored, a namespace joins like any other.
+        {name: build for name, build in computable.items() if name not in upserted.unlike},
+        upserted.sizes,
     )
 
     def final(cell: _Cell) -> Column:
@@ -368,19 +341,24 @@ def depseudonymize(
 def _depseudonymized(df, mappings, catalog, store, placeholders, scratch) -> Result:
     names = df.columns
     cells = _bind(mappings, names)
-    _fixed_settings(cells, catalog)
+    _fixed_settings(cells, catalog, store)
     positional = df.toDF(*_positional(names))
-    counted = scratch.save(requested_values(positional, cells, placeholders), "requests")
+    seen, buckets = Observation(), store.buckets_of(BY_PSEUDONYM)
+    requested = requested_values(positional, cells, placeholders).withColumnRenamed("value", "pseudonym_value")
+    metrics = [
+        F.sum("n").alias("cells"),
+        F.sum(F.when(F.col("pseudonym_value").isNull(), F.col("n"))).alias("missing"),
+        text_bytes("namespace_name", "pseudonym_value").alias("bytes"),
+        *buckets.metrics(),
+    ]
+    counted = scratch.save(requested.observe(seen, *metrics), "requests")
+    totals = observed(seen)
     _check_namespace_columns(counted, cells, catalog)
-    totals = counted.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("cells"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
-        text_bytes("namespace_name", "value").alias("bytes"),
-    ).first()
-
-    counts = counted.where(F.col("value").isNotNull()).withColumnRenamed("value", "pseudonym_value")
-    found = store.reverse_map(counts, totals["bytes"], _fixed_namespaces(cells))
-    originals = scratch.save(found, "originals")
+
+    counts = counted.where(F.col("pseudonym_value").isNotNull())
+    namespaces = _fixed_namespaces(cells)
+    wanted = buckets.wanted(totals)
+    originals, stats = store.reverse_map(counts, totals.get("bytes", 0), scratch, namespaces, wanted)
     split = _split_sources(positional, cells)
     wide, resolved, kept = _resolve_cells(
         _without_copies(_with_keys(positional, cells, placeholders), split),
@@ -391,10 +369,11 @@ def _depseudonymized(df, mappings, catalog, store, placeholders, scratch) -> Res
         counts,
         store.broadcast_bytes,
         {},
+        sizes_of(stats, namespaces),
     )
 
     def final(cell: _Cell) -> Column:
         return F.coalesce(resolved[cell.key], _whole(cell.source, split).cast("string"))
 
-    rows = totals["cells"] // len(cells)
-    return Result(_assemble(wide, names, cells, split, final), rows, totals["missing"], kept, scratch)
+    rows = totals.get("cells", 0) // len(cells)
+    return Result(_assemble(wide, names, cells, split, final), rows, totals.get("missing", 0), kept, scratch)

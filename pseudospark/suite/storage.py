@@ -117,24 +117,22 @@ def _page_columns(rows):
 
 
 def page_first(spark, sf):
-    rows = lookup.page_rows(order_store(spark, sf).read(), "1-URGENT")
-    return _page_columns(lookup.summary(rows))
+    return _page_columns(lookup.stored_page(order_store(spark, sf), "1-URGENT").items)
 
 
 def page_keyset(spark, sf):
-    mappings_read = order_store(spark, sf).read()
+    store = order_store(spark, sf)
     at = spark.sql("SELECT timestamp'1996-01-01 00:00:00' AS at").first()["at"]
-    rows = lookup.page_rows(mappings_read, "1-URGENT", lookup.Cursor(at, "5"), 40)
-    return _page_columns(lookup.summary(rows))
+    return _page_columns(lookup.stored_page(store, "1-URGENT", lookup.Cursor(at, "5"), 40).items)
 
 
 def page_next(spark, sf):
     """The third page, reached by following cursors."""
-    mappings_read = order_store(spark, sf).read()
+    store = order_store(spark, sf)
     cursor = None
     for _ in range(2):
-        cursor = lookup.page(mappings_read, "2-HIGH", cursor, 10).next_cursor
-    return _page_columns(lookup.page(mappings_read, "2-HIGH", cursor, 10).items)
+        cursor = lookup.stored_page(store, "2-HIGH", cursor, 10).next_cursor
+    return _page_columns(lookup.stored_page(store, "2-HIGH", cursor, 10).items)
 
 
 def page_sweep(spark, sf):
@@ -173,14 +171,14 @@ def reverse_lookup(spark, sf):
     store = new_store(spark)
     store.seed(_short_pseudonyms(spark, sf), "short")
     requests = _short_pseudonyms(spark, sf).select("namespace_name", "pseudonym_value")
-    found = lookup.reverse_many(store.read(), requests)
+    found = store.reverse_many(requests)
     return found.select("namespace_name", "pseudonym_value", "original_value", ntz("created_at"))
 
 
 def reverse_point(spark, sf):
     store = new_store(spark)
     store.seed(_short_pseudonyms(spark, sf), "short")
-    found = lookup.reverse_one(store.read(), "5-LOW", "A6")
+    found = store.reverse_one("5-LOW", "A6")
     return found.select("namespace_name", "pseudonym_value", "original_value", ntz("created_at"))
 
 
