@@ -1,15 +1,23 @@
 """CSV in and out. Every field is opaque text, held by position.
 
-Files without line breaks inside quoted fields are read line by line, so that they split between tasks and no line is
-lost: a line of white space is a record, only an empty line is none.
+Files are read line by line, so that they split between tasks and no line is lost: a line of white space is a record,
+only an empty line is none. Where quoted fields hold line breaks, each line is a function from whether it starts inside
+quotes to whether it ends there. These functions compose, first along each byte range and then over the ranges of a
+file, so that every range knows how it starts and its lines are put together to records in parallel.
 """
 
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from pseudospark.operators.resolve import BROADCAST_BYTES, measure
 
 ROW = "_row"
 #: Where a record stands; sorting by these is input order.
@@ -21,7 +29,8 @@ _BYTE_ORDER_MARK = "\ufeff"
 class CsvTable:
     """``df`` has ``_c0``, ``_c1``, ... and ``_row`` (to sort by for input order). ``header`` is None without one.
 
-    ``bad_rows`` counts lines with a stray quote; None where records span lines. ``in_order`` says that ``df`` comes in
+    ``bad_rows`` counts records with a stray quote or an open one at the end of the file; None in encodings of more than one
+    byte a character and in files whose lines end in carriage returns alone, if quoted fields hold line breaks. ``in_order`` says that ``df`` comes in
     input order without a sort, which holds for a single file.
     """
 
@@ -39,7 +48,7 @@ def _patterns(sep: str) -> tuple[str, str, str]:
     """
     s = re.escape(sep)
     quoted = r'"[^"]*+(?:""[^"]*+)*+"'
-    no_quote, any_char = (f'[^"{s}]', f"[^{s}]") if len(sep) == 1 else (f'(?:(?!{s})[^"])', f"(?:(?!{s}).)")
+    no_quote, any_char = (f'[^"{s}]', f"[^{s}]") if len(sep) == 1 else (f'(?:(?!{s})[^"])', f"(?:(?!{s})[\\s\\S])")
     clean = rf'(?:{quoted}|{no_quote}*+)'
     tolerated = rf'(?:{quoted}|{no_quote}{any_char}*+|)'
     return (
@@ -79,7 +88,8 @@ def _schema(width: int) -> T.StructType:
 
 
 def _parsed(line: Column, width: int, sep: str) -> Column:
-    return F.from_csv(line, _schema(width).simpleString()[len("struct<") : -1].replace(":", " "), _options(sep))
+    options = {**_options(sep), "multiLine": "true"}  # line breaks stay as they are
+    return F.from_csv(line, _schema(width).simpleString()[len("struct<") : -1].replace(":", " "), options)
 
 
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
@@ -142,36 +152,200 @@ def read_csv(
 ) -> CsvTable:
     """Read CSV files, all rows whole: a row longer than the header keeps its extra fields.
 
-    Files come in the order of their paths. Files whose quoted fields hold line breaks cannot be split between tasks.
-    Unless ``multi_line`` says so, one pass over the lines finds out, so that other files are read in parallel.
+    Files come in the order of their paths. Unless ``multi_line`` says so, one pass over the lines finds out whether quoted
+    fields hold line breaks. Files split between tasks either way, unless their encoding has more than one byte a
+    character, or quoted fields hold line breaks and lines end in carriage returns alone.
     """
     wide = encoding.lower().startswith(("utf-16", "utf16", "utf-32", "utf32"))
-    if not multi_line and not wide:
+    if wide:
+        return _read_records(spark, path, sep, header, encoding)
+    if not multi_line:
         lines = _lines(spark, path, encoding)
-        line = F.col("value")
-        bad = is_bad_line(line, sep)
-        files = (
-            lines.groupBy("__file")
-            .agg(
-                F.min(F.struct("__block", "__line", "value", _fields(line, sep).alias("fields"))).alias("first"),
-                F.sum(bad.cast("long")).alias("bad_rows"),
-                F.sum(_ends_open(line, sep).cast("long")).alias("open_lines"),
-                F.max(F.when(~bad, _fields(line, sep))).alias("width"),
-            )
-            .orderBy("__file")
-            .collect()
-        )
+        files = _profile(lines, sep)
         if multi_line is False or not sum(f.open_lines for f in files):
             return _read_lines(spark, lines, files, sep, header)
-    return _read_records(spark, path, sep, header, encoding)
+    joined = _joined_lines(spark, path, sep, encoding)
+    if joined is None:
+        return _read_records(spark, path, sep, header, encoding)
+    records, in_order = joined
+    table = _read_lines(spark, records, _profile(records, sep, whole=True), sep, header, whole=True)
+    return replace(table, in_order=table.in_order and in_order)
+
+
+def _profile(lines: DataFrame, sep: str, whole: bool = False) -> list:
+    """For each file its first line, and of its lines the bad and the open ones and the width."""
+    line = F.col("value")
+    bad = _is_bad(line, sep, whole)
+    return (
+        lines.groupBy("__file")
+        .agg(
+            F.min(F.struct("__block", "__line", "value", _fields(line, sep).alias("fields"))).alias("first"),
+            F.sum(bad.cast("long")).alias("bad_rows"),
+            F.sum(_ends_open(line, sep).cast("long")).alias("open_lines"),
+            F.max(F.when(~bad, _fields(line, sep))).alias("width"),
+        )
+        .orderBy("__file")
+        .collect()
+    )
 
 
-def _read_lines(spark: SparkSession, lines: DataFrame, files: list, sep: str, header: bool) -> CsvTable:
+def _is_bad(line: Column, sep: str, whole: bool) -> Column:
+    """Of whole records those that end inside quotes are bad as well."""
+    return is_bad_line(line, sep) | _ends_open(line, sep) if whole else is_bad_line(line, sep)
+
+
+# -- records that span lines -----------------------------------------------------------------------------------------
+
+#: What a line makes of being outside (0) or inside quotes (1): as two bits, the lower one for outside.
+_KEEPS, _CLOSES, _OPENS, _SWAPS = 0b10, 0b00, 0b11, 0b01
+_LINE_TYPE = "__file string, __block long, __line long, value string"
+
+
+def _after(kinds: np.ndarray) -> np.ndarray:
+    """For each place, 0 to all, the kind of all lines before it taken together."""
+    n = len(kinds)
+    swaps = np.concatenate([[0], np.cumsum(kinds == _SWAPS)])
+    fixed = (kinds == _CLOSES) | (kinds == _OPENS)
+    # The last line before each place that forgets what was before it, counted from 1.
+    last = np.maximum.accumulate(np.concatenate([[0], np.where(fixed, np.arange(1, n + 1), 0)]))
+    value = np.concatenate([[0], kinds == _OPENS])[last]
+    odd = (swaps - swaps[last]) % 2
+    settled = np.where(value ^ odd, _OPENS, _CLOSES)
+    return np.where(last > 0, settled, np.where(odd, _SWAPS, _KEEPS))
+
+
+def _composed(first: int, second: int) -> int:
+    """The kind of two runs of lines after each other."""
+    ends = [second >> (first >> start & 1) & 1 for start in (0, 1)]
+    return ends[0] | ends[1] << 1
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
+    """Runs of rows of one file and block."""
+    names, starts = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).to_numpy()
+    edges = np.flatnonzero((np.diff(names) != 0) | (np.diff(starts) != 0)) + 1
+    for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), len(starts)]):
+        if end > begin:
+            yield (batch.column(0)[begin].as_py(), int(starts[begin])), begin, end
+
+
+def _block_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every byte range as one kind of line."""
+
+    def row(key: tuple, kind: int, lone: bool) -> pa.RecordBatch:
+        names = ["__file", "__block", "kind", "lone"]
+        return pa.RecordBatch.from_pydict(dict(zip(names, [[key[0]], [key[1]], [kind], [lone]])))
+
+    current, kind, lone = None, _KEEPS, False
+    for batch in batches:
+        kinds, lones = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+        for key, begin, end in _blocks(batch):
+            if key != current:
+                if current is not None:
+                    yield row(current, kind, lone)
+                current, kind, lone = key, _KEEPS, False
+            kind = _composed(kind, int(_after(kinds[begin:end])[-1]))
+            lone = lone or bool(lones[begin:end].any())
+    if current is not None:
+        yield row(current, kind, lone)
+
+
+def _block_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of each byte range. ``part`` is 1 for what a range holds of a record begun before it, 2 for a record that is
+    open where the range ends, else 0."""
+    current, inside, held, number, started = None, 0, [], 0, False
+
+    def row(part: int) -> tuple:
+        return (*current, number, "\n".join(held), part)
+
+    for batch in batches:
+        kinds, starts, values = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4)
+        out: list[tuple] = []
+        for key, begin, end in _blocks(batch):
+            if key != current:
+                if held:
+                    out.append(row(2 if started and inside else 0 if started else 1))
+                current, inside, held, number, started = key, int(starts[begin]), [], 0, False
+            states = _after(kinds[begin:end]) >> inside & 1
+            for outside, text in zip((states[:-1] == 0).tolist(), values.slice(begin, end - begin).to_pylist()):
+                if outside:
+                    if held:
+                        out.append(row(0 if started else 1))
+                    held, started = [], True
+                    number += 1
+                held.append(text)
+            inside = int(states[-1])
+        if out:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["__file", "__block", "__line", "value", "part"])
+    if held:
+        rest = row(2 if started and inside else 0 if started else 1)
+        names = ["__file", "__block", "__line", "value", "part"]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(rest, kinds)], names)
+
+
+def _joined_lines(spark: SparkSession, path: str, sep: str, encoding: str) -> tuple[DataFrame, bool] | None:
+    """Records that may span lines, with their places, read in parallel, and whether each file's come in order; None if
+    lines end in carriage returns alone."""
+    value = F.col("value")
+    if encoding.lower().replace("-", "") not in ("utf8", "usascii", "ascii"):
+        value = F.decode(value.cast("binary"), encoding)
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), value.alias("value")
+    )
+    # A line that starts inside quotes is read like one that starts with a quote.
+    line = F.regexp_replace("value", r"\r\z", "")
+    outside, inside = _ends_open(line, sep), _ends_open(F.concat(F.lit('"'), line), sep)
+    kind = outside.cast("int") + F.when(F.contains(line, F.lit('"')), inside.cast("int")).otherwise(1) * 2
+    lone = F.contains(F.regexp_replace(line, _patterns(sep)[2], ""), F.lit("\r"))
+    found = lines.select("__file", "__block", kind.alias("kind"), lone.alias("lone"))
+    blocks = found.mapInArrow(_block_kinds, "__file string, __block long, kind long, lone boolean")
+    # One row for each byte range; the same composition as along the lines.
+    before = Window.partitionBy("__file").orderBy("__block")
+    until = before.rowsBetween(Window.unboundedPreceding, -1)
+    swaps = F.coalesce(F.sum((F.col("kind") == _SWAPS).cast("int")).over(until), F.lit(0))
+    fixed = F.when(F.col("kind").isin(_OPENS, _CLOSES), F.struct((F.col("kind") == _OPENS).cast("int").alias("at"), "swaps"))
+    placed = blocks.withColumn("swaps", swaps)
+    last = F.last(fixed, ignorenulls=True).over(until)
+    start = F.when(last.isNull(), F.col("swaps") % 2).otherwise((last["at"] + F.col("swaps") - last["swaps"]) % 2)
+    # As many rows as Spark's driver lists to plan the scan.
+    starts = placed.select("__file", "__block", start.cast("long").alias("start"), "lone").collect()
+    if any(s.lone and not s.start for s in starts):
+        return None
+    known = spark.createDataFrame([tuple(s)[:3] for s in starts], "__file string, __block long, start long")
+    small = measure(known, "__file") <= BROADCAST_BYTES
+    known = F.broadcast(known) if small else known
+    rows = lines.withColumn("kind", kind.cast("long")).join(known, ["__file", "__block"])
+    rows = rows.select("__file", "__block", "kind", "start", "value")
+    records = rows.mapInArrow(_block_records, f"{_LINE_TYPE}, part int")
+    whole = records.where("part = 0")
+    crossed = any(s.start for s in starts)
+    if crossed:
+        # A record that goes on in later ranges: what those hold of it is put behind its beginning.
+        in_file = Window.partitionBy("__file").orderBy("__block", "__line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        pieces = records.where("part > 0").withColumn("record", F.sum((F.col("part") == 2).cast("int")).over(in_file))
+        piece = F.struct("__block", "__line", "value")
+        merged = pieces.groupBy("__file", "record").agg(F.array_sort(F.collect_list(piece)).alias("all"))
+        merged = merged.select(
+            "__file", F.col("all")[0]["__block"].alias("__block"), F.col("all")[0]["__line"].alias("__line"),
+            F.array_join(F.col("all.value"), "\n").alias("value"), F.lit(0).alias("part"),
+        )
+        whole = whole.unionByName(merged)
+    else:
+        whole = records
+    ended = F.regexp_replace("value", r"\r\z", "").alias("value")
+    return whole.select("__file", "__block", "__line", ended).where("value <> ''"), small and not crossed
+
+
+def _read_lines(
+    spark: SparkSession, lines: DataFrame, files: list, sep: str, header: bool, whole: bool = False
+) -> CsvTable:
     bad_rows = sum(f.bad_rows for f in files)
     width = max((f.width or 1 for f in files), default=0)
     if bad_rows:
         # What the parser makes of bad lines decides their width, not their separators.
-        flawed = lines.where(is_bad_line(F.col("value"), sep))
+        flawed = lines.where(_is_bad(F.col("value"), sep, whole))
         spare = 16
         while (found := _widest(flawed.select(_parsed(F.col("value"), width + spare, sep).alias("r")).select("r.*"), width + spare)) == width + spare:
             spare *= 2

@@ -114,6 +114,30 @@ def csv_bad_width(spark, sf):
     return read.df.select(*cells, F.lit(read.width).alias("width"))
 
 
+def _broken_lines(spark, sf, path):
+    """Events as records of one, two or three lines; errors hold a stray quote before the quoted line break."""
+    kind = F.col("event_type")
+    user = F.col("user_id").cast("string")
+    broken = F.concat(F.lit('"a ""q"",\n'), user, F.when(kind == "signup", "\n,").otherwise(""), F.lit('"'))
+    first = F.when(kind == "error", F.concat(F.lit('se"'), user)).otherwise(user)
+    note = F.when(kind == "purchase", kind).otherwise(broken)
+    table(spark, sf, "events").select(F.concat_ws(",", "event_id", first, note).alias("value")).write.text(path)
+
+
+def csv_multi_line(spark, sf):
+    path = Workspace(spark).path("events")
+    _broken_lines(spark, sf, path)
+    read = read_csv(spark, path, header=False)
+    return read.df.select(*[F.col(f"_c{i}").alias(name) for i, name in enumerate(("event_id", "user", "note"))])
+
+
+def csv_multi_line_bad(spark, sf):
+    path = Workspace(spark).path("events")
+    _broken_lines(spark, sf, path)
+    read = read_csv(spark, path, header=False)
+    return read.df.agg(F.count(F.lit(1)).alias("n")).withColumn("bad_rows", F.lit(read.bad_rows).cast("long"))
+
+
 def csv_sink(spark, sf):
     """A whole CSV job, its output read back as plain lines."""
     store = new_store(spark)
@@ -299,6 +323,8 @@ QUERIES = {
     "csv_blank_rows": csv_blank_rows,
     "csv_long_delimiter": csv_long_delimiter,
     "csv_bad_width": csv_bad_width,
+    "csv_multi_line": csv_multi_line,
+    "csv_multi_line_bad": csv_multi_line_bad,
     "csv_sink": csv_sink,
     "job_run": job_run,
     "fhir_parse": fhir_parse,
@@ -324,6 +350,17 @@ ERRORS_SQL = """
 ORACLE = {
     "csv_scan": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source FROM documents",
     "csv_tolerant": f"SELECT CAST(event_id AS VARCHAR) AS event_id, {EVENT_CELL_SQL} AS value, event_type FROM events",
+    "csv_multi_line": """
+        SELECT CAST(event_id AS VARCHAR) AS event_id,
+               CASE event_type WHEN 'error' THEN 'se"' ELSE '' END || CAST(user_id AS VARCHAR) AS user,
+               CASE event_type WHEN 'purchase' THEN event_type
+                    ELSE 'a "q",' || chr(10) || CAST(user_id AS VARCHAR)
+                         || CASE event_type WHEN 'signup' THEN chr(10) || ',' ELSE '' END END AS note
+        FROM events
+    """,
+    "csv_multi_line_bad": """
+        SELECT count(*) AS n, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS bad_rows FROM events
+    """,
     "csv_bad_rows": """
         SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS bad_rows FROM events
     """,

@@ -99,7 +99,7 @@ def test_quoted_line_breaks_quotes_and_spaces(job):
     content = 'id,value,note\r\n1,"two\nlines","say ""hi"", you"\r\n2,  spaced ,""\r\n'
     result, out = job(content, [ColumnMapping("value", "hashed")])
     assert parsed(out)[1:] == [["1", sha("two\nlines"), 'say "hi", you'], ["2", sha("  spaced "), ""]]
-    assert result.rows_processed == 2 and result.bad_data_row_count is None
+    assert result.rows_processed == 2 and result.bad_data_row_count == 0
 
 
 def test_long_and_short_rows_lose_nothing(job):
