@@ -161,3 +161,21 @@ def status_fold(events: DataFrame, workspace: Workspace) -> DataFrame:
     per_job = per_slice.groupBy("id").agg(_composed("step", SLICE).alias("step"))
     start = STATUS_CODES["AwaitingUpload"]
     return per_job.select("id", F.element_at("step", start + 1).alias("status"))
+
+
+def with_events(jobs: DataFrame, events: DataFrame, workspace: Workspace) -> DataFrame:
+    """The table of jobs as its ledger has it: status, counters and time of the last event.
+
+    A counter has its newest value; a job without events stays as it is.
+    """
+    counters = ["total_bytes", "bytes_processed", "rows_processed", "missing_value_count", "bad_data_row_count", "error_message"]
+    newest = events.groupBy("id").agg(
+        F.max("at").alias("__at"),
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"__{c}") for c in counters],
+    )
+    folded = status_fold(events, workspace).select("id", F.col("status").alias("__status"))
+    known = newest.join(folded, "id")
+    changed = {"status": "__status", "last_updated_at": "__at", **{c: f"__{c}" for c in counters}}
+    return jobs.join(known, "id", "left").select(
+        *[F.coalesce(changed[c], c).alias(c) if c in changed else F.col(c) for c in jobs.columns]
+    )

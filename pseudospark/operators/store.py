@@ -8,6 +8,7 @@ streams ever see an unfinished one. Readers take the newest generation; compacti
 store at a time: plain Parquet has no unique constraint.
 """
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -252,9 +253,12 @@ class MappingStore:
         pseudonym: Column | None = None,
         expected: int | None = None,
         namespaces: list[str] | None = None,
+        counted: list[str] | None = None,
     ) -> dict:
         """Write one batch in both layouts below ``staged``; returns what was seen of its stored rows.
 
+        ``namespaces`` are measured and ``counted`` are counted by themselves.
+
         The first layout's tasks draw the pseudonyms; the second is made of the rows as they are stored. Tasks get rows by
         their hash, so that each writes few buckets, and a large bucket is split over several tasks.
         """
@@ -276,6 +280,7 @@ class MappingStore:
             F.unix_micros(F.min("created_at")).alias("least"),
             F.unix_micros(F.max("created_at")).alias("greatest"),
             *size_metrics(namespaces),
+            *[F.count(F.when(F.col("namespace_name") == n, 1)).alias(f"rows{i}") for i, n in enumerate(counted or [])],
         ]
         reverse = dealt(stored, BY_PSEUDONYM).select(BY_PSEUDONYM.hash, *PSEUDONYM_COLUMNS).observe(seen, *metrics)
         self._save(reverse, BY_PSEUDONYM, f"{staged}/{BY_PSEUDONYM.folder}{place}", buckets)
@@ -286,16 +291,21 @@ class MappingStore:
         files.write_text(self.spark, f"{staged}/{BY_PSEUDONYM.folder}{place}/_times.{times}", "")
         return stats
 
-    def _write(self, folder: str, rows: DataFrame, **options) -> dict:
-        """Stage one batch and publish it."""
+    def _write(self, folder: str, rows: DataFrame, counted: list[str] | None = None, **options) -> dict:
+        """Stage one batch and publish it. ``counted`` names all its namespaces, where they are few and known."""
         place = "/".join(folder.rsplit("/", 2)[1:])
         staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
         try:
-            stats = self._stage(rows, staged, place, _bucket_number(place), **options)
+            stats = self._stage(rows, staged, place, _bucket_number(place), counted=counted, **options)
+            if counted is not None:
+                self._change({n: stats.get(f"rows{i}", 0) for i, n in enumerate(counted)}, place)
+            else:
+                stored = self.spark.read.schema(PSEUDONYM_SCHEMA).parquet(f"{staged}/{BY_KEY.folder}{place}")
+                self._change(_counts(stored), place)
             self._move(staged, place)
         finally:
             files.delete(self.spark, staged)
-        self._announce("published")
+        self._announce()
         return stats
 
     def _move(self, staged: str, place: str) -> None:
@@ -306,11 +316,30 @@ class MappingStore:
                 files.delete(self.spark, target)
             files.rename(self.spark, f"{staged}/{layout.folder}{place}", target)
 
-    def _announce(self, change: str) -> None:
-        """Tell streams that the stored rows are others now."""
-        name = uuid.uuid4().hex
-        files.write_text(self.spark, f"{self.path}/_staged/{name}", f"{change}\n")
-        files.rename(self.spark, f"{self.path}/_staged/{name}", f"{self.path}/changes/{name}")
+    def _change(self, counts: "DataFrame | dict[str, int]", place: str) -> None:
+        """Write down by how many rows each namespace will have changed once ``place`` is published (or deleted)."""
+        path = f"{self.path}/_staged/changes/{quote(place, safe='')}"
+        files.delete(self.spark, path)
+        if isinstance(counts, dict):
+            lines = [json.dumps({"namespace_name": name, "n": n}) + "\n" for name, n in counts.items() if n]
+            files.write_text(self.spark, f"{path}/change.json", "".join(lines))
+        else:
+            counts.where("n <> 0").write.json(path)
+
+    def _announce(self) -> None:
+        """Move the changes that came true to where streams see them, also those of a writer that was stopped before it
+        could; forget those of batches that never came."""
+        for staged in files.glob(self.spark, f"{self.path}/_staged/changes/*"):
+            place = unquote(staged.rsplit("/", 1)[1])
+            target = f"{self.path}/changes/{uuid.uuid4().hex}"
+            if place.startswith("deleted/"):
+                done = not files.glob(self.spark, f"{self.path}/{place.split('/', 2)[2]}")
+            else:
+                done = files.exists(self.spark, f"{self.path}/{place}")
+            if done:
+                files.rename(self.spark, staged, target)
+            else:
+                files.delete(self.spark, staged)
 
     # -- reading -----------------------------------------------------------------------------------------------------
 
@@ -343,14 +372,13 @@ class MappingStore:
         return self.spark.readStream.schema(PSEUDONYM_SCHEMA).parquet(generation).select(*PSEUDONYM_COLUMNS)
 
     def changes(self) -> DataFrame:
-        """A stream with one row for each change of the stored rows: batches, deletions and compactions.
+        """A stream of changes in the number of stored rows, ``namespace_name, n``: batches, deletions and compactions.
 
-        A row says that there was a change, not what it was: who follows it reads the store as it is by then, so a change
-        told late or twice does no harm.
+        Their sums since the store began are its counts, so nobody has to list it.
         """
-        if not files.exists(self.spark, f"{self.path}/changes"):
-            self._announce("opened")
-        return self.spark.readStream.schema("change string").text(f"{self.path}/changes")
+        files.write_text(self.spark, f"{self.path}/changes/opened.json", "")
+        schema = "namespace_name string, n long"
+        return self.spark.readStream.schema(schema).option("recursiveFileLookup", True).json(f"{self.path}/changes")
 
     def _scan(self, folders: list[str], layout: Layout = BY_KEY, wanted: list[int] | None = None) -> DataFrame:
         """The rows of some batches, or of some of their buckets, which are told by the files' names."""
@@ -668,7 +696,11 @@ class MappingStore:
         rows = self._with_settings(misses, catalog)
         rows = rows.withColumn("created_at", now).withColumn("last_updated_at", now)
         drawn = with_affixes(value, F.col("prefix"), F.col("suffix"))
-        return folder, self._write(folder, rows, pseudonym=drawn, expected=expected, namespaces=namespaces)
+        local = self._known_settings[2]
+        known = namespaces or ([row["name"] for row in local] if local is not None and len(local) <= INLINE_NAMESPACES else None)
+        return folder, self._write(
+            folder, rows, known, pseudonym=drawn, expected=expected, namespaces=namespaces
+        )
 
     # -- maintenance -------------------------------------------------------------------------------------------------
 
@@ -678,10 +710,15 @@ class MappingStore:
     def delete_namespace(self, name: str) -> None:
         """Drop a namespace's partition from every batch of every generation, in both layouts."""
         own = f"namespace_name={self._escaped(name)}"
+        folders = self._committed()
+        if folders:
+            lost = _counts(_of(self._scan(folders), [name])).first()
+            place = f"deleted/{uuid.uuid4().hex}/{self._generation(folders)}/batch_id=*/{own}"
+            self._change({name: -lost["n"] if lost else 0}, place)
         for layout in (BY_KEY, BY_PSEUDONYM):
             for folder in files.glob(self.spark, f"{self.path}/{layout.folder}generation=*/batch_id=*"):
                 files.delete(self.spark, f"{folder}/{own}")
-        self._announce("deleted")
+        self._announce()
 
     def compact(self, buckets: int | None = None, slice_rows: int = SLICE_ROWS) -> None:
         """Rewrite many small batches as one new generation, keeping the first writer's row of every key.
@@ -709,11 +746,14 @@ class MappingStore:
                 rows = first if after is None else first.where(at > after)
                 rows = rows if until is None else rows.where((at <= until) | at.isNull() if after is None else at <= until)
                 self._stage(rows, staged, f"{name}/batch_id=compacted-{i:04d}", buckets)
+            before = _counts(self.read()).select("namespace_name", (-F.col("n")).alias("n"))
+            change = _counts(first).unionByName(before).groupBy("namespace_name").agg(F.sum("n").alias("n"))
+            self._change(change, name)
             self._move(staged, name)
         finally:
             files.delete(self.spark, staged)
             scratch.release()
-        self._announce("published")
+        self._announce()
 
     def drop_superseded(self) -> None:
         """Delete all generations but the newest."""
@@ -737,6 +777,10 @@ def _bucket_number(place: str) -> int:
     return int(place.split("generation=")[-1].split("/")[0].split(".")[1])
 
 
+def _counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("namespace_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _of(rows: DataFrame, namespaces: list[str] | None) -> DataFrame:
     return rows if namespaces is None else rows.where(F.col("namespace_name").isin(namespaces))
 

@@ -1,6 +1,6 @@
 """One CSV job: read, transform, write, count."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,15 +39,19 @@ def run_csv_job(
     multi_line: bool | None = None,
     keep_order: bool = True,
     batch_id: str | None = None,
+    on_progress: Callable[..., None] | None = None,
 ) -> CsvJobResult:
     """Replace or append columns of CSV files.
 
     Columns are named by exact header text, or by 0-based position without a header. Rows keep their input order unless
-    ``keep_order`` is off; a sort is needed only where there are several files or a join had to shuffle.
+    ``keep_order`` is off; a sort is needed only where there are several files or a join had to shuffle. ``on_progress`` is
+    told the counters as soon as they are known; it may raise to stop the job.
     """
     if direction not in (PSEUDONYMIZE, DEPSEUDONYMIZE):
         raise ValueError(f"Unknown direction {direction}.")
     table = read_csv(spark, input_path, sep, header, encoding, multi_line)
+    tell = on_progress or (lambda **facts: None)
+    tell(bad_data_row_count=table.bad_rows)
     bound = [
         ColumnMapping(column_position(m.source, table.header), m.namespace, m.target)
         for m in usable_mappings(mappings)
@@ -58,9 +62,11 @@ def run_csv_job(
         result = depseudonymize(table.df, bound, catalog, store, placeholders)
 
     try:
+        tell(missing_value_count=result.missing)
         _write_result(result, table, bound, output_path, keep_order, sep, encoding)
     finally:
         result.release()
+    tell(rows_processed=result.rows)
     return CsvJobResult(result.rows, result.missing, table.bad_rows)
 
 

@@ -12,6 +12,7 @@ from pseudospark.operators.catalog import NamespaceCatalog
 from pseudospark.operators.store import MappingStore, Upserted
 from pseudospark.plans.csv_job import CsvJobResult
 from pseudospark.plans.job_run import JobLedger, run_recorded
+from pseudospark.sources import files
 from pseudospark.plans.transform import (
     ColumnMapping,
     Result,
@@ -172,19 +173,42 @@ class Guard:
             raise ForbiddenError("The job is not the caller's.")
         return found
 
+    def queue_job(self, caller: Caller, table: DataFrame, job_id: str, ledger: JobLedger, root: str) -> int:
+        """Queue a job of the table, if the caller may run it and its input is there. Returns the input's size in bytes."""
+        job = self.job(caller, table, job_id)
+        self.check_job(caller, job)
+        path = _under(root, job.first()["input_object_key"])
+        if not files.exists(self.store.spark, path):
+            raise ValueError("The job's input has not been uploaded.")
+        size = files.size(self.store.spark, path)
+        ledger.append(job_id, "queue", total_bytes=size)
+        return size
+
+    def cancel_job(self, caller: Caller, table: DataFrame, job_id: str, ledger: JobLedger) -> None:
+        """Cancel a job; one that runs is stopped at its next sign of life."""
+        self.job(caller, table, job_id)
+        ledger.append(job_id, "cancel")
+
     def run_job(
-        self, caller: Caller, table: DataFrame, job_id: str, ledger: JobLedger, input_path: str, output_path: str, **options
+        self, caller: Caller, table: DataFrame, job_id: str, ledger: JobLedger, root: str, **options
     ) -> CsvJobResult | None:
-        """Run one job of the table, if the caller may and it has not ended, and record what became of it."""
+        """Run one job as its own row says, if the caller may and it has not ended, and record what became of it.
+
+        Input, output, delimiter, encoding, header, columns and direction are those of the row; ``root`` is the folder that
+        object keys stand under. Without an output key the result lies beside the input, under the job's output name.
+        """
         job = self.job(caller, table, job_id)
         self.check_job(caller, job)
-        row = job.first()
+        row = job.select("*", jobs.output_name().alias("__name")).first()
         mappings = [
             ColumnMapping(m["source_column"], m["namespace"], m["target_column"]) for m in row["column_mappings"]
         ]
+        source = row["input_object_key"]
+        target = row["output_object_key"] or "/".join([*source.split("/")[:-1], job_id, row["__name"]])
         return run_recorded(
-            self.store.spark, ledger, job_id, input_path, output_path,
-            mappings, row["direction"], self.catalog.load(), self.store, **options,
+            self.store.spark, ledger, job_id, _under(root, source), _under(root, target),
+            mappings, row["direction"], self.catalog.load(), self.store,
+            sep=row["delimiter"], header=row["has_header_row"], encoding=row["encoding"], **options,
         )
 
     def jobs(self, caller: Caller, table: DataFrame) -> DataFrame:
@@ -192,3 +216,10 @@ class Guard:
 
     def clear_jobs(self, caller: Caller, table: DataFrame) -> tuple[DataFrame, DataFrame]:
         return jobs.clear_finished(table, caller.subject, self.is_admin(caller))
+
+
+def _under(root: str, key: str) -> str:
+    """The path of an object key; a key cannot leave the folder."""
+    if not key or key.startswith("/") or ".." in key.split("/") or "://" in key:
+        raise ValueError("The job's object key is not a path below its folder.")
+    return f"{root.rstrip('/')}/{key}"

@@ -1,5 +1,7 @@
 """Queries: CSV files, FHIR documents and streams."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from pseudospark.operators.jobs import status_fold
@@ -18,7 +20,8 @@ from pseudospark.streaming.microbatch import (
     stream_depseudonymize,
     stream_pseudonymize,
 )
-from pseudospark.suite.common import catalog_of, namespaces, new_store, order_mappings, table
+from pseudospark.streaming.supervision import silent_jobs
+from pseudospark.suite.common import catalog_of, namespaces, new_store, ntz, order_mappings, table
 
 SHA = ("Sha256HexEncoded", 64)
 
@@ -252,6 +255,7 @@ def _run_pseudonymize(spark, sf):
         progress,
         workspace.path("checkpoint"),
         "arrivals",
+        bad=F.col("event_type") == "error",
     )
     query.awaitTermination()
     return store, output, progress
@@ -263,12 +267,40 @@ def stream_pseudonymize_query(spark, sf):
 
 
 def stream_progress(spark, sf):
-    """The last progress snapshot has seen every row."""
+    """The last progress snapshot has seen every row, missing cell, bad row and byte."""
     _, _, progress = _run_pseudonymize(spark, sf)
     snapshots = progress_snapshots(spark.read.parquet(progress))
-    return snapshots.agg(
-        F.max("rows_processed").alias("rows_processed"), F.max("missing_value_count").alias("missing_value_count")
+    counters = ("rows_processed", "missing_value_count", "bad_data_row_count", "bytes_processed")
+    return snapshots.agg(*[F.max(c).alias(c) for c in counters])
+
+
+def stream_stalled_query(spark, sf):
+    """Every ten events as the ledger of a job of long ago: a click starts it and an error ends it. A stream's timers tell of
+    the jobs that were left running."""
+    workspace = Workspace(spark)
+    source, silent = workspace.path("ledger"), workspace.path("silent")
+    kind = F.when(F.col("event_type") == "click", "run").when(F.col("event_type") == "error", "complete").otherwise("progress")
+    events = table(spark, sf, "events").select(
+        F.expr("event_id div 10").cast("string").alias("id"), F.col("event_id").cast("long").alias("seq"),
+        kind.alias("event"), F.col("ts").cast("timestamp").alias("at"),
+    )
+    events.write.parquet(source)
+    query = (
+        silent_jobs(spark.readStream.schema(events.schema).parquet(source))
+        .writeStream.option("checkpointLocation", workspace.path("checkpoint"))
+        .trigger(processingTime="0 seconds")
+        .format("parquet")
+        .start(silent)
     )
+    try:
+        # The first micro-batch reads the ledger; timers run out in those after it, which need no data.
+        while query.isActive and (query.lastProgress is None or query.lastProgress["batchId"] < 2):
+            time.sleep(0.2)
+        if query.exception() is not None:
+            raise query.exception()
+    finally:
+        query.stop()
+    return spark.read.parquet(silent).select("id", ntz("last_sign"))
 
 
 def stream_depseudonymize_query(spark, sf):
@@ -332,6 +364,7 @@ QUERIES = {
     "fhir_create": fhir_create,
     "stream_pseudonymize": stream_pseudonymize_query,
     "stream_progress": stream_progress,
+    "stream_stalled": stream_stalled_query,
     "stream_depseudonymize": stream_depseudonymize_query,
     "stream_counts": stream_counts_query,
 }
@@ -347,6 +380,14 @@ ERRORS_SQL = """
     FROM events
 """
 
+PROGRESS_SQL = """
+    SELECT count(*) AS rows_processed, CAST(0 AS BIGINT) AS missing_value_count,
+           count(*) FILTER (event_type = 'error') AS bad_data_row_count,
+           CAST(sum(strlen(CAST(event_id AS VARCHAR)) + strlen(event_type) + strlen(CAST(user_id AS VARCHAR))) AS BIGINT)
+               AS bytes_processed
+    FROM events
+"""
+
 ORACLE = {
     "csv_scan": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source FROM documents",
     "csv_tolerant": f"SELECT CAST(event_id AS VARCHAR) AS event_id, {EVENT_CELL_SQL} AS value, event_type FROM events",
@@ -421,7 +462,12 @@ ORACLE = {
     "stream_pseudonymize": """
         SELECT event_id, event_type, upper(sha256(CAST(user_id AS VARCHAR))) AS user_id FROM events
     """,
-    "stream_progress": "SELECT count(*) AS rows_processed, CAST(0 AS BIGINT) AS missing_value_count FROM events",
+    "stream_progress": PROGRESS_SQL,
+    "stream_stalled": """
+        SELECT CAST(event_id // 10 AS VARCHAR) AS id, max(date_trunc('milliseconds', ts)) AS last_sign FROM events
+        GROUP BY ALL
+        HAVING bool_or(event_type = 'click') AND NOT bool_or(event_type = 'error')
+    """,
     "stream_depseudonymize": "SELECT event_id, CAST(user_id AS VARCHAR) AS user_id FROM events",
     "stream_counts": """
         SELECT o_orderpriority AS namespace_name, count(*) AS n FROM orders

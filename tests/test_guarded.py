@@ -1,10 +1,15 @@
+import time
+from datetime import UTC, datetime, timedelta
+
 import pytest
 from pyspark.sql import types as T
 
 from pseudospark import ColumnMapping, MappingStore, NamespaceCatalog
+from pseudospark.operators.jobs import with_events
 from pseudospark.plans.guarded import Caller, ForbiddenError, Guard, NotFoundError
-from pseudospark.plans.job_run import JobLedger, run_recorded, sanitized
+from pseudospark.plans.job_run import LEDGER_SCHEMA, JobLedger, run_recorded, sanitized
 from pseudospark.schemas import DEPSEUDONYMIZE, JOB_SCHEMA, PSEUDONYMIZE, RULE_SCHEMA, STATUS_CODES
+from pseudospark.sources import files
 
 ADMIN, READER, WRITER, REVEALER, NOBODY = (
     Caller("root", ["admin"]), Caller("r", ["reader"]), Caller("w", ["writer"]), Caller("l", ["looker"]), Caller("n"),
@@ -108,19 +113,29 @@ def test_tables(spark, guard):
 
 def test_jobs_from_table_to_ledger(spark, guard, workspace, tmp_path):
     source = tmp_path / "in.csv"
-    source.write_text("id,value\n1,x\n2,NA\n")
+    source.write_bytes("id;value\n1;x\n2;NA\né;y\n".encode("iso-8859-1"))
     mapping = {"source_column": "value", "target_column": None, "namespace": "A"}
+    own = {"input_object_key": "in.csv", "delimiter": ";", "encoding": "ISO-8859-1", "has_header_row": True}
+    jobs_of = (
+        ("there", PSEUDONYMIZE, "w", "in.csv", "out/there.csv"),
+        ("back", DEPSEUDONYMIZE, "w", "in.csv", None),
+        ("other", PSEUDONYMIZE, "x", "in.csv", None),
+        ("early", PSEUDONYMIZE, "w", "later.csv", None),
+        ("outside", PSEUDONYMIZE, "w", "../in.csv", None),
+        ("named", PSEUDONYMIZE, "w", "in.csv", None),
+    )
     rows = [
         {f.name: None for f in JOB_SCHEMA.fields}
-        | {"id": i, "status": 1, "direction": d, "created_by": by, "column_mappings": [mapping]}
-        for i, d, by in (("there", PSEUDONYMIZE, "w"), ("back", DEPSEUDONYMIZE, "w"), ("other", PSEUDONYMIZE, "x"))
+        | {"id": i, "status": 1, "direction": d, "created_by": by, "column_mappings": [mapping], **own}
+        | {"input_object_key": key, "output_object_key": target}
+        for i, d, by, key, target in jobs_of
     ]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in JOB_SCHEMA.fields])
     table = workspace.save(spark.createDataFrame(rows, schema), "jobs")
     ledger = JobLedger(spark, workspace.path("ledger"))
 
     def run(job):
-        return guard.run_job(WRITER, table, job, ledger, str(source), workspace.path("out"))
+        return guard.run_job(WRITER, table, job, ledger, str(tmp_path))
 
     with pytest.raises(NotFoundError, match="no such job"):
         run("nowhere")
@@ -129,12 +144,28 @@ def test_jobs_from_table_to_ledger(spark, guard, workspace, tmp_path):
     with pytest.raises(ForbiddenError, match="Reverse-lookup access"):
         run("back")
     assert ledger.read().isEmpty()
+    with pytest.raises(ValueError, match="not been uploaded"):
+        guard.queue_job(WRITER, table, "early", ledger, str(tmp_path))
+    with pytest.raises(ValueError, match="object key"):
+        run("outside")
+    assert ledger.read().isEmpty()
+    size = source.stat().st_size
+    assert guard.queue_job(WRITER, table, "there", ledger, str(tmp_path)) == size
+    assert ledger.status("there") == STATUS_CODES["Queued"]
     done = run("there")
-    assert (done.rows_processed, done.missing_value_count) == (2, 1)
+    assert (done.rows_processed, done.missing_value_count) == (3, 1)
     assert run("there") is None
     assert ledger.status("there") == STATUS_CODES["Completed"]
-    last = ledger.read().where("event = 'complete'").first()
-    assert (last.bytes_processed, last.rows_processed, last.bad_data_row_count) == (source.stat().st_size, 2, 0)
+    events = [r.event for r in ledger.read().where("id = 'there'").orderBy("seq").collect()]
+    assert events == ["queue", "run", "progress", "progress", "progress", "progress", "complete"]
+    row = with_events(table, ledger.read(), workspace).where("id = 'there'").first()
+    assert (row.status, row.total_bytes, row.bytes_processed, row.rows_processed) == (3, size, size, 3)
+    assert (row.missing_value_count, row.bad_data_row_count) == (1, 0)
+    parts = sorted((tmp_path / "out/there.csv").glob("part-*"))
+    lines = "".join(p.read_text(encoding="iso-8859-1") for p in parts).splitlines()
+    assert lines[0] == "id;value" and lines[2] == "2;NA" and len(lines) == 4 and not lines[1].endswith(";x")
+    # Without an output key the result has the job's own name.
+    assert run("named").rows_processed == 3 and (tmp_path / "named" / "named-pseudonymized.csv").is_dir()
 
 
 def test_failed_and_stalled_runs(spark, guard, workspace, tmp_path):
@@ -152,3 +183,68 @@ def test_failed_and_stalled_runs(spark, guard, workspace, tmp_path):
     assert run_recorded(spark, ledger, "slow", str(source), workspace.path("out"), *rest).rows_processed == 1
     assert ledger.status("slow") == STATUS_CODES["Completed"]
     assert sanitized(RuntimeError("cell content")) == "RuntimeError"
+
+
+def test_a_job_has_one_runner(spark, workspace):
+    ledger = JobLedger(spark, workspace.path("ledger"))
+    first = ledger.claim("job")
+    assert first is not None and ledger.claim("job") is None
+    # Two that claim at the same time: the first in the ledger has it.
+    ledger.append("race", "run", "a")
+    ledger.append("race", "run", "b")
+    assert ledger._folded("race") == (STATUS_CODES["Running"], "a")
+    ledger.append("race", "stall")
+    again = ledger.claim("race")
+    assert ledger._folded("race") == (STATUS_CODES["Running"], again)
+
+
+def test_cancel_reaches_a_running_job(spark, guard, workspace, tmp_path):
+    ledger, out = JobLedger(spark, workspace.path("ledger")), workspace.path("out")
+    source = tmp_path / "in.csv"
+    source.write_text("id,value\n1,x\n")
+    told = []
+
+    class Slow(type(guard.store)):
+        """Cancelled from elsewhere while pseudonyms are made."""
+
+        def save_requests(self, *args):
+            ledger.append("job", "cancel")
+            told.append("cancelled")
+            return super().save_requests(*args)
+
+    store = Slow(spark, workspace.path("store"), workspace)
+    rest = [ColumnMapping("value", "A")], PSEUDONYMIZE, guard.catalog.load(), store
+    assert run_recorded(spark, ledger, "job", str(source), out, *rest) is None
+    assert told and ledger.status("job") == STATUS_CODES["Cancelled"] and not files.exists(spark, out)
+    assert ledger.read().where("event IN ('complete', 'fail')").isEmpty()
+
+
+def test_signs_of_life_keep_a_job_from_the_sweep(spark, guard, workspace, tmp_path):
+    ledger, out = JobLedger(spark, workspace.path("ledger")), workspace.path("out")
+    source = tmp_path / "in.csv"
+    source.write_text("id,value\n1,x\n")
+    seen = []
+
+    class Slow(type(guard.store)):
+        def save_requests(self, *args):
+            time.sleep(4)
+            seen.append(ledger.read().where("event = 'progress'").count())
+            return super().save_requests(*args)
+
+    store = Slow(spark, workspace.path("store"), workspace)
+    rest = [ColumnMapping("value", "A")], PSEUDONYMIZE, guard.catalog.load(), store
+    assert run_recorded(spark, ledger, "alive", str(source), out, *rest, heartbeat=timedelta(seconds=0.5)) is not None
+    assert seen[0] >= 3  # one after the input was read, the others meanwhile
+
+    now = datetime.now(UTC)
+    row = {f.name: None for f in JOB_SCHEMA.fields} | {"status": 2, "created_by": "w", "last_updated_at": now - timedelta(hours=1)}
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in JOB_SCHEMA.fields])
+    table = spark.createDataFrame([{**row, "id": i} for i in ("dead", "lives", "alive")], schema)
+    long_ago = (1, "run", now - timedelta(hours=1), "other", *[None] * 6, "dead")
+    ledger.append_all(spark.createDataFrame([long_ago], LEDGER_SCHEMA))
+    ledger.append("lives", "run", "me")
+    ledger.append("lives", "progress", "me", rows_processed=5)
+    swept = {r.id: (r.status, r.rows_processed) for r in ledger.sweep(table, now + timedelta(minutes=9)).collect()}
+    assert swept == {"dead": (6, None), "lives": (2, 5), "alive": (3, 1)}
+    assert ledger.status("dead") == STATUS_CODES["Stalled"]
+    assert {r.status for r in ledger.sweep(table, now + timedelta(minutes=12)).collect()} == {6, 3}

@@ -1,9 +1,19 @@
+import time
+from datetime import UTC, datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from pseudospark import ColumnMapping
+from pseudospark.plans.job_run import LEDGER_SCHEMA, JobLedger
 from pseudospark.sources import files
-from pseudospark.streaming.microbatch import progress_snapshots, stream_depseudonymize, stream_pseudonymize
+from pseudospark.streaming.microbatch import (
+    progress_snapshots,
+    stream_counts,
+    stream_depseudonymize,
+    stream_pseudonymize,
+)
+from pseudospark.streaming.supervision import stream_stalled
 
 SCHEMA = "id long, value string"
 
@@ -66,3 +76,81 @@ def test_replayed_batch_changes_nothing(spark, store, catalog, folders, workspac
     run(spark, {**folders, "checkpoint": workspace.path("checkpoint")}, store, catalog)
     again = {r.id: r.value for r in spark.read.parquet(folders["output"]).collect()}
     assert again == first and store.read().count() == 17
+
+
+def test_counts_follow_every_change(spark, store, catalog, workspace):
+    """Sums of changes equal the stored rows after batches, a deletion, a compaction and a writer stopped half-way."""
+    snapshots, checkpoint = workspace.path("snapshots"), workspace.path("checkpoint")
+
+    def counted():
+        stream_counts(store, snapshots, checkpoint, "counts").awaitTermination()
+        batches = spark.read.parquet(snapshots)
+        newest = batches.agg(F.max("batch_id")).first()[0]
+        return {r.namespace_name: r.n for r in batches.where(F.col("batch_id") == newest).collect()}
+
+    def stored():
+        return {r.namespace_name: r["count"] for r in store.read().groupBy("namespace_name").count().collect()}
+
+    def create(space, *values):
+        rows = spark.createDataFrame([(space, v) for v in values], "namespace_name string, original_value string")
+        store.upsert(rows, catalog)
+
+    create("A", "x", "y")
+    create("B", "x")
+    create("A", "y", "z")
+    assert counted() == stored() == {"A": 3, "B": 1}
+    # The same key twice, as two writers at a time leave it; compaction keeps one.
+    twice = store.read(["A"]).where("original_value = 'x'")
+    store._write(f"{store.path}/{store._generation()}/batch_id=second", twice)
+    assert counted() == {"A": 4, "B": 1}
+    store.delete_namespace("B")
+    store.compact()
+    assert counted() == stored() == {"A": 3}
+    # A change that was written down before its batch was published, by a writer stopped in between, and one just after.
+    store._change({"A": 100}, f"{store._generation()}/batch_id=never")
+    store._change({"A": 1}, f"{store._generation()}/batch_id=compacted-0000")
+    create("A", "new")
+    assert counted() == {"A": 5}
+
+
+def test_progress_counts_bad_rows_and_bytes(spark, store, catalog, folders):
+    arrive(spark, folders, 0, 30, files=1)
+    source = spark.readStream.schema(SCHEMA).parquet(folders["arrivals"])
+    stream_pseudonymize(
+        source, [ColumnMapping("value", "ns")], catalog, store, folders["output"], folders["progress"],
+        folders["checkpoint"], "feed", bad=F.col("value") == "v3",
+    ).awaitTermination()
+    last = progress_snapshots(spark.read.parquet(folders["progress"])).collect()[-1]
+    cells = [(str(i), "NA" if i % 5 == 0 else f"v{i % 17}") for i in range(30)]
+    assert last.bytes_processed == sum(len(a) + len(b) for a, b in cells)
+    assert last.bad_data_row_count == sum(b == "v3" for _, b in cells)
+    assert spark.read.parquet(folders["output"]).columns == ["id", "value", "batch_id"]
+
+
+def test_silent_jobs(spark, workspace):
+    """Only running jobs without a late sign of life are told, once; one that goes on later is left alone."""
+    now = datetime.now(UTC)
+    old = now - timedelta(hours=1)
+    ledger = JobLedger(spark, workspace.path("ledger"))
+    rows = [
+        (1, "run", old, "dead"), (1, "run", old, "done"), (2, "complete", old, "done"), (1, "queue", old, "waiting"),
+        (1, "run", old, "lives"), (2, "progress", now + timedelta(hours=1), "lives"),
+        (1, "run", old, "again"), (2, "stall", old, "again"), (3, "run", old, "again"),
+    ]
+    entries = [(seq, event, at, "me", *[None] * 6, job) for seq, event, at, job in rows]
+    ledger.append_all(spark.createDataFrame(entries, LEDGER_SCHEMA))
+    query = stream_stalled(ledger, workspace.path("checkpoint"), "watch", every="0 seconds")
+    try:
+        until = time.monotonic() + 60
+        while query.isActive and time.monotonic() < until:
+            if ledger.status("dead") == ledger.status("again") == 6:
+                break
+            time.sleep(0.5)
+        done = query.lastProgress["batchId"]
+        while query.isActive and time.monotonic() < until and query.lastProgress["batchId"] < done + 3:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    stalls = [r.id for r in ledger.read().where("event = 'stall' AND owner IS NULL").collect()]
+    assert sorted(stalls) == ["again", "dead"]
+    assert [ledger.status(j) for j in ("lives", "done", "waiting")] == [2, 3, 1]
