@@ -12,8 +12,8 @@ ROW_OVERHEAD = 64
 HOT_SHARES = (1000, 100, 10)
 # Hot keys may always take this much, whatever earlier mappings of a plan left of its limit.
 HOT_KEY_BYTES = 8 * 1024 * 1024
-# Parts into which the rows of a hot key are split where its value does not fit a broadcast.
-SALTS = 16
+# Most parts into which the rows of a hot key are split where its value does not fit a broadcast.
+MOST_PARTS = 4096
 
 
 def text_bytes(*columns: str, where: Column | None = None) -> Column:
@@ -54,6 +54,20 @@ def _hot_keys(counts: DataFrame, keys: list[str], limit: int) -> DataFrame | Non
     return None
 
 
+def _parts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``__hash, __parts`` of the hot keys: as many parts as a key's rows would fill shuffle partitions.
+
+    Keys are told by their hash, so that the table is small however long they are: each holds a share of all rows, which
+    bounds their number. Another key of the same hash is split as well, which does no harm.
+    """
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    shares = max(partitions, *HOT_SHARES)
+    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") * partitions / F.lit(max(1, total))) + 1).cast("int")
+    hot = counts.where(F.col("n") * shares >= F.lit(total)).select(F.xxhash64(*keys).alias("__hash"), parts.alias("__parts"))
+    return hot.groupBy("__hash").agg(F.max("__parts").alias("__parts"))
+
+
 def attach(
     df: DataFrame,
     keys: list[str],
@@ -72,7 +86,7 @@ def attach(
 
     * A mapping that measures small is broadcast: ``df`` is not shuffled at all.
     * Otherwise the hot keys are found. If their mapping measures small it is broadcast, and only the rest joins by
-      shuffle; else their rows are split into parts, and their mapping is copied to each part.
+      shuffle; else their rows are split into parts in proportion to their number, and their mapping is copied to each.
     * Rows that have nothing left to look up travel under their task and content instead of all under the null key.
     """
 
@@ -105,21 +119,23 @@ def attach(
         hot_mapping = mapping.join(F.broadcast(hot), mapping_keys, "left_semi")
         if measure(hot_mapping, *mapping_keys, value) > limit:
             hot_mapping = None
-            flagged = hot.withColumn("__is_hot", F.lit(True))
-            wide = drop(wide.join(F.broadcast(renamed(flagged, "hot", "__is_hot")), matches("hot"), "left"), "hot")
-            cold_side = cold_side.join(F.broadcast(renamed(flagged, "cold", "__is_hot")), cold_keys, "left")
-            # A task's number is the same when the task runs again.
-            salt = F.when(F.col("__is_hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(salt)
-            salts = F.when(F.col("__is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(salts)
-        else:
-            hot_side = F.broadcast(narrowed(hot_mapping, "hot", "__hot"))
-            wide = drop(wide.join(hot_side, matches("hot"), "left"), "hot")
-            is_open = is_open & F.col("__hot").isNull()
+    if hot_mapping is None:
+        split = F.broadcast(_parts(counts, mapping_keys))
+        wide = wide.withColumn("__hash", F.xxhash64(*keys)).join(split, "__hash", "left").drop("__hash")
+        cold_side = cold_side.withColumn("__hash", F.xxhash64(*cold_keys)).join(split, "__hash", "left").drop("__hash")
+        # By the row's place, which is the same when its task runs again.
+        place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__parts")).cast("int")
+        salt = F.when(F.col("__parts").isNotNull(), place).otherwise(salt)
+        salts = F.when(F.col("__parts").isNotNull(), F.sequence(F.lit(0), F.col("__parts") - 1)).otherwise(salts)
+    else:
+        hot_side = F.broadcast(narrowed(hot_mapping, "hot", "__hot"))
+        wide = drop(wide.join(hot_side, matches("hot"), "left"), "hot")
+        is_open = is_open & F.col("__hot").isNull()
     # The route decides the partition: rows without an open key get one that spreads them, also where their content
     # repeats. It matches at most the mapping of their own hot key, found already.
     settled = F.xxhash64(F.spark_partition_id(), *own_columns)
-    wide = wide.withColumn("__route", F.when(is_open, F.xxhash64(*keys, salt)).otherwise(settled)).drop("__is_hot")
-    cold_side = cold_side.withColumn("__salt", F.explode(salts)).drop("__is_hot")
+    wide = wide.withColumn("__route", F.when(is_open, F.xxhash64(*keys, salt)).otherwise(settled)).drop("__parts")
+    cold_side = cold_side.withColumn("__salt", F.explode(salts)).drop("__parts")
     cold_side = cold_side.withColumn("__cold_route", F.xxhash64(*cold_keys, "__salt")).drop("__salt")
     on_route = F.col("__route") == F.col("__cold_route")
     joined = wide.join(cold_side, on_route & matches("cold"), "left")

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -250,7 +251,7 @@ class MappingStore:
         staged: str,
         place: str,
         buckets: int,
-        pseudonym: Column | None = None,
+        drawn: list[tuple[Column, Column]] | None = None,
         expected: int | None = None,
         namespaces: list[str] | None = None,
         counted: list[str] | None = None,
@@ -260,7 +261,8 @@ class MappingStore:
         ``namespaces`` are measured and ``counted`` are counted by themselves.
 
         The first layout's tasks draw the pseudonyms; the second is made of the rows as they are stored. Tasks get rows by
-        their hash, so that each writes few buckets, and a large bucket is split over several tasks.
+        their hash, so that each writes few buckets, and a large bucket is split over several tasks. ``drawn`` has a
+        condition and a pseudonym for each kind of rows, which are dealt by themselves.
         """
         few = expected is not None and expected <= ONE_TASK_ROWS
 
@@ -268,9 +270,11 @@ class MappingStore:
             hashed = frame.withColumn(layout.hash, layout.hashed())
             return hashed.coalesce(1) if few else hashed.hint("rebalance", F.col(layout.hash))
 
-        mappings = dealt(rows, BY_KEY)
-        if pseudonym is not None:
-            mappings = mappings.withColumn("pseudonym_value", pseudonym)
+        if drawn is None:
+            mappings = dealt(rows, BY_KEY)
+        else:
+            kinds = [dealt(rows.where(own), BY_KEY).withColumn("pseudonym_value", value) for own, value in drawn]
+            mappings = reduce(DataFrame.unionByName, kinds)
         first = f"{staged}/{BY_KEY.folder}{place}"
         self._save(mappings.select(BY_KEY.hash, *PSEUDONYM_COLUMNS), BY_KEY, first, buckets)
         stored = self.spark.read.schema(PSEUDONYM_SCHEMA).option("basePath", first).parquet(first)
@@ -691,15 +695,21 @@ class MappingStore:
     ) -> tuple[str, dict]:
         """Generate and store the pseudonyms of new keys, each covered exactly once. Returns the batch folder."""
         folder = self._free(batch_id)
-        value = generate(F.col("method"), F.col("original_value"), F.col("length"), methods)
         now = F.current_timestamp()
         rows = self._with_settings(misses, catalog)
         rows = rows.withColumn("created_at", now).withColumn("last_updated_at", now)
-        drawn = with_affixes(value, F.col("prefix"), F.col("suffix"))
+        # A Python function sees every row of its frame, so each random method gets a frame of its own.
+        computed = [m for m in methods if m in GENERATORS and GENERATORS[m].deterministic]
+        branches = [[m] for m in methods if m not in computed] + ([computed] if computed else [])
+        drawn = []
+        for own in branches:
+            value = generate(F.col("method"), F.col("original_value"), F.col("length"), own)
+            mine = F.col("method").isin(own) if len(branches) > 1 else F.lit(True)
+            drawn.append((mine, with_affixes(value, F.col("prefix"), F.col("suffix"))))
         local = self._known_settings[2]
         known = namespaces or ([row["name"] for row in local] if local is not None and len(local) <= INLINE_NAMESPACES else None)
         return folder, self._write(
-            folder, rows, known, pseudonym=drawn, expected=expected, namespaces=namespaces
+            folder, rows, known, drawn=drawn, expected=expected, namespaces=namespaces
         )
 
     # -- maintenance -------------------------------------------------------------------------------------------------

@@ -273,3 +273,20 @@ def test_pages_are_those_of_a_whole_sort(spark, workspace, compacted):
 def test_page_of_nothing(spark, store):
     page = lookup.stored_page(store, "A", with_total=True)
     assert page.items.count() == 0 and page.next_cursor is None and page.total == 0
+
+
+def test_each_random_method_draws_for_its_own_rows(spark, store, workspace, monkeypatch):
+    """The written plan has one Python evaluation for each method, each behind the filter of its rows."""
+    plans = []
+    save = MappingStore._save
+    monkeypatch.setattr(
+        MappingStore, "_save",
+        lambda s, rows, *a: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or save(s, rows, *a),
+    )
+    own = {"four": ("Uuid4", 36), "hex": ("FullRandomHexEncoded", 8), "sha": ("Sha256HexEncoded", 64)}
+    rows = [(name, str(i)) for name in own for i in range(20)]
+    requests = spark.createDataFrame(rows, "namespace_name string, original_value string")
+    done = store.upsert(requests, namespaces(spark, **own))
+    lengths = {(r.namespace_name, len(r.pseudonym_value)) for r in done.mappings.collect()}
+    assert lengths == {("four", 36), ("hex", 8), ("sha", 64)} and done.created == 60
+    assert plans[0].count("ArrowEvalPython") == 2 and "Union" in plans[0]

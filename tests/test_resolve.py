@@ -56,3 +56,25 @@ def test_scratch_goes_on_release_and_on_failure(spark, store, catalog):
     with pytest.raises(ValueError):
         pseudonymize(blank, [ColumnMapping("value", namespace_column="ns")], catalog, store)
     assert not left()
+
+
+@pytest.mark.parametrize("partitions", [8, 40])
+def test_hot_keys_split_in_proportion(spark, workspace, unadapted, partitions):
+    """One key in half of all rows, beside many long ones that are hot as well: all but the key's rows stay where they are."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        long_key = F.concat(F.repeat(F.lit("x"), 5000), (F.col("id") % 400).cast("string"))
+        df = spark.range(0, 20000, 1, 8).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(long_key).alias("key"))
+        mapping = workspace.save(df.distinct().select(F.col("key").alias("k"), F.md5("key").alias("v")), "mapping")
+        counts = workspace.save(df.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")), "counts")
+        # The long keys alone are too large for a broadcast of theirs.
+        joined, _ = resolve.attach(df, ["key"], mapping, ["k"], "v", "found", counts, 1 << 40, 0)
+        joined = workspace.save(joined.withColumn("task", F.spark_partition_id()), "joined")
+        assert joined.where("found = md5(key)").count() == joined.count() == 20000
+        sizes = [r["count"] for r in joined.groupBy("task").count().collect()]
+        assert max(sizes) < 20000 * (0.45 if partitions == 8 else 0.2)
+        parts = {r.n for r in resolve._parts(counts, ["k"]).agg(F.max("__parts").alias("n")).collect()}
+        assert parts == {partitions // 2 + 1}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
