@@ -2,11 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pseudospark.sources.files import Workspace
 
+#: Links that one task contracts, and the most that it holds at a time.
+TASK_LINKS = 200_000
+HELD_LINKS = 400_000
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars in place of a task's links: each node with the smallest one that the links join it to."""
+    above: dict[int, int] = {}
+    held = 0
+
+    def root(node: int) -> int:
+        top = node
+        while (up := above.get(top, top)) != top:
+            top = up
+        while (up := above.get(node, node)) != top and up != node:
+            above[node], node = top, up
+        return top
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(node, root(node)) for node in above]
+        columns = zip(*[p for p in pairs if p[0] != p[1]])
+        a, b = list(columns) or ((), ())
+        above.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = root(a), root(b)
+            above.setdefault(x, x)
+            above.setdefault(y, y)
+            if x != y:
+                above[max(x, y)] = min(x, y)
+        held += batch.num_rows
+        if held > HELD_LINKS:
+            yield stars()
+            held = 0
+    yield stars()
+
 
 def _with_least(edges: DataFrame, workspace: Workspace) -> DataFrame:
     """``edges`` (a, b) and the least ``b`` of each ``a``. Both sides are tables, so that a skewed join can be split."""
@@ -17,15 +58,18 @@ def _with_least(edges: DataFrame, workspace: Workspace) -> DataFrame:
 def connected_components(links: DataFrame, workspace: Workspace) -> DataFrame:
     """``node, component`` for each node of ``links`` (a, b; both long); a component is named by its smallest node.
 
-    Each round first links the larger neighbours of a node to its smallest neighbour, then the smaller ones, until only
-    stars around the smallest nodes are left. Links may repeat, run either way and join a node to itself; a null on
+    Tasks first contract the links they hold, as many tasks as the counted links need. Where that is more than one, rounds
+    follow: each links the larger neighbours of a node to its smallest neighbour, then the smaller ones, until only stars
+    around the smallest nodes are left. Links may repeat, run either way and join a node to itself; a null on
     either side links nothing. No links give no rows.
     """
-    linked = links.where("a <> b")
-    edges = workspace.save(
-        linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
-    )
-    while True:
+    seen = Observation()
+    linked = links.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    linked = workspace.save(linked.observe(seen, F.count(F.lit(1)).alias("n")), "links")
+    tasks = -(-(seen.get.get("n") or 0) // TASK_LINKS)
+    following = workspace.save(linked.coalesce(max(1, tasks)).mapInArrow(_contracted, "a long, b long"), "contracted")
+    edges = following
+    while tasks > 1:
         both = workspace.save(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
         larger = workspace.save(
             _with_least(both, workspace)

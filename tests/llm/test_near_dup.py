@@ -5,9 +5,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from pseudospark.llm import near_dup
+from pseudospark.llm import components, near_dup
 from pseudospark.llm.components import connected_components
 from pseudospark.llm.near_dup import EMPTY, estimate, near_duplicates, registers
 from pseudospark.llm.words import mix
@@ -97,7 +98,10 @@ def test_registers_and_estimates():
     assert registers(one)[5] == (3 << 10 | 0b1010101010)
 
 
-def test_connected_components(spark, workspace):
+@pytest.mark.parametrize("task_links", [200_000, 20])
+def test_connected_components(spark, workspace, monkeypatch, task_links):
+    """Contracted by one task, and by several with rounds after them."""
+    monkeypatch.setattr(components, "TASK_LINKS", task_links)
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 60)] + [(200, 100 + i) for i in range(50)] + [(7, 7), (None, 3)]
     links += [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
@@ -114,11 +118,22 @@ def test_connected_components(spark, workspace):
             if i not in expected:
                 expected[i] = node
                 todo.extend(neighbours[i])
-    df = spark.createDataFrame(links, "a long, b long")
+    df = spark.createDataFrame(links, "a long, b long").repartition(8)
     assert {tuple(r) for r in connected_components(df, workspace).collect()} == set(expected.items())
     assert connected_components(df.limit(0), workspace).count() == 0
 
 
+def test_links_held_in_turns(monkeypatch):
+    """A task that holds few links at a time leaves stars that join what its links join."""
+    monkeypatch.setattr(components, "HELD_LINKS", 3)
+    batches = [pa.RecordBatch.from_pydict({"a": [i, i + 1], "b": [i + 1, i + 2]}) for i in range(0, 20, 2)]
+    stars = [tuple(r.values()) for b in components._contracted(iter(batches)) for r in b.to_pylist()]
+    joined = {0}
+    while more := {x for link in stars for x in link if joined & set(link)} - joined:
+        joined |= more
+    assert joined == set(range(21)) and all(a > b for a, b in stars)
+
+
 def similar_pairs(draw, sizes, copies):
     """Pairs of random sets at a Jaccard similarity of 0.8 or a little more: hashes in common, and those of one only."""
     for common, left, right in sizes:
