@@ -37,6 +37,18 @@ def may_access(subject: str, admin: bool = False) -> Column:
     return F.lit(admin) | (F.col("created_by") == subject)
 
 
+def access_outcome(asked: DataFrame, jobs: DataFrame, subject: str, admin: bool = False) -> DataFrame:
+    """What becomes of each asked ``id``: ``found``, ``forbidden`` if the job is another's, ``not found`` if there is none.
+
+    Existence is judged before ownership. A repeated request is answered each time; a null id is not found.
+    """
+    own = may_access(subject, admin)
+    known = jobs.select(F.col("id").alias("__id"), F.coalesce(own, F.lit(False)).alias("__own"))
+    outcome = F.when(F.col("__id").isNull(), "not found").when(F.col("__own"), "found").otherwise("forbidden")
+    joined = asked.join(known, F.col("id") == F.col("__id"), "left")
+    return joined.withColumn("outcome", outcome).drop("__id", "__own")
+
+
 def output_name() -> Column:
     """Download name of a job's result: the uploaded file's base name, else the job's id."""
     file_name = F.regexp_replace("original_file_name", "(?s)^.*/", "")

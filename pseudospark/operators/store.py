@@ -323,6 +323,8 @@ class MappingStore:
     def _change(self, counts: "DataFrame | dict[str, int]", place: str) -> None:
         """Write down by how many rows each namespace will have changed once ``place`` is published (or deleted)."""
         path = f"{self.path}/_staged/changes/{quote(place, safe='')}"
+        if place.startswith("deleted/") and files.exists(self.spark, path):
+            return  # a deletion that was stopped before it was through knows what there was
         files.delete(self.spark, path)
         if isinstance(counts, dict):
             lines = [json.dumps({"namespace_name": name, "n": n}) + "\n" for name, n in counts.items() if n]
@@ -337,12 +339,12 @@ class MappingStore:
             place = unquote(staged.rsplit("/", 1)[1])
             target = f"{self.path}/changes/{uuid.uuid4().hex}"
             if place.startswith("deleted/"):
-                done = not files.glob(self.spark, f"{self.path}/{place.split('/', 2)[2]}")
+                done = not files.glob(self.spark, f"{self.path}/{place.removeprefix('deleted/')}")
             else:
                 done = files.exists(self.spark, f"{self.path}/{place}")
             if done:
                 files.rename(self.spark, staged, target)
-            else:
+            elif not place.startswith("deleted/"):
                 files.delete(self.spark, staged)
 
     # -- reading -----------------------------------------------------------------------------------------------------
@@ -723,7 +725,7 @@ class MappingStore:
         folders = self._committed()
         if folders:
             lost = _counts(_of(self._scan(folders), [name])).first()
-            place = f"deleted/{uuid.uuid4().hex}/{self._generation(folders)}/batch_id=*/{own}"
+            place = f"deleted/{self._generation(folders)}/batch_id=*/{own}"
             self._change({name: -lost["n"] if lost else 0}, place)
         for layout in (BY_KEY, BY_PSEUDONYM):
             for folder in files.glob(self.spark, f"{self.path}/{layout.folder}generation=*/batch_id=*"):

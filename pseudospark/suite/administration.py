@@ -236,6 +236,12 @@ def jobs_list(spark, sf):
     return mine.select("id", "status", "created_by", ntz("created_at"))
 
 
+def job_one_access(spark, sf):
+    """Every order asks for the event job of its number on behalf of user 8; not all such jobs exist, and most are others'."""
+    asked = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"))
+    return jobs.access_outcome(asked, _event_jobs(spark, sf), "8")
+
+
 def job_output_name(spark, sf):
     """Pages stand for uploads: the URL is the file name, unknown for pages of unlabelled documents."""
     pages = table(spark, sf, "pages").join(
@@ -299,6 +305,7 @@ QUERIES = {
     "effective_roles": effective_roles,
     "job_access": job_access,
     "jobs_list": jobs_list,
+    "job_one_access": job_one_access,
     "job_output_name": job_output_name,
     "job_progress": job_progress,
     "job_throughput": job_throughput,
@@ -370,6 +377,11 @@ ORACLE = {
                        ELSE permission = 'write' AND r_name = home END
     """,
     "jobs_list": f"SELECT id, status, created_by, created_at FROM ({EVENT_JOBS_SQL}) WHERE created_by = '8'",
+    "job_one_access": """
+        SELECT CAST(o_orderkey AS VARCHAR) AS id,
+               CASE WHEN event_id IS NULL THEN 'not found' WHEN user_id = 8 THEN 'found' ELSE 'forbidden' END AS outcome
+        FROM orders LEFT JOIN events ON event_id = o_orderkey
+    """,
     "job_output_name": """
         WITH named AS (
             SELECT CAST(page_id AS VARCHAR) AS id, CASE WHEN quality IS NOT NULL THEN url END AS original_file_name,

@@ -3,14 +3,17 @@
 import time
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from pseudospark.operators.catalog import NamespaceCatalog
 from pseudospark.operators.jobs import status_fold
 from pseudospark.operators.ordered import numbered
 from pseudospark.plans.csv_job import run_csv_job
 from pseudospark.plans.fhir_batch import create_pseudonyms, judged_requests
+from pseudospark.plans.guarded import Caller, Guard
 from pseudospark.plans.job_run import JobLedger, run_recorded
 from pseudospark.plans.transform import ColumnMapping, pseudonymize
-from pseudospark.schemas import PSEUDONYMIZE, RULE_SCHEMA
+from pseudospark.schemas import JOB_SCHEMA, PSEUDONYMIZE, RULE_SCHEMA, STATUS_CODES
 from pseudospark.sources.csv import ROW, read_csv, write_csv
 from pseudospark.sources.fhir import parse_parameters
 from pseudospark.sources.files import Workspace
@@ -171,7 +174,8 @@ def job_run(spark, sf):
             pass  # recorded
     entries = ledger.read()
     facts = entries.groupBy("id").agg(
-        F.count(F.lit(1)).alias("n_events"),
+        F.count(F.when(F.col("event") != "progress", 1)).alias("n_events"),
+        (F.count(F.when(F.col("event") == "progress", 1)) > 0).alias("told_progress"),
         F.max("rows_processed").alias("rows_processed"),
         F.max("missing_value_count").alias("missing_value_count"),
         F.max("bad_data_row_count").alias("bad_data_row_count"),
@@ -181,6 +185,31 @@ def job_run(spark, sf):
     return facts.join(status_fold(entries, workspace), "id")
 
 
+def job_owned(spark, sf):
+    """A job that runs as its own row says: input and output keys, delimiter, header and columns."""
+    store = new_store(spark)
+    workspace = store.workspace
+    root, ledger = workspace.path("objects"), JobLedger(spark, workspace.path("ledger"))
+    customer = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    write_csv(customer, f"{root}/uploads/in.csv", None, sep="|")
+    mapping = {"source_column": "1", "target_column": None, "namespace": "people"}
+    row = {f.name: None for f in JOB_SCHEMA.fields} | {
+        "id": "own", "status": STATUS_CODES["Queued"], "direction": PSEUDONYMIZE, "created_by": "someone",
+        "input_object_key": "uploads/in.csv", "output_object_key": "results/own.csv", "encoding": "utf-8",
+        "delimiter": "|", "has_header_row": False, "column_mappings": [mapping],
+    }
+    schema = StructType([StructField(f.name, f.dataType) for f in JOB_SCHEMA.fields])
+    catalog = NamespaceCatalog(spark, workspace.path("catalog"))
+    catalog.create(name="people", pseudonym_generation_method=SHA[0], pseudonym_length=SHA[1])
+    guard = Guard(catalog, store, spark.createDataFrame([], RULE_SCHEMA), ["admin"])
+    jobs_table = spark.createDataFrame([row], schema)
+    guard.queue_job(Caller("root", ["admin"]), jobs_table, "own", ledger, root)
+    guard.run_job(Caller("root", ["admin"]), jobs_table, "own", ledger, root)
+    return spark.read.text(f"{root}/results/own.csv").select(
+        F.col("value").alias("line"), F.lit(ledger.status("own")).alias("status")
+    )
+
+
 # -- FHIR ------------------------------------------------------------------------------------------------------------------
 
 
@@ -359,6 +388,7 @@ QUERIES = {
     "csv_multi_line_bad": csv_multi_line_bad,
     "csv_sink": csv_sink,
     "job_run": job_run,
+    "job_owned": job_owned,
     "fhir_parse": fhir_parse,
     "fhir_errors": fhir_errors,
     "fhir_create": fhir_create,
@@ -431,14 +461,18 @@ ORACLE = {
                || upper(sha256(CAST(c_custkey AS VARCHAR)))
         FROM customer
     """,
+    "job_owned": """
+        SELECT CAST(c_custkey AS VARCHAR) || '|' || upper(sha256(c_name)) || '|' || c_mktsegment AS line, 3 AS status
+        FROM customer
+    """,
     "job_run": """
-        SELECT 'good' AS id, CAST(2 AS BIGINT) AS n_events, count(*) AS rows_processed,
+        SELECT 'good' AS id, CAST(2 AS BIGINT) AS n_events, true AS told_progress, count(*) AS rows_processed,
                count(*) FILTER (c_mktsegment = 'BUILDING') AS missing_value_count,
                CAST(0 AS BIGINT) AS bad_data_row_count, CAST(NULL AS VARCHAR) AS error_message, true AS has_bytes,
                3 AS status
         FROM customer
         UNION ALL
-        SELECT 'bad', 2, NULL, NULL, NULL, 'The header has no column ''nowhere''.', false, 4
+        SELECT 'bad', 2, true, NULL, NULL, 0, 'The header has no column ''nowhere''.', false, 4
     """,
     "fhir_parse": """
         SELECT event_id, event_type <> 'error' AS well_formed,
