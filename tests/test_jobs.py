@@ -154,3 +154,15 @@ def test_rules_of_a_rerun(spark, workspace):
     df = spark.createDataFrame(data, "id string, seq int, event string")
     got = {r.id: r.status for r in jobs.status_fold(df, workspace).collect()}
     assert got == {"redone": 3, "late": 6, "cancelled": 5, "done": 3, "waiting": 0}
+
+
+def test_access_to_single_jobs(spark):
+    """A job that does not exist is told apart from another's; repeated and null requests are answered as well."""
+    table = spark.createDataFrame([("a", "me"), ("b", "you"), ("c", None)], "id string, created_by string")
+    asked = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("d",), (None,)], "id string")
+
+    def outcomes(**options):
+        return sorted((r.id or "", r.outcome) for r in jobs.access_outcome(asked, table, "me", **options).collect())
+
+    assert outcomes() == [("", "not found"), ("a", "found"), ("a", "found"), ("b", "forbidden"), ("c", "forbidden"), ("d", "not found")]
+    assert [o for _, o in outcomes(admin=True)].count("found") == 4

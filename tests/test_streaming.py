@@ -154,3 +154,22 @@ def test_silent_jobs(spark, workspace):
     stalls = [r.id for r in ledger.read().where("event = 'stall' AND owner IS NULL").collect()]
     assert sorted(stalls) == ["again", "dead"]
     assert [ledger.status(j) for j in ("lives", "done", "waiting")] == [2, 3, 1]
+
+
+def test_deletion_that_was_stopped(spark, store, catalog, workspace):
+    """A deletion run again after it was stopped half-way takes off what there was before the first try."""
+    rows = spark.createDataFrame([("A", "x"), ("B", "x")], "namespace_name string, original_value string")
+    more = spark.createDataFrame([("B", "y"), ("B", "z")], "namespace_name string, original_value string")
+    store.upsert(rows, catalog)
+    store.upsert(more, catalog)
+    place = f"deleted/{store._generation()}/batch_id=*/namespace_name=B"
+    store._change({"B": -3}, place)
+    files.delete(spark, files.glob(spark, f"{store._committed()[0]}/namespace_name=B")[0])
+    store._announce()  # another change comes in between
+    store.delete_namespace("B")
+    snapshots = workspace.path("snapshots")
+    stream_counts(store, snapshots, workspace.path("checkpoint"), "counts").awaitTermination()
+    counted = spark.read.parquet(snapshots)
+    newest = counted.agg(F.max("batch_id")).first()[0]
+    found = {r.namespace_name: r.n for r in counted.where(F.col("batch_id") == newest).collect()}
+    assert found == {"A": 1} and store.read().count() == 1
