@@ -1,9 +1,9 @@
 """Main text of web pages by consensus of a host's pages.
 
-Where article or main elements hold enough of a page, all of them are its text. On other pages, the containers beside the
-one that holds most of a page give their paths (tags and classes without numbers) and texts to a vote: a path that holds
-the same text on most pages of its host that have it is no article. Spark adds up the votes of a host, and every page is
-extracted again without those paths, from the smallest container that holds all text that is left.
+Every page scores its containers by the text of their own: letters, links, sentence ends, kinds of blocks, and whether an
+article or main element holds them. The scores, weighed by the share of the page's letters, are votes on the container's
+path (tags and classes without numbers). Spark adds up the votes of each host, and with them how often a path holds the
+same text. Paths with votes above zero win, and every page is extracted again from its containers on winning paths.
 """
 
 from __future__ import annotations
@@ -18,21 +18,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pseudospark.llm.tables import saved_broadcast
 from pseudospark.llm.words import text_column
 from pseudospark.sources.files import Workspace
 
-#: A container's child that holds this share of its text puts those beside it to the vote.
-DOMINANT = 0.7
 #: The share of a page's text that is enough for the containers marked as main ones.
 MARKED = 0.3
 #: Different pages that must hold the same text in a path before it is no article.
 REPEATED = 3
+#: A container that holds more than this share of a page is not taken for repeated.
+MOST = 0.5
+#: Votes are whole numbers, so that their sums do not depend on the order; a page of one container casts this many.
+VOTES = 1_000_000
+#: Verdicts on paths of one host, counted in bytes, that are broadcast; beyond that they are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Parts into which the pages of a host are split where the join shuffles.
+PARTS_OF_HOST = 64
 
 # Fixed values of HTML: element kinds, and names by which pages mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video map select textarea button title head".split())
-CONTAINERS = frozenset("body main article section div td center table tbody tr".split())
+CONTAINERS = frozenset("body main article section div td center table tbody tr ul ol dl".split())
 BLOCKS = CONTAINERS | frozenset(
     "html p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre header footer nav aside form fieldset figure figcaption "
     "address details summary hr thead tfoot th caption".split()
@@ -46,11 +51,15 @@ DROPPED_NAMES = frozenset(
     "notice notices notification notifications alert gdpr popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended recommendations trending pagination pager skip copyright disclaimer".split()
 )
-#: Whole names of what is no article text even inside an article.
-SURE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot sponsored sidebar sidebars nav navbar breadcrumb "
-    "breadcrumbs pagination pager menu menus submenu widget widgets newsletter disqus commentlist".split()
+#: Those of them that name readers' comments.
+READER_NAMES = frozenset("comment comments commentlist disqus replies respond".split())
+#: Words that add nothing to the others in a name.
+FILLERS = frozenset(
+    "user users reader readers site page post posts article articles story stories box area list wrap wrapper container "
+    "block section thread form body bar content links inner outer top bottom left right main global inline".split()
 )
+#: Names that parts of articles have as well: they need a further sign.
+AMBIGUOUS = frozenset("header masthead banner topbar discussion disclaimer copyright alert colophon foot footer login skip reply".split())
 #: Words that name the part of an article together with these pieces, as article-header.
 PART_OF = (frozenset(["header", "masthead", "banner"]), frozenset("article post entry story content section chapter".split()))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -59,8 +68,10 @@ PARTS = frozenset("div section ul ol dl table tbody tr td details figure".split(
 #: A part that has such a name counts as no text if this share of its letters is linked.
 LINKED = 0.5
 FORMS = frozenset(["form", "fieldset"])
-#: A form that holds more than this share of a page's text is the page.
-WHOLE_FORM = 0.5
+#: A form or an element with an ambiguous name that holds more than this share of a page's text is the page.
+WHOLE = 0.5
+#: Blocks of running text.
+PROSE = HEADINGS | frozenset("p pre blockquote li dd".split())
 #: What names say of an element.
 PLAIN, LOOSE, SURE, READERS = range(4)
 #: Which open element a start tag ends, if it comes before one of the second set.
@@ -84,7 +95,7 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"']+)""")
 _NAME_PART = re.compile(r"[a-z]+")
-_COMMENTS = re.compile(r"comments?([-_]?(area|list|section|thread|wrapper|wrap|container|form|box|body))?$|respond$")
+_SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f](?=\s|$)|[\u3002\uff01\uff1f]")
 _TELLING = re.compile(r"class|id\s*=|role|hidden|style", re.IGNORECASE)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -105,32 +116,32 @@ def _described(tag: str, attributes: str) -> tuple[str, bool, bool, int]:
     dropped = dropped or role in DROPPED_ROLES or "hidden" in values or values.get("aria-hidden", "").lower() == "true"
     dropped = dropped or "display:none" in values.get("style", "").replace(" ", "").lower()
     classes = sorted({re.sub(r"[0-9]+", "#", c) for c in values.get("class", "").lower().split()})
+    if tag in ("body", "html"):
+        classes = []  # they name the page, not a place on it
     names = PLAIN
     if tag not in ("body", "html", "main") and role != "main":
         names = _names(tag, values.get("class", ""), values.get("id", ""))
-        # An article's names may say that it is a reader's comment, and no more.
-        names = names if tag != "article" or names == READERS else PLAIN
     return ".".join([tag, *classes]), dropped, marked, names
 
 
 def _names(tag: str, classes: str, id: str) -> int:
-    """What class and id names say; ids of headings and sections are made of the words of headings."""
-    if tag in HEADINGS or tag == "section" or "section" in classes.split():
-        id = ""
-    whole = classes.lower().split()
-    if tag in PARTS or tag == "article":
-        if any(_COMMENTS.match(c) for c in [*whole, id.lower()]):
-            return READERS
-    if tag == "article":
-        return PLAIN
-    if SURE_NAMES.intersection(whole) or (tag in PARTS and id.lower() in SURE_NAMES):
-        return SURE
-    for name in f"{_CAMEL.sub('-', classes)} {_CAMEL.sub('-', id)}".lower().split():
+    """What class and id names say. Ids of headings and sections are made of the words of headings."""
+    said = PLAIN
+    listed = [(name, False) for name in _CAMEL.sub("-", classes).lower().split()]
+    if tag not in HEADINGS:
+        listed += [(name, tag == "section") for name in _CAMEL.sub("-", id).lower().split()]
+    for name, of_heading in listed:
         found = set(_NAME_PART.findall(name))
         telling = found & DROPPED_NAMES
-        if telling and not (telling <= PART_OF[0] and found & PART_OF[1]):
-            return LOOSE
-    return PLAIN
+        if not telling:
+            continue
+        alone = found <= DROPPED_NAMES | FILLERS
+        if alone and found & READER_NAMES and (tag in PARTS or tag == "article"):
+            return READERS
+        if tag == "article" or of_heading or (telling <= PART_OF[0] and found & PART_OF[1]):
+            continue
+        said = max(said, SURE if alone and not telling <= AMBIGUOUS else LOOSE)
+    return said
 
 
 class Page:
@@ -231,7 +242,6 @@ class Page:
             own = self.tag[i] in CONTAINERS
             self.container[i] = i if own else self.container[above]
             self.path[i] = (f"{self.path[above]}>{self.step[i]}" if self.path[above] else self.step[i]) if own else self.path[above]
-        self._weigh()
 
     def _judge(self) -> None:
         """Drop what names and forms say is no text, as far as where it lies and what it holds agree."""
@@ -269,107 +279,91 @@ class Page:
             return every, links
 
         every, links = letters(out)
+        total = every[0] - links[0]
+        loose = []
         for i in named:
-            alone = self.names[i] >= SURE or (tag[i] in PARTS and not inside[i])
-            if alone or (links[i] and links[i] >= LINKED * every[i]):
+            if self.names[i] >= SURE:
+                # Names of the whole page are none of a part.
+                dropped[i] = every[i] < every[0]
+            elif links[i] and links[i] >= LINKED * every[i]:
+                dropped[i] = every[i] < every[0]
+            elif tag[i] in PARTS and not inside[i] and every[i] - links[i] <= WHOLE * total:
                 dropped[i] = True
+                loose.append(i)
+        for i in range(1, n):
+            out[i] = out[parent[i]] or (dropped[i] and tag[i] not in FORMS)
+        if loose and every[0] and not letters(out)[0][0]:
+            for i in loose:
+                dropped[i] = False
         if forms:
+            out = [False] * n
             for i in range(1, n):
                 out[i] = out[parent[i]] or (dropped[i] and tag[i] not in FORMS)
             every, links = letters(out)
             total = every[0] - links[0]
             for i in forms:
-                if every[i] - links[i] > WHOLE_FORM * total:
+                if every[i] - links[i] > WHOLE * total:
                     dropped[i] = False
 
-    def _weigh(self) -> None:
-        """Letters that each container holds outside of links and dropped parts."""
+    def scored(self) -> dict[str, tuple[float, float, str | None]]:
+        """Score, share of the page's letters and text of the containers on each path, by the text of their own.
+
+        The text is None where it may not be taken for one that the host repeats.
+        """
         n = len(self.tag)
-        self.held = [0] * n
-        linked = self.linked
-        dropped, held, container = self.dropped, self.held, self.container
-        for i, text, _ in self.text:
-            if text is not None and not dropped[i] and not linked[i]:
-                held[container[i]] += len(text) - text.count(" ") - text.count("\n")
-        for i in range(n - 1, 0, -1):
-            if self.container[i] == i:
-                self.held[self.container[self.parent[i]]] += self.held[i]
-
-    def _inner(self) -> dict[int, list[int]]:
-        """Containers with text below each container."""
-        inner: dict[int, list[int]] = {}
-        for i in range(1, len(self.tag)):
-            if self.container[i] == i and not self.dropped[i] and self.held[i]:
-                inner.setdefault(self.container[self.parent[i]], []).append(i)
-        return inner
-
-    def main(self) -> list[int]:
-        """The outermost marked containers if they hold enough, else the innermost container that holds all text."""
-        within = [False] * len(self.tag)
-        roots = []
-        for i in range(1, len(self.tag)):
-            own = self.marked[i] and self.container[i] == i and not self.dropped[i]
-            within[i] = within[self.parent[i]] or own
-            if own and not within[self.parent[i]] and self.held[i]:
-                roots.append(i)
-        if roots and sum(self.held[i] for i in roots) >= MARKED * self.held[0]:
-            return roots
-        inner, at = self._inner(), 0
-        while True:
-            whole = [i for i in inner.get(at, ()) if self.held[i] == self.held[at]]
-            if not whole:
-                return [at]
-            at = whole[0]
-
-    def beside(self) -> dict[str, str]:
-        """Texts of the containers beside the one that holds most, by path; none where marked containers tell the text."""
-        if any(self.marked[i] for i in self.main()):
-            return {}
-        inner, at = self._inner(), 0
-        sides: set[int] = set()
-        while True:
-            below = inner.get(at, ())
-            most = max(below, key=lambda i: self.held[i], default=0)
-            # Text of the container's own blocks is beside nothing: it has no path to vote on.
-            if not most or self.held[most] < DOMINANT * self.held[at] or sum(self.held[i] for i in below) < self.held[at]:
-                break
-            sides.update(i for i in below if i != most)
-            at = most
-        top = [0] * len(self.tag)
-        for i in range(1, len(self.tag)):
-            top[i] = i if i in sides else top[self.parent[i]]
-        found: dict[str, list[str]] = {}
+        within = [False] * n
+        for i in range(1, n):
+            within[i] = within[self.parent[i]] or (self.marked[i] and not self.dropped[i])
+        plain: dict[str, int] = {}
+        links: dict[str, int] = {}
+        texts: dict[str, list[str]] = {}
+        prose: set[str] = set()
+        marked: set[str] = set()
+        in_marked = 0
         for i, text, _ in self.text:
-            if top[i] and not self.dropped[i] and text is not None:
-                found.setdefault(self.path[top[i]], []).append(text)
-        return {path: " ".join(" ".join(texts).split()) for path, texts in found.items()}
-
-    def leave_out(self, paths: set[str]) -> None:
-        """Drop the containers of these paths, unless nothing would be left."""
-        if any(self.marked[i] for i in self.main()):
-            return
-        before = self.dropped, self.held
-        self.dropped = list(self.dropped)
-        for i in range(1, len(self.tag)):
-            own = self.container[i] == i and self.path[i] in paths
-            self.dropped[i] = self.dropped[i] or self.dropped[self.parent[i]] or own
-        self._weigh()
-        if not self.held[0]:
-            self.dropped, self.held = before
-
-    def extract(self, roots: list[int]) -> str:
-        """Text of the blocks below elements, dropped parts left out."""
-        inside = [False] * len(self.tag)
-        for root in roots:
-            inside[root] = True
-        for i in range(1, len(self.tag)):
-            inside[i] = inside[i] or inside[self.parent[i]]
+            if text is None or self.dropped[i]:
+                continue
+            path = self.path[i]
+            size = len(text) - text.count(" ") - text.count("\n")
+            if not size:
+                continue
+            of = links if self.linked[i] else plain
+            of[path] = of.get(path, 0) + size
+            texts.setdefault(path, []).append(text)
+            if self.tag[self.block[i]] in PROSE:
+                prose.add(path)
+            if within[i]:
+                marked.add(path)
+                if of is plain:
+                    in_marked += size
+        total = sum(plain.values()) + sum(links.values())
+        told = bool(marked) and in_marked > 0 and in_marked >= MARKED * sum(plain.values())
+        found = {}
+        for path, parts in texts.items():
+            letters, linked = plain.get(path, 0), links.get(path, 0)
+            text = " ".join(" ".join(parts).split())
+            share = (letters + linked) / total
+            if told:
+                score = 1.0 if path in marked else -1.0
+            else:
+                score = 0.6 * min(1.0, letters / 120) - 1.6 * linked / (letters + linked)
+                score += 0.4 * bool(_SENTENCE_END.search(text)) + 0.3 * (path in prose)
+            found[path] = score, share, None if told or share > MOST else text
+        return found
+
+    def extract(self, verdicts: dict[str, bool] | None = None) -> str:
+        """Text of the containers on winning paths. Where no verdict of the host is given the page's own score decides;
+        if none of its paths wins, first these scores alone, and then all that is not dropped, make the text."""
+        own = {path: score > 0 for path, (score, _, _) in self.scored().items()}
+        wins = {**own, **{path: won for path, won in (verdicts or {}).items() if path in own}}
+        if not any(wins.values()):
+            wins = own if any(own.values()) else dict.fromkeys(own, True)
         blocks: list[str] = []
         parts: list[str] = []
         current = -1
-        before = roots[0]
+        before = 0
         for i, text, opened in self.text:
-            if not inside[i] or self.dropped[i]:
+            if self.dropped[i] or not wins.get(self.path[i], True):
                 continue
             # A block that was opened between two parts of a text ends the first one.
             if parts and (self.block[i] != current or any(self.block[k] == k for k in range(before + 1, opened + 1))):
@@ -405,63 +399,83 @@ def _digest(text: str) -> int:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
     for batch in batches:
         rows = []
         hosts = batch.column(0).to_pylist()
         for name, html in zip(hosts, _htmls(batch)):
-            sides = read_page(html).beside()
-            if sides:
-                page = _digest(html)
-                rows += [(name, path, _digest(text), page) for path, text in sides.items()]
-        columns = zip(*rows) if rows else ((),) * 4
-        types = (pa.string(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "path", "text", "page"])
+            page = _digest(html)
+            for path, (score, share, text) in read_page(html).scored().items():
+                vote = max(1, round(VOTES * score * share)) if score > 0 else round(VOTES * score * share)
+                rows.append((name, path, None if text is None else _digest(text), page, vote))
+        columns = zip(*rows) if rows else ((),) * len(types)
+        names = ["host", "path", "text", "page", "vote"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left_out = batch.column(batch.schema.get_field_index("paths")).to_pylist()
+        verdicts = batch.column(batch.schema.get_field_index("verdicts")).to_pylist()
         texts = []
-        for html, paths in zip(_htmls(batch), left_out):
-            page = read_page(html)
-            if paths:
-                page.leave_out(set(paths))
-            texts.append(page.extract(page.main()))
+        for html, told in zip(_htmls(batch), verdicts):
+            texts.append(read_page(html).extract({v["path"]: v["won"] for v in told or ()}))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]
         )
 
 
+def path_votes(source: DataFrame) -> DataFrame:
+    """``host, path, votes, won, overruled`` from pages with ``host`` and ``text``.
+
+    A path wins by votes above zero, unless most of the pages that have it hold the same text there. ``overruled`` tells
+    whether some page's own score says otherwise. Copies of a page vote once: what only they repeat may be an article.
+    """
+    votes = source.select("host", "text").mapInArrow(_vote, "host string, path string, text long, page long, vote long")
+    alike = votes.distinct().groupBy("host", "path", "text")
+    alike = alike.agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("vote").alias("votes"), F.min("vote").alias("low"), F.max("vote").alias("high")
+    )
+    told = alike.groupBy("host", "path").agg(
+        F.max(F.when(F.col("text").isNotNull(), F.col("pages"))).alias("equal"),
+        F.sum("pages").alias("all"),
+        F.sum("votes").alias("votes"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+    )
+    repeated = (F.coalesce("equal", F.lit(0)) >= REPEATED) & (2 * F.coalesce("equal", F.lit(0)) > F.col("all"))
+    won = (F.col("votes") > 0) & ~repeated
+    overruled = F.when(won, F.col("low") <= 0).otherwise(F.col("high") > 0)
+    return told.select("host", "path", "votes", won.alias("won"), overruled.alias("overruled"))
+
+
 def main_texts(
     pages: DataFrame, workspace: Workspace, *, id: str = "page_id", url: str = "url", html: str = "html"
 ) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages``: the article, from the whole HTML.
 
     Character references are decoded, white space inside a block is one space, blocks are joined by one space in page
-    order. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and readers' comments are left
-    out by element, role and class or id names, and what most pages of a host repeat beside the text. Pages without host form one host. A null HTML is empty; an empty or
-    textless page has an empty text. Repeated rows are extracted each by itself; ids may be null or repeat; other columns
-    are ignored; an empty table gives no rows.
+    order. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and readers' comments get no
+    score: elements, roles and class or id names tell them, though a name drops nothing that is the whole page, and an
+    ambiguous one nothing that holds most of it. All else is taken or left by the votes of the page's host. Pages
+    without host form one host. A null HTML is empty; an empty or textless page has an empty text. Repeated rows are
+    extracted each by itself; ids may be null or repeat; other columns are ignored; an empty table gives no rows.
     """
     source = pages.select(
         F.col(id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("text")
     ).withColumn("host", host(F.col("url")))
-    votes = (
-        source.select("host", "text")
-        .mapInArrow(_vote, "host string, path string, text long, page long")
-        .distinct()
-        .groupBy("host", "path", "text")
-        .agg(F.count(F.lit(1)).alias("pages"))
-    )
-    # Copies of a page are one page: what only they repeat may be an article.
-    told = votes.groupBy("host", "path").agg(F.max("pages").alias("equal"), F.sum("pages").alias("all"))
-    told = told.where((F.col("equal") >= REPEATED) & (2 * F.col("equal") > F.col("all")))
-    left_out = told.groupBy("host").agg(F.collect_list("path").alias("paths"))
-    left_out = saved_broadcast(left_out, workspace, "left_out")
+    # Only verdicts that overrule some page travel: pages come to the others by themselves.
+    told = path_votes(source).where("overruled").groupBy("host")
+    told = workspace.save(told.agg(F.collect_list(F.struct("path", "won")).alias("verdicts")), "verdicts")
+    size = F.sum(F.length("host") + F.aggregate("verdicts", F.lit(0), lambda n, v: n + F.length(v["path"]) + 16))
+    if (told.agg(size).first()[0] or 0) <= BROADCAST_BYTES:
+        joined = source.join(F.broadcast(told), "host", "left")
+    else:
+        part = F.pmod(F.xxhash64("text", "url"), F.lit(PARTS_OF_HOST))
+        copies = told.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS_OF_HOST - 1))).cast("long"))
+        joined = source.withColumn("part", part).join(copies, ["host", "part"], "left")
     types = f"page_id {pages.schema[id].dataType.simpleString()}, url string, text string"
     return (
-        source.join(left_out, "host", "left")
-        .select("page_id", "url", "text", "paths")
+        joined.select("page_id", "url", "text", "verdicts")
         .mapInArrow(_extract, types)
         .withColumn("n_chars", F.length("text").cast("long"))
     )
