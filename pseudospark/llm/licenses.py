@@ -1,11 +1,11 @@
 """Licence scan by a trained paragraph classifier.
 
-A paragraph is a line of a text. A sparse logistic regression over words and pairs of words, trained on spans of the
-templates below and on paragraphs of the corpus as the unknown class, gives each paragraph a licence family; a
-temperature fitted on examples kept back calibrates it. What is classified are the stretches of a paragraph whose pairs of
-words are mostly pairs of templates, wherever they lie in it, and the paragraph itself if it is such a stretch. A family is
-reported only if most of the stretch's pairs are that family's, and it has a telling pair of the family or covers half of
-one of its longer templates.
+Whole names of licences and runs of six words of licence texts make the candidates in a paragraph's sentences. A sparse
+logistic regression over n-grams, of the candidate's own words and of those around it, decides whether a candidate states a
+licence and of which family, or is of the unknown class. It is trained on templates (names in notices, and licence texts)
+and on the same names put into paragraphs of the corpus; notices that no training row uses calibrate it by a temperature. A
+prediction counts if it is the family whose template the candidate's words are: what the templates cannot confirm would
+be unknown in any case, so only candidates are classified.
 """
 
 from __future__ import annotations
@@ -21,191 +21,152 @@ from pyspark.sql import functions as F
 from pseudospark.llm.training import TEXT_BYTES
 from pseudospark.llm.words import ALPHANUMERIC, Words, find_words, gram_hashes, pieces, text_column
 
-# What licences and licence notices say, by family.
-TEMPLATES = {
+# Names of licences, notices with a name in them, and texts, by family.
+NAMES = {
+    "mit": "MIT License, MIT licence, MIT, MIT/X11 license, Expat License, opensource.org/licenses/MIT",
+    "apache-2.0": "Apache License, Apache licence, Apache License Version 2.0, Apache 2.0, Apache-2.0 license, Apache Software License, "
+    "apache.org/licenses/LICENSE-2.0",
+    "gpl": "GNU General Public License, General Public License, GNU GPL, GPL, GPLv2, GPLv3, GPL version 3, GPL-2.0-only, "
+    "GPL-3.0-or-later, gnu.org/licenses/gpl",
+    "lgpl": "GNU Lesser General Public License, Lesser General Public License, GNU Library General Public License, GNU LGPL, LGPL, "
+    "LGPLv2, LGPLv3, LGPL version 3, LGPL-2.1-or-later, gnu.org/licenses/lgpl",
+    "agpl": "GNU Affero General Public License, Affero General Public License, GNU AGPL, AGPL, AGPLv3, AGPL version 3, AGPL-3.0-only, "
+    "gnu.org/licenses/agpl",
+    "bsd": "BSD License, BSD licence, BSD, BSD 3-Clause, BSD 2-Clause, BSD-3-Clause License, BSD-style license, "
+    "opensource.org/licenses/BSD",
+    "mpl-2.0": "Mozilla Public License, Mozilla Public Licence, MPL 2.0, MPL, MPL-2.0, mozilla.org/MPL",
+    "isc": "ISC License, ISC licence, ISC, opensource.org/licenses/ISC",
+    "cc-by": "CC BY, CC BY 4.0, Creative Commons Attribution, Creative Commons Attribution 4.0, creativecommons.org/licenses/by",
+    "cc-by-sa": "CC BY-SA, CC BY-SA 4.0, Creative Commons Attribution-ShareAlike, creativecommons.org/licenses/by-sa",
+    "cc-by-nc": "CC BY-NC, CC BY-NC 4.0, Creative Commons Attribution-NonCommercial, creativecommons.org/licenses/by-nc",
+    "cc-by-nd": "CC BY-ND, CC BY-ND 4.0, Creative Commons Attribution-NoDerivatives, creativecommons.org/licenses/by-nd",
+    "cc0": "CC0, CC0 1.0, Creative Commons Zero, creativecommons.org/publicdomain/zero",
+    "unlicense": "Unlicense, unlicense.org",
+    "proprietary": "All rights reserved, Alle Rechte vorbehalten, Tous droits r\u00e9serv\u00e9s, Todos los derechos reservados",
+}
+NOTICES = (
+    "Released under the {}.", "Licensed under {}.", "Licensed under the {}.", "This work is licensed under the {}.", "License: {}",
+    "Distributed under the terms of the {}.", "SPDX-License-Identifier: {}", "Available under the {}.", "This code is {} licensed.",
+    "{}", "See the {} for details.", "Choose either the {}.", "Or, if you wish, take the {}.", "Published under a {}.",
+    "It is under the {}.", "Subject to the terms of the {}.", "All of it may be used under {}.", "You may copy it under the terms of the {} if you like.",
+    "This program is free software under the {}, version 3.", "Released under {} and no other.",
+)
+#: Notices that calibrate and are not trained on.
+HELD_BACK = (
+    "The source is available under {}.", "May be copied under the conditions of the {}.", "Copying is governed by the {}.",
+    "Provided under {}, without any warranty.", "License of this package: {}",
+)
+RIGHTS = ("{}.", "Copyright by the authors. {}.", "Copyright 2020, the publisher, {}.", "\u00a9 2019 {}", "(c) the authors. {}")
+RIGHTS_HELD_BACK = ("Copyright \u00a9 by the owner - {}.", "All contents copyright, {}!")
+TEXTS = {
     "mit": (
-        "Released under the MIT License.",
-        "This project is licensed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
-        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
-        "SPDX-License-Identifier: MIT",
-        "Distributed under the MIT License (MIT), available at https://opensource.org/licenses/MIT",
-        "Code is available under the MIT licence.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
+        " documentation files (the Software), to deal in the Software without restriction, including without "
+        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
+        "the Software.",
     ),
     "apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with "
-        "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "SPDX-License-Identifier: Apache-2.0",
-        "This software is distributed under the Apache 2.0 license.",
-        "Released under the terms of the Apache License 2.0, on an as is basis, without warranties or conditions of any kind.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance"
+        " with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ),
     "gpl": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-        "later version.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-        "SPDX-License-Identifier: GPL-2.0-only",
-        "Distributed under the terms of the GNU GPL version 2 or later.",
-        "Released under the GPLv3 license, see https://www.gnu.org/licenses/gpl-3.0.html",
-        "Licensed under the GPLv2.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version.",
     ),
     "lgpl": (
-        "Licensed under the GNU Lesser General Public License, version 2.1.",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
-        "Public License as published by the Free Software Foundation.",
-        "SPDX-License-Identifier: LGPL-2.1-or-later",
-        "Released under the terms of the GNU LGPL version 3 or later.",
-        "Licensed under the LGPLv3 license.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation.",
     ),
     "agpl": (
-        "Licensed under the GNU Affero General Public License, version 3.",
         "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License.",
-        "SPDX-License-Identifier: AGPL-3.0-only",
-        "Released under the terms of the GNU AGPL version 3.",
-        "Licensed under the AGPLv3 license.",
     ),
     "bsd": (
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met: redistributions of source code must retain the above copyright notice.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-        "Distributed under the terms of the BSD license.",
-        "Released under the simplified BSD 2-Clause License, or a BSD-style license.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
+        " the following conditions are met: redistributions of source code must retain the above copyright notice.",
     ),
     "mpl-2.0": (
-        "Licensed under the Mozilla Public License, version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
-        "Distributed under the MPL 2.0 license, available at https://mozilla.org/MPL/2.0/",
     ),
     "isc": (
-        "Released under the ISC License.",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    ),
-    "cc-by": (
-        "Licensed under CC BY 4.0.",
-        "Available under the CC BY 3.0 license at https://creativecommons.org/licenses/by/4.0/",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ),
-    "cc-by-sa": (
-        "Licensed under CC BY-SA 4.0.",
-        "Available under the CC BY-SA 3.0 license at https://creativecommons.org/licenses/by-sa/4.0/",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    ),
-    "cc-by-nc": (
-        "Licensed under CC BY-NC 4.0.",
-        "Available under the CC BY-NC 3.0 license at https://creativecommons.org/licenses/by-nc/4.0/",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ),
-    "cc-by-nd": (
-        "Licensed under CC BY-ND 4.0.",
-        "Available under the CC BY-ND 3.0 license at https://creativecommons.org/licenses/by-nd/4.0/",
-        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
     "cc0": (
-        "Released under CC0 1.0, dedicated to the public domain.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     ),
-    "unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+    ),
     "proprietary": (
-        "All rights reserved.",
-        "Copyright by the authors. All rights reserved.",
         "No part of this publication may be reproduced without the prior written permission of the publisher.",
     ),
 }
 UNKNOWN = "unknown"
-#: Pairs of words that tell a family, all of them parts of its templates.
-TELLING = {
-    "mit": "mit license, mit licence, identifier mit, license mit, licenses mit",
-    "apache-2.0": "apache license, apache licence, apache 2, apache org",
-    "gpl": "general public, gnu gpl, gpl 3, gpl 2, gpl version, the gplv3, the gplv2, gplv3 license",
-    "lgpl": "lesser general, gnu lgpl, lgpl 2, lgpl version, the lgplv3",
-    "agpl": "affero general, gnu agpl, agpl 3, agpl version, the agplv3",
-    "bsd": "bsd 3, bsd 2, bsd license, bsd licence, bsd style",
-    "mpl-2.0": "mozilla public, mpl 2",
-    "isc": "isc license",
-    "cc-by": "cc by, commons attribution",
-    "cc-by-sa": "by sa, attribution sharealike",
-    "cc-by-nc": "by nc, attribution noncommercial",
-    "cc-by-nd": "by nd, attribution noderivatives",
-    "cc0": "under cc0, cc0 1",
-    "unlicense": "and unencumbered, unencumbered software",
-    "proprietary": "rights reserved",
-}
-#: Pairs by which a notice is of a narrower family than this one.
-NARROWER = {"gpl": ("lgpl", "agpl"), "cc-by": ("cc-by-sa", "cc-by-nc", "cc-by-nd")}
-#: Pairs one of which must stand beside the telling pair of a family, whose short names are words elsewhere.
-BESIDE = {f: "cc by, creative commons, commons attribution, licenses by" for f in ("cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd")}
-#: Pairs from which on a template is long enough to be told by its coverage, and the share that tells it.
-LONG_TEMPLATE = 12
-COVERED = 0.5
-#: Places of template pairs that belong to one stretch differ by at most so many.
-GAPS = (1, 3)
-#: Documents whose paragraphs stand for the unknown class, and examples made of each template.
+#: Words of a licence text that make a candidate.
+RUN = 6
+#: Candidates of one family that lie no further apart are one.
+GAP = 2
+#: Words on each side of a candidate, inside its sentence, that are looked at.
+CONTEXT = 8
+#: Documents whose paragraphs stand for the unknown class, and training rows made for each family, with and without notice.
 SAMPLE_DOCUMENTS = 300
 SAMPLE_PARAGRAPHS = 3000
-EXAMPLES = 60
-#: Least share of a paragraph's word pairs that must be the family's, and least probability.
-CONFIRMED = 0.5
+POSITIVES, NEGATIVES = 240, 240
+#: Least probability of a family.
 PROBABLE = 0.5
+#: Tokens for words that no template has, and for the ends of a sentence.
+OTHER, BEGIN, END = 0, 1, 2
+
+
+@dataclass
+class Templates:
+    """Words of the templates, and the hashes of names and of runs of words, by number of words, with their families."""
+
+    words: set[int]
+    hashes: dict[int, np.ndarray]
+    families: dict[int, np.ndarray]
+
+
+@dataclass
+class Candidate:
+    """Words ``first`` to ``last`` (exclusive) that are a family's, and the bounds of what is looked at around them."""
+
+    first: int
+    last: int
+    family: int
+    begin: int
+    end: int
+    begins_sentence: bool
+    ends_sentence: bool
 
 
 @dataclass
 class Classifier:
     families: list[str]  # the unknown class last
-    features: np.ndarray  # sorted hashes of words and pairs
+    features: dict[tuple, int]
     weights: np.ndarray  # features and intercept x families
     temperature: float
-    pairs: dict[str, np.ndarray]  # sorted hashes of each family's pairs
-    all_pairs: np.ndarray
-    telling: dict[str, np.ndarray]
-    all_telling: np.ndarray
-    long_templates: dict[str, list[np.ndarray]]
-    beside: dict[str, np.ndarray]
-
-    def probabilities(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        return _softmax(self.row(words, pairs) @ self.weights / self.temperature)
-
-    def row(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        found = np.concatenate([words, pairs])
-        place = np.minimum(np.searchsorted(self.features, found), len(self.features) - 1)
-        hit = self.features[place] == found
-        out = np.zeros(len(self.features) + 1, np.float32)
-        np.add.at(out, place[hit], 1)
-        out[:-1] /= max(1, len(words)) ** 0.5
-        out[-1] = 1
-        return out
-
-    def family(self, words: np.ndarray, pairs: np.ndarray) -> tuple[str, float]:
-        """The confirmed family of a stretch of words and its probability among those that its pairs tell, and none."""
-        probability = self.probabilities(words, pairs)
-        told = [i for i, name in enumerate(self.families[:-1]) if self.told(name, pairs)] if len(pairs) else []
-        if not told:
+    templates: Templates
+
+    def probabilities(self, keys: list[tuple]) -> np.ndarray:
+        places = [self.features[k] for k in keys if k in self.features]
+        odds = self.weights[places].sum(axis=0) / max(1, len(keys)) ** 0.5 + self.weights[-1]
+        return _softmax(odds / self.temperature)
+
+    def judge(self, words: Words, candidate: Candidate) -> tuple[str, float]:
+        """Family of a candidate and its probability; unknown if the prediction is not the family of its template."""
+        probability = self.probabilities(_features(self.templates, words, candidate))
+        best = int(probability.argmax())
+        if best != candidate.family or probability[best] < PROBABLE:
             return UNKNOWN, float(probability[-1])
-        probability /= probability[told].sum() + probability[-1]
-        best = max(told, key=lambda i: probability[i])
-        name = self.families[best]
-        if probability[best] < PROBABLE or _among(pairs, self.pairs[name]).mean() < CONFIRMED:
-            return UNKNOWN, float(probability[-1])
-        return name, float(probability[best])
-
-    def tells(self, text: str) -> bool:
-        """Whether any family has a telling pair in the text."""
-        pairs = _hashes(text.encode())[1]
-        return bool(len(pairs)) and bool(_among(pairs, self.all_telling).any())
+        return self.families[best], float(probability[best])
 
-    def told(self, name: str, pairs: np.ndarray) -> bool:
-        """Whether a telling pair or most of a longer template says that it is this family and no narrower one."""
-        if any(_among(pairs, self.telling[n]).any() for n in NARROWER.get(name, ())):
-            return False
-        if name in BESIDE and (len(pairs) < 2 or not _among(pairs, self.beside[name]).any()):
-            return False
-        covered = any(np.isin(t, pairs).mean() >= COVERED for t in self.long_templates[name])
-        return covered or bool(_among(pairs, self.telling[name]).any())
+    def notices(self, text: str) -> list[tuple[str, float]]:
+        """Family (or unknown) and probability of each candidate in a text."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        words = find_words(data, np.array([0, len(data)]), ALPHANUMERIC)
+        return [self.judge(words, c) for c in _candidates(self.templates, words, data)]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -213,102 +174,207 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
-
-
-def _hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    words = find_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), ALPHANUMERIC)
-    return words.hash, gram_hashes(words, 2)
+def _words(texts: list[str]) -> tuple[Words, np.ndarray]:
+    """Words of texts, and the bytes as they are written."""
+    encoded = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(encoded), np.uint8)
+    return find_words(data, np.cumsum([0, *(len(t) for t in encoded)]), ALPHANUMERIC), data
+
+
+def _templates() -> Templates:
+    words: set[int] = set()
+    found: dict[int, dict[int, int]] = {}
+    shared: set[tuple[int, int]] = set()
+    for number, family in enumerate(NAMES):
+        for text in NAMES[family].split(", "):
+            own, _ = _words([text])
+            n = len(own.hash)
+            found.setdefault(n, {})[int(gram_hashes(own, n)[0])] = number
+            words.update(own.hash.tolist())
+        for text in TEXTS.get(family, ()):
+            own, _ = _words([text])
+            words.update(own.hash.tolist())
+            for run in gram_hashes(own, RUN).tolist():
+                # A run that texts of two families have tells neither.
+                if found.setdefault(RUN, {}).setdefault(run, number) != number:
+                    shared.add((RUN, run))
+    for n, run in shared:
+        del found[n][run]
+    for text in (*NOTICES, *RIGHTS):
+        words.update(_words([text.replace("{}", " ")])[0].hash.tolist())
+    hashes = {n: np.array(sorted(known), np.uint64) for n, known in found.items()}
+    return Templates(words, hashes, {n: np.array([found[n][h] for h in hashes[n].tolist()]) for n in hashes})
+
+
+def _lines(words: Words) -> np.ndarray:
+    """Number of the paragraph of each word, counted over the run of texts."""
+    line = np.cumsum(words.data == 10)[words.start]
+    return np.cumsum(np.r_[0, (words.text[1:] != words.text[:-1]) | (line[1:] != line[:-1])])
+
+
+def _sentences(words: Words) -> np.ndarray:
+    """Number of the sentence of each word, counted over the run of texts."""
+    data = words.data
+    space = np.r_[(data[1:] == 32) | ((data[1:] >= 9) & (data[1:] <= 13)), True]
+    breaks = np.cumsum((data == 10) | (np.isin(data, np.frombuffer(b".!?;", np.uint8)) & space))[words.start]
+    return np.cumsum(np.r_[0, (words.text[1:] != words.text[:-1]) | (breaks[1:] != breaks[:-1])])
+
+
+def _candidates(templates: Templates, words: Words, raw: np.ndarray) -> list[Candidate]:
+    """Spans of template words inside sentences; of spans that overlap the longest."""
+    if not len(words.start):
+        return []
+    spans: list[tuple[int, int, int]] = []
+    sentence = None
+    for n, known in templates.hashes.items():
+        grams = gram_hashes(words, n)
+        if not len(grams):
+            continue
+        place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        at = np.flatnonzero(known[place] == grams)
+        if n == 1 and len(at):
+            # Short names are words of other languages: they count as they are written, in capitals.
+            second = raw[np.minimum(words.start[at] + 1, len(raw) - 1)]
+            named = (raw[words.start[at]] >= 65) & (raw[words.start[at]] <= 90)
+            at = at[named & (((second >= 65) & (second <= 90)) | (words.end[at] - words.start[at] > 6))]
+        if not len(at):
+            continue
+        if sentence is None:
+            sentence = _sentences(words)
+        at = at[sentence[at] == sentence[at + n - 1]]
+        spans += [(i, i + n, f) for i, f in zip(at.tolist(), templates.families[n][place[at]].tolist())]
+    if not spans:
+        return []
+    merged: list[tuple[int, int, int]] = []
+    for span in sorted(spans, key=lambda x: (x[2], x[0])):
+        last = merged[-1] if merged else None
+        if last and last[2] == span[2] and span[0] <= last[1] + GAP and sentence[last[0]] == sentence[span[0]]:
+            merged[-1] = (last[0], max(last[1], span[1]), span[2])
+        else:
+            merged.append(span)
+    kept: list[tuple[int, int, int]] = []
+    for span in sorted(merged):
+        while kept and kept[-1][1] > span[0] and kept[-1][1] - kept[-1][0] < span[1] - span[0]:
+            kept.pop()
+        if not kept or kept[-1][1] <= span[0]:
+            kept.append(span)
+    found = []
+    for k, (first, last, family) in enumerate(kept):
+        low = max(int(np.searchsorted(sentence, sentence[first])), kept[k - 1][1] if k else 0)
+        high = min(int(np.searchsorted(sentence, sentence[first], "right")), kept[k + 1][0] if k + 1 < len(kept) else len(sentence))
+        begin, end = max(low, first - CONTEXT), min(high, last + CONTEXT)
+        begins = begin == 0 or sentence[begin - 1] != sentence[first]
+        ends = end == len(sentence) or sentence[end] != sentence[first]
+        found.append(Candidate(first, last, family, begin, end, begins, ends))
+    return found
+
+
+def _features(templates: Templates, words: Words, c: Candidate) -> list[tuple]:
+    """N-grams of a candidate's own words, of what is around it, and across its two ends."""
+
+    def tokens(a: int, b: int) -> list[int]:
+        return [h if h in templates.words else OTHER for h in words.hash[a:b].tolist()]
+
+    own = words.hash[c.first : c.last].tolist()
+    left = [BEGIN] * int(c.begins_sentence) + tokens(c.begin, c.first)
+    right = tokens(c.last, c.end) + [END] * int(c.ends_sentence)
+    keys = [("own", w) for w in set(own)] + [("own", a, b) for a, b in zip(own, own[1:])]
+    keys += [("around", w) for w in {*left, *right} - {OTHER}]
+    keys += [("length", min(len(own), RUN))]
+    keys += [("left", *left[-n:]) for n in (1, 2) if len(left) >= n]
+    keys += [("right", *right[:n]) for n in (1, 2) if len(right) >= n]
+    keys += [("into", left[-1], own[0])] if left else []
+    keys += [("out", own[-1], right[0])] if right else []
+    return keys + ([("sides", left[-1], right[0])] if left and right else [])
+
+
+def _examples(draw: np.random.Generator, prose: list[list[str]]) -> tuple[list[str], list[int], list[bool]]:
+    """Texts, the family that each states (or the number of families), and whether a text is one that calibrates."""
+    texts, labels, held = [], [], []
+
+    def some(most: int) -> str:
+        line = prose[int(draw.integers(len(prose)))]
+        first = int(draw.integers(0, max(1, len(line) - most)))
+        return " ".join(line[first : first + int(draw.integers(1, most + 1))])
+
+    def pick(options):
+        return options[int(draw.integers(len(options)))]
+
+    def add(text: str, label: int, calibrates: bool) -> None:
+        texts.append(text)
+        labels.append(label)
+        held.append(calibrates)
+
+    for number, family in enumerate(NAMES):
+        names = NAMES[family].split(", ")
+        frames = (RIGHTS, RIGHTS_HELD_BACK) if family == "proprietary" else (NOTICES, HELD_BACK)
+        for k in range(POSITIVES):
+            back = bool(draw.random() < 0.2)
+            name, notice = pick(names) if k >= len(names) else names[k], pick(frames[back])
+            if notice == "{}" and not set(" /-.") & set(name):
+                # A short name that stands alone states nothing: it may be any word in capitals.
+                add(name if draw.random() < 0.5 else f"{some(12)}. {name}. {some(12)}", len(NAMES), bool(back))
+                continue
+            said = notice.format(name)
+            if draw.random() < 0.3:
+                said = f"{some(12)}, {said[0].lower()}{said[1:]}" if said[:1].isalpha() and said[1:2].islower() else said
+            if draw.random() < 0.2:
+                said = f"{said.rstrip('.')} {pick(('and', 'or', 'as', 'for', 'which'))} {some(12)}"
+            add(f"{some(12)}. {said} {some(12)}" if draw.random() < 0.3 and said.endswith(".") else said, number, back)
+        for text in TEXTS.get(family, ()):
+            parts = text.split()
+            for _ in range(POSITIVES // 4):
+                first = int(draw.integers(0, max(1, len(parts) - 8)))
+                said = " ".join(parts[first : first + int(draw.integers(8, max(9, len(parts)) + 1))])
+                add(said if draw.random() < 0.5 else f"{some(8)}. {said} {some(8)}", number, draw.random() < 0.2)
+        short = [n for n in names if "/" not in n]
+        for _ in range(NEGATIVES):
+            before = some(10) if draw.random() < 0.7 else ""
+            add(f"{before} {pick(short)} {some(10)}", len(NAMES), draw.random() < 0.2)
+    return texts, labels, held
 
 
 def trained(paragraphs: list[str], seed: int = 5) -> Classifier:
     """A classifier from the templates and paragraphs of a corpus, most of which name no licence."""
     draw = np.random.default_rng(seed)
-    families = [*TEMPLATES, UNKNOWN]
-    hashed = {f: [_hashes(t.encode()) for t in texts] for f, texts in TEMPLATES.items()}
-    pairs = {f: np.unique(np.concatenate([p for _, p in rows])) for f, rows in hashed.items()}
-    all_pairs = np.unique(np.concatenate(list(pairs.values())))
-    features = np.unique(np.concatenate([all_pairs, *(w for rows in hashed.values() for w, _ in rows)]))
-    telling, beside = (
-        {f: np.unique(np.concatenate([_hashes(t.encode())[1] for t in phrases.split(", ")])) for f, phrases in known.items()}
-        for known in (TELLING, BESIDE)
-    )
-    all_telling = np.unique(np.concatenate(list(telling.values())))
-    long_templates = {f: [q for q in (np.unique(p) for _, p in rows) if len(q) >= LONG_TEMPLATE] for f, rows in hashed.items()}
-    weights = np.zeros((len(features) + 1, len(families)), np.float32)
-    model = Classifier(families, features, weights, 1.0, pairs, all_pairs, telling, all_telling, long_templates, beside)
-
-    rows, labels = [], []
-
-    def example(words: list[str], label: int) -> None:
-        rows.append(model.row(*_hashes(" ".join(words).encode())))
-        labels.append(label)
-
-    for label, texts in enumerate(TEMPLATES.values()):
-        for text in texts:
-            words = text.split()
-            example(words, label)
-            for _ in range(EXAMPLES):
-                first = int(draw.integers(0, max(1, len(words) // 2)))
-                last = int(draw.integers(first + 6, len(words) + 1)) if len(words) > 12 else len(words)
-                part = words[first:last] if len(words) > 12 else words
-                part = [w for w in part if draw.random() > 0.05] or words
-                example(part, label)
-                # Words of the same licence in no order name none.
-                if draw.random() < 0.3:
-                    mixed = [str(w) for w in draw.permutation([w for w in words if draw.random() < 0.4] or words[:1])]
-                    # By chance they may be told all the same.
-                    if not model.tells(" ".join(mixed)):
-                        example(mixed, len(families) - 1)
-        for phrase in TELLING[families[label]].split(", "):
-            for start in ("", "the ", "under the ") * 5:
-                example((start + phrase).split(), label)
-    for text in paragraphs:
-        words, own = _hashes(text.encode())
-        # Prose around a notice is no example of what names none.
-        if _among(own, all_telling).any():
-            continue
-        if not len(own) or _among(own, all_pairs).mean() < CONFIRMED:
-            rows.append(model.row(words, own))
-            labels.append(len(families) - 1)
-    x, y = np.array(rows, np.float32), np.array(labels)
-    kept = draw.random(len(y)) < 0.2
-    target = np.eye(len(families), dtype=np.float32)[y]
-    w = model.weights
+    templates = _templates()
+    # Words around notices of the corpus itself are no example of what names none.
+    data = [p for p in paragraphs if len(p.split()) > 1]
+    words, raw = _words([f"{p}\n" for p in data])
+    named = {int(words.text[c.first]) for c in _candidates(templates, words, raw)} if data else set()
+    prose = [p.split() for i, p in enumerate(data) if i not in named] or [["a", "line", "of", "prose"]]
+    texts, labels, held = _examples(draw, prose)
+    words, raw = _words([f"{t}\n" for t in texts])
+    rows, y, back = [], [], []
+    for c in _candidates(templates, words, raw):
+        text = int(words.text[c.first])
+        if labels[text] in (c.family, len(NAMES)):
+            rows.append(_features(templates, words, c))
+            y.append(labels[text])
+            back.append(held[text])
+    y, back = np.array(y), np.array(back)
+    counts: dict[tuple, int] = {}
+    for row, b in zip(rows, back):
+        if not b:
+            for key in row:
+                counts[key] = counts.get(key, 0) + 1
+    features = {key: i for i, key in enumerate(sorted((k for k, n in counts.items() if n > 1), key=repr))}
+    x = np.zeros((len(rows), len(features) + 1), np.float32)
+    for i, row in enumerate(rows):
+        x[i, [features[k] for k in row if k in features]] = len(row) ** -0.5
+    x[:, -1] = 1
+    target = np.eye(len(NAMES) + 1, dtype=np.float32)[y]
+    w = np.zeros((len(features) + 1, len(NAMES) + 1), np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    fit, goal = x[~kept], target[~kept]
-    for step in range(1, 151):
+    fit, goal = x[~back], target[~back]
+    for step in range(1, 121):
         slope = fit.T @ (_softmax(fit @ w) - goal) / len(fit) + 1e-5 * w
         m += 0.1 * (slope - m)
         v += 0.01 * (slope * slope - v)
         w -= (0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    odds = x[kept] @ w
-    loss = {t: -np.log(_softmax(odds / t)[np.arange(kept.sum()), y[kept]] + 1e-9).mean() for t in (0.5, 0.7, 1.0, 1.5, 2.0, 3.0)}
-    model.temperature = min(loss, key=loss.get)
-    return model
-
-
-def _paragraph_bounds(words: Words) -> np.ndarray:
-    """Places at which a paragraph's words begin, and the end."""
-    line = np.cumsum(words.data == 10)[words.start]
-    change = (words.text[1:] != words.text[:-1]) | (line[1:] != line[:-1])
-    return np.r_[0, np.flatnonzero(change) + 1, len(words.start)]
-
-
-def _stretches(model: Classifier, grams: np.ndarray, own: np.ndarray, paragraph: np.ndarray) -> Iterator[tuple[int, int]]:
-    """First and last pair of each stretch of template pairs in a paragraph that may be told, by smaller and larger gaps."""
-    at = np.flatnonzero(own)
-    if not len(at):
-        return
-    telling = _among(grams[at], model.all_telling)
-    least = int(COVERED * LONG_TEMPLATE)
-    for gap in GAPS:
-        first = np.flatnonzero(np.r_[True, (np.diff(at) > gap) | (np.diff(paragraph[at]) != 0)])
-        last = np.r_[first[1:], len(at)] - 1
-        told = np.add.reduceat(telling.astype(np.int64), first) > 0
-        for k in np.flatnonzero(told | (last - first + 1 >= least)):
-            yield int(at[first[k]]), int(at[last[k]])
+    odds, right = x[back] @ w, y[back]
+    loss = {t: -np.log(_softmax(odds / t)[np.arange(len(right)), right] + 1e-9).mean() for t in (0.5, 0.7, 1.0, 1.5, 2.0, 3.0)}
+    return Classifier([*NAMES, UNKNOWN], features, w, min(loss, key=loss.get), templates)
 
 
 def _scan(model: Classifier):
@@ -319,25 +385,16 @@ def _scan(model: Classifier):
             confirmed: list[set[int]] = [set() for _ in range(len(batch))]
             for first, last in pieces(offsets):
                 words = find_words(data, offsets[first : last + 1], ALPHANUMERIC)
-                if len(words.start) < 2:
+                candidates = _candidates(model.templates, words, data[int(offsets[first]) : int(offsets[last])])
+                if not candidates:
                     continue
-                bounds = _paragraph_bounds(words)
-                grams = gram_hashes(words, 2)
-                own = _among(grams, model.all_pairs)
-                own[bounds[1:-1] - 1] = False  # pairs that reach into the next paragraph
-                paragraph = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                hits = np.add.reduceat(np.r_[own, False], bounds[:-1])
-                # A family that is confirmed has most of the pairs; others need no classifying.
-                whole = [
-                    (bounds[k], bounds[k + 1] - 2)
-                    for k in np.flatnonzero((hits > 0) & (hits >= CONFIRMED * (np.diff(bounds) - 1)))
-                ]
-                for a, b in {*whole, *_stretches(model, grams, own, paragraph[:-1])}:
-                    name, probability = model.family(words.hash[a : b + 2], grams[a : b + 1])
+                paragraph = _lines(words)
+                for c in candidates:
+                    name, probability = model.judge(words, c)
                     if name != UNKNOWN:
-                        row = first + int(words.text[a])
+                        row = first + int(words.text[c.first])
                         found[row].append((name, probability))
-                        confirmed[row].add(int(paragraph[a]))
+                        confirmed[row].add(int(paragraph[c.first]))
             families = [sorted({n for n, _ in f}) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [

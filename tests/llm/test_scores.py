@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,10 +144,46 @@ def test_licence_lines_of_the_corpus_are_found(spark):
         assert found[r.doc_id] == ",".join(sorted(f for f, mark in marks.items() if mark in r.text))
 
 
-def test_templates_name_themselves():
-    model = licenses.trained(["a line of prose that names no licence"])
-    for family, texts in licenses.TEMPLATES.items():
-        assert model.family(*licenses._hashes(texts[0].encode()))[0] == family
+@pytest.fixture(scope="module")
+def licence_model():
+    rows = pq.read_table(f"{SF}/documents.parquet", columns=["text"]).slice(0, 300).column("text").to_pylist()
+    return licenses.trained(sorted({line for text in rows if text for line in text.split("\n") if line.strip()})[:3000])
+
+
+STATED = [
+    ("Licensed under MIT.", "mit"),
+    ("This code is MIT licensed.", "mit"),
+    ("License: GPLv3+", "gpl"),
+    ("Released under GPL.", "gpl"),
+    ("MIT License", "mit"),
+    ("ER KAM. MIT! UND GING.", None),
+    ("MIT license plates were stolen", None),
+    ("All civil rights reserved for citizens", None),
+    ("She went to MIT to study rivers.", None),
+    ("Wir gehen mit der Bahn, mit Freunden.", None),
+]
+
+
+@pytest.mark.parametrize("text, family", STATED)
+def test_single_licence_notices(licence_model, text, family):
+    assert [n for n, _ in licence_model.notices(text) if n != licenses.UNKNOWN] == ([family] if family else [])
+
+
+def test_licences_on_unseen_notices(licence_model):
+    """Notices of forms that neither trained nor calibrated the model, and names in prose that state nothing."""
+    forms = ("This project uses the {}.", "Everyone may share it under the {}.", "Its terms are those of the {}.", "Licence: {}")
+    right = total = 0
+    for family, names in licenses.NAMES.items():
+        if family != "proprietary":
+            for name in names.split(", "):
+                for form in forms:
+                    total += 1
+                    right += [n for n, _ in licence_model.notices(form.format(name))] == [family]
+    stolen = ("{} plates were stolen from the yard", "the old {} hall stands near a river", "visitors saw {} posters all over town")
+    short = ("MIT", "MIT License", "BSD", "ISC", "GPL", "Apache License", "CC BY", "All rights reserved", "Unlicense", "MPL")
+    quiet = [[n for n, _ in licence_model.notices(f.format(name)) if n != licenses.UNKNOWN] == [] for f in stolen for name in short]
+    print("unseen notices", right / total, "names in prose", sum(quiet) / len(quiet))
+    assert right / total > 0.9 and sum(quiet) / len(quiet) > 0.9
 
 
 def test_notices_inside_prose(spark):
@@ -184,3 +221,9 @@ def test_terms_that_a_stem_covers_tolerate_misspelling():
     scorer = Scorer(*lexicon)
     assert 0 < scorer.word_score("hxtebound") < scorer.word_score("hatebound")
     assert scorer.word_score("hatebounds") > 0
+
+
+def test_licence_texts_name_their_family(licence_model):
+    for family, texts in licenses.TEXTS.items():
+        for text in texts:
+            assert {n for n, _ in licence_model.notices(text)} == {family}
