@@ -164,6 +164,10 @@ def contamination(
         f"doc_id {docs.schema[id].dataType.simpleString()}, digest long, n_words long, window string, places array<long>",
     )
     span = F.transform("places", lambda p: F.sequence(p, p + F.col("length") - 1))
+    # The row that brings a document's number of words has no window: it gets a key that no window has, and that is no hot
+    # one (windows begin with a word).
+    own_key = F.concat(F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("digest").cast("string"))
+    scanned = scanned.withColumn("window", F.coalesce("window", own_key))
     judged = scanned.join(windows, "window", "left").groupBy("doc_id", "digest").agg(
         F.max("n_words").alias("n_words"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("length").isNotNull(), F.flatten(span)))))).alias("hit_words"),

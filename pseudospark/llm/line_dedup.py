@@ -32,20 +32,31 @@ def _hashed_windows(lines: Column) -> Column:
 
 
 def without_repeated_lines(
-    docs: DataFrame, workspace: Workspace, *, id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    workspace: Workspace,
+    *,
+    id: str = "doc_id",
+    text: str = "text",
+    names: tuple[str, str, str] = ("line_count", "removed_lines", "deduplicated"),
 ) -> DataFrame:
-    """``docs`` with the new columns ``line_count``, ``removed_lines`` (sorted places) and ``deduplicated`` (text).
+    """``docs`` with three new columns: number of lines, places of removed lines (sorted), and the text without them.
 
     Lines are parts between line feeds, as they are. Wherever the same three consecutive lines, not all of them blank,
     occur more than once, over all texts and within one, the occurrence with the smallest id (then digest of the text,
     then place) stays, and all lines of every later one are removed; covered places are merged, so a line goes once.
     Texts of fewer than three lines are left as they are; a null text stays null and has no lines; a text of which every
     line goes is empty. Rows that repeat id and text are one document: their lines are compared with others, not with
-    each other. A null id counts as smaller than any other. Other columns pass through, whatever their names (but those
-    three); an empty table gives no rows.
+    each other. A null id counts as smaller than any other. Other columns pass through, whatever their names;
+    ``names`` are those of the new columns, which must be no columns of ``docs``. An empty table gives no rows.
     """
+    clashing = {c.lower() for c in docs.columns} & {n.lower() for n in names}
+    if clashing:
+        raise ValueError(f"give the new columns other names than {sorted(clashing)}")
     lines = F.split(F.col(text).cast("string"), "\n", -1)
-    source = docs.withColumns({"__doc": F.col(id), "__digest": F.xxhash64(F.col(text)), "__lines": lines})
+    # The caller's columns travel in a struct, so that no name of theirs meets one of these.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    digest = F.xxhash64(F.col(text)).alias("__digest")
+    source = docs.select(row, F.col(id).alias("__doc"), digest, lines.alias("__lines"))
     keyed = source.where(F.size("__lines") >= WINDOW).select("__doc", "__digest", "__lines")
     found = keyed.select("__doc", "__digest", F.explode(_hashed_windows(F.col("__lines"))).alias("at"))
     windows = found.where("at.written").select("__doc", "__digest", "at.place", "at.window", "at.check")
@@ -74,9 +85,16 @@ def without_repeated_lines(
     marked = joined.withColumn("__gone", F.coalesce("__places", F.array().cast("array<int>")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
     kept = F.array_join(F.transform(stay, lambda i: F.element_at("__lines", i + 1)), "\n")
-    return marked.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.greatest(F.size("__lines"), F.lit(0)).alias("line_count"),
-        F.col("__gone").alias("removed_lines"),
-        F.when(F.size("__gone") == 0, F.col(text).cast("string")).otherwise(kept).alias("deduplicated"),
+    done = marked.select(
+        "__row",
+        F.greatest(F.size("__lines"), F.lit(0)).alias("__count"),
+        "__gone",
+        F.when(F.size("__gone") == 0, F.col("__row").getField(text).cast("string")).otherwise(kept).alias("__kept"),
+    )
+    # Only here do the caller's names come back, when no expression looks for one of these inside a lambda.
+    return done.select(
+        *[F.col("__row").getField(c).alias(c) for c in docs.columns],
+        F.col("__count").alias(names[0]),
+        F.col("__gone").alias(names[1]),
+        F.col("__kept").alias(names[2]),
     )
