@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,30 +12,42 @@ from pseudospark.llm import toxicity
 from pseudospark.llm.decontamination import contamination, text_digest
 from pseudospark.llm.line_dedup import without_repeated_lines
 from pseudospark.llm.near_dup import near_duplicates
-from pseudospark.llm.tables import read_table, saved_broadcast
+from pseudospark.llm.tables import free_names, read_table, saved_broadcast
 from pseudospark.llm.tokens import encoded
 from pseudospark.llm.training import PREDICTED_FROM, labelled_sample, with_scores
 from pseudospark.sources.files import Workspace
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
+#: Where a stage that ``run`` applies keeps its scratch tables; by itself it takes a workspace of its own.
+_SCRATCH: ContextVar[Workspace | None] = ContextVar("scratch", default=None)
+
+
+def _workspace(spark: SparkSession) -> Workspace:
+    return _SCRATCH.get() or Workspace(spark)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below the threshold of prediction; null and empty texts stay."""
     sample = labelled_sample(docs, read_table(spark, sf_dir, "labels"), "toxic", modulus=4, remainder=2)
-    scored = with_scores(docs, partial(toxicity.scorer, toxicity.trained(sample)), "__score")
-    return scored.where(F.col("__score") < PREDICTED_FROM).drop("__score")
+    (score,) = free_names(docs, "score")
+    scored = with_scores(docs, partial(toxicity.scorer, toxicity.trained(sample)), score)
+    return scored.where(F.col(score) < PREDICTED_FROM).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines; a document of which nothing but blanks is left goes as a whole."""
-    done = without_repeated_lines(docs, Workspace(spark))
-    left = (F.size("removed_lines") == 0) | (F.trim(F.regexp_replace("deduplicated", r"\s+", " ")) != "")
+    """Documents without their repeated lines; a document of which nothing but blanks is left goes as a whole.
+
+    A column ``n_chars`` is the length of the text that is left.
+    """
+    count, removed, text = free_names(docs, "line_count", "removed_lines", "deduplicated")
+    done = without_repeated_lines(docs, _workspace(spark), names=(count, removed, text))
+    left = (F.size(removed) == 0) | (F.trim(F.regexp_replace(text, r"\s+", " ")) != "")
     return done.where(left).select(
         *[
-            F.col("deduplicated").alias("text")
+            F.col(text).alias("text")
             if c == "text"
-            else F.length("deduplicated").cast("long").alias("n_chars")
+            else F.length(text).cast("long").alias("n_chars")
             if c == "n_chars"
             else F.col(f"`{c}`")
             for c in docs.columns
@@ -47,34 +60,36 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat an id with different texts are different documents, each judged by its own text.
     """
-    workspace = Workspace(spark)
-    named = docs.where("doc_id IS NOT NULL").select("doc_id", text_digest(F.col("text")).alias("__digest"))
+    workspace = _workspace(spark)
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", text_digest(F.col("text")).alias("digest"))
     repeated = workspace.save(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
     if repeated.isEmpty():
         judged = near_duplicates(docs, workspace)
         gone = saved_broadcast(judged.where(~F.col("kept")).select("doc_id").distinct(), workspace, "gone")
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+        return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     # Numbers in order of id and text take the place of ids, so that the smallest id still stays.
-    order = ["doc_id", "__digest"]
+    order = ["doc_id", "digest"]
+    number, of_id, of_digest = free_names(docs, "number", "of_id", "of_digest")
     numbers = named.distinct().repartitionByRange(*order).sortWithinPartitions(*order)
-    numbers = workspace.save(numbers.withColumn("__number", F.monotonically_increasing_id()), "numbers")
-    numbers = numbers.withColumnsRenamed({"doc_id": "__id", "__digest": "__of"})
-    same = (F.col("doc_id") == F.col("__id")) & (text_digest(F.col("text")) == F.col("__of"))
-    numbered = workspace.save(docs.join(numbers, same, "left").drop("__id", "__of"), "numbered")
-    judged = near_duplicates(numbered, workspace, id="__number")
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__number")).distinct()
-    left = numbered.join(saved_broadcast(gone, workspace, "gone"), "__number", "left_anti")
-    once = left.where("__number IS NOT NULL").dropDuplicates(["__number"])
-    return once.unionByName(left.where("__number IS NULL")).select(docs.columns)
+    numbers = workspace.save(numbers.withColumn(number, F.monotonically_increasing_id()), "numbers")
+    numbers = numbers.withColumnsRenamed({"doc_id": of_id, "digest": of_digest})
+    same = (F.col("doc_id") == F.col(of_id)) & (text_digest(F.col("text")) == F.col(of_digest))
+    numbered = workspace.save(docs.join(numbers, same, "left").drop(of_id, of_digest), "numbered")
+    judged = near_duplicates(numbered, workspace, id=number)
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(number)).distinct()
+    left = numbered.join(saved_broadcast(gone, workspace, "gone"), number, "left_anti")
+    once = left.where(F.col(number).isNotNull()).dropDuplicates([number])
+    return once.unionByName(left.where(F.col(number).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words (or a whole shorter item) with the benchmark."""
-    workspace = Workspace(spark)
+    workspace = _workspace(spark)
+    of_id, of_digest = free_names(docs, "of_id", "of_digest")
     found = contamination(docs, read_table(spark, sf_dir, "benchmark"), workspace)
-    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias(of_id), F.col("digest").alias(of_digest))
     hit = saved_broadcast(hit, workspace, "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_digest(F.col("text")) == F.col("__digest"))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (text_digest(F.col("text")) == F.col(of_digest))
     return docs.join(hit, same, "left_anti")
 
 
@@ -98,9 +113,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again."""
+    """All stages over ``documents``; each result is written as Parquet and read again, its scratch tables deleted."""
     workspace = Workspace(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = workspace.save(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        scratch = workspace.part()
+        token = _SCRATCH.set(scratch)
+        try:
+            docs = workspace.save(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        finally:
+            _SCRATCH.reset(token)
+            scratch.release()
     return docs
