@@ -13,7 +13,7 @@ from pseudospark.streaming.microbatch import (
     stream_depseudonymize,
     stream_pseudonymize,
 )
-from pseudospark.streaming.supervision import stream_stalled
+from pseudospark.streaming.supervision import silent_jobs, stream_stalled
 
 SCHEMA = "id long, value string"
 
@@ -156,6 +156,43 @@ def test_silent_jobs(spark, workspace):
     assert [ledger.status(j) for j in ("lives", "done", "waiting")] == [2, 3, 1]
 
 
+def test_silent_jobs_share_a_bucket(spark, workspace):
+    """Jobs of one bucket are one row of state; each is told by itself, also one that comes while the others go on."""
+    now = datetime.now(UTC)
+    old = now - timedelta(hours=1)
+    schema, source, silent = "id string, seq long, event string, at timestamp", workspace.path("ledger"), workspace.path("silent")
+
+    def arrive(*events):
+        spark.createDataFrame(events, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def settle(query, batch):
+        until = time.monotonic() + 60
+        while query.isActive and time.monotonic() < until and (query.lastProgress or {"batchId": -1})["batchId"] < batch:
+            time.sleep(0.2)
+
+    arrive(
+        ("dead", 1, "run", old), ("lives", 2, "progress", now + timedelta(hours=1)), ("lives", 1, "run", old),
+        ("done", 2, "complete", old), ("done", 1, "run", old), (None, 1, "run", old), ("odd", None, "a,b", None),
+    )
+    query = (
+        silent_jobs(spark.readStream.schema(schema).parquet(source), buckets=1)
+        .writeStream.option("checkpointLocation", workspace.path("checkpoint"))
+        .trigger(processingTime="0 seconds")
+        .format("parquet")
+        .start(silent)
+    )
+    try:
+        settle(query, 2)
+        arrive(("lives", 3, "progress", now + timedelta(hours=2)), ("late", 1, "run", old))
+        settle(query, query.lastProgress["batchId"] + 4)
+        assert query.exception() is None
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    finally:
+        query.stop()
+    told = spark.read.parquet(silent).collect()
+    assert sorted(str(r.id) for r in told) == ["None", "dead", "late"]
+
+
 def test_deletion_that_was_stopped(spark, store, catalog, workspace):
     """A deletion run again after it was stopped half-way takes off what there was before the first try."""
     rows = spark.createDataFrame([("A", "x"), ("B", "x")], "namespace_name string, original_value string")
