@@ -54,3 +54,20 @@ def is_missing(value: Column, placeholders=MISSING_PLACEHOLDERS) -> Column:
 
 def _quoted(text: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}#&~-])", r"\\\1", text)
+
+
+#: Of at least so many characters, a run of upper-case hex digits travels as bytes.
+_HEX_RUN = r"(?:[0-9A-F]{2}){8,}"
+
+
+def packed(text: Column) -> Column:
+    """A text for a shuffle: its first long run of hex digits as bytes, which takes half the room, and what stands around."""
+    run = F.regexp_extract(text, _HEX_RUN, 0)
+    at = F.instr(text, run)
+    after = F.substring(text, at + F.length(run), F.length(text))
+    return F.struct(F.substring(text, F.lit(1), at - 1).alias("before"), F.unhex(run).alias("run"), after.alias("after"))
+
+
+def unpacked(column: Column) -> Column:
+    """The text that ``packed`` took apart."""
+    return F.concat(column["before"], F.hex(column["run"]), column["after"])

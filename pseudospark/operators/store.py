@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pseudospark.functions.generators import GENERATORS, fixed_length, generate, with_affixes
-from pseudospark.functions.text import is_blank
+from pseudospark.functions.text import is_blank, packed, unpacked
 from pseudospark.operators.resolve import BROADCAST_BYTES, broadcast_if_small, text_bytes
 from pseudospark.schemas import PSEUDONYM_COLUMNS, PSEUDONYM_SCHEMA
 from pseudospark.sources import files
@@ -239,6 +239,7 @@ class MappingStore:
             .sortBy(layout.hash)
             .option(f"parquet.bloom.filter.enabled#{layout.keys[1]}", "true")
             .option("parquet.bloom.filter.adaptive.enabled", "true")
+            .option("compression", files.COMPRESSION)
             .option("path", folder)
             .saveAsTable(name)
         )
@@ -268,7 +269,13 @@ class MappingStore:
 
         def dealt(frame: DataFrame, layout: Layout) -> DataFrame:
             hashed = frame.withColumn(layout.hash, layout.hashed())
-            return hashed.coalesce(1) if few else hashed.hint("rebalance", F.col(layout.hash))
+            if few:
+                return hashed.coalesce(1)
+            if "pseudonym_value" not in frame.columns:
+                return hashed.hint("rebalance", F.col(layout.hash))
+            small = hashed.withColumn("pseudonym_value", packed(F.col("pseudonym_value")))
+            spread = small.hint("rebalance", F.col(layout.hash))
+            return spread.withColumn("pseudonym_value", unpacked(F.col("pseudonym_value")))
 
         if drawn is None:
             mappings = dealt(rows, BY_KEY)

@@ -1,7 +1,9 @@
 """Replacing columns of a table by pseudonyms, and back."""
 
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -165,18 +167,27 @@ def requested_values(df: DataFrame, cells: Sequence[_Cell], placeholders) -> Dat
     """
     keyed = _with_keys(df, cells, placeholders)
     by_column = list(dict.fromkeys(c.namespace_column for c in cells if c.namespace_column))
-    tagged = {f"__cell{i}": F.col(f"__k{c.source}") for i, c in enumerate(cells)}
-    flat = keyed.select(*by_column, *[v.alias(k) for k, v in tagged.items()]).unpivot(
-        by_column, list(tagged), "cell", "value"
+    sources = {f"__cell{i}": s for i, s in enumerate(dict.fromkeys(c.source for c in cells))}
+    flat = keyed.select(*by_column, *[F.col(f"__k{s}").alias(k) for k, s in sources.items()]).unpivot(
+        by_column, list(sources), "cell", "value"
     )
-    counted = flat.groupBy(*by_column, "cell", "value").agg(F.count(F.lit(1)).alias("n"))
-    namespace = F.lit(None).cast("string")
-    for i, cell in enumerate(cells):
-        namespace = F.when(F.col("cell") == f"__cell{i}", cell.namespace_value()).otherwise(namespace)
-    named = counted.select(namespace.alias("namespace_name"), "value", "n")
-    if len(cells) == 1:
+    # A value is counted once by each source, however many namespaces it is looked up in.
+    own = {s: F.count(F.when(F.col("cell") == k, 1)).alias(f"n{s}") for k, s in sources.items()}
+    counted = flat.groupBy(*by_column, "value").agg(*own.values())
+    asked: dict[tuple, list[_Cell]] = {}
+    for cell in cells:
+        asked.setdefault((cell.namespace, cell.namespace_column), []).append(cell)
+    requests = [
+        F.struct(
+            same[0].namespace_value().alias("namespace_name"), reduce(operator.add, [F.col(f"n{c.source}") for c in same]).alias("n")
+        )
+        for same in asked.values()
+    ]
+    named = counted.select("value", F.explode(F.array(*requests)).alias("asked")).where("asked.n > 0")
+    named = named.select("asked.namespace_name", "value", "asked.n")
+    if not by_column or (len(asked) == 1 and len(by_column) == 1):
         return named
-    # Two columns may ask for the same value of one namespace; what is left to combine is distinct per column.
+    # A column may name a namespace that another column, or a mapping, names too.
     return named.groupBy("namespace_name", "value").agg(F.sum("n").alias("n"))
 
 

@@ -8,6 +8,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Of tables in Parquet. Most of their bytes are digests and random letters, which the default does not make smaller.
+COMPRESSION = "zstd"
+
+
 def _resolve(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
@@ -77,7 +81,7 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return it as a table scan."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=COMPRESSION)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def part(self) -> "Workspace":

@@ -41,3 +41,16 @@ def test_blank(spark):
 def test_own_placeholders_replace_the_default(spark):
     df = spark.createDataFrame([("NA",), ("N/A",)], "v string")
     assert [r[0] for r in df.select(is_missing(F.col("v"), ("N/A",))).collect()] == [False, True]
+
+
+def test_packed_texts_come_back(spark):
+    """Digests take half the room while they are moved, whatever stands around them."""
+    from pseudospark.functions.text import packed, unpacked
+
+    digest = "0123456789ABCDEF" * 4
+    texts = [None, "", "ä-" + digest + "\n-t", digest + "A", digest.lower(), digest[:15], digest + "😀" + digest, "x", "😀" + digest]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    back = rows.select("i", "t", packed(F.col("t")).alias("p")).select("i", "t", "p", unpacked(F.col("p")).alias("u"))
+    found = back.orderBy("i").collect()
+    assert [r.u for r in found] == texts
+    assert len(found[2].p.run) == 32 and not found[4].p.run

@@ -214,3 +214,16 @@ def test_namespace_column_may_be_replaced_too(spark, store, catalog):
     df = spark.createDataFrame([("hashed", "x")], "n string, v string")
     mapped = [ColumnMapping("n", "hashed"), ColumnMapping("v", namespace_column="n")]
     assert rows(pseudonymize(df, mapped, catalog, store).df) == [(sha("hashed"), sha("x"))]
+
+
+def test_requests_are_aggregated_once(spark):
+    """One shuffle whichever namespaces share a column or a value; a value counts once for each mapped cell."""
+    from pseudospark.plans.transform import _bind, requested_values
+
+    df = spark.createDataFrame([("x", "y", 1), ("x", "x", 2), (None, "z", 3)], "_c0 string, _c1 string, _c2 long")
+    mapped = [ColumnMapping(0, "A"), ColumnMapping(0, "B", "b"), ColumnMapping(1, "B"), ColumnMapping(1, "B", "c")]
+    asked = requested_values(df, _bind(mapped, df.columns), ("na",))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    found = sorted((r.namespace_name, str(r.value), r.n) for r in asked.collect())
+    assert found == [("A", "None", 1), ("A", "x", 2), ("B", "None", 1), ("B", "x", 4), ("B", "y", 2), ("B", "z", 2)]
