@@ -131,14 +131,14 @@ def attach(
         hot_side = F.broadcast(narrowed(hot_mapping, "hot", "__hot"))
         wide = drop(wide.join(hot_side, matches("hot"), "left"), "hot")
         is_open = is_open & F.col("__hot").isNull()
-    # The route decides the partition: rows without an open key get one that spreads them, also where their content
-    # repeats. It matches at most the mapping of their own hot key, found already.
+    # Keys and salt decide the partition: rows without an open key get a salt that spreads them, also where their content
+    # repeats. It matches at most the mapping of their own hot key, found already. The others' salts are small numbers,
+    # which hardly add to what is moved.
     settled = F.xxhash64(F.spark_partition_id(), *own_columns)
-    wide = wide.withColumn("__route", F.when(is_open, F.xxhash64(*keys, salt)).otherwise(settled)).drop("__parts")
-    cold_side = cold_side.withColumn("__salt", F.explode(salts)).drop("__parts")
-    cold_side = cold_side.withColumn("__cold_route", F.xxhash64(*cold_keys, "__salt")).drop("__salt")
-    on_route = F.col("__route") == F.col("__cold_route")
-    joined = wide.join(cold_side, on_route & matches("cold"), "left")
+    wide = wide.withColumn("__salt", F.when(is_open, salt.cast("long")).otherwise(settled)).drop("__parts")
+    cold_side = cold_side.withColumn("__cold_salt", F.explode(salts.cast("array<long>"))).drop("__parts")
+    on_salt = F.col("__salt") == F.col("__cold_salt")
+    joined = wide.join(cold_side, on_salt & matches("cold"), "left")
     found = F.col("__found") if hot_mapping is None else F.coalesce("__hot", "__found")
     joined = drop(joined.withColumn(result, found), "cold")
-    return joined.drop("__route", "__cold_route", "__found", "__hot"), False
+    return joined.drop("__salt", "__cold_salt", "__found", "__hot"), False

@@ -145,9 +145,10 @@ def _with_keys(df: DataFrame, cells: Sequence[_Cell], placeholders) -> DataFrame
 
 
 def _split_sources(df: DataFrame, cells: Sequence[_Cell]) -> set[str]:
-    """Mapped text columns, which need not travel next to their own key."""
+    """Mapped columns that need not travel next to their own key: texts, and what is replaced in place by a text."""
     text = {name for name, kind in df.dtypes if kind == "string"}
-    return {c.source for c in cells} & text - {c.namespace_column for c in cells}
+    in_place = {c.source for c in cells if c.target is None}
+    return {c.source for c in cells} & (text | in_place) - {c.namespace_column for c in cells}
 
 
 def _without_copies(df: DataFrame, split: set[str]) -> DataFrame:
@@ -156,8 +157,8 @@ def _without_copies(df: DataFrame, split: set[str]) -> DataFrame:
 
 
 def _whole(name: str, split: set[str]) -> Column:
-    """A source column as it came in."""
-    return F.coalesce(f"__k{name}", name) if name in split else F.col(name)
+    """A source column as it came in; as text if it is replaced in place."""
+    return F.coalesce(f"__k{name}", _text(name)) if name in split else F.col(name)
 
 
 def requested_values(df: DataFrame, cells: Sequence[_Cell], placeholders) -> DataFrame:

@@ -227,3 +227,12 @@ def test_requests_are_aggregated_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     found = sorted((r.namespace_name, str(r.value), r.n) for r in asked.collect())
     assert found == [("A", "None", 1), ("A", "x", 2), ("B", "None", 1), ("B", "x", 4), ("B", "y", 2), ("B", "z", 2)]
+
+
+def test_replaced_column_does_not_travel_beside_its_key(spark):
+    """A number that is replaced in place is moved as its text only; one that stays is moved as it is."""
+    from pseudospark.plans.transform import _bind, _split_sources
+
+    df = spark.createDataFrame([(1, 2)], "_c0 long, _c1 long")
+    mapped = [ColumnMapping(0, "A"), ColumnMapping(1, "A", "copy")]
+    assert _split_sources(df, _bind(mapped, df.columns)) == {"_c0"}
