@@ -22,6 +22,8 @@ from pseudospark.operators.resolve import BROADCAST_BYTES, measure
 ROW = "_row"
 #: Where a record stands; sorting by these is input order.
 _PLACE = ["__file", "__block", "__line"]
+#: Bad lines of at most so many fields are measured in the pass that finds them; wider ones take passes of their own.
+FLAWED_WIDTH = 32
 _BYTE_ORDER_MARK = "\ufeff"
 
 
@@ -114,10 +116,14 @@ def _records(spark: SparkSession, path: str, sep: str, encoding: str, width: int
     ).withColumn("__line", F.monotonically_increasing_id())
 
 
+def _used(cells: list[Column]) -> Column:
+    """Number of fields up to the last one that a row has."""
+    return F.greatest(F.lit(0), F.lit(0), *[F.when(c.isNotNull(), i + 1) for i, c in enumerate(cells)])
+
+
 def _widest(cells: DataFrame, width: int) -> int:
     """Number of fields up to the last one that any row has."""
-    used = F.greatest(F.lit(0), F.lit(0), *[F.when(F.col(f"_c{i}").isNotNull(), i + 1) for i in range(width)])
-    return cells.agg(F.max(used).alias("used")).first()["used"] or 0
+    return cells.agg(F.max(_used([F.col(f"_c{i}") for i in range(width)])).alias("used")).first()["used"] or 0
 
 
 def _without_headers(spark: SparkSession, rows: DataFrame, firsts: list, has_header: list[bool]) -> DataFrame:
@@ -173,16 +179,26 @@ def read_csv(
 
 
 def _profile(lines: DataFrame, sep: str, whole: bool = False) -> list:
-    """For each file its first line, and of its lines the bad and the open ones and the width."""
+    """For each file its first line, of its lines the bad and the open ones, the width of the good ones, ``flawed``, the
+    width of the bad ones as the parser sees it (up to ``FLAWED_WIDTH``), and its ``bound``, their separators and one."""
     line = F.col("value")
-    bad = _is_bad(line, sep, whole)
+    judged = lines.select(
+        "*", _is_bad(line, sep, whole).alias("__bad"), _ends_open(line, sep).alias("__open"), _fields(line, sep).alias("__fields")
+    )
+    # Each is used more than once below, so it is a column of its own.
+    parsed = F.when(F.col("__bad"), _parsed(line, FLAWED_WIDTH, sep))
+    cells = judged.withColumn("__cells", parsed)
+    separators = F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit("")))
+    sized = cells.withColumn("__used", _used([F.col("__cells")[f"_c{i}"] for i in range(FLAWED_WIDTH)])).drop("__cells")
     return (
-        lines.groupBy("__file")
+        sized.groupBy("__file")
         .agg(
-            F.min(F.struct("__block", "__line", "value", _fields(line, sep).alias("fields"))).alias("first"),
-            F.sum(bad.cast("long")).alias("bad_rows"),
-            F.sum(_ends_open(line, sep).cast("long")).alias("open_lines"),
-            F.max(F.when(~bad, _fields(line, sep))).alias("width"),
+            F.min(F.struct("__block", "__line", "value", F.col("__fields").alias("fields"))).alias("first"),
+            F.sum(F.col("__bad").cast("long")).alias("bad_rows"),
+            F.sum(F.col("__open").cast("long")).alias("open_lines"),
+            F.max(F.when(~F.col("__bad"), F.col("__fields"))).alias("width"),
+            F.max("__used").alias("flawed"),
+            F.max(F.when(F.col("__bad"), separators / len(sep) + 1)).alias("bound"),
         )
         .orderBy("__file")
         .collect()
@@ -345,10 +361,12 @@ def _read_lines(
     width = max((f.width or 1 for f in files), default=0)
     if bad_rows:
         # What the parser makes of bad lines decides their width, not their separators.
-        flawed = lines.where(_is_bad(F.col("value"), sep, whole))
-        spare = 16
-        while (found := _widest(flawed.select(_parsed(F.col("value"), width + spare, sep).alias("r")).select("r.*"), width + spare)) == width + spare:
-            spare *= 2
+        found = max((f.flawed or 0 for f in files), default=0)
+        if max(f.bound or 0 for f in files) > FLAWED_WIDTH:
+            flawed = lines.where(_is_bad(F.col("value"), sep, whole))
+            spare = 16
+            while (found := _widest(flawed.select(_parsed(F.col("value"), width + spare, sep).alias("r")).select("r.*"), width + spare)) == width + spare:
+                spare *= 2
         width = max(width, found)
     names: list[str] = []
     if files:

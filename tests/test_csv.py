@@ -261,3 +261,18 @@ def test_bad_line_with_a_quoted_separator_widens_nothing(spark, tmp_path):
     table = read_csv(spark, str(tmp_path / "bad.csv"))
     assert (table.width, table.bad_rows) == (2, 1)
     assert [(r["_c0"], r["_c1"]) for r in table.df.orderBy("_row").collect()] == [("1,2", 'se"cret'), ("3", "fine")]
+
+
+@pytest.mark.parametrize("fields, passes", [(5, 0), (40, 1)])
+def test_bad_lines_are_measured_by_the_first_pass(spark, workspace, monkeypatch, fields, passes):
+    """The parser's width of bad lines comes from the pass that finds them; only very wide ones take another."""
+    from pseudospark.sources import csv
+
+    calls, widest = [], csv._widest
+    monkeypatch.setattr(csv, "_widest", lambda cells, width: calls.append(width) or widest(cells, width))
+    path = workspace.path("in")
+    wide = ",".join(['x"y', *["w"] * (fields - 2), "z"])
+    spark.createDataFrame([("a,b",), (wide,)], "value string").coalesce(1).write.text(path)
+    read = csv.read_csv(spark, path, header=False)
+    assert (read.width, read.bad_rows, bool(calls)) == (fields, 1, bool(passes))
+    assert {r[f"_c{fields - 1}"] for r in read.df.collect()} == {None, "z"}
