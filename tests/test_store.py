@@ -212,3 +212,17 @@ def test_stream_counts_follow_commits(spark, store, catalog, workspace):
     stream_counts(store, snapshots, checkpoint, "counts").awaitTermination()
     newest = spark.read.parquet(f"{snapshots}/batch_id=2")
     assert {r.namespace_name: r.n for r in newest.collect()} == {"A": 1, "B": 2}
+
+
+def test_stored_tables_are_compressed(spark, store, workspace):
+    """Digests are half as large in the files as they are as text, in the store and in intermediate tables."""
+    ids = spark.range(30_000).withColumn("digest", F.upper(F.sha2(F.col("id").cast("string"), 256)))
+    path = workspace.save(ids, "digests").inputFiles()[0].rsplit("/", 1)[0]
+    assert files.size(spark, path) < 30_000 * 48
+    rows = ids.selectExpr(
+        "'A' namespace_name", "string(id) original_value", "digest pseudonym_value", "current_timestamp() created_at",
+        "current_timestamp() last_updated_at",
+    )
+    store.seed(rows, "seeded")
+    assert all(".zstd." in f for f in store.read().inputFiles())
+    assert store.read().where("pseudonym_value = upper(sha2(original_value, 256))").count() == 30_000
