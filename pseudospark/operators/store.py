@@ -256,10 +256,12 @@ class MappingStore:
         expected: int | None = None,
         namespaces: list[str] | None = None,
         counted: list[str] | None = None,
+        placed: bool = False,
     ) -> dict:
         """Write one batch in both layouts below ``staged``; returns what was seen of its stored rows.
 
-        ``namespaces`` are measured and ``counted`` are counted by themselves.
+        ``namespaces`` are measured and ``counted`` are counted by themselves. ``placed`` rows lie in tasks by their key's hash
+        already.
 
         The first layout's tasks draw the pseudonyms; the second is made of the rows as they are stored. Tasks get rows by
         their hash, so that each writes few buckets, and a large bucket is split over several tasks. ``drawn`` has a
@@ -277,7 +279,9 @@ class MappingStore:
             spread = small.hint("rebalance", F.col(layout.hash))
             return spread.withColumn("pseudonym_value", unpacked(F.col("pseudonym_value")))
 
-        if drawn is None:
+        if placed:
+            mappings = rows.withColumn(BY_KEY.hash, BY_KEY.hashed())
+        elif drawn is None:
             mappings = dealt(rows, BY_KEY)
         else:
             kinds = [dealt(rows.where(own), BY_KEY).withColumn("pseudonym_value", value) for own, value in drawn]
@@ -517,20 +521,26 @@ class MappingStore:
         scratch = self.workspace.part()
         try:
             seen, missed, buckets = Observation(), Observation(), self.buckets_of()
-            metrics = [text_bytes(*KEYS).alias("bytes"), *buckets.metrics()]
+            n = F.count(F.lit(1)).alias("n")
+            metrics = [n, text_bytes(*KEYS).alias("bytes"), *buckets.metrics()]
             first = scratch.save(first.observe(seen, *metrics), "seeded")
             stats = observed(seen)
-            n = F.count(F.lit(1)).alias("n")
             if stats.get("bytes", 0) <= self.broadcast_bytes:
                 stored = self._scan(folders, BY_KEY, buckets.wanted(stats))
                 known = stored.join(F.broadcast(first.where(F.length("original_value") >= 0).select(*KEYS)), KEYS, "left_semi")
                 rest = scratch.save(pick_misses(first, known).observe(missed, n), "unknown")
+                count = observed(missed).get("n", 0)
             else:
                 with self._bucketed(BY_KEY, folders, None) as stored:
-                    asked = first.withColumn(BY_KEY.hash, BY_KEY.hashed()).hint("merge")
-                    rest = asked.join(stored, _meets(BY_KEY), "left_anti").select(*first.columns)
-                    rest = scratch.save(rest.observe(missed, n), "unknown")
-            count = observed(missed).get("n", 0)
+                    asked = first.withColumn(BY_KEY.hash, BY_KEY.hashed())
+                    # Most often all keys are unknown or none is, which the keys alone tell.
+                    keys = asked.select(BY_KEY.hash, *KEYS).hint("merge")
+                    rest, count = first, keys.join(stored, _meets(BY_KEY), "left_anti").count()
+                    if 0 < count < stats["n"]:
+                        small = asked.withColumn("pseudonym_value", packed(F.col("pseudonym_value"))).hint("merge")
+                        rest = small.join(stored, _meets(BY_KEY), "left_anti").select(*first.columns)
+                        rest = rest.withColumn("pseudonym_value", unpacked(F.col("pseudonym_value")))
+                        rest = scratch.save(rest, "unknown")
             if count:
                 self._write(self._free(batch_id), rest, expected=count)
         finally:
@@ -757,14 +767,23 @@ class MappingStore:
         staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
         name = f"generation={number:06d}.{buckets}"
         try:
-            first = self.read().groupBy(*KEYS).agg(F.min(rest).alias("first")).select(*KEYS, "first.*")
-            first = scratch.save(first.observe(seen, F.count(F.lit(1)).alias("n")), "compacted")
-            bounds = _bounds(first, observed(seen).get("n", 0), slice_rows)
-            for i, (after, until) in enumerate(zip([None, *bounds], [*bounds, None])):
-                at = F.col("created_at")
-                rows = first if after is None else first.where(at > after)
-                rows = rows if until is None else rows.where((at <= until) | at.isNull() if after is None else at <= until)
-                self._stage(rows, staged, f"{name}/batch_id=compacted-{i:04d}", buckets)
+            # Each batch has a key once, so no key's rows are many: they meet by the hash, where the first layout wants them.
+            small = self.read().withColumn("pseudonym_value", packed(F.col("pseudonym_value")))
+            met = small.withColumn(BY_KEY.hash, BY_KEY.hashed()).repartition(F.col(BY_KEY.hash))
+            met = met.withColumn("pseudonym_value", unpacked(F.col("pseudonym_value")))
+            first = met.groupBy(BY_KEY.hash, *KEYS).agg(F.min(rest).alias("first")).select(*KEYS, "first.*")
+            if self.read().count() <= slice_rows:
+                place = f"{name}/batch_id=compacted-0000"
+                self._stage(first, staged, place, buckets, placed=True)
+                first = self.spark.read.schema(PSEUDONYM_SCHEMA).parquet(f"{staged}/{BY_KEY.folder}{place}")
+            else:
+                first = scratch.save(first.observe(seen, F.count(F.lit(1)).alias("n")), "compacted")
+                bounds = _bounds(first, observed(seen).get("n", 0), slice_rows)
+                for i, (after, until) in enumerate(zip([None, *bounds], [*bounds, None])):
+                    at = F.col("created_at")
+                    rows = first if after is None else first.where(at > after)
+                    rows = rows if until is None else rows.where((at <= until) | at.isNull() if after is None else at <= until)
+                    self._stage(rows, staged, f"{name}/batch_id=compacted-{i:04d}", buckets)
             before = _counts(self.read()).select("namespace_name", (-F.col("n")).alias("n"))
             change = _counts(first).unionByName(before).groupBy("namespace_name").agg(F.sum("n").alias("n"))
             self._change(change, name)

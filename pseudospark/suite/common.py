@@ -57,10 +57,11 @@ def mappings(df: DataFrame, namespace, original, pseudonym, created) -> DataFram
     )
 
 
-def order_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order as a mapping: namespace = priority, original = key, created on the order date."""
+def order_mappings(spark: SparkSession, sf_dir: str, status: str | None = None) -> DataFrame:
+    """Every order (of a status) as a mapping: namespace = priority, original = key, created on the order date."""
+    orders = table(spark, sf_dir, "orders")
     return mappings(
-        table(spark, sf_dir, "orders"),
+        orders if status is None else orders.where(F.col("o_orderstatus") == status),
         F.col("o_orderpriority"),
         F.col("o_orderkey"),
         sha(F.col("o_orderkey").cast("string")),

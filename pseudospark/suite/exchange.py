@@ -360,11 +360,9 @@ def stream_counts_query(spark, sf):
     nobody published."""
     store = new_store(spark)
     workspace = store.workspace
-    rows = order_mappings(spark, sf)
     for status in ("F", "O", "P"):
-        part = table(spark, sf, "orders").where(F.col("o_orderstatus") == status)
-        own = part.select(F.col("o_orderkey").cast("string").alias("original_value"))
-        store.seed(rows.join(own, "original_value", "left_semi"), f"status-{status}")
+        rows = order_mappings(spark, sf, status).where(F.col("original_value").isNotNull())
+        store.seed(rows, f"status-{status}")
     snapshots, checkpoint = workspace.path("snapshots"), workspace.path("checkpoint")
     stream_counts(store, snapshots, checkpoint, "counts").awaitTermination()
     store.delete_namespace("2-HIGH")

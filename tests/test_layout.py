@@ -290,3 +290,58 @@ def test_each_random_method_draws_for_its_own_rows(spark, store, workspace, monk
     lengths = {(r.namespace_name, len(r.pseudonym_value)) for r in done.mappings.collect()}
     assert lengths == {("four", 36), ("hex", 8), ("sha", 64)} and done.created == 60
     assert plans[0].count("ArrowEvalPython") == 2 and "Union" in plans[0]
+
+
+def rows_moved(spark, work):
+    """Rows that ``work`` put into shuffles and rows that it wrote to files, by the stages' own metrics."""
+    context = spark.sparkContext._jsc.sc()
+    gateway = spark.sparkContext._gateway
+
+    def stages():
+        context.listenerBus().waitUntilEmpty()
+        none = gateway.new_array(gateway.jvm.double, 0)
+        found = context.statusStore().stageList(None, False, False, none, gateway.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    work()
+    new = [s for key, s in stages().items() if key not in before]
+    return sum(s.shuffleWriteRecords() for s in new), sum(s.outputRecords() for s in new)
+
+
+def test_rows_moved_by_a_seed_and_a_compaction(spark, workspace):
+    """Beside the two layouts a seed writes its rows once, a compaction not at all; that shuffles them once for each layout."""
+    store = MappingStore(spark, workspace.path("store"), workspace, broadcast_bytes=0)
+    rows = 5000
+    store.seed(people(spark, rows), "first")
+    _, written = rows_moved(spark, lambda: store.seed(people(spark, rows, rows), "second"))
+    assert written < 3.1 * rows
+    shuffled, written = rows_moved(spark, store.compact)
+    assert shuffled < 2.1 * 2 * rows and written < 2.1 * 2 * rows
+    assert store.read().where("pseudonym_value = concat('p', substring(original_value, 8))").count() == 2 * rows
+
+
+def test_seed_of_some_known_keys(spark, workspace):
+    """Keys that a large seed shares with the store keep the pseudonyms they have; the others come in whole."""
+    store = MappingStore(spark, workspace.path("store"), workspace, broadcast_bytes=0)
+    store.seed(people(spark, 500), "first")
+    digests = people(spark, 1000).withColumn("pseudonym_value", F.upper(F.sha2("pseudonym_value", 256)))
+    store.seed(digests, "second")
+    assert rows_moved(spark, lambda: store.seed(digests, "third"))[1] < 1100
+    store.compact()
+    found = store.read().withColumn("id", F.substring("original_value", 8, 9).cast("long"))
+    plain = F.concat(F.lit("p"), F.col("id"))
+    kept = F.when(F.col("id") < 500, plain).otherwise(F.upper(F.sha2(plain, 256)))
+    assert found.count() == found.where(F.col("pseudonym_value") == kept).count() == 1000
+
+
+def test_compaction_keeps_the_smallest_of_equals(spark, workspace):
+    """Rows of one key and time, as writers at a time leave them: the smallest pseudonym stays, however it is moved."""
+    store = MappingStore(spark, workspace.path("store"), workspace)
+    pseudonyms = ["x" + "AB" * 9, "AB" * 9 + "x", "AB" * 9, "AB" * 8]
+    for i, pseudonym in enumerate(pseudonyms):
+        one = people(spark, 3).withColumn("pseudonym_value", F.lit(pseudonym))
+        store._write(f"{store.path}/{store._generation()}/batch_id=writer-{i}", one)
+    assert store.read().count() == 12
+    store.compact()
+    assert [r.pseudonym_value for r in store.read().collect()] == [min(pseudonyms)] * 3
