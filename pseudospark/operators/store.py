@@ -129,7 +129,7 @@ class Upserted:
 
     ``cells`` counts the requests, repeated ones each time, and ``missing`` those among them without a value. ``sizes`` has the
     measured bytes of the mappings of each namespace that the caller named (and of all, under None), ``unlike`` those of them
-    where a stored pseudonym is not the computed one.
+    where a stored pseudonym is not the computed one (and None if one computed by row is not).
     """
 
     mappings: DataFrame
@@ -139,7 +139,7 @@ class Upserted:
     missing: int
     scratch: Workspace
     sizes: dict[str | None, int] = field(default_factory=dict)
-    unlike: frozenset[str] = frozenset()
+    unlike: frozenset[str | None] = frozenset()
 
     def release(self) -> None:
         """Delete the intermediate tables, once nothing reads ``mappings`` any more."""
@@ -590,11 +590,12 @@ class MappingStore:
         batch_id: str | None = None,
         namespaces: list[str] | None = None,
         computed: dict[str, Callable[[Column], Column]] | None = None,
+        by_row: bool = False,
     ) -> Upserted:
         """As ``upsert``, for requests that ``save_requests`` stored. Intermediate tables go to ``scratch``.
 
         ``namespaces`` names the partitions to read, where the caller knows them, and ``computed`` has the functions of those
-        whose pseudonyms follow from the original.
+        whose pseudonyms follow from the original. ``by_row`` holds all stored pseudonyms against ``with_computed``.
         """
         asked.check()
         counts = {"requested": asked.keys, "cells": asked.cells, "missing": asked.missing}
@@ -602,12 +603,13 @@ class MappingStore:
         misses, hits, sizes, unlike = asked.table.where(F.col("original_value").isNotNull()), None, {}, frozenset()
         n_misses = asked.keys
         if n_misses and folders:
-            matched, stats = self._match(asked, folders, namespaces, computed or {}, scratch)
+            own = catalog if by_row else None
+            matched, stats = self._match(asked, folders, namespaces, computed or {}, own, scratch)
             misses = matched.where(F.col("pseudonym_value").isNull()).select(*KEYS, "n")
             hits = matched.where(F.col("pseudonym_value").isNotNull())
             n_misses = stats.get("misses", 0)
             sizes = sizes_of(stats, namespaces)
-            unlike = frozenset(name for i, name in enumerate(computed or {}) if stats.get(f"unlike{i}"))
+            unlike = frozenset(name for i, name in enumerate([*(computed or {}), *[None] * by_row]) if stats.get(f"unlike{i}"))
 
         found = (hits if hits is not None else self._scan([])).select(*PSEUDONYM_COLUMNS, F.lit(False).alias("is_new"))
         rest = {"scratch": scratch, "unlike": unlike, **counts}
@@ -627,12 +629,12 @@ class MappingStore:
         rows = catalog.where(F.col("name").isin(names)).toArrow().to_pylist() if local is None else local
         return {row["name"]: row for row in rows if row["name"] in names}
 
-    def _with_settings(self, rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    def _with_settings(self, rows: DataFrame, catalog: DataFrame, namespace: str = "namespace_name") -> DataFrame:
         """``rows`` with ``method, length, prefix, suffix`` of their namespaces, nulls where there is none."""
         settings = self._settings(catalog)
         local = self._known_settings[2]
         if local is None or not 0 < len(local) <= INLINE_NAMESPACES:
-            return rows.join(settings, "namespace_name", "left")
+            return rows.join(settings.withColumnRenamed("namespace_name", namespace), namespace, "left")
         names = {
             "method": ("pseudonym_generation_method", "string"),
             "length": ("pseudonym_length", "long"),
@@ -643,9 +645,27 @@ class MappingStore:
             (F.lit(row["name"]), F.struct(*[F.lit(row[c]).cast(kind).alias(n) for n, (c, kind) in names.items()]))
             for row in {row["name"]: row for row in local}.values()
         ]
-        own = F.try_element_at(F.create_map(*[c for entry in entries for c in entry]), F.col("namespace_name"))
+        own = F.try_element_at(F.create_map(*[c for entry in entries for c in entry]), F.col(namespace))
         return rows.withColumn("__settings", own).select(*rows.columns, "__settings.*")
 
+    def computes(self, asked: Requests, catalog: DataFrame) -> bool:
+        """Whether all pseudonyms of some requests follow from their originals, by settings that are few and known."""
+        self._settings(catalog)
+        local = self._known_settings[2]
+        if local is None or len({row["name"] for row in local}) < len(local):
+            return False
+        return all(name in GENERATORS and GENERATORS[name].deterministic for name in asked.methods)
+
+    def with_computed(
+        self, rows: DataFrame, catalog: DataFrame, methods: list[str], namespace: str, original: str, result: str
+    ) -> DataFrame:
+        """``rows`` with the pseudonyms of their originals as ``result``, where ``computes`` says so; null for a null original."""
+        settings = ["method", "length", "prefix", "suffix"]
+        known = self._with_settings(rows.select("*", F.col(namespace).alias("__space")), catalog, "__space")
+        text = generate(F.col("method"), F.col(original), F.col("length"), methods)
+        text = with_affixes(text, F.col("prefix"), F.col("suffix"))
+        return known.withColumn(result, F.when(F.col(original).isNotNull(), text)).drop("__space", *settings)
+
     def _settings(self, catalog: DataFrame) -> DataFrame:
         """The namespaces' settings, to be broadcast if they are small. A catalogue table is a snapshot and read once."""
         if self._known_settings is None or self._known_settings[0] is not catalog:
@@ -672,9 +692,13 @@ class MappingStore:
         folders: list[str],
         namespaces: list[str] | None,
         computed: dict[str, Callable[[Column], Column]],
+        by_row: DataFrame | None,
         scratch: Workspace,
     ) -> tuple[DataFrame, dict]:
-        """Each requested key with its stored mapping or nulls, stored, and what was seen of them."""
+        """Each requested key with its stored mapping or nulls, stored, and what was seen of them.
+
+        ``by_row`` is the catalogue, if all pseudonyms are to be held against computed ones.
+        """
         rest = ["created_at", "pseudonym_value", "last_updated_at"]
         wanted = asked.table.where(F.length("original_value") >= 0)
         seen = Observation()
@@ -682,6 +706,8 @@ class MappingStore:
             F.count(F.when((F.col(KEYS[0]) == name) & (F.col("pseudonym_value") != build(F.col(KEYS[1]))), 1))
             for name, build in computed.items()
         ]
+        if by_row is not None:
+            unlike.append(F.count(F.when(F.col("pseudonym_value") != F.col("__computed"), 1)))
         metrics = [
             F.count(F.when(F.col("pseudonym_value").isNull(), 1)).alias("misses"),
             *size_metrics(namespaces),
@@ -689,7 +715,11 @@ class MappingStore:
         ]
 
         def saved(matched: DataFrame) -> DataFrame:
-            return scratch.save(matched.select(*KEYS, "n", *[f"first.{c}" for c in rest]).observe(seen, *metrics), "matched")
+            found = matched.select(*KEYS, "n", *[f"first.{c}" for c in rest])
+            columns = found.columns
+            if by_row is not None:
+                found = self.with_computed(found, by_row, asked.methods, *KEYS, "__computed")
+            return scratch.save(found.observe(seen, *metrics).select(*columns), "matched")
 
         if asked.bytes <= self.broadcast_bytes:
             # Few requests against a large store: the requests travel, their buckets are read, and only matching rows

@@ -232,10 +232,11 @@ def _fixed_namespaces(cells: Sequence[_Cell]) -> list[str] | None:
     return sorted({c.namespace for c in cells})
 
 
-def _resolve_cells(df, cells, mapping, keys, value, counts, limit, inline, sizes):
+def _resolve_cells(df, cells, mapping, keys, value, counts, limit, inline, sizes, by_row=None):
     """Add one resolved column per distinct (source, namespace); returns the frame, their columns and the order flag.
 
-    ``sizes`` are the measured bytes of ``mapping`` by namespace, those of all of it under None.
+    ``sizes`` are the measured bytes of ``mapping`` by namespace, those of all of it under None. ``inline`` computes values of
+    namespaces without a join, and ``by_row`` those of rows that name their own.
     """
     resolved = {}
     kept = True
@@ -253,6 +254,9 @@ def _resolve_cells(df, cells, mapping, keys, value, counts, limit, inline, sizes
             own_counts = counts.where(F.col("namespace_name") == cell.namespace)
             size = sizes.get(cell.namespace, sizes.get(None, 0))
             df, in_order = attach(df, [own_key], own, keys[1:], value, name, own_counts, size, budget)
+        elif by_row is not None:
+            df, space = _as_text(df, cell.namespace_column)
+            df, in_order, size = by_row(df, space, own_key, name), True, 0
         else:
             size = sizes.get(None, 0)
             df, space = _as_text(df, cell.namespace_column)
@@ -312,9 +316,15 @@ def _pseudonymized(df, mappings, catalog, store, placeholders, batch_id, scratch
     positional = df.toDF(*_positional(names))
     requested = requested_values(positional, cells, placeholders).withColumnRenamed("value", "original_value")
     asked = store.save_requests(requested, catalog, scratch)
-    upserted = store.upsert_requests(asked, catalog, scratch, batch_id, _fixed_namespaces(cells), computable)
+    namespaces = _fixed_namespaces(cells)
+    by_row = namespaces is None and store.computes(asked, catalog)
+    upserted = store.upsert_requests(asked, catalog, scratch, batch_id, namespaces, computable, by_row)
     counts = asked.table.where(F.col("original_value").isNotNull())
     split = _split_sources(positional, cells)
+
+    def computed(df: DataFrame, *columns: str) -> DataFrame:
+        return store.with_computed(df, catalog, asked.methods, *columns)
+
     wide, resolved, kept = _resolve_cells(
         _without_copies(_with_keys(positional, cells, placeholders), split),
         cells,
@@ -326,6 +336,7 @@ def _pseudonymized(df, mappings, catalog, store, placeholders, batch_id, scratch
         # First writer wins also against the hash: with one other pseudonym stored, a namespace joins like any other.
         {name: build for name, build in computable.items() if name not in upserted.unlike},
         upserted.sizes,
+        computed if by_row and None not in upserted.unlike else None,
     )
 
     def final(cell: _Cell) -> Column:

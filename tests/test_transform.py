@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pseudospark import ColumnMapping, MappingStore, depseudonymize, pseudonymize
 from pseudospark.plans.transform import job_counters, split_blank, usable_mappings
+from pseudospark.suite.common import namespaces
 
 
 def sha(text):
@@ -236,3 +237,53 @@ def test_replaced_column_does_not_travel_beside_its_key(spark):
     df = spark.createDataFrame([(1, 2)], "_c0 long, _c1 long")
     mapped = [ColumnMapping(0, "A"), ColumnMapping(1, "A", "copy")]
     assert _split_sources(df, _bind(mapped, df.columns)) == {"_c0"}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("others", [0, 40])
+def test_rows_that_name_a_hash_namespace_are_computed(spark, workspace, others):
+    """Nothing is sent to the driver or joined for them, unless the store holds another pseudonym for some original; with many
+    namespaces only their settings are."""
+    more = {f"other {i}": ("Sha256HexEncoded", 64) for i in range(others)}
+    catalog = namespaces(spark, plain=("Sha256HexEncoded", 64), fixed=("Sha256HexEncoded", 64, "pre-", "-suf"), drawn=("Uuid4", 36), **more)
+    store = MappingStore(spark, workspace.path("store"), workspace)
+    data = [("plain", "a", 1), ("fixed", "a", 2), ("fixed", "b", 3), ("nowhere", "NA", 4), (None, None, 5), ("plain", "a", 6), ("drawn", "", 7)]
+    df = workspace.save(spark.createDataFrame(data, "n string, v string, id long"), "input")
+    mapped = [ColumnMapping("v", namespace_column="n")]
+
+    def expected(n, v):
+        return v if v in ("NA", "", None) else sha(v) if n == "plain" else f"pre-{sha(v)}-suf"
+
+    for _ in range(2):  # a fresh store, then known keys
+        result = pseudonymize(df, mapped, catalog, store)
+        assert plan_of(result.df).count("Join") == (1 if others else 0) and result.order_kept
+        assert (result.rows, result.missing) == (7, 3)
+        assert {r.id: (r.n, r.v) for r in result.df.collect()} == {i: (n, expected(n, v)) for n, v, i in data}
+    assert {(r.namespace_name, r.original_value, r.pseudonym_value) for r in store.read().collect()} == {
+        (n, v, expected(n, v)) for n, v, _ in data if v in ("a", "b")
+    }
+
+
+def test_rows_that_name_a_hash_namespace_follow_the_store(spark, workspace):
+    """One imported pseudonym, or one drawn at random, and all of them are joined."""
+    catalog = namespaces(spark, plain=("Sha256HexEncoded", 64), drawn=("Uuid4", 36))
+    store = MappingStore(spark, workspace.path("store"), workspace)
+    mapped = [ColumnMapping("v", namespace_column="n")]
+    df = workspace.save(spark.createDataFrame([("plain", "a"), ("plain", "b")], "n string, v string"), "input")
+    store.seed(
+        spark.sql(
+            "SELECT 'plain' namespace_name, 'b' original_value, 'imported' pseudonym_value,"
+            " current_timestamp() created_at, current_timestamp() last_updated_at"
+        ),
+        "import",
+    )
+    for _ in range(2):
+        result = pseudonymize(df, mapped, catalog, store)
+        assert sorted(rows(result.df)) == [("plain", sha("a")), ("plain", "imported")]
+    both = workspace.save(spark.createDataFrame([("plain", "c"), ("drawn", "c")], "n string, v string"), "both")
+    found = dict(rows(pseudonymize(both, mapped, catalog, store).df))
+    assert found["plain"] == sha("c") and len(found["drawn"]) == 36
+    assert dict(rows(pseudonymize(both, mapped, catalog, store).df)) == found
