@@ -210,3 +210,23 @@ def test_deletion_that_was_stopped(spark, store, catalog, workspace):
     newest = counted.agg(F.max("batch_id")).first()[0]
     found = {r.namespace_name: r.n for r in counted.where(F.col("batch_id") == newest).collect()}
     assert found == {"A": 1} and store.read().count() == 1
+
+
+def test_stream_of_hash_namespaces_joins_no_mapping(spark, store, catalog, folders, monkeypatch):
+    """Micro-batches whose rows name hash namespaces compute their pseudonyms: no mapping is broadcast or shuffled for them."""
+
+    def joined(*_):
+        raise AssertionError("a mapping was joined")
+
+    monkeypatch.setattr("pseudospark.plans.transform.attach", joined)
+    arrive(spark, folders, 0, 60)
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folders["arrivals"])
+    rows = source.withColumn("space", F.lit("hashed"))
+    stream_pseudonymize(
+        rows, [ColumnMapping("value", namespace_column="space")], catalog, store, folders["output"], folders["progress"],
+        folders["checkpoint"], "feed",
+    ).awaitTermination()
+    found = spark.read.parquet(folders["output"])
+    sha = F.upper(F.sha2(F.concat(F.lit("v"), F.col("id") % 17), 256))
+    assert found.where(F.col("value") == F.when(F.col("id") % 5 == 0, "NA").otherwise(sha)).count() == found.count() == 60
+    assert store.read().count() == 17
