@@ -604,7 +604,7 @@ class MappingStore:
         n_misses = asked.keys
         if n_misses and folders:
             own = catalog if by_row else None
-            matched, stats = self._match(asked, folders, namespaces, computed or {}, own, scratch)
+            matched, stats = self._match(asked, folders, namespaces, computed or {}, scratch, own)
             misses = matched.where(F.col("pseudonym_value").isNull()).select(*KEYS, "n")
             hits = matched.where(F.col("pseudonym_value").isNotNull())
             n_misses = stats.get("misses", 0)
@@ -692,8 +692,8 @@ class MappingStore:
         folders: list[str],
         namespaces: list[str] | None,
         computed: dict[str, Callable[[Column], Column]],
-        by_row: DataFrame | None,
         scratch: Workspace,
+        by_row: DataFrame | None = None,
     ) -> tuple[DataFrame, dict]:
         """Each requested key with its stored mapping or nulls, stored, and what was seen of them.
 
