@@ -32,6 +32,10 @@ EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 BUCKETS = 8
 #: A batch of so many keys is written by one task; larger ones are dealt to tasks by bucket.
 ONE_TASK_ROWS = 20_000
+#: Rows of so many bytes each are written to their buckets by the tasks that read them, where buckets are few: to deal them
+#: would move and store whole texts twice more, and spare some files.
+WIDE_ROW_BYTES = 512
+FEW_BUCKETS = 64
 #: Compaction cuts the store into batches of about so many rows, by time.
 SLICE_ROWS = 50_000_000
 MOST_SLICES = 64
@@ -233,7 +237,7 @@ class MappingStore:
     def _save(self, rows: DataFrame, layout: Layout, folder: str, buckets: int) -> None:
         """Write rows that carry the layout's hash as one file for each task, namespace and bucket."""
         name = _table_name()
-        (
+        writer = (
             rows.write.partitionBy("namespace_name")
             .bucketBy(buckets, layout.hash)
             .sortBy(layout.hash)
@@ -241,8 +245,9 @@ class MappingStore:
             .option("parquet.bloom.filter.adaptive.enabled", "true")
             .option("compression", files.COMPRESSION)
             .option("path", folder)
-            .saveAsTable(name)
         )
+        with files.shuffles_freed(self.spark):
+            writer.saveAsTable(name)
         # Spark writes buckets by way of a table. Dropping it leaves the files.
         self.spark.sql(f"DROP TABLE {name}")
 
@@ -257,22 +262,26 @@ class MappingStore:
         namespaces: list[str] | None = None,
         counted: list[str] | None = None,
         placed: bool = False,
+        size: int = 0,
     ) -> dict:
         """Write one batch in both layouts below ``staged``; returns what was seen of its stored rows.
 
         ``namespaces`` are measured and ``counted`` are counted by themselves. ``placed`` rows lie in tasks by their key's hash
-        already.
+        already. ``size`` is the measured size of the keys of ``expected`` rows.
 
         The first layout's tasks draw the pseudonyms; the second is made of the rows as they are stored. Tasks get rows by
-        their hash, so that each writes few buckets, and a large bucket is split over several tasks. ``drawn`` has a
-        condition and a pseudonym for each kind of rows, which are dealt by themselves.
+        their hash, so that each writes few buckets, and a large bucket is split over several tasks; wide rows stay where
+        they are. ``drawn`` has a condition and a pseudonym for each kind of rows, which are dealt by themselves.
         """
         few = expected is not None and expected <= ONE_TASK_ROWS
+        wide = bool(expected) and size >= expected * WIDE_ROW_BYTES and buckets <= FEW_BUCKETS
 
         def dealt(frame: DataFrame, layout: Layout) -> DataFrame:
             hashed = frame.withColumn(layout.hash, layout.hashed())
             if few:
                 return hashed.coalesce(1)
+            if wide:
+                return hashed
             if "pseudonym_value" not in frame.columns:
                 return hashed.hint("rebalance", F.col(layout.hash))
             small = hashed.withColumn("pseudonym_value", packed(F.col("pseudonym_value")))
@@ -553,10 +562,13 @@ class MappingStore:
         mappings.
         """
         with self.workspace.kept_if_done() as scratch:
-            asked = self.save_requests(distinct_requests(requests), catalog, scratch)
+            own = scratch.part()
+            asked = self.save_requests(distinct_requests(requests), catalog, own)
             if asked.missing:
                 raise ValueError("Blank values get no pseudonym.")
-            return self.upsert_requests(asked, catalog, scratch, batch_id)
+            done = self.upsert_requests(asked, catalog, scratch, batch_id)
+            own.release()  # the mappings are read from where they were found or stored
+            return done
 
     def save_requests(self, requests: DataFrame, catalog: DataFrame, scratch: Workspace) -> Requests:
         """Store distinct requests (``n`` counting repeated ones), and see in the same pass what there is to know of them."""
@@ -615,7 +627,8 @@ class MappingStore:
         rest = {"scratch": scratch, "unlike": unlike, **counts}
         if n_misses == 0:
             return Upserted(found, created=0, sizes=sizes, **rest)
-        folder, stats = self._mint(misses, asked.methods, catalog, batch_id or uuid.uuid4().hex, n_misses, namespaces)
+        size = asked.bytes * n_misses // asked.keys
+        folder, stats = self._mint(misses, asked.methods, catalog, batch_id or uuid.uuid4().hex, n_misses, size, namespaces)
         created = self._scan([folder]).select(*PSEUDONYM_COLUMNS, F.lit(True).alias("is_new"))
         mappings = created if hits is None else found.unionByName(created)
         drawn = sizes_of(stats, namespaces)
@@ -740,7 +753,7 @@ class MappingStore:
             return saved(matched), observed(seen)
 
     def _mint(
-        self, misses: DataFrame, methods: list[str], catalog: DataFrame, batch_id: str, expected: int, namespaces
+        self, misses: DataFrame, methods: list[str], catalog: DataFrame, batch_id: str, expected: int, size: int, namespaces
     ) -> tuple[str, dict]:
         """Generate and store the pseudonyms of new keys, each covered exactly once. Returns the batch folder."""
         folder = self._free(batch_id)
@@ -758,7 +771,7 @@ class MappingStore:
         local = self._known_settings[2]
         known = namespaces or ([row["name"] for row in local] if local is not None and len(local) <= INLINE_NAMESPACES else None)
         return folder, self._write(
-            folder, rows, known, drawn=drawn, expected=expected, namespaces=namespaces
+            folder, rows, known, drawn=drawn, expected=expected, namespaces=namespaces, size=size
         )
 
     # -- maintenance -------------------------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Shared-storage paths: the scratch workspace and small file-system helpers."""
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,6 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 #: Of tables in Parquet. Most of their bytes are digests and random letters, which the default does not make smaller.
 COMPRESSION = "zstd"
 
+_FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: By session: the number of writers, and the setting they found.
+_writers: dict[str, tuple[int, str | None]] = {}
+_lock = threading.Lock()
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Tables written in the block leave no shuffle files: Spark deletes them at the end of the write, which nothing reads
+    them after. Elsewhere they stay until the driver happens to collect its garbage."""
+    session = spark._jsparkSession.sessionUUID()
+    with _lock:
+        number, before = _writers.get(session) or (0, spark.conf.get(_FREES_SHUFFLES, None))
+        _writers[session] = (number + 1, before)
+        spark.conf.set(_FREES_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            number, before = _writers.pop(session)
+            if number > 1:
+                _writers[session] = (number - 1, before)
+            elif before is None:
+                spark.conf.unset(_FREES_SHUFFLES)
+            else:
+                spark.conf.set(_FREES_SHUFFLES, before)
+
 
 def _resolve(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -81,7 +109,8 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return it as a table scan."""
         path = self.path(name)
-        df.write.parquet(path, compression=COMPRESSION)
+        with shuffles_freed(self.spark):
+            df.write.parquet(path, compression=COMPRESSION)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def part(self) -> "Workspace":

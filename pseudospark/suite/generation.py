@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from pseudospark.functions.generators import GENERATORS, Generator, register_generator
-from pseudospark.suite.common import namespaces, new_store, table
+from pseudospark.plans.transform import split_blank
+from pseudospark.suite.common import namespaces, new_store, sha, table
 
 
 def _requests(df, namespace, value):
@@ -11,12 +12,13 @@ def _requests(df, namespace, value):
 
 
 def gen_sha256(spark, sf):
-    """SHA-256 over whole document texts."""
+    """SHA-256 over whole document texts. Blank ones, which no store takes, are hashed beside it; a null text has no hash."""
     docs = table(spark, sf, "documents")
-    requests = _requests(docs, F.lit("texts"), F.col("text"))
+    texts, blank = split_blank(_requests(docs, F.lit("texts"), F.col("text")))
     catalog = namespaces(spark, texts=("Sha256HexEncoded", 64))
-    done = new_store(spark).upsert(requests, catalog).mappings
-    return done.select("original_value", "pseudonym_value")
+    done = new_store(spark).upsert(texts, catalog).mappings.select("original_value", "pseudonym_value")
+    rest = blank.select("original_value").distinct().withColumn("pseudonym_value", sha(F.col("original_value")))
+    return done.unionByName(rest)
 
 
 def gen_prefix_suffix(spark, sf):

@@ -109,3 +109,21 @@ def test_fixed_lengths_are_checked(spark, method, length):
     made = spark.range(1).select(generate(F.lit(method), F.lit("x"), F.lit(length), [method]).alias("p"))
     with pytest.raises(Exception, match=f"{method} always has length"):
         made.collect()
+
+
+def test_documents_without_a_text(spark, tmp_path):
+    """A null text and blank ones are rows as in the SQL, not errors."""
+    from compare import normalized
+    from pseudospark.suite import generation
+
+    import duckdb
+
+    texts = ["word " * 300, "word " * 300, None, None, "", " \t", "  x", "\u2003"]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(path)
+    found = generation.gen_sha256(spark, str(tmp_path))
+    cursor = duckdb.connect()
+    cursor.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    wanted = cursor.execute(generation.ORACLE["gen_sha256"]).fetchall()
+    mine = normalized(found.columns, [tuple(r) for r in found.collect()])
+    assert mine == normalized(["original_value", "pseudonym_value"], wanted) and sum(mine.values()) == 6

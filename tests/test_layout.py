@@ -345,3 +345,40 @@ def test_compaction_keeps_the_smallest_of_equals(spark, workspace):
     assert store.read().count() == 12
     store.compact()
     assert [r.pseudonym_value for r in store.read().collect()] == [min(pseudonyms)] * 3
+
+
+def test_wide_rows_are_not_dealt(spark, workspace, monkeypatch):
+    """Whole texts are shuffled once, to find the distinct ones, and each bucket's files hold rows of that bucket only."""
+    monkeypatch.setattr(module, "ONE_TASK_ROWS", 10)
+    store = MappingStore(spark, workspace.path("store"), workspace)
+    plans = []
+    save = store._save
+    monkeypatch.setattr(store, "_save", lambda rows, *rest: (plans.append(str(rows._jdf.queryExecution().optimizedPlan())), save(rows, *rest)))
+    texts = spark.range(400).select(F.lit("texts").alias("namespace_name"), F.repeat(F.concat(F.col("id"), F.lit(" ")), 300).alias("original_value"))
+    done = store.upsert(texts.union(texts), namespaces(spark, texts=("Sha256HexEncoded", 64)))
+    assert done.created == 400 and done.mappings.where("pseudonym_value = upper(sha2(original_value, 256))").count() == 400
+    assert len(plans) == 2 and not [p for p in plans if "Repartition" in p or "Rebalance" in p]
+    for layout in (BY_KEY, BY_PSEUDONYM):
+        rows = [store._scan(store._committed(), layout, [b]).where(layout.bucket(8) == b).count() for b in range(8)]
+        assert sum(rows) == 400
+    assert not files.glob(spark, f"{done.scratch.root}/*/requests-*")
+
+
+def test_writes_leave_no_shuffle_files(spark, workspace):
+    """The setting that has them deleted holds while tables are written, by however many at a time."""
+    name = files._FREES_SHUFFLES
+    seen = []
+    with files.shuffles_freed(spark):
+        with files.shuffles_freed(spark):
+            seen.append(spark.conf.get(name))
+        seen.append(spark.conf.get(name))
+    assert seen == ["true", "true"] and spark.conf.get(name) == "false" and not files._writers
+
+    def shuffles():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+    spark.sparkContext._jvm.System.gc()
+    rows = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count()
+    left = shuffles()
+    assert workspace.save(rows, "rows").count() == 100
+    assert shuffles() <= left + 1  # that of the count
