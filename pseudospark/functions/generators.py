@@ -28,12 +28,13 @@ BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 class Generator:
     """``build(value, length)`` gives the pseudonym column without prefix and suffix.
 
-    Only a deterministic generator looks at ``value``.
+    Only a deterministic generator looks at ``value``. ``distinct`` ones give unlike values unlike pseudonyms.
     """
 
     build: Callable[[Column, Column], Column]
     deterministic: bool = False
     fixed_length: int | None = None
+    distinct: bool = False
 
 
 def sha256_hex(value: Column, length: Column) -> Column:
@@ -132,7 +133,7 @@ def _drawn(draw, length: Column) -> Column:
 GENERATORS: dict[str, Generator] = {
     "Unspecified": Generator(random_base64url),
     "SecureRandomBase64UrlEncoded": Generator(random_base64url),
-    "Sha256HexEncoded": Generator(sha256_hex, deterministic=True, fixed_length=64),
+    "Sha256HexEncoded": Generator(sha256_hex, deterministic=True, fixed_length=64, distinct=True),
     "Uuid4": Generator(uuid4, fixed_length=36),
     "Uuid7": Generator(uuid7, fixed_length=36),
     "FullRandomHexEncoded": Generator(random_hex),

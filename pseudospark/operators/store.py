@@ -36,6 +36,9 @@ ONE_TASK_ROWS = 20_000
 #: would move and store whole texts twice more, and spare some files.
 WIDE_ROW_BYTES = 512
 FEW_BUCKETS = 64
+#: A task that writes dealt rows sorts about so many bytes. Of each row, so many come to its measured keys.
+TASK_BYTES = 128 * 1024 * 1024
+ADDED_BYTES = 128
 #: Compaction cuts the store into batches of about so many rows, by time.
 SLICE_ROWS = 50_000_000
 MOST_SLICES = 64
@@ -253,16 +256,17 @@ class MappingStore:
 
     def _stage(
         self,
-        rows: DataFrame,
+        rows: DataFrame | None,
         staged: str,
         place: str,
         buckets: int,
-        drawn: list[tuple[Column, Column]] | None = None,
+        drawn: list[tuple[DataFrame, Callable[[DataFrame], DataFrame]]] | None = None,
         expected: int | None = None,
         namespaces: list[str] | None = None,
         counted: list[str] | None = None,
         placed: bool = False,
         size: int = 0,
+        follows: Column | None = None,
     ) -> dict:
         """Write one batch in both layouts below ``staged``; returns what was seen of its stored rows.
 
@@ -271,11 +275,17 @@ class MappingStore:
 
         The first layout's tasks draw the pseudonyms; the second is made of the rows as they are stored. Tasks get rows by
         their hash, so that each writes few buckets, and a large bucket is split over several tasks; wide rows stay where
-        they are. ``drawn`` has a condition and a pseudonym for each kind of rows, which are dealt by themselves.
+        they are. ``drawn`` has the keys of each kind of rows, which are dealt by themselves, and what adds the rest to dealt
+        ones. ``follows`` is the pseudonym of all rows as it follows from their keys, where unlike keys have unlike ones: then
+        the second layout's rows are dealt as keys as well.
         """
         few = expected is not None and expected <= ONE_TASK_ROWS
         wide = bool(expected) and size >= expected * WIDE_ROW_BYTES and buckets <= FEW_BUCKETS
 
+        def by_hash(keys: DataFrame, hashed: Column) -> DataFrame:
+            """Rows of unlike hashes need no rebalance, which goes by the bytes that are moved, not by what they become."""
+            return keys.repartition(self._tasks(expected, size, buckets), hashed)
+
         def dealt(frame: DataFrame, layout: Layout) -> DataFrame:
             hashed = frame.withColumn(layout.hash, layout.hashed())
             if few:
@@ -283,7 +293,7 @@ class MappingStore:
             if wide:
                 return hashed
             if "pseudonym_value" not in frame.columns:
-                return hashed.hint("rebalance", F.col(layout.hash))
+                return by_hash(frame, layout.hashed()).withColumn(layout.hash, layout.hashed())
             small = hashed.withColumn("pseudonym_value", packed(F.col("pseudonym_value")))
             spread = small.hint("rebalance", F.col(layout.hash))
             return spread.withColumn("pseudonym_value", unpacked(F.col("pseudonym_value")))
@@ -293,8 +303,7 @@ class MappingStore:
         elif drawn is None:
             mappings = dealt(rows, BY_KEY)
         else:
-            kinds = [dealt(rows.where(own), BY_KEY).withColumn("pseudonym_value", value) for own, value in drawn]
-            mappings = reduce(DataFrame.unionByName, kinds)
+            mappings = reduce(DataFrame.unionByName, [complete(dealt(keys, BY_KEY)) for keys, complete in drawn])
         first = f"{staged}/{BY_KEY.folder}{place}"
         self._save(mappings.select(BY_KEY.hash, *PSEUDONYM_COLUMNS), BY_KEY, first, buckets)
         stored = self.spark.read.schema(PSEUDONYM_SCHEMA).option("basePath", first).parquet(first)
@@ -306,7 +315,13 @@ class MappingStore:
             *size_metrics(namespaces),
             *[F.count(F.when(F.col("namespace_name") == n, 1)).alias(f"rows{i}") for i, n in enumerate(counted or [])],
         ]
-        reverse = dealt(stored, BY_PSEUDONYM).select(BY_PSEUDONYM.hash, *PSEUDONYM_COLUMNS).observe(seen, *metrics)
+        if follows is None or few or wide:
+            reverse = dealt(stored, BY_PSEUDONYM)
+        else:
+            complete = drawn[0][1]
+            reverse = complete(by_hash(stored.select(*KEYS), F.xxhash64(KEYS[0], follows)))
+            reverse = reverse.withColumn(BY_PSEUDONYM.hash, BY_PSEUDONYM.hashed())
+        reverse = reverse.select(BY_PSEUDONYM.hash, *PSEUDONYM_COLUMNS).observe(seen, *metrics)
         self._save(reverse, BY_PSEUDONYM, f"{staged}/{BY_PSEUDONYM.folder}{place}", buckets)
         stats = observed(seen)
         if expected is not None and stats.get("rows", 0) != expected:
@@ -315,7 +330,15 @@ class MappingStore:
         files.write_text(self.spark, f"{staged}/{BY_PSEUDONYM.folder}{place}/_times.{times}", "")
         return stats
 
-    def _write(self, folder: str, rows: DataFrame, counted: list[str] | None = None, **options) -> dict:
+    def _tasks(self, rows: int, size: int, buckets: int) -> int:
+        """Into how many tasks rows are dealt by hash, so that each has rows of one bucket, or all rows of some buckets."""
+        least = min(self.spark.sparkContext.defaultParallelism, -(-rows // ONE_TASK_ROWS))
+        tasks = max(least, -(-(size + rows * ADDED_BYTES) // TASK_BYTES))
+        if tasks >= buckets:
+            return -(-tasks // buckets) * buckets
+        return next(n for n in range(tasks, buckets + 1) if buckets % n == 0)
+
+    def _write(self, folder: str, rows: DataFrame | None, counted: list[str] | None = None, **options) -> dict:
         """Stage one batch and publish it. ``counted`` names all its namespaces, where they are few and known."""
         place = "/".join(folder.rsplit("/", 2)[1:])
         staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
@@ -644,10 +667,17 @@ class MappingStore:
 
     def _with_settings(self, rows: DataFrame, catalog: DataFrame, namespace: str = "namespace_name") -> DataFrame:
         """``rows`` with ``method, length, prefix, suffix`` of their namespaces, nulls where there is none."""
-        settings = self._settings(catalog)
+        own = self._own_settings(catalog, namespace)
+        if own is None:
+            return rows.join(self._settings(catalog).withColumnRenamed("namespace_name", namespace), namespace, "left")
+        return rows.withColumn("__settings", own).select(*rows.columns, "__settings.*")
+
+    def _own_settings(self, catalog: DataFrame, namespace: str = "namespace_name") -> Column | None:
+        """``method, length, prefix, suffix`` of a row's namespace as part of the plan, if the namespaces are few and known."""
+        self._settings(catalog)
         local = self._known_settings[2]
         if local is None or not 0 < len(local) <= INLINE_NAMESPACES:
-            return rows.join(settings.withColumnRenamed("namespace_name", namespace), namespace, "left")
+            return None
         names = {
             "method": ("pseudonym_generation_method", "string"),
             "length": ("pseudonym_length", "long"),
@@ -658,8 +688,7 @@ class MappingStore:
             (F.lit(row["name"]), F.struct(*[F.lit(row[c]).cast(kind).alias(n) for n, (c, kind) in names.items()]))
             for row in {row["name"]: row for row in local}.values()
         ]
-        own = F.try_element_at(F.create_map(*[c for entry in entries for c in entry]), F.col(namespace))
-        return rows.withColumn("__settings", own).select(*rows.columns, "__settings.*")
+        return F.try_element_at(F.create_map(*[c for entry in entries for c in entry]), F.col(namespace))
 
     def computes(self, asked: Requests, catalog: DataFrame) -> bool:
         """Whether all pseudonyms of some requests follow from their originals, by settings that are few and known."""
@@ -757,21 +786,38 @@ class MappingStore:
     ) -> tuple[str, dict]:
         """Generate and store the pseudonyms of new keys, each covered exactly once. Returns the batch folder."""
         folder = self._free(batch_id)
-        now = F.current_timestamp()
-        rows = self._with_settings(misses, catalog)
-        rows = rows.withColumn("created_at", now).withColumn("last_updated_at", now)
+        now = F.lit(datetime.now(timezone.utc))
+        own = self._own_settings(catalog)
+
+        def settled(keys: DataFrame) -> DataFrame:
+            return self._with_settings(keys, catalog).withColumn("created_at", now).withColumn("last_updated_at", now)
+
+        def pseudonym(wanted: list[str], method: Column, length: Column, prefix: Column, suffix: Column) -> Column:
+            return with_affixes(generate(method, F.col("original_value"), length, wanted), prefix, suffix)
+
+        settings = ("method", "length", "prefix", "suffix")
+        # Settings that are part of the plan are added where rows are written, so that the keys alone are moved.
+        keys = misses.select(*KEYS)
+        rows = settled(keys)
         # A Python function sees every row of its frame, so each random method gets a frame of its own.
         computed = [m for m in methods if m in GENERATORS and GENERATORS[m].deterministic]
         branches = [[m] for m in methods if m not in computed] + ([computed] if computed else [])
         drawn = []
-        for own in branches:
-            value = generate(F.col("method"), F.col("original_value"), F.col("length"), own)
-            mine = F.col("method").isin(own) if len(branches) > 1 else F.lit(True)
-            drawn.append((mine, with_affixes(value, F.col("prefix"), F.col("suffix"))))
+        for wanted in branches:
+            value = pseudonym(wanted, *[F.col(s) for s in settings])
+            mine = rows.where(F.col("method").isin(wanted)) if len(branches) > 1 else rows
+            if own is None:
+                drawn.append((mine, lambda dealt, value=value: dealt.withColumn("pseudonym_value", value)))
+            else:
+                moved = mine.select(*KEYS)
+                drawn.append((moved, lambda dealt, value=value: settled(dealt).withColumn("pseudonym_value", value)))
+        follows = None
+        if own is not None and len(branches) == 1 and computed and all(GENERATORS[m].distinct for m in computed):
+            follows = pseudonym(computed, *[own[s] for s in settings])
         local = self._known_settings[2]
         known = namespaces or ([row["name"] for row in local] if local is not None and len(local) <= INLINE_NAMESPACES else None)
         return folder, self._write(
-            folder, rows, known, drawn=drawn, expected=expected, namespaces=namespaces, size=size
+            folder, None, known, drawn=drawn, expected=expected, namespaces=namespaces, size=size, follows=follows
         )
 
     # -- maintenance -------------------------------------------------------------------------------------------------

@@ -325,6 +325,12 @@ def _pseudonymized(df, mappings, catalog, store, placeholders, batch_id, scratch
     def computed(df: DataFrame, *columns: str) -> DataFrame:
         return store.with_computed(df, catalog, asked.methods, *columns)
 
+    # First writer wins also against the hash: with one other pseudonym stored, a namespace joins like any other.
+    inline = {name: build for name, build in computable.items() if name not in upserted.unlike}
+    rest = computed if by_row and None not in upserted.unlike else None
+    if all(c.namespace in inline if c.namespace_column is None else rest is not None for c in cells):
+        scratch.release()  # nothing is looked up, so the result does not read the requests
+
     wide, resolved, kept = _resolve_cells(
         _without_copies(_with_keys(positional, cells, placeholders), split),
         cells,
@@ -333,10 +339,9 @@ def _pseudonymized(df, mappings, catalog, store, placeholders, batch_id, scratch
         "pseudonym_value",
         counts,
         store.broadcast_bytes,
-        # First writer wins also against the hash: with one other pseudonym stored, a namespace joins like any other.
-        {name: build for name, build in computable.items() if name not in upserted.unlike},
+        inline,
         upserted.sizes,
-        computed if by_row and None not in upserted.unlike else None,
+        rest,
     )
 
     def final(cell: _Cell) -> Column:

@@ -382,3 +382,55 @@ def test_writes_leave_no_shuffle_files(spark, workspace):
     left = shuffles()
     assert workspace.save(rows, "rows").count() == 100
     assert shuffles() <= left + 1  # that of the count
+
+
+def moved_columns(plan):
+    """The columns of each shuffle that a plan asks for by itself."""
+    children = plan.children()
+    found = [c for i in range(children.size()) for c in moved_columns(children.apply(i))]
+    if not plan.nodeName().startswith("Repartition") and not plan.nodeName().startswith("Rebalance"):
+        return found
+    output = plan.output()
+    return [sorted(output.apply(i).name() for i in range(output.size())), *found]
+
+
+@pytest.mark.parametrize("buckets", [4, 6])
+def test_keys_alone_are_dealt_to_both_layouts(spark, workspace, monkeypatch, buckets):
+    """Computed pseudonyms, times and settings are added where rows are written; a task writes one bucket."""
+    monkeypatch.setattr(module, "ONE_TASK_ROWS", 10)
+    monkeypatch.setattr(module, "TASK_BYTES", 20_000)
+    store = MappingStore(spark, workspace.path("store"), workspace, buckets=buckets)
+    plans = []
+    save = store._save
+    monkeypatch.setattr(store, "_save", lambda rows, *rest: (plans.append(rows._jdf.queryExecution().optimizedPlan()), save(rows, *rest)))
+    catalog = namespaces(spark, a=("Sha256HexEncoded", 64, "p-"), b=("Sha256HexEncoded", 64, None, "-s"))
+    df = spark.range(1500).select(F.col("id").cast("string").alias("x"), (F.col("id") % 7).cast("string").alias("y"))
+    mapped = [ColumnMapping("x", "a"), ColumnMapping("x", "b", "xb"), ColumnMapping("y", "b", "yb")]
+    result = pseudonymize(df, mapped, catalog, store)
+    keys = ["namespace_name", "original_value"]
+    assert [moved_columns(p) for p in plans] == [[keys], [keys]]
+    digest = F.upper(F.sha2("original_value", 256))
+    own = F.when(F.col("namespace_name") == "a", F.concat(F.lit("p-"), digest)).otherwise(F.concat(digest, F.lit("-s")))
+    for layout in (BY_KEY, BY_PSEUDONYM):
+        rows = store._scan(store._committed(), layout).withColumn("file", F.input_file_name())
+        assert rows.where(F.col("pseudonym_value") == own).count() == rows.select(*keys).distinct().count() == 3000
+        assert rows.select("created_at", "last_updated_at").distinct().count() == 1
+        task = F.regexp_extract("file", "part-([0-9]+)", 1)
+        written = rows.groupBy(task.alias("task")).agg(F.countDistinct(layout.bucket(buckets)).alias("n")).collect()
+        assert len(written) > buckets and {r.n for r in written} == {1}
+        assert all(store._scan(store._committed(), layout, [b]).where(layout.bucket(buckets) != b).isEmpty() for b in range(buckets))
+    age = store.read().select(F.unix_micros(F.current_timestamp()) - F.unix_micros("created_at")).first()[0]
+    assert 0 <= age < 600_000_000
+    assert not files.glob(spark, f"{result.scratch.root}/*")
+    shown = result.df.join(df.select(F.concat(F.lit("p-"), F.upper(F.sha2("x", 256))).alias("x"), "y"), ["x", "y"])
+    assert shown.where("yb = concat(upper(sha2(y, 256)), '-s')").count() == 1500
+
+
+def test_dealing_by_buckets(store):
+    """One bucket a task where there are many tasks, whole shares of the buckets where there are few."""
+    for buckets in (1, 7, 8, 12, 4096):
+        for rows in (30_000, 1_000_000, 10_000_000):
+            tasks = store._tasks(rows, rows * 70, buckets)
+            assert tasks % buckets == 0 or buckets % tasks == 0
+            assert tasks * module.TASK_BYTES >= rows * (70 + module.ADDED_BYTES)
+    assert store._tasks(10_000_000, 10_000_000 * 70, 8) == 16
