@@ -331,12 +331,14 @@ class MappingStore:
         return stats
 
     def _tasks(self, rows: int, size: int, buckets: int) -> int:
-        """Into how many tasks rows are dealt by hash, so that each has rows of one bucket, or all rows of some buckets."""
+        """Into how many tasks rows are dealt by hash, so that each has rows of one bucket, or all rows of some buckets (where
+        their number can be shared out)."""
         least = min(self.spark.sparkContext.defaultParallelism, -(-rows // ONE_TASK_ROWS))
         tasks = max(least, -(-(size + rows * ADDED_BYTES) // TASK_BYTES))
         if tasks >= buckets:
             return -(-tasks // buckets) * buckets
-        return next(n for n in range(tasks, buckets + 1) if buckets % n == 0)
+        shares = next(n for n in range(tasks, buckets + 1) if buckets % n == 0)
+        return shares if shares <= 4 * tasks else tasks
 
     def _write(self, folder: str, rows: DataFrame | None, counted: list[str] | None = None, **options) -> dict:
         """Stage one batch and publish it. ``counted`` names all its namespaces, where they are few and known."""

@@ -434,3 +434,4 @@ def test_dealing_by_buckets(store):
             assert tasks % buckets == 0 or buckets % tasks == 0
             assert tasks * module.TASK_BYTES >= rows * (70 + module.ADDED_BYTES)
     assert store._tasks(10_000_000, 10_000_000 * 70, 8) == 16
+    assert store._tasks(30_000, 30_000 * 70, 4099) < 100
